@@ -71,11 +71,13 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of `member`, never across rows."""
+def runs(member: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of `member`, never across rows, nor across i - 1 and i where cut[i]."""
     n = len(member)
     first = np.zeros(n + 1, bool)
     first[off] = True
+    if cut is not None:
+        first[:n] |= cut
     before = np.empty(n, bool)
     if n:
         before[0], before[1:] = False, member[:-1]
@@ -94,3 +96,47 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     row = np.searchsorted(off, starts, "right") - 1
     hashes = mix(span_hash(prefix_hash(data), starts, ends) + (ends - starts).astype(U))
     return hashes, np.bincount(row, minlength=len(off) - 1)
+
+
+class LongMap:
+    """Bounded map from 64-bit keys to int64 values >= 0, for whole arrays at once; it forgets everything when full."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.n = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int64), 0
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        rest, slot = np.arange(len(keys)), (mix(keys, 3) >> U(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            value = self.values[slot]
+            same = (self.keys[slot] == keys[rest]) & (value >= 0)
+            out[rest[same]] = value[same]
+            on = ~same & (value >= 0)
+            rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not there yet; more than half the room at once are not kept."""
+        room = 1 << (self.bits - 1)
+        if self.n + len(keys) > room:
+            self.clear()
+            keys, values = keys[:room], values[:room]
+        self.n += len(keys)
+        rest, slot = np.arange(len(keys)), (mix(keys, 3) >> U(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            free = self.values[slot] < 0
+            self.keys[slot[free]] = keys[rest[free]]
+            mine = free & (self.keys[slot] == keys[rest])
+            self.values[slot[mine]] = values[rest[mine]]
+            rest, slot = rest[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
