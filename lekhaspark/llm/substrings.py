@@ -12,16 +12,19 @@ differ string by string:
    (GRAM bytes, context, doc_id), each range in its own task. A suffix whose whole
    context stands in a smaller document is settled: all of its context goes. A
    beginning that two documents hold with different contexts is open.
-2. around open anchors - the ends of common passages - the strings of LENGTH
+2. a string of LENGTH bytes around an anchor reaches at least half of what is beyond
+   the gram to the left or to the right. For open suffixes the gram with such a half is
+   compared, on either side; a side that no other document shares is given up.
+3. around what is left - the ends of common passages - the strings of LENGTH
    bytes themselves are dealt by hash and sorted. A string that stands in a smaller
    document goes.
 
 The texts are written once, in slices, as a table bucketed by slice, and the answers
 are routed to the slices, so texts are never shuffled. Records are packed arrays
 sorted in the tasks. The full sort of all suffixes, and a comparison of bytes after
-equal hashes, would need the texts of both sides in one task; the hashes that decide
-here are of 64 bits over stretches of LENGTH bytes or more beside 64 bits of the GRAM bytes
-in step 1, and two independent 64-bit hashes of each string in step 2.
+equal hashes, would need the texts of both sides in one task; instead two hashes
+decide, of 64 and 48 bits: of the gram and its context in step 1, of a string and
+of its halves in step 3.
 
 Defined cases: a null or short text loses nothing; rows with one doc_id are not
 smaller than each other, so they lose nothing to each other; a row with a null
@@ -93,12 +96,19 @@ class _Slice:
         inside = (self.anchors - self.first).astype(B.U) << B.U(32) | (self.last - self.anchors).astype(B.U)
         return B.mix(B.span_hash(self.hash, self.first, self.last) ^ B.mix(inside, 22), 23)
 
-    def doc_numbers(self, rows: np.ndarray) -> np.ndarray:
-        return self.ids.fill_null(0).to_numpy()[rows]
-
-    def strings(self, anchors: np.ndarray) -> np.ndarray:
-        """Starts of all strings of the length that contain one of these anchors' grams."""
-        lo, hi = self.first[anchors], np.minimum(self.anchors[anchors], self.last[anchors] - self.length)
+    def halves(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index in anchors, side, hash) of the gram with half of its reach to the left (0) or right (1), where the row has it."""
+        half, a = (self.reach + 1) // 2, self.anchors[anchors]
+        left, right = np.flatnonzero(a - half >= self.off[self.row[anchors]]), np.flatnonzero(a + GRAM + half <= self.last[anchors])
+        h = [B.mix(B.span_hash(self.hash, a[left] - half, a[left] + GRAM), 27), B.mix(B.span_hash(self.hash, a[right], a[right] + GRAM + half), 28)]
+        return np.concatenate((left, right)), np.repeat([0, 1], [len(left), len(right)]), np.concatenate(h)
+
+    def strings(self, anchors: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Starts of the strings of the length that contain one of these anchors' grams and reach far to its side."""
+        half = (self.reach + 1) // 2
+        a = self.anchors[anchors]
+        lo = np.where(side == 0, self.first[anchors], np.maximum(self.first[anchors], a - (self.reach - half)))
+        hi = np.minimum(np.where(side == 0, a - half, a), self.last[anchors] - self.length)
         size = np.maximum(0, hi - lo + 1)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -112,20 +122,22 @@ class _Slice:
         return B.mix(h, 24), g
 
 
-_RECORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("second", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
-_RECORDS_DDL = "bucket int, g long, keys binary, second binary, docs binary, at binary"
-_ANSWERS = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("at", pa.binary())])
+_RECORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("second", pa.binary()), ("docs", pa.binary())])
+_RECORDS_DDL = "bucket int, g long, keys binary, second binary, docs binary"
+_ANSWERS = pa.schema([("g", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("at", pa.binary())])
+_ANSWERS_DDL = "g long, bucket int, kind int, at binary"
 
 
-def _packed(g: int, keys: np.ndarray, second: np.ndarray, rows: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
-    """Records by bucket. docs: the distinct doc_ids after their number, then an index for each record."""
-    cols: list[list] = [[], [], [], [], [], []]
+def _packed(g: int, keys: np.ndarray, second: np.ndarray | None, rows: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
+    """Records by bucket: 8 bytes of key, 6 of the second hash, and an index into the distinct doc_ids that head `docs`."""
+    cols: list[list] = [[] for _ in _RECORDS]
     for b, pick in enumerate(_spread(keys, keys, buckets)):
         if len(pick):
             docs, index = np.unique(ids[rows[pick]], return_inverse=True)
             kind = np.uint16 if len(docs) <= 1 << 16 else np.uint32
             head = np.array([len(docs), np.dtype(kind).itemsize], np.int64).tobytes()
-            for c, v in zip(cols, (b, g, keys[pick].tobytes(), second[pick].tobytes(), head + docs.astype(np.int64).tobytes() + index.astype(kind).tobytes(), pick.astype(np.uint32).tobytes())):
+            short = b"" if second is None else second[pick].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            for c, v in zip(cols, (b, g, keys[pick].tobytes(), short, head + docs.astype(np.int64).tobytes() + index.astype(kind).tobytes())):
                 c.append(v)
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RECORDS)], schema=_RECORDS)
 
@@ -136,27 +148,39 @@ def _docs(raw: bytes) -> np.ndarray:
     return ids[np.frombuffer(raw, np.uint16 if size == 2 else np.uint32, -1, 16 + 8 * int(n))]
 
 
+def _long(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if raw:
+        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(n, 6)
+    return out.view(B.U).ravel()
+
+
+class _Block:
+    """The records of one bucket, and where they came from."""
+
+    def __init__(self, bucket: int, rows: list):
+        self.bucket, self.gs = bucket, [r[0] for r in rows]
+        size = np.array([len(r[1]) // 8 for r in rows])
+        self.keys = np.concatenate([np.frombuffer(r[1], B.U) for r in rows])
+        self.second = np.concatenate([_long(r[2], n) for r, n in zip(rows, size.tolist())])
+        self.docs = np.concatenate([_docs(r[3]) for r in rows])
+        self.block, self.start = np.repeat(np.arange(len(rows)), size), np.cumsum(size) - size
+
+    def answer(self, marked: np.ndarray, kind: int) -> pa.RecordBatch:
+        """The places of the marked records in their blocks, to their slices."""
+        pick = np.flatnonzero(marked)
+        cut = np.searchsorted(self.block[pick], np.arange(len(self.gs) + 1))
+        rows = [(g, self.bucket, kind, (pick[cut[i] : cut[i + 1]] - self.start[i]).astype(np.uint32).tobytes()) for i, g in enumerate(self.gs) if cut[i + 1] > cut[i]]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _ANSWERS)], schema=_ANSWERS)
+
+
 def _gather(batches):
-    """The records of one task, by bucket: (g of each block, block of each record, place in it, keys, second, docs)."""
     held: dict[int, list] = {}
     for b in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
             held.setdefault(bucket, []).append(row)
-    for rows in held.values():
-        keys = np.concatenate([np.frombuffer(r[1], B.U) for r in rows])
-        second = np.concatenate([np.frombuffer(r[2], B.U) for r in rows])
-        docs = np.concatenate([_docs(r[3]) for r in rows])
-        at = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
-        block = np.repeat(np.arange(len(rows)), [len(r[4]) // 4 for r in rows])
-        yield [r[0] for r in rows], block, at, keys, second, docs
-
-
-def _answer(gs: list[int], block: np.ndarray, at: np.ndarray, marked: np.ndarray, kind: int):
-    pick = np.flatnonzero(marked)
-    pick = pick[np.argsort(block[pick], kind="stable")]
-    cut = np.searchsorted(block[pick], np.arange(len(gs) + 1))
-    rows = [(g, kind, at[pick[cut[i] : cut[i + 1]]].tobytes()) for i, g in enumerate(gs) if cut[i + 1] > cut[i]]
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _ANSWERS)], schema=_ANSWERS)
+    for bucket in list(held):
+        yield _Block(bucket, held.pop(bucket))
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -166,39 +190,57 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Of sorted keys: whether two documents hold the key."""
+    start = _first_of(keys)
+    if not len(start):
+        return np.zeros(0, bool)
+    lo, hi = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
+    return np.repeat(lo != hi, np.diff(np.append(start, len(keys))))
+
+
 def _settle(batches):
     """Step 1: settled suffixes (kind 1) and open ones (kind 2)."""
-    for gs, block, at, keys, context, docs in _gather(batches):
-        by = np.lexsort((docs, context, keys))
-        k, c, d = keys[by], context[by], docs[by]
+    for x in _gather(batches):
+        by = np.lexsort((x.docs, x.second, x.keys))
+        k, c, d = x.keys[by], x.second[by], x.docs[by]
         start = _first_of(k, c)
         settled = d > np.repeat(d[start], np.diff(np.append(start, len(d))))
-        # among what is not settled: documents with the same gram
         rest = np.flatnonzero(~settled)
-        group = _first_of(k[rest])
-        size = np.diff(np.append(group, len(rest)))
-        lo, hi = np.minimum.reduceat(d[rest], group), np.maximum.reduceat(d[rest], group)
         marks = np.zeros((2, len(d)), bool)
         marks[0][by[settled]] = True
-        marks[1][by[rest[np.repeat(lo != hi, size)]]] = True
-        yield _answer(gs, block, at, marks[0], 1)
-        yield _answer(gs, block, at, marks[1], 2)
+        marks[1][by[rest[_several(k[rest], d[rest])]]] = True
+        yield x.answer(marks[0], 1)
+        yield x.answer(marks[1], 2)
+
+
+def _share(batches):
+    """Step 2: halves that two documents hold (kind 3)."""
+    for x in _gather(batches):
+        by = np.argsort(x.keys, kind="stable")
+        marks = np.zeros(len(by), bool)
+        marks[by[_several(x.keys[by], x.docs[by])]] = True
+        yield x.answer(marks, 3)
 
 
 def _compare(batches):
-    """Step 2: strings that stand in a smaller document (kind 3)."""
-    for gs, block, at, keys, second, docs in _gather(batches):
-        by = np.lexsort((docs, second, keys))
-        d = docs[by]
-        start = _first_of(keys[by], second[by])
+    """Step 3: strings that stand in a smaller document (kind 4)."""
+    for x in _gather(batches):
+        by = np.lexsort((x.docs, x.second, x.keys))
+        d = x.docs[by]
+        start = _first_of(x.keys[by], x.second[by])
         marks = np.zeros(len(d), bool)
         marks[by[d > np.repeat(d[start], np.diff(np.append(start, len(d))))]] = True
-        yield _answer(gs, block, at, marks, 3)
+        yield x.answer(marks, 4)
 
 
-def _marks(answers: pa.Table, kind: int) -> np.ndarray:
-    got = [np.frombuffer(a, np.uint32) for a, k in zip(answers.column("at").to_pylist(), answers.column("kind").to_pylist()) if k == kind]
-    return np.sort(np.concatenate(got)).astype(np.int64) if got else np.zeros(0, np.int64)
+def _marks(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The records of this slice that were marked: answers count within a bucket, in the order in which records were packed."""
+    own = [(b, np.frombuffer(a, np.uint32)) for a, k, b in zip(*(answers.column(c).to_pylist() for c in ("at", "kind", "bucket"))) if k == kind]
+    if not own:
+        return np.zeros(0, np.int64)
+    places = _spread(keys, keys, buckets)
+    return np.sort(np.concatenate([places[b][a] for b, a in own]))
 
 
 def _sliced(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -235,23 +277,42 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = partitions(docs)
     buckets = max(n, total // (8 * _BUCKET_RECORDS) + 1)
 
+    def numbers(s: _Slice) -> np.ndarray:
+        return s.ids.fill_null(0).to_numpy()
+
+    def sides(s: _Slice, answers: pa.Table):
+        open_ = _marks(answers, 2, s.keys, buckets)
+        index, side, h = s.halves(open_)
+        return open_[index], side, h
+
+    def ends(s: _Slice, answers: pa.Table) -> np.ndarray:
+        anchor, side, h = sides(s, answers)
+        shared = _marks(answers, 3, h, buckets)
+        return s.strings(anchor[shared], side[shared])
+
     def anchored(key, table):
         s = _Slice(table, length)
-        return _packed(key[0].as_py(), s.keys, s.contexts(), s.row, s.doc_numbers(np.arange(len(s.ids))), buckets)
+        return _packed(key[0].as_py(), s.keys, s.contexts(), s.row, numbers(s), buckets)
+
+    def halved(key, table, answers):
+        s = _Slice(table, length)
+        anchor, _, h = sides(s, answers)
+        return _packed(key[0].as_py(), h, None, s.row[anchor], numbers(s), buckets)
 
     def around(key, table, answers):
         s = _Slice(table, length)
-        starts = s.strings(_marks(answers, 2))
+        starts = ends(s, answers)
         a, b = s.names(starts)
-        return _packed(key[0].as_py(), a, b, np.searchsorted(s.off, starts, "right") - 1, s.doc_numbers(np.arange(len(s.ids))), buckets)
+        return _packed(key[0].as_py(), a, b, np.searchsorted(s.off, starts, "right") - 1, numbers(s), buckets)
 
     def finish(key, table, answers):
         s = _Slice(table, length)
         change = np.zeros(len(s.data) + 1, np.int32)
-        settled = _marks(answers, 1)
+        settled = _marks(answers, 1, s.keys, buckets)
         np.add.at(change, s.first[settled], 1)
         np.add.at(change, s.last[settled], -1)
-        starts = s.strings(_marks(answers, 2))[_marks(answers, 3)]
+        starts = ends(s, answers)
+        starts = starts[_marks(answers, 4, s.names(starts)[0], buckets)]
         np.add.at(change, starts, 1)
         np.add.at(change, starts + length, -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -271,10 +332,12 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     by_slice = slices.select("g", "r", "doc_id", "text").groupBy("g")
     records = by_slice.applyInArrow(anchored, _RECORDS_DDL)
-    first = written(records.repartition(n, "bucket").mapInArrow(_settle, "g long, kind int, at binary"), "settled")
-    records = by_slice.cogroup(first.where("kind = 2").groupBy("g")).applyInArrow(around, _RECORDS_DDL)
-    second = written(records.repartition(n, "bucket").mapInArrow(_compare, "g long, kind int, at binary"), "compared")
-    both = first.union(second)
+    found = written(records.repartition(n, "bucket").mapInArrow(_settle, _ANSWERS_DDL), "settled")
+    records = by_slice.cogroup(found.where("kind = 2").groupBy("g")).applyInArrow(halved, _RECORDS_DDL)
+    shared = written(records.repartition(n, "bucket").mapInArrow(_share, _ANSWERS_DDL), "shared")
+    records = by_slice.cogroup(found.where("kind = 2").union(shared).groupBy("g")).applyInArrow(around, _RECORDS_DDL)
+    strings = written(records.repartition(n, "bucket").mapInArrow(_compare, _ANSWERS_DDL), "strings")
+    both = found.union(shared).union(strings)
     return by_slice.cogroup(both.groupBy("g")).applyInArrow(
         finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
     )
