@@ -7,6 +7,7 @@ n - ceil(s * n) + 1 tokens. Three orders are used:
 
 * A: tokens by how common they are (counts over all documents, the common ones
   last), ties by hash. Its prefix lists make the candidates.
+  A candidate must share so many prefix tokens that the rest can make up what is missing.
 * B and C: two seeded hash orders. A candidate that lacks a common token in its
   B prefixes or in its C prefixes is dropped before its sets are compared.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import documents, written
+from .store import documents, partitions, written
 
 #: Tokens that order A knows as common: a bound on what is broadcast, not on what is compared.
 MOST_COMMON = 1 << 16
@@ -126,9 +127,71 @@ def shingle_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, digest binary, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _shared_tokens(rows: DataFrame) -> DataFrame:
+    """(t, doc_id, n, at) of the tokens that two classes have in their prefixes. The records are packed
+    by hash before they are dealt, and each task sorts its own; what only one class has goes no further."""
+    n = partitions(rows)
+
+    def pack(batches):
+        for b in batches:
+            off = b.column(3).offsets.to_numpy()
+            size = np.diff(off)
+            t = b.column(3).values.to_numpy()[off[0] : off[-1]].view(B.U)
+            row, at = np.repeat(np.arange(b.num_rows), size), np.arange(len(t)) - np.repeat(off[:-1] - off[0], size)
+            head = np.stack([b.column(k).to_numpy() for k in range(3)]).astype(np.int64)
+            bucket = (B.mix(t, 31) % B.U(n)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[by], np.arange(n + 1))
+            out: list[list] = [[], [], [], [], []]
+            for k in range(n):
+                pick = by[ends[k] : ends[k + 1]]
+                if len(pick):
+                    used, index = np.unique(row[pick], return_inverse=True)
+                    for c, v in zip(out, (k, t[pick].tobytes(), head[:, used].tobytes(), index.astype(np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes())):
+                        c.append(v)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "t", "rows", "row", "at"])
+
+    def sort(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for bucket, *r in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(bucket, []).append(r)
+        for bucket in list(held):
+            parts = held.pop(bucket)
+            t = np.concatenate([np.frombuffer(p[0], B.U) for p in parts])
+            head = [np.frombuffer(p[1], np.int64).reshape(3, -1)[:, np.frombuffer(p[2], np.uint32)] for p in parts]
+            doc, size, kind = np.concatenate(head, axis=1)
+            at = np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts])
+            by = np.argsort(t, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], t[by][1:] != t[by][:-1])))
+            lo, hi = np.minimum.reduceat(kind[by], start), np.maximum.reduceat(kind[by], start)
+            pick = by[np.repeat(lo != hi, np.diff(np.append(start, len(by))))]
+            for k in range(0, len(pick), 100_000):
+                p = pick[k : k + 100_000]
+                yield pa.record_batch([pa.array(t[p].view(np.int64)), pa.array(doc[p]), pa.array(size[p]), pa.array(at[p].astype(np.int64))], names=["t", "doc_id", "n", "at"])
+
+    packed = rows.select("doc_id", "n", "class", "tokens").mapInArrow(pack, "bucket int, t binary, rows binary, row binary, at binary")
+    return packed.repartition(n, "bucket").mapInArrow(sort, "t long, doc_id long, n long, at long")
+
+
+def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose order-A prefixes have enough in common: beyond them the sets can share at most what either has left."""
+    x = prefixes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
+    y = prefixes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
+    most = F.least(most, F.col("n"), F.col("m"))
+    enough = (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("m") - most)) & (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link: both hash orders' prefixes must meet, then the sets are compared."""
 
+    def whole(batches):
+        for b in batches:
+            got = [g.tobytes() for g in token_sets(b.column(1), words)]
+            yield pa.record_batch([b.column(0), pa.array(got, pa.binary())], names=["cid", "set"])
+
     def check(batches):
         for b in batches:
             xs, ys = b.column(2), b.column(3)
@@ -138,9 +201,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[i] = _link(x, y, percent)
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
 
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = texts.join(involved, "doc_id", "left_semi").select("doc_id", "text")
+    sets = written(own.mapInArrow(whole, "cid long, set binary"), "whole")
     left = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -165,30 +231,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         raise ValueError("percent in 1..100 and words >= 1")
     base = documents(docs)
     rows = written(shingle_classes(base, words, percent), "sets")
-    classes = written(
-        rows.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min(F.struct("doc_id", "tokens")).alias("m"), F.count("*").alias("class_size"))
-        .select("digest", "n", F.col("m.doc_id").alias("cid"), F.col("m.tokens").alias("tokens"), "class_size"),
-        "classes",
-    )
-    lists = classes.select("cid", "n", F.posexplode("tokens").alias("at", "t"))
-    shared = lists.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    kept = written(lists.join(shared, "t"), "lists")
+    full = rows.where("doc_id is not null and n > 0")
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
+    # lists of the tokens that two classes have in their prefixes; of a class only the smallest document is kept
+    lists = _shared_tokens(full.select("doc_id", "n", F.xxhash64("digest").alias("class"), "tokens"))
+    kept = written(lists.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi"), "lists")
+    prefixes = full.select(F.col("doc_id").alias("cid"), "n", "digest", "tokens").join(classes.select("cid", "digest"), ["cid", "digest"], "left_semi").select("cid", "n", "tokens")
     # the leader of a list: the class with most shared tokens in its prefix
     weight = kept.groupBy("cid").agg(F.count("*").alias("w"))
     kept = kept.join(weight, "cid")
     leaders = kept.groupBy("t").agg(F.max(F.struct("w", (-F.col("cid")).alias("c"), "n", "at")).alias("l")).select("t", (-F.col("l.c")).alias("lead"), F.col("l.n").alias("m"), F.col("l.at").alias("j"))
     first = kept.join(leaders, "t").where("cid <> lead").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
-    first = written(first.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct(), "pairs")
-    involved = kept.select("cid").distinct()
-
-    def whole(batches):
-        for b in batches:
-            got = [g.tobytes() for g in token_sets(b.column(1), words)]
-            yield pa.record_batch([b.column(0), pa.array(got, pa.binary())], names=["cid", "set"])
-
-    texts = base.join(involved.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi")
-    sets = written(texts.select("doc_id", "text").mapInArrow(whole, "cid long, set binary").distinct(), "whole")
-    links = written(_verified(first, sets, percent), "links")
+    first = first.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    first = written(_close(first, prefixes, percent), "pairs")
+    links = written(_verified(first, base, words, percent), "links")
     group = connected_components(links)
     # what the leaders left open
     placed = kept.join(group.withColumnRenamed("node", "cid"), "cid", "left").select("t", "cid", "n", "at", F.coalesce("component", "cid").alias("g"))
@@ -200,11 +256,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     y = placed.select("t", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("g").alias("g2"))
     rest = x.join(y, "t").where("g <> g2 and (n < m or (n = m and cid < cid2))").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
     rest = rest.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_verified(rest, sets, percent), "links")
+    rest = written(_close(rest, prefixes, percent), "pairs")
+    more = written(_verified(rest, base, words, percent), "links")
     group = connected_components(more.union(links))
-    by_class = classes.select("digest", "n", "cid", "class_size").join(group.withColumnRenamed("node", "cid"), "cid", "left")
-    by_class = by_class.select("digest", "n", "cid", "class_size", F.coalesce("component", "cid").alias("component"))
-    known = rows.where("doc_id is not null and n > 0").select("doc_id", "n", "digest").join(by_class, ["digest", "n"]).select(
+    by_class = classes.join(group.withColumnRenamed("node", "cid"), "cid", "left")
+    by_class = by_class.select("digest", "cid", "class_size", F.coalesce("component", "cid").alias("component"))
+    known = full.select("doc_id", "n", "digest").join(by_class, "digest").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "class_size", F.col("component").alias("component_id")
     )
     alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
