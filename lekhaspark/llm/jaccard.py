@@ -87,9 +87,13 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         for b in batches:
             sets = list(token_sets(b.column(0), words))
-            t, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, B.U), return_counts=True)
-            keep = n >= COMMON_IN_BATCH
-            yield pa.record_batch([pa.array(t[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["t", "n"])
+            t = np.concatenate(sets) if sets else np.zeros(0, B.U)
+            del sets
+            t.sort()
+            k = COMMON_IN_BATCH - 1
+            often = B.distinct(t[k:][t[k:] == t[: len(t) - k]]) if len(t) > k else t[:0]
+            n = np.searchsorted(t, often, "right") - np.searchsorted(t, often, "left")
+            yield pa.record_batch([pa.array(often.view(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
 
     rows = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "t").limit(MOST_COMMON).toArrow()
