@@ -100,9 +100,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     else:
         # the first entry that the budget has no room for; what stands before it is taken
         line = F.sum("p.size").over(Window.partitionBy("slot").orderBy("p")) + F.lit(ends["run"] - ends["s"])
-        cut = entries.where(F.col("slot") == ends["slot"]).select("p", line.alias("line")).where(F.col("line") > budget).agg(F.min("p").alias("cut"))
-        upto = upto.join(F.broadcast(cut))  # one row
-        times = F.expr(f"if(size > 0 and target > 0, size(filter({all_places}, p -> p < cut)), 0)")
+        cut = entries.where(F.col("slot") == ends["slot"]).select("p", line.alias("line")).where(F.col("line") > budget).agg(F.min("p").alias("cut")).first()["cut"]
+        kinds = entries.schema["p"].dataType
+        cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, kinds)])
+        times = F.when((F.col("size") > 0) & (F.col("target") > 0), F.size(F.filter(F.expr(all_places), lambda p: p < cut))).otherwise(0)
     return upto.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times")).withColumn("taken", F.col("size") * F.col("times"))
 
 
