@@ -1,0 +1 @@
+"""Document analytics as PySpark plans."""
