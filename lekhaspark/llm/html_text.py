@@ -29,7 +29,7 @@ NEVER = frozenset("script style noscript template iframe object embed svg canvas
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr details summary center fieldset".split()
+    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr details summary center fieldset form nav aside footer header menu dialog".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "caption", "li", "dd", "dt", "summary"} | {"p"}

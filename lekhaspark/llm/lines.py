@@ -147,8 +147,8 @@ def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def drop_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the removed lines cut out of text."""
-    report = line_report(docs, least_words).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "removed_lines")
+    report = line_report(docs, least_words).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed_lines").alias("_gone"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     met = docs.join(report, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    return met.select(*[F.when(F.size("removed_lines") > 0, kept).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return met.select(*[F.when(F.size("_gone") > 0, kept).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])

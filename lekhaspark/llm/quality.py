@@ -106,7 +106,7 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 
     total = "aggregate(all, 0D, (s, x) -> s + x.n)"
     step = (
-        f"aggregate(array({soft}), m, (m0, e) -> aggregate(array({total} * {PRIOR_WEIGHT}D), m0, (m1, w) -> struct("
+        f"aggregate(array({soft}), m, (m0, e) -> aggregate(array(greatest({total} * {PRIOR_WEIGHT}D, 1e-9D)), m0, (m1, w) -> struct("
         f"(aggregate(e, 0D, (s, x) -> s + x.n * x.r) + w * {GOOD_PRIOR}D) / ({total} + w) as p, {share('x.r', 'good')} as g, {share('(1 - x.r)', 'bad')} as b)))"
     )
     model = f"aggregate(sequence(1, {ROUNDS}), struct({GOOD_PRIOR}D as p, {prior['good']} as g, {prior['bad']} as b), (m, i) -> {step})"
