@@ -52,7 +52,7 @@ sql("known_id_audit", """SELECT o_orderpriority AS department, count(*) AS ids,
 sql("classification_summary", f"WITH {DOCS} SELECT coalesce(tier, 'none') AS tier, lang, count(*) AS n FROM docs GROUP BY 1, 2")
 sql("storage_projection", f"""WITH {DOCS}, t AS (SELECT coalesce(tier, 'none') AS tier, avg(CAST(n_chars AS DOUBLE)) AS mean, count(*) AS n FROM docs GROUP BY 1)
 SELECT round(sum(mean * n / (SELECT count(*) FROM documents) * 1000000), 2) AS projected FROM t""")
-sql("per_day_first_ten", """SELECT day, o_orderkey FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS n FROM orders) x WHERE n <= 10""")
+sql("per_day_first_ten", """SELECT day, o_orderkey FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, o_orderkey, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS n FROM orders) x WHERE n <= 10""")
 sql("hit_at_k", """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events),
 h AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN rank END) AS hit FROM r GROUP BY user_id)
 SELECT user_id, coalesce(hit <= 1, false) AS at_1, coalesce(hit <= 4, false) AS at_4, coalesce(round(1.0E0 / hit, 6), 0.0E0) AS reciprocal FROM h""")
