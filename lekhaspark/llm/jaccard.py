@@ -131,7 +131,7 @@ def shingle_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, digest binary, tokens array<long>")
 
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
+def shared_tokens(rows: DataFrame) -> DataFrame:
     """(t, doc_id, n, at) of the tokens that two classes have in their prefixes. The records are packed
     by hash before they are dealt, and each task sorts its own; what only one class has goes no further."""
     n = partitions(rows)
@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     full = rows.where("doc_id is not null and n > 0")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
     # lists of the tokens that two classes have in their prefixes; of a class only the smallest document is kept
-    lists = _shared_tokens(full.select("doc_id", "n", F.xxhash64("digest").alias("class"), "tokens"))
+    lists = shared_tokens(full.select("doc_id", "n", F.xxhash64("digest").alias("class"), "tokens"))
     kept = written(lists.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi"), "lists")
     prefixes = full.select(F.col("doc_id").alias("cid"), "n", "digest", "tokens").join(classes.select("cid", "digest"), ["cid", "digest"], "left_semi").select("cid", "n", "tokens")
     # the leader of a list: the class with most shared tokens in its prefix

@@ -23,17 +23,24 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .jaccard import shared_tokens
 from .store import documents, written
 
 LEAST_WORDS = 8
 _POSITION = "struct<doc_id: long, text_hash: long, line: int>"
 
 
+def _short(kind: int, parts: list[bytes]) -> int:
+    """64 bits: what meets by it is compared word by word later."""
+    return int.from_bytes(_key(kind, *parts)[:8], "little", signed=True)
+
+
 def _key(kind: int, *parts: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(parts), digest_size=16, salt=kind.to_bytes(8, "little")).digest()
 
@@ -52,23 +59,23 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                         words = line.encode().split()
                         n = len(words)
                         if n:
-                            halves = {_key(k, *(words[:q] if k % 2 == 0 else words[n - q :])) for m in (n, n - 1) for q in (m // 2,) for k in (2 * q, 2 * q + 1)}
+                            halves = {_short(k, words[:q] if k % 2 == 0 else words[n - q :]) for m in (n, n - 1) for q in (m // 2,) for k in (2 * q, 2 * q + 1)}
                             for c, v in zip(cols, (ids[i], hashes[i], at, _key(0, *words), n, len(line), sorted(halves) if n >= LEAST_WORDS - 1 else [])):
                                 c.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.binary())]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "text_hash", "line", "id", "n_words", "n_chars", "halves"])
 
     rows = documents(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, line int, id binary, n_words int, n_chars long, halves array<binary>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, line int, id binary, n_words int, n_chars long, halves array<long>")
 
 
-def _neighbourhoods(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(key, full, pos, words) of the lines in `firsts` (pos, id): the keys within one edit."""
+def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(pos, words) of the lines in `firsts` (pos, id)."""
     wanted = firsts.groupBy(F.col("pos.doc_id").alias("doc_id"), F.col("pos.text_hash").alias("text_hash")).agg(F.collect_set("pos.line").alias("at"))
-    texts = documents(docs).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
+    texts = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     met = texts.join(wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     picked = met.select("doc_id", "text_hash", F.explode("at").alias("line"), F.split("text", "\n").alias("lines"))
-    return picked.select(F.struct("doc_id", "text_hash", "line").alias("pos"), F.expr("lines[line]").alias("words"))
+    return picked.select(F.struct("doc_id", "text_hash", "line").alias("pos"), F.expr("lines[line]").alias("words")).distinct()
 
 
 def same_but_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -86,37 +93,34 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     """One row for each line with a word: doc_id, text_hash, line, n_chars, removed (boolean)."""
     rows = written(_line_rows(docs), "lines")
     pos = F.struct("doc_id", "text_hash", "line")
-    entries = written(rows.groupBy("id").agg(F.min(pos).alias("pos"), F.first("n_words").alias("n_words"), F.first("halves").alias("halves")), "entries")
-    halves = entries.where(F.size("halves") > 0).select("id", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("half")
-    likely = halves.join(shared, "half", "left_semi").select("id").distinct()
-    firsts = entries.join(likely, "id", "left_semi").select("id", "pos", "n_words")
+    short = F.xxhash64("id").alias("short")
+    entries = written(rows.groupBy("id").agg(F.min(pos).alias("pos")).select("id", short, "pos"), "entries")
+    halves = rows.where(F.size("halves") > 0).select(short, F.col("halves"))
+    likely = shared_tokens(halves.select(F.col("short").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.col("short").alias("class"), F.col("halves").alias("tokens"))).select(F.col("doc_id").alias("short")).distinct()
+    firsts = entries.join(likely, "short", "left_semi").select("short", "pos")
 
     def keys(batches):
+        """Keys in order: the line, then for each word the line without it, and the same with its place."""
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for p, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out = []
+            for line in b.column(1).to_pylist():
                 words = line.encode().split()
-                n = len(words)
-                if n >= least_words - 1:
-                    mine = [(_key(1, *words), True)]
-                    if n >= least_words:
-                        for i in range(n):
-                            less = words[:i] + words[i + 1 :]
-                            mine.append((_key(1, *less), False))
-                            mine.append((_key(2 + i, *less), True))
-                    for k, full in dict.fromkeys(mine):
-                        for c, v in zip(out, (k, full, p, n)):
-                            c.append(v)
-            kinds = [pa.binary(), pa.bool_(), b.schema.field(0).type, pa.int32()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names=["key", "full", "pos", "n"])
-
-    texts = written(_neighbourhoods(docs, firsts), "likely")
-    near = written(texts.mapInArrow(keys, f"key binary, full boolean, pos {_POSITION}, n int"), "keys")
+                mine = [_short(1, words)] if len(words) >= least_words - 1 else []
+                for i in range(len(words) if len(words) >= least_words else 0):
+                    less = words[:i] + words[i + 1 :]
+                    mine += [_short(1, less), _short(2 + i, less)]
+                out.append(mine)
+            none = pa.array(np.zeros(len(out), np.int64))
+            yield pa.record_batch([b.column(0), none, b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "tokens"])
+
+    texts = written(_texts(docs, firsts), "likely")
+    named = texts.join(firsts, "pos").select("short", "words")
+    near = shared_tokens(named.mapInArrow(keys, "doc_id long, n long, class long, tokens array<long>"))
+    near = near.select("t", F.col("doc_id").alias("short"), (F.col("at") % 2 == 0).alias("full")).distinct().join(firsts, "short")
+    near = written(near.select("t", "full", "pos"), "keys")
     # with one word replaced any two holders are the same; with one word added, a whole line and those with one word more
-    least = near.groupBy("key").agg(F.min(F.when(F.col("full"), F.col("pos"))).alias("whole"), F.min(F.when(~F.col("full"), F.col("pos"))).alias("longer"), F.count("*").alias("m")).where("m > 1")
-    replaced = F.col("full") & F.col("whole").isNotNull()
-    met = near.join(least, "key").select("pos", F.explode(F.filter(F.array(F.col("whole"), F.when(F.col("full"), F.col("longer"))), lambda p: p.isNotNull())).alias("lead")).where("lead < pos").distinct()
+    least = near.groupBy("t").agg(F.min(F.when(F.col("full"), F.col("pos"))).alias("whole"), F.min(F.when(~F.col("full"), F.col("pos"))).alias("longer"))
+    met = near.join(least, "t").select("pos", F.explode(F.filter(F.array(F.col("whole"), F.when(F.col("full"), F.col("longer"))), lambda p: p.isNotNull())).alias("lead")).where("lead < pos").distinct()
     a, b = texts.select("pos", F.col("words").alias("x")), texts.select(F.col("pos").alias("lead"), F.col("words").alias("y"))
 
     def check(batches):
