@@ -41,6 +41,12 @@ def _short(kind: int, parts: list[bytes]) -> int:
     return int.from_bytes(_key(kind, *parts)[:8], "little", signed=True)
 
 
+def _placed(key: int, at: int) -> int:
+    """The same key for one place of the missing word only."""
+    x = (key + (at + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _key(kind: int, *parts: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(parts), digest_size=16, salt=kind.to_bytes(8, "little")).digest()
 
@@ -108,7 +114,8 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
                 mine = [_short(1, words)] if len(words) >= least_words - 1 else []
                 for i in range(len(words) if len(words) >= least_words else 0):
                     less = words[:i] + words[i + 1 :]
-                    mine += [_short(1, less), _short(2 + i, less)]
+                    bare = _short(1, less)
+                    mine += [bare, _placed(bare, i)]
                 out.append(mine)
             none = pa.array(np.zeros(len(out), np.int64))
             yield pa.record_batch([b.column(0), none, b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "tokens"])
