@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ _POSITION = "struct<doc_id: long, text_hash: long, line: int>"
 
 def _short(kind: int, parts: list[bytes]) -> int:
     """64 bits: what meets by it is compared word by word later."""
-    return int.from_bytes(_key(kind, *parts)[:8], "little", signed=True)
+    x = xxhash.xxh3_64_intdigest(b" ".join(parts), kind)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _placed(key: int, at: int) -> int:
