@@ -85,9 +85,9 @@ def order_key(number: Column, date: Column) -> Column:
 
 
 def go_key(number: Column) -> Column:
-    """serial/year: a leading serial and the first year of 1900-2099 after it."""
-    c = ascii_digits(number)
-    serial, year = F.regexp_extract(c, r"^\s*(\d+)\D.*$", 1), F.regexp_extract(c, r"^\s*\d+\D(?:.*?\D)??((?:19|20)\d{2})(?!\d)", 1)
+    """serial/year: a leading serial before a slash and the first year of 1900-2099 after it."""
+    c = F.regexp_replace(ascii_digits(number), r"\s+", "")
+    serial, year = F.regexp_extract(c, r"^0*(\d+)/", 1), F.regexp_extract(c, r"^\d+/.*?((?:19|20)\d{2})", 1)
     return F.when((serial != "") & (year != ""), F.concat(serial, F.lit("/"), year))
 
 
