@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import first_per
-from .text import ascii_digits, go_key, strip_joiners
+from .text import ascii_digits, go_key, let, strip_joiners
 
 # Words for number and date, dates, months and relation words in clean and broken spellings.
 NUMBER_WORD = r"(?:सं\s?ख्?\s?या|सं\s?या|संख्या|सं0|सं\.|No\.?)"
@@ -29,10 +29,13 @@ REFERENCE = rf"{NUMBER_WORD}\s*[:\-–]?\s*{NUMBER}\s*[,।]?\s*{DATE_WORD}\s*[:
 
 def reference_date(c: Column) -> Column:
     """Day-first numbers (two-digit years from 2000) or day, month word and year; null when impossible or before 1950."""
-    c = F.trim(ascii_digits(c))
+    return let(F.trim(ascii_digits(c)), _reference_date)
+
+
+def _reference_date(c: Column) -> Column:
     numeric, worded = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$", r"^(\d{1,2})\s+([ऀ-ॿA-Za-z ]{2,12}?),?\s+(\d{4})$"
-    word = F.regexp_replace(F.regexp_extract(c, worded, 2), r"\s+", "")
-    month = F.coalesce(*[F.when(word.rlike(rf"(?i)^(?:{m})"), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)])
+    numbered = lambda w: F.coalesce(*[F.when(w.rlike(rf"(?i)^(?:{m})"), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)])
+    month = let(F.regexp_replace(F.regexp_extract(c, worded, 2), r"\s+", ""), numbered)
     year = F.regexp_extract(c, numeric, 3)
     year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     parts = F.when(c.rlike(numeric), F.concat_ws("-", year, F.regexp_extract(c, numeric, 2), F.regexp_extract(c, numeric, 1)))

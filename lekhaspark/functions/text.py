@@ -11,6 +11,11 @@ DEVANAGARI = r"[ऀ-ॿ]"
 LATIN = r"[A-Za-z]"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def ascii_digits(c: Column) -> Column:
     return F.translate(c, NATIVE_DIGITS, "0123456789")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunks
+from ..functions.questions import date_range
 from ..functions.references import order_references, resolved
 from ..operators import answers as A
+from ..operators.search import keyword_hits
 from .registry import query
 
 
@@ -79,3 +81,30 @@ def answer_invalid_citations(t):
 @query("SELECT doc_id, sha256(CASE WHEN lang = 'en' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[0-9०-९]+([.,:/-][0-9०-९]+)*(\\s*%)?', '', 'g'), '\\s+%', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n[ \\t]+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') ELSE text END) AS sha FROM documents")
 def masked_evidence(t):
     return t("documents").select("doc_id", F.sha2(A.masked_numbers(F.col("text"), F.col("lang") == "en"), 256).alias("sha"))
+
+
+STOP = ["the", "and", "of", "to", "in", "is", "which", "what"]
+
+
+@query(r"""WITH q AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-zऀ-ॣ०-ॿ]+') AS ws FROM benchmark)),
+f AS (SELECT item_id, w, min(i) AS i FROM q WHERE length(w) >= 2 AND w NOT IN ('the', 'and', 'of', 'to', 'in', 'is', 'which', 'what') GROUP BY item_id, w),
+t AS (SELECT item_id, w FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM f) WHERE n <= 12),
+d AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS ws FROM documents)),
+c AS (SELECT doc_id, n, w, count(*) AS tf FROM d GROUP BY doc_id, n, w), s AS (SELECT item_id, doc_id, round(sum(ln(1 + tf)) / (1 + ln(n)), 6) AS score FROM c JOIN t USING (w) GROUP BY item_id, doc_id, n)
+SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 10""".replace("\\\\", "\\"))
+def keyword_topk(t):
+    """A report: the ten best documents of each benchmark item."""
+    return keyword_hits(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", STOP).select("item_id", "doc_id", "score")
+
+
+@query("""WITH e AS (SELECT event_id, ts::DATE AS d, user_id, event_type FROM events),
+r AS (SELECT event_id, CASE event_type WHEN 'click' THEN d - (user_id % 40)::INT WHEN 'view' THEN date_trunc('week', d)::DATE - 7 WHEN 'error' THEN date_trunc('month', d)::DATE WHEN 'purchase' THEN d - 1 ELSE DATE '2023-03-05' END AS a,
+CASE event_type WHEN 'view' THEN date_trunc('week', d)::DATE - 1 WHEN 'purchase' THEN d - 1 ELSE d END AS b FROM e)
+SELECT event_id, strftime(a, '%Y-%m-%d') AS first_day, strftime(b, '%Y-%m-%d') AS last_day FROM r""")
+def question_date_range(t):
+    """Questions made of the events: a range of days, weeks, months or since a date, seen from the day of the event."""
+    kind = F.col("event_type")
+    text = F.when(kind == "click", F.concat(F.lit("orders of the last "), F.col("user_id") % 40 + 1, F.lit(" days"))).when(kind == "view", "what came last week")
+    text = text.when(kind == "error", "all of this month").when(kind == "purchase", "yesterday").otherwise("changes since 5th March 2023, please")
+    found = date_range(text, F.to_date("ts"))
+    return t("events").select("event_id", found["from"].cast("string").alias("first_day"), found["to"].cast("string").alias("last_day"))

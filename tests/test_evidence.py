@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lekhaspark.functions import chunks as C
+from lekhaspark.functions import questions as Q
 from lekhaspark.functions import references as R
 from lekhaspark.functions import text as T
 from lekhaspark.operators import answers as A
@@ -75,3 +76,26 @@ def test_chunk_breaks():
     first, second = C.chunk_spans(text)[:2]
     assert first == (0, 1302) and second[0] == 1302 - 220
     assert C.chunk_spans("y" * 1650 + " " + "z" * 400)[0] == (0, 1651)
+
+
+def test_search_terms(spark):
+    stop = ["what", "are", "the", "as", "per", "rules", "rule"]
+    rows = [("what are the bidders' past experience criteria as per GFR rules",), (" ".join(f"word{i}" for i in range(30)),), ("what are the rules",), (None,), ("a 5 क नियम gfr GFR",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(Q.search_terms(F.col("x"), stop)).collect()]
+    assert got[0] == ["bidders", "past", "experience", "criteria", "gfr"] and len(got[1]) == 12 and got[2] == [] and not got[3]
+    assert got[4] == ["क", "नियम", "gfr"]
+
+
+def test_date_range(spark):
+    today = datetime.date(2026, 9, 30)  # a Wednesday
+    want = {
+        "orders between 1 Jan 2026 and 05.02.2026": ("2026-01-01", "2026-02-05"), "21/09/2026 से 10/09/2026 तक": ("2026-09-10", "2026-09-21"),
+        "since 21st sept 2026": ("2026-09-21", "2026-09-30"), "10.09.2026 or 15.09.2026": ("2026-09-10", "2026-09-15"), "15 september": ("2026-09-15", "2026-09-15"),
+        "15 october": ("2025-10-15", "2025-10-15"), "21 सितम्बर 2026 के आदेश": ("2026-09-21", "2026-09-21"), "today": ("2026-09-30", "2026-09-30"), "कल के आदेश": ("2026-09-29", "2026-09-29"),
+        "last 7 days": ("2026-09-24", "2026-09-30"), "पिछले ३ दिन": ("2026-09-28", "2026-09-30"), "last 999 days": ("2025-09-30", "2026-09-30"), "this week": ("2026-09-28", "2026-09-30"),
+        "last week": ("2026-09-21", "2026-09-27"), "this month": ("2026-09-01", "2026-09-30"), "last month": ("2026-08-01", "2026-08-31"), "this year": ("2026-01-01", "2026-09-30"),
+        "orders of august 2025": ("2025-08-01", "2025-08-31"), "december orders": ("2025-12-01", "2025-12-31"), "may i ask": None, "orders of 2025": ("2025-01-01", "2025-12-31"), "31 sept": ("2026-09-01", "2026-09-30"), "plain": None, "": None,
+    }
+    df = spark.createDataFrame([(k, today) for k in want], "x string, d date")
+    got = {r[0]: r[1] and (str(r[1]["from"]), str(r[1]["to"])) for r in df.select("x", Q.date_range(F.col("x"), F.col("d"))).collect()}
+    assert got == want
