@@ -53,9 +53,14 @@ def order_references(docs: DataFrame, key: str, text: str, own_number: str | Non
     that a text refers to; its own header is no reference. `own_date` is a date column. Null texts refer to nothing."""
     x = F.regexp_replace(ascii_digits(strip_joiners(F.col(text))), r"[ \t]+", " ")
     own = [F.col(own_number).alias("own_number"), F.col(own_date).alias("own_date")] if own_number and own_date else [F.lit(None).cast("string").alias("own_number"), F.lit(None).cast("date").alias("own_date")]
-    every = lambda group: F.regexp_extract_all("x", F.lit(REFERENCE), F.lit(group))
-    cut = docs.select(F.col(key), x.alias("x"), *own).where(F.col("x").rlike(REFERENCE))
-    cut = cut.select(key, "x", "own_number", "own_date", F.split("x", REFERENCE).alias("gaps"), F.arrays_zip(every(0).alias("whole"), every(1).alias("number"), every(2).alias("date")).alias("found"))
+    marked = F.regexp_replace(F.translate(x, "\1\2\3\4", "    "), REFERENCE, "\1$0\2$1\3$2\4")
+    cut = docs.select(F.col(key), F.translate(x, "\1\2\3\4", "    ").alias("x"), F.split(marked, "\1").alias("pieces"), *own).where("size(pieces) > 1")
+    cut = cut.repartition(key)  # spreads the work on few large files, and the best of each order needs this order anyway
+    parts = F.transform(F.slice("pieces", F.lit(2), F.size("pieces")), lambda p: F.split(p, "[\2\3\4]"))
+    cut = cut.select(key, "x", "own_number", "own_date", F.get("pieces", F.lit(0)).alias("lead"), parts.alias("parts"))
+    gaps = F.concat(F.array("lead"), F.transform("parts", lambda p: p[3]))
+    found = F.transform("parts", lambda p: F.struct(p[0].alias("whole"), p[1].alias("number"), p[2].alias("date")))
+    cut = cut.select(key, "x", "own_number", "own_date", gaps.alias("gaps"), found.alias("found"))
     rows = cut.select("*", F.posexplode("found").alias("at", "m"))
     before, after = F.expr("gaps[at]"), F.expr("gaps[at + 1]")
     start = F.expr("aggregate(slice(gaps, 1, at + 1), 0, (s, g) -> s + length(g)) + aggregate(slice(found, 1, at), 0, (s, f) -> s + length(f.whole))")
