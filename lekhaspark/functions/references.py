@@ -34,14 +34,17 @@ def reference_date(c: Column) -> Column:
 
 def _reference_date(c: Column) -> Column:
     numeric, worded = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$", r"^(\d{1,2})\s+([ऀ-ॿA-Za-z ]{2,12}?),?\s+(\d{4})$"
-    numbered = lambda w: F.coalesce(*[F.when(w.rlike(rf"(?i)^(?:{m})"), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)])
-    month = let(F.regexp_replace(F.regexp_extract(c, worded, 2), r"\s+", ""), numbered)
-    year = F.regexp_extract(c, numeric, 3)
-    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    parts = F.when(c.rlike(numeric), F.concat_ws("-", year, F.regexp_extract(c, numeric, 2), F.regexp_extract(c, numeric, 1)))
-    parts = parts.when(c.rlike(worded) & month.isNotNull(), F.concat_ws("-", F.regexp_extract(c, worded, 3), month, F.regexp_extract(c, worded, 1)))
-    day = F.try_to_date(F.when(parts.rlike(r"^\d{4}-"), parts), "yyyy-M-d")
-    return F.when(F.year(day) >= 1950, day)
+    # day, month and year with one blank between; a two-digit year gets its century
+    parts = F.when(c.rlike(numeric), F.regexp_replace(F.regexp_replace(c, numeric, "$1 $2 $3"), r" (\d{2})$", " 20$1"))
+    parts = parts.when(c.rlike(worded), F.concat_ws(" ", F.regexp_extract(c, worded, 1), _month(F.regexp_extract(c, worded, 2)), F.regexp_extract(c, worded, 3)))
+    day = let(parts, lambda p: F.try_to_date(F.when(p.rlike(r" \d{4}$"), p), "d M yyyy"))
+    return let(day, lambda d: F.when(F.year(d) >= 1950, d))
+
+
+def _month(word: Column) -> Column:
+    """Number of a month word, null for another word."""
+    plain = F.regexp_replace(word, r"\s+", "")
+    return let(plain, lambda w: F.coalesce(*[F.when(w.rlike(rf"(?i)^(?:{m})"), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)]))
 
 
 def _kind(c: Column) -> Column:
@@ -51,26 +54,28 @@ def _kind(c: Column) -> Column:
 def order_references(docs: DataFrame, key: str, text: str, own_number: str | None = None, own_date: str | None = None) -> DataFrame:
     """(key, kind, go_number, go_key, go_date, evidence): the strongest relation, the first of equals, for each order
     that a text refers to; its own header is no reference. `own_date` is a date column. Null texts refer to nothing."""
-    x = F.regexp_replace(ascii_digits(strip_joiners(F.col(text))), r"[ \t]+", " ")
+    x = F.translate(F.regexp_replace(ascii_digits(strip_joiners(F.col(text))), r"[ \t]+", " "), "\1\2\3\4", "    ")
     own = [F.col(own_number).alias("own_number"), F.col(own_date).alias("own_date")] if own_number and own_date else [F.lit(None).cast("string").alias("own_number"), F.lit(None).cast("date").alias("own_date")]
-    marked = F.regexp_replace(F.translate(x, "\1\2\3\4", "    "), REFERENCE, "\1$0\2$1\3$2\4")
-    cut = docs.select(F.col(key), F.translate(x, "\1\2\3\4", "    ").alias("x"), F.split(marked, "\1").alias("pieces"), *own).where("size(pieces) > 1")
-    cut = cut.repartition(key)  # spreads the work on few large files, and the best of each order needs this order anyway
+    held = docs.select(F.col(key), x.alias("x"), *own).where(F.col("x").rlike(DATE_WORD))
+    # the patterns cost more than the bytes tell: a stated number of tasks, which Spark does not merge; the best of each order needs this order anyway
+    held = held.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    pieces = F.split(F.regexp_replace("x", REFERENCE, "\1$0\2$1\3$2\4"), "\1")
     parts = F.transform(F.slice("pieces", F.lit(2), F.size("pieces")), lambda p: F.split(p, "[\2\3\4]"))
-    cut = cut.select(key, "x", "own_number", "own_date", F.get("pieces", F.lit(0)).alias("lead"), parts.alias("parts"))
+    cut = held.select("*", pieces.alias("pieces")).select(key, "x", "own_number", "own_date", F.get("pieces", F.lit(0)).alias("lead"), parts.alias("parts"))
     gaps = F.concat(F.array("lead"), F.transform("parts", lambda p: p[3]))
-    found = F.transform("parts", lambda p: F.struct(p[0].alias("whole"), p[1].alias("number"), p[2].alias("date")))
+    # numbers, keys and dates are elements of the array: what filters the exploded rows reads them and computes nothing again
+    found = F.transform("parts", lambda p: let(F.regexp_replace(F.regexp_replace(p[1], r"\s+", ""), r"[,.।\-]+$", ""), lambda n: F.struct(F.length(p[0]).alias("size"), n.alias("number"), go_key(n).alias("go_key"), reference_date(p[2]).alias("go_date"))))
     cut = cut.select(key, "x", "own_number", "own_date", gaps.alias("gaps"), found.alias("found"))
-    rows = cut.select("*", F.posexplode("found").alias("at", "m"))
+    # the outer form, since Spark would else infer a filter that finds all references a second time
+    rows = cut.select("*", F.posexplode_outer("found").alias("at", "m"))
+    self = F.coalesce((F.col("m.go_key") == go_key(F.col("own_number"))) & (F.col("m.go_date") == F.col("own_date")), F.lit(False))
+    rows = rows.where(F.col("m.go_key").isNotNull() & F.col("m.go_date").isNotNull() & ~self)
     before, after = F.expr("gaps[at]"), F.expr("gaps[at + 1]")
-    start = F.expr("aggregate(slice(gaps, 1, at + 1), 0, (s, g) -> s + length(g)) + aggregate(slice(found, 1, at), 0, (s, f) -> s + length(f.whole))")
-    number = F.regexp_replace(F.regexp_replace("m.number", r"\s+", ""), r"[,.।\-]+$", "")
-    kind = F.coalesce(_kind(F.substring(after, 1, 120)), _kind(F.right(before, F.lit(40))), F.lit("refers"))
+    start = F.expr("aggregate(slice(gaps, 1, at + 1), 0, (s, g) -> s + length(g)) + aggregate(slice(found, 1, at), 0, (s, f) -> s + f.size)")
+    kind = F.coalesce(let(F.substring(after, 1, 120), _kind), let(F.right(before, F.lit(40)), _kind), F.lit("refers"))
+    rows = rows.select(key, "at", "x", kind.alias("kind"), "m.number", "m.go_key", "m.go_date", "m.size", start.alias("start")).withColumnRenamed("number", "go_number")
     low = F.greatest(F.col("start") - 40, F.lit(0))
-    rows = rows.select(key, "at", "x", "own_number", "own_date", kind.alias("kind"), number.alias("go_number"), go_key(number).alias("go_key"), reference_date(F.col("m.date")).alias("go_date"), start.alias("start"), F.length("m.whole").alias("size"))
     evidence = F.trim(F.substring("x", low + 1, F.col("start") - low + F.col("size") + 80))
-    self = F.coalesce((F.col("go_key") == go_key(F.col("own_number"))) & (F.col("go_date") == F.col("own_date")), F.lit(False))
-    rows = rows.where(F.col("go_key").isNotNull() & F.col("go_date").isNotNull() & ~self)
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in STRENGTH.items()])
     best = first_per(rows.withColumn("evidence", evidence), [key, "go_key", "go_date"], [rank.desc(), "at"])
     return best.select(key, "kind", "go_number", "go_key", "go_date", "evidence")
