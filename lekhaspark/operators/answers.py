@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import digit_groups
 
@@ -61,3 +65,45 @@ def numeric_issues(units: DataFrame, key: str, evidence: DataFrame, named: DataF
     issue = F.when(F.size("cited") == 0, "uncited").when(F.col("line").rlike(CAUTION), None).when(F.col("safe_pages") == 0, "unsafe")
     issue = issue.when((F.col("safe_pages") > 0) & (F.size(F.array_except("digits", "found")) > 0), "unsupported")
     return all_.select(key, "unit", issue.alias("issue")).where("issue is not null")
+
+
+# How a finished line ends, where a sentence ends, citations after it, list marks.
+FINISHED = re.compile(r"[।॥.?!)\]]\s*$")
+SENTENCE_ENDS = re.compile(r"[\[\]]|[।॥?!]|\.(?!\d)")
+CITATIONS = re.compile(r"\s*(?:\[[^\]]+\]\s*)+[।.]?")
+LIST_MARKS = re.compile(r"^[\s\-*•\d.)]+")
+
+
+def finished_part(line: str) -> str:
+    """A line up to its last sentence end outside brackets, with the citations after it; empty when nothing but a list mark is left."""
+    if FINISHED.search(line):
+        return line
+    depth = end = 0
+    for m in SENTENCE_ENDS.finditer(line):
+        if m[0] in "[]":
+            depth = max(0, depth + (1 if m[0] == "[" else -1))
+        elif not depth:
+            end = m.end()
+    cited = CITATIONS.match(line, end) if end else None
+    kept = line[: cited.end() if cited else end].rstrip()
+    return kept if LIST_MARKS.sub("", kept).strip() else ""
+
+
+def last_whole_sentence(text: str) -> str:
+    """A text that was cut off, back to its last whole sentence, without a lead-in that nothing follows."""
+    lines = text.rstrip().split("\n")
+    while lines and not (kept := finished_part(lines[-1])).strip():
+        lines.pop()
+    if lines:
+        lines[-1] = kept
+    while len(lines) > 1 and lines[-1].rstrip().endswith((":", "：")):
+        lines.pop()
+        while lines and not lines[-1].strip():
+            lines.pop()
+    return "\n".join(lines).strip()
+
+
+@F.pandas_udf(StringType())
+def whole_sentences(text: pd.Series) -> pd.Series:
+    """Column form of last_whole_sentence; null stays null."""
+    return text.map(last_whole_sentence, na_action="ignore")
