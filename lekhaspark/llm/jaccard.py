@@ -46,6 +46,8 @@ from .store import documents, partitions, written
 MOST_COMMON = 1 << 16
 #: A token counts as common from so many documents of one batch of input rows.
 COMMON_IN_BATCH = 4
+#: Sets leave Python in batches of about so many tokens.
+SET_TOKENS = 1 << 18
 
 
 def token_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -77,10 +79,15 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def in_order(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The prefix of a set under a seeded hash order."""
+    """The prefix of a set under a seeded hash order, as 32 bits of each key: equal tokens stay equal."""
     p = prefix_length(len(tokens), percent)
     keys = B.mix(tokens, seed)
-    return np.sort(keys)[:p] if p < len(keys) else np.sort(keys)
+    return (np.sort(keys)[:p] if p < len(keys) else keys).astype(np.uint32).view(np.int32)
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([len(x) for x in arrays])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.concatenate(arrays)))
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,36 +196,29 @@ def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: both hash orders' prefixes must meet, then the sets are compared."""
+    """The pairs (a, b) that link: both hash orders' prefixes must meet, then the sets are compared,
+    pair by pair inside Spark, so that no task holds the sets of many pairs at once."""
 
     def whole(batches):
         for b in batches:
-            got = [g.tobytes() for g in token_sets(b.column(1), words)]
-            yield pa.record_batch([b.column(0), pa.array(got, pa.binary())], names=["cid", "set"])
-
-    def check(batches):
-        for b in batches:
-            xs, ys = b.column(2), b.column(3)
-            good = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), B.U) for c in (xs, ys))
-                good[i] = _link(x, y, percent)
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
+            done, held, size = 0, [], 0
+            for i, g in enumerate(token_sets(b.column(1), words)):
+                held.append(g)
+                size += len(g)
+                if size >= SET_TOKENS or i == b.num_rows - 1:
+                    columns = [b.column(0).slice(done, len(held)), lists([g.view(np.int64) for g in held]), *(lists([in_order(g, seed, percent) for g in held]) for seed in (101, 202))]
+                    yield pa.record_batch(columns, names=["cid", "set", "by_b", "by_c"])
+                    done, held, size = i + 1, [], 0
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     own = texts.join(involved, "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(own.mapInArrow(whole, "cid long, set binary"), "whole")
-    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
-
-
-def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    for seed in (101, 202):
-        if not len(np.intersect1d(in_order(x, seed, percent), in_order(y, seed, percent), assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    sets = written(own.mapInArrow(whole, "cid long, set array<long>, by_b array<int>, by_c array<int>"), "whole")
+    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"), F.col("by_b").alias("x_b"), F.col("by_c").alias("x_c"))
+    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("y"), F.col("by_b").alias("y_b"), F.col("by_c").alias("y_c"))
+    both = F.size(F.array_intersect("x", "y"))
+    linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.size("x") + F.size("y"))
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c") & linked).select("a", "b").distinct()
 
 
 def _possible(percent: int, n, i, m, j):
@@ -238,8 +238,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     full = rows.where("doc_id is not null and n > 0")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
     # lists of the tokens that two classes have in their prefixes; of a class only the smallest document is kept
-    lists = shared_tokens(full.select("doc_id", "n", F.xxhash64("digest").alias("class"), "tokens"))
-    kept = written(lists.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi"), "lists")
+    listed = shared_tokens(full.select("doc_id", "n", F.xxhash64("digest").alias("class"), "tokens"))
+    kept = written(listed.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi"), "lists")
     prefixes = full.select(F.col("doc_id").alias("cid"), "n", "digest", "tokens").join(classes.select("cid", "digest"), ["cid", "digest"], "left_semi").select("cid", "n", "tokens")
     # the leader of a list: the class with most shared tokens in its prefix
     weight = kept.groupBy("cid").agg(F.count("*").alias("w"))
