@@ -8,7 +8,12 @@ passage is a query over the whole index: the highest impacts of a block, summed
 the terms of a passage, bound what any item of the block can score, so only blocks
 whose bound reaches the threshold are scored. Nothing that reaches it is lost, and
 there is no limit on how many are retrieved. A retrieved item counts
-when both parts of it, question and answer, are there by word three-grams.
+when both parts of it, question and answer, are there, or WHOLE_OVERLAP of it in order
+without regard to the parts (a passage cut off before the answer). A part is there by word
+three-grams or by words in order, whichever share is higher: one changed word in a short
+answer leaves no three-gram of it. Words in order are counted in the stretch of the passage,
+little longer than the item, that holds most words of the item; words of the answer count
+only after the question, and those of the question before the answer.
 
 At most PART_WORDS words of items are broadcast at once; a larger benchmark is cut
 into such parts, with idf over all items, and the documents are read once for each part.
@@ -33,6 +38,7 @@ from . import bytesops as B
 K1, LENGTH_WEIGHT = 1.2, 0.75
 THRESHOLD = 0.5
 PART_OVERLAP = 0.5
+WHOLE_OVERLAP = 0.6
 GRAM = 3
 BLOCK = 8
 SEGMENT = 64
@@ -81,13 +87,50 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     return whole[:-k], whole[-k:]
 
 
+def _in_order(words: list[int], passage: list[int]) -> int:
+    """Bits of `words`: unset ones among the first k count the longest common subsequence of words[:k] and the passage."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(words):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(words)) - 1
+    v = full
+    for w in passage:
+        m = places.get(w)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return v
+
+
+def word_overlaps(item: np.ndarray, n_question: int, passage: np.ndarray) -> tuple[float, float, float]:
+    """Shares of question, answer and item whose words stand in order where the passage is most like the item.
+
+    n_question is 0 for an item that is its own question and answer."""
+    size = len(item) + max(2, len(item) // 4)
+    if len(passage) > size:
+        held = np.concatenate(([0], np.cumsum(np.isin(passage, item))))
+        first = int(np.argmax(held[size:] - held[:-size]))
+        passage = passage[first : first + size]
+    words, passage = item.tolist(), passage.tolist()
+    v = _in_order(words, passage)
+    whole = len(words) - v.bit_count()
+    if not n_question:
+        return (whole / len(words),) * 3
+    n_answer = len(words) - n_question
+    answer = n_answer - _in_order(words[n_question:], passage).bit_count()
+    question = n_question - (v & (1 << n_question) - 1).bit_count()
+    return (whole - answer) / n_question, (whole - question) / n_answer, whole / len(words)
+
+
 class Index:
     """Items of one length class: dense impacts of terms in blocks of items."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean: float):
         self.ids = [i for i, _ in items]
-        self.parts = [tuple(np.unique(_grams(x)) for x in question_and_answer(t)) for _, t in items]
-        words = [_text_words(t) for _, t in items]
+        parts = [question_and_answer(t) for _, t in items]
+        self.parts = [tuple(np.unique(_grams(x)) for x in p) for p in parts]
+        self.words = words = [_text_words(t) for _, t in items]
+        self.n_question = [len(q) if len(q) < len(w) else 0 for (q, _), w in zip(parts, words)]
         self.segment = max(SEGMENT, *map(len, words))
         self.terms = np.unique(np.concatenate(words))
         impact = np.zeros((len(self.terms), len(items)), np.float32)
@@ -103,7 +146,7 @@ class Index:
         self.impact, self.block_max = impact, padded.reshape(len(self.terms), n_blocks, BLOCK).max(axis=2)
 
     def search(self, h: np.ndarray, count: np.ndarray):
-        """(row, item, score, question, answer) of all passages that reach the threshold and hold both parts."""
+        """(row, item, score, question, answer) of all passages that reach the threshold and hold both parts or most of the item."""
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[at] == h)
         if not len(known):
@@ -154,9 +197,13 @@ class Index:
             if score < THRESHOLD - 1e-5:
                 continue
             lo = ends[r] - count[r] + (s - seg_base[r]) * self.segment
-            got = _grams(h[lo : min(lo + 2 * self.segment, ends[r])])
+            passage = h[lo : min(lo + 2 * self.segment, ends[r])]
+            got, whole = _grams(passage), 0.0
             q, a = (float(np.isin(p, got).mean()) if len(p) else 0.0 for p in self.parts[item])
-            if q >= PART_OVERLAP and a >= PART_OVERLAP:
+            if q < PART_OVERLAP or a < PART_OVERLAP:
+                by_word = word_overlaps(self.words[item], self.n_question[item], passage)
+                q, a, whole = max(q, by_word[0]), max(a, by_word[1]), by_word[2]
+            if q >= PART_OVERLAP and a >= PART_OVERLAP or whole >= WHOLE_OVERLAP:
                 yield r, self.ids[item], score, q, a
 
 
