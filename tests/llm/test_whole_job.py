@@ -1,9 +1,13 @@
 import random
 import re
 
-from lekhaspark.llm import decontaminate
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from lekhaspark.llm import decontaminate, prefix_tokens
 
 SF = "/root/testdata/sf0.001"
+PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 WORD = re.compile(r"\w+")
 
 
@@ -37,3 +41,26 @@ def test_decontamination_leaves_other_answers(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     df = spark.createDataFrame([(1, item), (2, other)], "doc_id long, text string")
     assert [r["doc_id"] for r in decontaminate.find(df, bench).collect()] == [1]
+
+
+CUTS = [
+    "they're we'll I've it's 'r 're!''s counterrevolutionary", "“They’re” — naïve  ΟΔΟΣ　漢字漢字かな \U0001F600\u200d\U0001F600 <|endoftext|> it's", "x \n\t y  curly “quotes”\n\n after",
+    "!!<|endoftext|><|startoftext|>é<|endof", "cafe\u0301 Vie\u0323\u0302t e\u0323\u0302\u0301 q\u0323\u0301x \u0301abc !!!\u0338\u0301!", "ภาษาไทยไม่มีช่องว่าง" * 3, "\u1112\u1161\u11ab\u1100\u116e\u11a8 한국",
+    "İSTANBUL ſ ß ﬁ Ω K", "“'re” x’'ll “'ll'", "漢" * 150, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo=" * 4, "\t\n a  b\x85c\xa0d\x1ce", "",
+]
+
+
+def test_token_counts_at_every_code_point(spark):
+    """tokens_before and fit against the library at every cut."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(PATH)
+    rng, letters = random.Random(2), "ab'rels “”ẹ\u0338\u0301<|>!1漢\u1112\u1161กิ่Σσİ \n\u3000"
+    texts = CUTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) + rng.choice(["", "<|endoftext|>x"]) for _ in range(60)]
+    want = {(k, i): len(lib.encode(t[:i], add_special_tokens=False).ids) for k, t in enumerate(texts) for i in range(len(t) + 1)}
+    prefixes = prefix_tokens.token_prefixes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH)
+    cuts = prefixes.join(spark.createDataFrame(list(want), "doc_id long, cut int"), "doc_id")
+    assert {(r["doc_id"], r["cut"]): r["n_before"] for r in prefix_tokens.tokens_before(cuts, F.col("cut")).collect()} == want
+    for budget in (0, 1, 5, 40):
+        longest = {k: max(i for i in range(len(t) + 1) if want[k, i] <= budget) for k, t in enumerate(texts)}
+        assert {r["doc_id"]: r["fit_end"] for r in prefix_tokens.fit(prefixes, budget).collect()} == longest
