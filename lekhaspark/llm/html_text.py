@@ -1,8 +1,11 @@
 """Operator 3: main text of HTML pages by tree scoring.
 
 A page becomes a tree without what is never content (scripts, styles, menus,
-forms, page headers and footers, and elements whose class, id or role names
-adverts, notices, sidebars or comments). Each paragraph has points for its
+controls, page headers and footers, hidden elements). Elements whose class, id or role
+names adverts, notices, sidebars or comments, and forms, are doubtful: they are left out
+as well, unless one holds more prose of its own than all that stands in none of them: then it
+is a wrapper ("has-sidebar", a page in one form) and only what is doubtful within it is left out.
+Comments become content only when the page has nothing else. Each paragraph has points for its
 length and its commas; it passes them to its parent, half to the
 grandparent and a third to the next. The points of a container are discounted by
 the share of its text that stands in links. The best container is kept, with
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements and names by what they are for.
-NEVER = frozenset("script style noscript template iframe object embed svg canvas head nav aside footer header form button select textarea input dialog menu".split())
+NEVER = frozenset("script style noscript template iframe object embed svg canvas head nav aside footer header button select textarea input dialog menu".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -40,34 +43,37 @@ UNWANTED = re.compile(
     r"discussion|skip|hidden|toolbar|search|complementary|contentinfo|tags?|meta|byline|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|commentlist|replies|reply|respond|disqus|discussion)(?:[_-](?:list|thread|area|section|body|content|text|wrap\w*))?(?:$|\s)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "drop", "points", "text", "linked", "blocks", "prose")
+    __slots__ = ("tag", "parent", "drop", "doubt", "points", "text", "linked", "blocks", "prose")
 
-    def __init__(self, tag: str, parent: "_Node | None", drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "_Node | None", drop: bool, doubt: int):
+        self.tag, self.parent, self.drop, self.doubt = tag, parent, drop, doubt
         self.points, self.text, self.linked, self.prose = 0.0, 0, 0, 0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _unwanted(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether the element is never content, and whether it is doubtful (1) or comments (2)."""
     if tag in NEVER:
-        return True
+        return True, 0
+    doubt = int(tag == "form")
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, 0
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and UNWANTED.search(value):
-            return True
-    return False
+            doubt = max(doubt, 2 if COMMENTS.search(value) else 1)
+    return False, doubt
 
 
 def _blocks(page: str) -> list[tuple[_Node, str, int]]:
     """(element, text, characters of it in links) of each block of text, in page order."""
-    root = _Node("#", None, False)
+    root = _Node("#", None, False, 0)
     stack, out, run, linked, links = [root], [], [], 0, 0
 
     def flush():
@@ -75,7 +81,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
         run.clear()
         if text:
-            node = next(n for n in reversed(stack) if n.tag in BLOCKS or n is root)
+            node = next(n for n in reversed(stack) if n.tag in BLOCKS or n.doubt or n is root)
             out.append((node, text, min(linked, len(text))))
         linked = 0
 
@@ -107,7 +113,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if tag in BLOCKS or any(n.tag in BLOCKS for n in stack[i:]):
+                    if tag in BLOCKS or any(n.tag in BLOCKS or n.doubt for n in stack[i:]):
                         flush()
                     pop(i)
                     break
@@ -124,22 +130,52 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
                 if stack[i].tag in BLOCKS and not (stack[i].tag in ("p",) or tag in SAME_CLOSES and stack[i].tag in PARAGRAPHS):
                     break
         parent = stack[-1]
-        drop = parent.drop or _unwanted(tag, m[3])
-        if tag in RAW:
+        never, doubt = _unwanted(tag, m[3])
+        drop, empty = parent.drop or never, m[3].endswith("/")
+        if tag in RAW and not (empty and tag in ("svg", "iframe")):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
-            if drop and not parent.drop:
+        elif tag not in VOID and not empty:
+            if drop and not parent.drop or doubt:
                 flush()
-            stack.append(_Node(tag, parent, drop))
+            stack.append(_Node(tag, parent, drop, doubt))
             links += tag == "a"
     flush()
     return out
 
 
+def _prose(text: str, linked: int) -> int:
+    return len(text) - linked if len(text) >= 25 else 0
+
+
+def _without_doubtful(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """blocks without those in doubtful elements; wrappers are taken in together with the doubtful elements around them."""
+    wrappers: set[int] = set()
+    while True:
+        outside, own, chains, kept = 0, {}, {}, []
+        for block in blocks:
+            chain, n = [], block[0]
+            while n is not None:
+                if n.doubt and id(n) not in wrappers:
+                    chain.append(n)
+                n = n.parent
+            if chain:
+                k = id(chain[0])
+                own[k] = own.get(k, 0) + _prose(*block[1:])
+                chains[k] = chain
+            else:
+                kept.append(block)
+                outside += _prose(*block[1:])
+        likely = [k for k, c in chains.items() if own[k] > outside and (not kept or all(n.doubt == 1 for n in c))]
+        if not likely:
+            return kept
+        plain = [k for k in likely if all(n.doubt == 1 for n in chains[k])]
+        wrappers.update(map(id, chains[max(plain or likely, key=own.get)]))
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, joined by line ends."""
-    blocks = _blocks(page or "")
+    blocks = _without_doubtful(_blocks(page or ""))
     if not blocks:
         return ""
     for node, text, linked in blocks:

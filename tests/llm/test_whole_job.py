@@ -2,9 +2,10 @@ import random
 import re
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from lekhaspark.llm import decontaminate, prefix_tokens
+from lekhaspark.llm import decontaminate, html_text, prefix_tokens
 
 SF = "/root/testdata/sf0.001"
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -64,3 +65,21 @@ def test_token_counts_at_every_code_point(spark):
     for budget in (0, 1, 5, 40):
         longest = {k: max(i for i in range(len(t) + 1) if want[k, i] <= budget) for k, t in enumerate(texts)}
         assert {r["doc_id"]: r["fit_end"] for r in prefix_tokens.fit(prefixes, budget).collect()} == longest
+
+
+PROSE = [f"Paragraph {k} of the article, which goes on for a while, with commas and a full stop." for k in range(4)]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+BESIDE = "<nav><a href=x>menu of the page</a></nav><div class=sidebar><p>Side note, which is no part of the article.</p></div>"
+TALK = "<div class=comments>" + "".join(f"<div class=comment-body><p>Comment {k}, which I wrote, as ever, at great length, to say no.</p></div>" for k in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize("page", [
+    *(f'<body><div class="{name}">{BESIDE}{BODY}{TALK}</div><div class=footer>and so on, and so on, and so on</div></body>' for name in ("content no-sidebar", "page has-sidebar", "post hentry tag-news", "side-by-side")),
+    f'<body><form action="x.aspx"><div class="page has-sidebar">{BESIDE}<div>{BODY}</div></div><div>{TALK}</div></form></body>',
+    f'<body><svg class=icon viewBox="0 0 1 1"/><div>{BODY}</div></body>',
+    f'<body><iframe src="x"/><div>{BODY}</div><svg><text>no</text></svg></body>',
+    f'<body><div class=content>{BODY}</div><div class=comments><p>{"One single comment, longer than the article itself. " * 20}</p></div>{BESIDE}</body>',
+    f"<body><form>{TALK}<p>Leave, if you like, a reply to what was said here.</p></form><div>{BODY}</div></body>",
+])
+def test_html_keeps_wrapped_articles(page):
+    assert html_text.main_text(page) == "\n".join(PROSE)
