@@ -277,3 +277,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, words, percent)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_one_with_nulls(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """keep_one, where a row without a doc_id joins its group by a stand-in id made of its text. Stand-ins are above
+    2**62, so that a row with a doc_id below that stays before one without. Rows of one id still stay or go together."""
+    by_text = F.lit(1 << 62) + F.pmod(F.xxhash64(docs["text"].cast("string")), F.lit(1 << 62))
+    stand_in = F.coalesce(docs["doc_id"].cast("long"), by_text)
+    found = jaccard_components(docs.select(stand_in.alias("doc_id"), docs["text"].alias("text")), words, percent)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, stand_in == F.col("_gone"), "left_anti").select(docs.columns)

@@ -129,9 +129,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without rejected rows. Rows that share a doc_id go together, when any of them is rejected."""
-    gone = quality(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(docs.columns)
+    """docs without rejected rows. A row is known by a hash of its doc_id and text, so that rows without a doc_id,
+    and rows of different text that share one, are judged each for itself."""
+    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    judged = quality(docs.select(key.alias("doc_id"), docs["text"].alias("text")))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, key == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def sql() -> str:

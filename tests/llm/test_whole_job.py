@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lekhaspark.llm import decontaminate, html_text, prefix_tokens
+import corpus_pipeline
+from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality
 
 SF = "/root/testdata/sf0.001"
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -83,3 +84,15 @@ TALK = "<div class=comments>" + "".join(f"<div class=comment-body><p>Comment {k}
 ])
 def test_html_keeps_wrapped_articles(page):
     assert html_text.main_text(page) == "\n".join(PROSE)
+
+
+def test_pipeline_rows_without_or_with_shared_ids(spark):
+    """Only the rejected rows go, and a copy without a doc_id leaves before the one that has it."""
+    good, other = (" ".join(f"{x}river{k}" + "." * (k % 12 == 11) for k in range(240)) for x in "ab")
+    junk = "# $ % & " * 40
+    rows = [(1, good), (None, other), (None, junk), (None, good), (2, junk), (2, other + " And so it was."), (3, junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = quality.keep_good(df)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted((r for r in rows if r[1] != junk), key=repr)
+    once = corpus_pipeline.near_duplicates(spark, kept, SF)
+    assert sorted(map(tuple, once.collect()), key=repr) == [(1, good), (2, other + " And so it was.")]
