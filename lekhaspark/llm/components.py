@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(_small_star(edges.where("a <> b").distinct()), "stars")
     seen = None
     for _ in range(most_rounds):
-        now = written(_small_star(_large_star(now)), "stars")
+        before, now = now, written(_small_star(_large_star(now)), "stars")
+        forget(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -8,8 +8,13 @@ n - ceil(s * n) + 1 tokens. Three orders are used:
 * A: tokens by how common they are (counts over all documents, the common ones
   last), ties by hash. Its prefix lists make the candidates.
   A candidate must share so many prefix tokens that the rest can make up what is missing.
-* B and C: two seeded hash orders. A candidate that lacks a common token in its
-  B prefixes or in its C prefixes is dropped before its sets are compared.
+* B and C: two seeded hash orders. The pairs that order A leaves are joined with their B and
+  C prefixes alone; a pair that lacks a common token in either is dropped. Whole
+  sets are read only for the pairs that pass all three.
+
+Only one row of each class makes lists, so copies cost nothing there; lists are
+joined and grouped by Spark, so a token that very many sets share is combined
+before the shuffle or split as a skewed join, never gathered in one task.
 
 Candidates from a list are not all its pairs. First each member of a list is
 compared with one leader, the member with most common tokens in its prefix.
@@ -18,14 +23,16 @@ each other. Then the remaining pairs of a list - those in different
 components that the length and position filters allow - are compared, all of
 them. So components are exact, while a group of ten thousand near copies costs
 ten thousand comparisons. Counting the links inside such a component would cost
-its square, so links are not counted; the class sizes are returned instead.
+its square, so links are not counted; class ids and sizes are returned instead.
 
 Defined cases: a null or word-less text has an empty set and no links; a
 text with fewer words than a shingle is one shingle; rows that repeat a doc_id
 are one node for each distinct set; a row with a null doc_id is returned
-with its size and a null component and links nothing. Shingles are
-64-bit hashes of their words: two different shingles of one pair are taken for
-equal with a probability of about n*n / 2**64.
+with its size and a null component and links nothing; an empty table gives an empty
+result; of equal sets the least doc_id names the class; a very long text is
+one set like any other; only doc_id and text are read, so further columns may bear
+any name. Shingles are 64-bit hashes of their words: two different shingles of one
+pair are taken for equal with a probability of about n*n / 2**64.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import documents, partitions, written
+from .store import documents, forget, partitions, written
 
 #: Tokens that order A knows as common: a bound on what is broadcast, not on what is compared.
 MOST_COMMON = 1 << 16
@@ -109,15 +116,15 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return t[by], n[by]
 
 
-def shingle_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, tokens): size, digest and order-A prefix of each document's set."""
+def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, digest, tokens): text hash, size, digest and order-A prefix of each document's set."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def sets(batches):
         t, count = common.value
         for b in batches:
-            size, digest, prefixes = [], [], []
-            for g in token_sets(b.column(1), words):
+            done, size, digest, prefixes, held = 0, [], [], [], 0
+            for i, g in enumerate(token_sets(b.column(2), words)):
                 p = prefix_length(len(g), percent)
                 if len(t) and len(g):
                     at = np.minimum(np.searchsorted(t, g), len(t) - 1)
@@ -127,15 +134,15 @@ def shingle_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     g_a = g
                 size.append(len(g))
                 digest.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
-                prefixes.append(g_a[:p].view(np.int64))
-            off = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                names=["doc_id", "n", "digest", "tokens"],
-            )
+                prefixes.append(g_a[:p].view(np.int64).copy())
+                held += p
+                if held >= SET_TOKENS or i == b.num_rows - 1:
+                    columns = [b.column(0).slice(done, len(size)), b.column(1).slice(done, len(size)), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(prefixes)]
+                    yield pa.record_batch(columns, names=["doc_id", "key", "n", "digest", "tokens"])
+                    done, size, digest, prefixes, held = i + 1, [], [], [], 0
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, digest binary, tokens array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(sets, "doc_id long, key long, n long, digest binary, tokens array<long>")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -195,8 +202,8 @@ def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: both hash orders' prefixes must meet, then the sets are compared,
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: the prefixes of both hash orders must meet, then whole sets are compared,
     pair by pair inside Spark, so that no task holds the sets of many pairs at once."""
 
     def whole(batches):
@@ -210,15 +217,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     yield pa.record_batch(columns, names=["cid", "set", "by_b", "by_c"])
                     done, held, size = i + 1, [], 0
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = texts.join(involved, "doc_id", "left_semi").select("doc_id", "text")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.select(F.col("cid").alias("node"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.key").alias("key")).join(involved, "node", "left_semi")
+    own = texts.join(wanted, ["doc_id", "key"]).groupBy("node").agg(F.first("text").alias("text"))
     sets = written(own.mapInArrow(whole, "cid long, set array<long>, by_b array<int>, by_c array<int>"), "whole")
-    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"), F.col("by_b").alias("x_b"), F.col("by_c").alias("x_c"))
-    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("y"), F.col("by_b").alias("y_b"), F.col("by_c").alias("y_c"))
+    left = sets.select(F.col("cid").alias("a"), F.col("by_b").alias("x_b"), F.col("by_c").alias("x_c"))
+    right = sets.select(F.col("cid").alias("b"), F.col("by_b").alias("y_b"), F.col("by_c").alias("y_c"))
+    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c"))
+    met = written(met.select("a", "b"), "met")
     both = F.size(F.array_intersect("x", "y"))
     linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.size("x") + F.size("y"))
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c") & linked).select("a", "b").distinct()
+    sides = met.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    links = written(sides.where(linked).select("a", "b"), "links")
+    forget(sets, met)
+    return links
 
 
 def _possible(percent: int, n, i, m, j):
@@ -227,63 +239,90 @@ def _possible(percent: int, n, i, m, j):
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100) * most >= F.lit(percent) * (n + m - most))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, class_id (least doc_id with the same set),
-    class_size (rows with the same set), component_id (least doc_id reachable over links of
-    100 * intersection >= percent * union)."""
-    if not 0 < percent <= 100 or words < 1:
-        raise ValueError("percent in 1..100 and words >= 1")
-    base = documents(docs)
-    rows = written(shingle_classes(base, words, percent), "sets")
-    full = rows.where("doc_id is not null and n > 0")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
-    # lists of the tokens that two classes have in their prefixes; of a class only the smallest document is kept
-    listed = shared_tokens(full.select("doc_id", "n", F.xxhash64("digest").alias("class"), "tokens"))
-    kept = written(listed.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi"), "lists")
-    prefixes = full.select(F.col("doc_id").alias("cid"), "n", "digest", "tokens").join(classes.select("cid", "digest"), ["cid", "digest"], "left_semi").select("cid", "n", "tokens")
-    # the leader of a list: the class with most shared tokens in its prefix
+def _links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) between the sets of nodes (cid, lead, n, tokens), one row each; texts has (doc_id, key, text)."""
+    # the tokens that two sets have in their prefixes: counts are combined before the shuffle, the join splits hot tokens
+    listed = nodes.select("cid", "n", F.posexplode("tokens").alias("at", "t"))
+    shared = listed.groupBy("t").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("t")
+    kept = written(listed.join(shared, "t", "left_semi"), "lists")
+    # the leader of a list: the set with most shared tokens in its prefix
     weight = kept.groupBy("cid").agg(F.count("*").alias("w"))
-    kept = kept.join(weight, "cid")
-    leaders = kept.groupBy("t").agg(F.max(F.struct("w", (-F.col("cid")).alias("c"), "n", "at")).alias("l")).select("t", (-F.col("l.c")).alias("lead"), F.col("l.n").alias("m"), F.col("l.at").alias("j"))
+    weighed = kept.join(weight, "cid")
+    leaders = weighed.groupBy("t").agg(F.max(F.struct("w", (-F.col("cid")).alias("c"), "n", "at")).alias("l")).select("t", (-F.col("l.c")).alias("lead"), F.col("l.n").alias("m"), F.col("l.at").alias("j"))
     first = kept.join(leaders, "t").where("cid <> lead").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
     first = first.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-    first = written(_close(first, prefixes, percent), "pairs")
-    links = written(_verified(first, base, words, percent), "links")
+    first = written(_close(first, nodes, percent), "pairs")
+    links = _verified(first, nodes, texts, words, percent)
     group = connected_components(links)
-    # what the leaders left open
+    # what the leaders left open: lists that hold sets of two components, and there only pairs of different components
     placed = kept.join(group.withColumnRenamed("node", "cid"), "cid", "left").select("t", "cid", "n", "at", F.coalesce("component", "cid").alias("g"))
     open_lists = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
     placed = written(placed.join(open_lists, "t", "left_semi"), "open")
     # within a list, the shorter side needs only the shorter index prefix
     short = (F.lit(100 + percent) * (F.col("n") - F.col("at"))) >= F.lit(2 * percent) * F.col("n")
-    x = placed.where(short)
     y = placed.select("t", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("g").alias("g2"))
-    rest = x.join(y, "t").where("g <> g2 and (n < m or (n = m and cid < cid2))").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
+    rest = placed.where(short).join(y, "t").where("g <> g2 and (n < m or (n = m and cid < cid2))").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
     rest = rest.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = written(_close(rest, prefixes, percent), "pairs")
-    more = written(_verified(rest, base, words, percent), "links")
-    group = connected_components(more.union(links))
-    by_class = classes.join(group.withColumnRenamed("node", "cid"), "cid", "left")
-    by_class = by_class.select("digest", "cid", "class_size", F.coalesce("component", "cid").alias("component"))
-    known = full.select("doc_id", "n", "digest").join(by_class, "digest").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "class_size", F.col("component").alias("component_id")
-    )
-    alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
+    rest = written(_close(rest, nodes, percent), "pairs")
+    more = _verified(rest, nodes, texts, words, percent)
+    every = written(more.union(links), "links")
+    components = connected_components(every)
+    forget(kept, first, placed, rest, links, more)
+    return every, components
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, cid, class_size, component, lead) of each row: lead is true for the rows that stand for their component."""
+    base = documents(docs)
+    rows = written(shingle_rows(base, words, percent), "sets")
+    full = rows.where("doc_id is not null and n > 0")
+    least = F.min(F.struct("doc_id", "key"))
+    classes = written(full.groupBy("digest").agg(least.alias("lead"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    # two sets under one least doc_id are two nodes: the second is known by its digest
+    twice = classes.groupBy(F.col("lead.doc_id").alias("cid")).agg(F.min("digest").alias("one"), F.count("*").alias("k")).where("k > 1").select("cid", "one")
+    named = classes.withColumn("cid", F.col("lead.doc_id")).join(twice, "cid", "left")
+    by_set = F.lit(1 << 62) + F.pmod(F.xxhash64("digest"), F.lit(1 << 62))
+    nodes = written(named.select(F.when(F.col("one") != F.col("digest"), by_set).otherwise(F.col("cid")).alias("cid"), "lead", "digest", "class_size", "n", "tokens"), "nodes")
+    slim = written(rows.select("doc_id", "key", "n", "digest"), "rows")
+    forget(rows, classes)
+    texts = base.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    _, components = _links(nodes, texts, words, percent)
+    placed = nodes.join(components.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "lead", "class_size", "cid", F.coalesce("component", "cid").alias("component"))
+    placed = written(placed, "placed")
+    forget(nodes)
+    # a component that holds only second sets is named by the least doc_id among them
+    unnamed = placed.where(F.col("component") >= F.lit(1 << 62)).groupBy("component").agg(F.min("lead.doc_id").alias("name"))
+    by_class = placed.join(unnamed, "component", "left").select("digest", F.col("lead").alias("l"), "class_size", (F.col("cid") == F.col("component")).alias("leads"), F.coalesce("name", "component").alias("component"))
+    known = slim.where("doc_id is not null and n > 0").join(by_class, "digest")
+    known = known.select("doc_id", "key", "n", F.col("l.doc_id").alias("cid"), "class_size", "component", (F.col("leads") & (F.col("doc_id") == F.col("l.doc_id")) & (F.col("key") == F.col("l.key"))).alias("lead"))
+    alone = slim.where("doc_id is null or n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("cid"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component"), F.lit(True).alias("lead"))
     return known.union(alone)
 
 
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, class_id (least doc_id with the same set),
+    class_size (rows with the same set), component_id (least doc_id reachable over links of
+    100 * intersection >= percent * union)."""
+    if not 0 < percent <= 100 or words < 1:
+        raise ValueError("percent in 1..100 and words >= 1")
+    found = _grouped(docs, words, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "class_size", F.col("component").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component holds a smaller doc_id; of rows with one doc_id all stay or go."""
-    found = jaccard_components(docs, words, percent)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def keep_one_with_nulls(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """keep_one, where a row without a doc_id joins its group by a stand-in id made of its text. Stand-ins are above
-    2**62, so that a row with a doc_id below that stays before one without. Rows of one id still stay or go together."""
-    by_text = F.lit(1 << 62) + F.pmod(F.xxhash64(docs["text"].cast("string")), F.lit(1 << 62))
-    stand_in = F.coalesce(docs["doc_id"].cast("long"), by_text)
-    found = jaccard_components(docs.select(stand_in.alias("doc_id"), docs["text"].alias("text")), words, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, stand_in == F.col("_gone"), "left_anti").select(docs.columns)
+    """docs with one row of each component; every row is judged for itself. A row without a doc_id joins its group
+    by a stand-in id made of its text, above 2**62, so that a row with a doc_id below that stays before it. Of rows with
+    equal doc_id and text one stays. Texts without words have no group: of their equal rows one stays too."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    row_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 62)))
+    found = written(_grouped(docs.select(row_id.alias("doc_id"), text.alias("text")), words, percent).select("doc_id", "key", "lead"), "judged")
+    gone = found.where(~F.col("lead")).select("doc_id", "key").distinct()
+    again = written(found.where("lead").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated")
+    marks = gone.union(again).select(F.col("doc_id").alias("_row"), F.col("key").alias("_key"))
+    same = (row_id == F.col("_row")) & (F.xxhash64(text) == F.col("_key"))
+    kept = docs.join(marks, same, "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    repeated = again.select(F.col("doc_id").alias("_row"), F.col("key").alias("_key"))
+    one = docs.join(repeated, same).dropDuplicates(["_row", "_key"]).select([docs[c] for c in docs.columns])
+    return kept.union(one)

@@ -22,7 +22,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_size")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,29 @@ def test_jaccard_equals_brute_force(spark, docs):
 def test_jaccard_edges(spark, edges):
     got = rows_of(jaccard.jaccard_components(edges, 4, 85), "doc_id", "n_shingles", "component_id")
     assert len(got) == 12 and (2, 10, 1) in got and (9, got[-1][1], 6) in [(a, got[-1][1], c) for a, b, c in got] and (3, 0, 3) in got and (7, 1, 7) in got
+    # one row of each group stays: the repeated row of 1 and the copy without a doc_id go
     kept = jaccard.keep_one(edges)
-    assert kept.columns == edges.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 1, 3, 4, 5, 6, 7, 8]
+    assert kept.columns == edges.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
+
+
+def test_jaccard_large_groups(spark):
+    """A group of exact copies and one of near copies, each a third of all rows: two components, whatever their size."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in (rng.randrange(300) for _ in range(4000))]
+    rest = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4000)]
+    texts = [(k, t) for k, t in enumerate(["the same text of ten words, again and again, here"] * 4000 + near + rest)]
+    got = {r["doc_id"]: r for r in jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(12), 5, 80).collect()}
+    assert {k: r["component_id"] for k, r in got.items()} == {k: 0 if k < 4000 else 4000 if k < 8000 else k for k in range(12000)}
+    assert got[17]["class_size"] == 4000 and got[17]["class_id"] == 0
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    """Two texts under one doc_id are two nodes: neither goes for the other's copy."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (9, b)], "doc_id long, text string")
+    assert rows_of(jaccard.jaccard_components(df), "doc_id", "class_id", "component_id") == [(1, 1, 1), (5, 1, 1), (5, 5, 5), (5, 5, 5), (9, 5, 5)]
+    assert rows_of(jaccard.keep_one(df), "doc_id", "text") == [(1, a), (5, b)]
 
 
 def test_quality(spark, edges, docs):
