@@ -8,21 +8,25 @@ is a wrapper ("has-sidebar", a page in one form) and only what is doubtful withi
 Comments become content only when the page has nothing else. Each paragraph has points for its
 length and its commas; it passes them to its parent, half to the
 grandparent and a third to the next. The points of a container are discounted by
-the share of its text that stands in links. The best container is kept, with
-those siblings that score well beside it or are prose themselves; its blocks,
-in page order, are the text.
+the share of its text that stands in links. The best container is kept; an article or
+main element is the best one if there is any. Of its siblings those stay that score well beside it or are
+prose, and where no element is named an article all that are no lists of links. The blocks
+that stay, in page order, are the text.
 
-One page is the unit of work and of memory; pages need no shuffle.
+One page is the unit of work and of memory; pages need no shuffle. Tags are read by one forward
+scan and points are summed from the leaves up, so time grows with the page, whatever its nesting.
 
 Defined cases: null, empty or text-less html gives an empty text; broken nesting,
 missing ends and cut-off references are read as browsers do, as far as
-the text goes; repeated rows are extracted alike.
+the text goes; a very long page is read whole; repeated rows are extracted alike; an empty table
+gives an empty result; only page_id, url and html are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,190 +42,227 @@ PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcap
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "caption", "li", "dd", "dt", "summary"} | {"p"}
 SAME_CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
-    r"related|recommend\w*|sidebar|side|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toc|footer|header|masthead|comments?|commentlist|replies|reply|respond|disqus|"
-    r"discussion|skip|hidden|toolbar|search|complementary|contentinfo|tags?|meta|byline|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
+    r"related|recommend\w*|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toc|footer|masthead|comments?|commentlist|replies|reply|respond|disqus|"
+    r"discussion|skip|hidden|toolbar|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Names that articles also give to their own paragraphs and headings.
+UNSURE = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|header|search|tags?|meta|byline|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 COMMENTS = re.compile(r"(?:^|\s)(?:comments?|commentlist|replies|reply|respond|disqus|discussion)(?:[_-](?:list|thread|area|section|body|content|text|wrap\w*))?(?:$|\s)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "drop", "doubt", "points", "text", "linked", "blocks", "prose")
-
-    def __init__(self, tag: str, parent: "_Node | None", drop: bool, doubt: int):
-        self.tag, self.parent, self.drop, self.doubt = tag, parent, drop, doubt
-        self.points, self.text, self.linked, self.prose = 0.0, 0, 0, 0
+    """An element; `up` is the nearest element above it that holds text of its own (a block or a doubtful one), `holder` that or itself."""
 
+    __slots__ = ("tag", "up", "holder", "drop", "doubt", "points", "text", "linked")
 
-def _unwanted(tag: str, attrs: str) -> tuple[bool, int]:
-    """Whether the element is never content, and whether it is doubtful (1) or comments (2)."""
-    if tag in NEVER:
+    def __init__(self, tag: str, parent: "_Node | None", drop: bool, doubt: int):
+        self.tag, self.drop, self.doubt = tag, drop, doubt
+        self.up = parent.holder if parent else None
+        self.holder = self if tag in BLOCKS or doubt or not parent else self.up
+        self.points, self.text, self.linked = 0.0, 0, 0
+
+
+def _next_tag(page: str, at: int, last: dict[str, int]) -> tuple[int, int, str, str, str] | None:
+    """(start, end, closing, name, attributes) of the first tag from `at` on; comments and declarations have an empty name.
+    last: where each quote and > stands last. A quote without its end is no quote; a tag without an end reaches to the end of the page."""
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, end + 3 if end >= 0 else len(page), "", "", ""
+        m = _NAME.match(page, start)
+        if m:
+            break
+        if page[start + 1 : start + 2] in ("!", "?", "/"):
+            end = page.find(">", start) if start < last[">"] else -1
+            return start, end + 1 if end >= 0 else len(page), "", "", ""
+        at = start + 1
+    else:
+        return None
+    i = m.end()
+    while i <= last[">"]:
+        stop = _STOP.search(page, i)
+        if stop is None:
+            break
+        i = stop.end()
+        if stop[0] == ">":
+            return start, i, m[1], m[2].lower(), page[m.end() : i - 1]
+        # a quote opens a value only after an equals sign
+        if i <= last[stop[0]] and page[max(m.end(), stop.start() - 40) : stop.start()].rstrip().endswith("="):
+            i = page.find(stop[0], i) + 1
+    end = page.find(">", m.end()) + 1 if m.end() <= last[">"] else len(page)
+    return start, end, m[1], m[2].lower(), page[m.end() : end - 1]
+
+
+def _unwanted(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
+    """Whether the element is never content, and whether it is doubtful (1) or comments (2); inside: within an article."""
+    if tag in NEVER and not (tag == "header" and inside):
         return True, 0
     doubt = int(tag == "form")
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, 0
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and UNWANTED.search(value):
-            doubt = max(doubt, 2 if COMMENTS.search(value) else 1)
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            if UNWANTED.search(value) or UNSURE.search(value) and not (inside and (tag in PARAGRAPHS or tag == "header")):
+                doubt = max(doubt, 2 if COMMENTS.search(value) else 1)
     return False, doubt
 
 
-def _blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters of it in links) of each block of text, in page order."""
+def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """(element, text, characters of it in links) of each block of text, in page order; and the elements that hold text, parents first."""
     root = _Node("#", None, False, 0)
-    stack, out, run, linked, links = [root], [], [], 0, 0
+    stack, out, nodes, run, linked = [root], [], [root], [], 0
+    opened: Counter = Counter()
 
     def flush():
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
         run.clear()
         if text:
-            node = next(n for n in reversed(stack) if n.tag in BLOCKS or n.doubt or n is root)
-            out.append((node, text, min(linked, len(text))))
+            out.append((stack[-1].holder, text, min(linked, len(text))))
         linked = 0
 
     def pop(to: int):
-        nonlocal links
         while len(stack) > to:
-            links -= stack.pop().tag == "a"
+            opened[stack.pop().tag] -= 1
 
     def say(text: str):
         nonlocal linked
         if text and not stack[-1].drop:
             run.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(_SPACE.sub(" ", text))
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        say(page[at : m.start() if m else len(page)])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+    at, last = 0, {c: page.rfind(c) for c in "\"'>"}
+    while (found := _next_tag(page, at, last)) is not None:
+        start, end, closing, tag, attrs = found
+        say(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "br" or tag in ("hr", "wbr"):
             say(" " if tag != "wbr" else "")
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCKS or any(n.tag in BLOCKS or n.doubt for n in stack[i:]):
-                        flush()
-                    pop(i)
-                    break
+        if closing:
+            if opened[tag] > 0:
+                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if any(n.holder is n for n in stack[i:]):
+                    flush()
+                pop(i)
             continue
         if tag in BLOCKS:
             flush()
-            stop = SAME_CLOSES.get(tag, {"p"} if tag in CLOSES_P else set())
-            if tag in CLOSES_P:
-                stop = stop | {"p"}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    pop(i)
-                    break
-                if stack[i].tag in BLOCKS and not (stack[i].tag in ("p",) or tag in SAME_CLOSES and stack[i].tag in PARAGRAPHS):
-                    break
+            stop = SAME_CLOSES.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
+            if any(opened[t] > 0 for t in stop):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in stop:
+                        pop(i)
+                        break
+                    if stack[i].tag in BLOCKS and not (stack[i].tag == "p" or tag in SAME_CLOSES and stack[i].tag in PARAGRAPHS):
+                        break
         parent = stack[-1]
-        never, doubt = _unwanted(tag, m[3])
-        drop, empty = parent.drop or never, m[3].endswith("/")
+        never, doubt = _unwanted(tag, attrs, opened["article"] > 0 or opened["main"] > 0)
+        drop, empty = parent.drop or never, attrs.endswith("/")
         if tag in RAW and not (empty and tag in ("svg", "iframe")):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = _RAW_END[tag].search(page, at)
+            at = close.end() if close else len(page)
         elif tag not in VOID and not empty:
             if drop and not parent.drop or doubt:
                 flush()
-            stack.append(_Node(tag, parent, drop, doubt))
-            links += tag == "a"
+            node = _Node(tag, parent, drop, doubt)
+            stack.append(node)
+            opened[tag] += 1
+            if node.holder is node:
+                nodes.append(node)
+    say(page[at:])
     flush()
-    return out
+    return out, nodes
 
 
 def _prose(text: str, linked: int) -> int:
     return len(text) - linked if len(text) >= 25 else 0
 
 
-def _without_doubtful(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
-    """blocks without those in doubtful elements; wrappers are taken in together with the doubtful elements around them."""
+def _without_doubtful(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> list[tuple[_Node, str, int]]:
+    """blocks without those in doubtful elements; wrappers are taken in together with the doubtful elements around them.
+    Each round at least doubles the prose that stays."""
     wrappers: set[int] = set()
     while True:
-        outside, own, chains, kept = 0, {}, {}, []
+        # the innermost doubtful element of each element, and whether no element around it is comments
+        inner: dict[int, _Node | None] = {}
+        plain: dict[int, bool] = {}
+        for n in nodes:
+            doubtful = n.doubt and id(n) not in wrappers
+            inner[id(n)] = n if doubtful else inner[id(n.up)] if n.up else None
+            plain[id(n)] = (not doubtful or n.doubt == 1) and (plain[id(n.up)] if n.up else True)
+        outside, own, kept, first = 0, {}, [], {}
         for block in blocks:
-            chain, n = [], block[0]
-            while n is not None:
-                if n.doubt and id(n) not in wrappers:
-                    chain.append(n)
-                n = n.parent
-            if chain:
-                k = id(chain[0])
-                own[k] = own.get(k, 0) + _prose(*block[1:])
-                chains[k] = chain
-            else:
+            n = inner[id(block[0])]
+            if n is None:
                 kept.append(block)
                 outside += _prose(*block[1:])
-        likely = [k for k, c in chains.items() if own[k] > outside and (not kept or all(n.doubt == 1 for n in c))]
+            else:
+                own[id(n)] = own.get(id(n), 0) + _prose(*block[1:])
+                first.setdefault(id(n), n)
+        likely = [k for k in own if own[k] > outside and (not kept or plain[k])]
         if not likely:
             return kept
-        plain = [k for k in likely if all(n.doubt == 1 for n in chains[k])]
-        wrappers.update(map(id, chains[max(plain or likely, key=own.get)]))
+        n = first[max([k for k in likely if plain[k]] or likely, key=own.get)]
+        while n is not None:
+            if n.doubt:
+                wrappers.add(id(n))
+            n = n.up
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the article, joined by line ends."""
-    blocks = _without_doubtful(_blocks(page or ""))
+    blocks, nodes = _blocks(page or "")
+    blocks = _without_doubtful(blocks, nodes)
     if not blocks:
         return ""
     for node, text, linked in blocks:
         loud = node.tag in PARAGRAPHS or len(text) >= 25
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) if loud else 0.0
-        up, part = (node.parent if node.tag in PARAGRAPHS and node.parent else node), 1.0
+        up = node.up if node.tag in PARAGRAPHS and node.up else node
         for share in (1.0, 0.5, 1 / 3):
             if up is None:
                 break
             up.points += points * share
-            up = up.parent
-        n: _Node | None = node
-        while n is not None:
-            n.text += len(text)
-            n.linked += linked
-            n = n.parent
+            up = up.up
+        node.text += len(text)
+        node.linked += linked
+    for n in reversed(nodes):
+        if n.up is not None:
+            n.up.text += n.text
+            n.up.linked += n.linked
 
     def value(n: _Node) -> float:
         return n.points * (1 - n.linked / max(1, n.text))
 
-    seen: dict[int, _Node] = {}
-    for node, _, _ in blocks:
-        n = node
-        while n is not None:
-            seen.setdefault(id(n), n)
-            n = n.parent
+    seen = [n for n in nodes if n.text]
     # an article or main element says itself what it is
-    named = [n for n in seen.values() if n.tag in ("article", "main")]
-    best = max(named or [n for n in seen.values() if n.tag not in PARAGRAPHS] or list(seen.values()), key=lambda n: (value(n), n.text))
+    named = [n for n in seen if n.tag in ("article", "main")]
+    best = max(named or [n for n in seen if n.tag not in PARAGRAPHS] or seen, key=lambda n: (value(n), n.text))
     keep = {id(best)}
-    if best.parent is not None:
-        limit = max(10.0, 0.2 * value(best))
-        for n in seen.values():
-            if n.parent is best.parent and n is not best:
-                prose = n.tag == "p" and n.text > 80 and n.linked < 0.25 * n.text
-                if prose or n.tag not in PARAGRAPHS and value(n) >= limit:
-                    keep.add(id(n))
-
-    def kept(n: _Node | None) -> bool:
-        while n is not None:
-            if id(n) in keep:
-                return True
-            n = n.parent
-        return False
-
-    return "\n".join(t for n, t, _ in blocks if kept(n))
+    limit = max(10.0, 0.2 * value(best))
+    for n in seen:
+        if n.up is best.up and n is not best and best.up is not None:
+            prose = n.tag == "p" and n.text > 80 and n.linked < 0.25 * n.text
+            # without a named article, what stands beside the best container and is no list of links belongs to it
+            if (prose or n.tag not in PARAGRAPHS and value(n) >= limit) if named else n.linked < 0.3 * n.text:
+                keep.add(id(n))
+    kept: set[int] = set()
+    for n in nodes:
+        if id(n) in keep or n.up is not None and id(n.up) in kept:
+            kept.add(id(n))
+    return "\n".join(t for n, t, _ in blocks if id(n) in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -86,6 +87,46 @@ def test_html_keeps_wrapped_articles(page):
     assert html_text.main_text(page) == "\n".join(PROSE)
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h2 class=legal>Law</h2>{BODY.replace('<p>', '<p class=notice>')}</article>", ["Law", *PROSE]),
+    (f"<body><header>Site</header><article><header><h1>Title</h1></header>{BODY}<footer>shared</footer></article></body>", ["Title", *PROSE]),
+    (f'<body><p title="x>Hello world.</p>{BODY}', ["Hello world.", *PROSE]),
+    (f"<body><nav>menu</nav><div id=a>{BODY}</div><div id=b>{BODY}</div><div>A closing remark.</div></body>", [*PROSE, *PROSE, "A closing remark."]),
+    (f"<body><div id=a>{BODY}</div><div><a href=x>one link</a> <a href=y>and another link</a></div></body>", PROSE),
+    (f"<script>if (a<b) x='<div class=\"y'</script><div>{BODY}</div><!-- no end", PROSE),
+    ("<p>5 < 6 &amp; 7 &gt; 6, a <b>bold</b>ly put\n claim<br>in two lines", ["5 < 6 & 7 > 6, a boldly put claim in two lines"]),
+])
+def test_html_shapes(page, text):
+    assert html_text.main_text(page) == "\n".join(text)
+
+
+@pytest.mark.parametrize("page", [
+    "<a \"" * 260_000, "<a x=\"" * 170_000, "<a x='>" * 150_000, "<div>" * 100_000 + "<p>one, two</p>" * 30_000, "<b>" * 100_000 + "<h2>x</h2>" * 50_000,
+    "<div class=ad>" * 30_000 + "<p>A sentence of more than five and twenty letters.</p>" * 10_000, "<p></span>" * 100_000, "<!--" * 250_000, "</ " * 300_000, "<" * 1_000_000, "&amp" * 250_000,
+])
+def test_html_time_grows_with_the_page(page):
+    """Hostile pages of about 1 MB."""
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_html_finds_made_articles(spark):
+    """Pages made around known articles, in every wrapper: the text is the article's blocks and nothing else; empty tables and clashing names."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(120):
+        blocks = [" ".join(rng.choice(["word", "naïve", "漢字", "a &lt; b"]) for _ in range(rng.randrange(6, 60))) + "." for _ in range(rng.randrange(2, 9))]
+        body = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>"]).format(x) for x in blocks)
+        shell = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div class=content>{}</div>", "<form><div class='page no-sidebar'>{}</div></form>", "<section id=x>{}</section>"])
+        rows.append((k, "u", f"<html><head><title>t</title></head><body>{BESIDE}<div class=cookie-consent>We use cookies, as ever.</div>{shell.format(body)}<footer>end</footer>{TALK * (k % 2)}", "x"))
+        want[k] = "\n".join(x.replace("&lt;", "<") for x in blocks)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(df).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(want[r["page_id"]]) for r in got)
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_pipeline_rows_without_or_with_shared_ids(spark):
     """Only the rejected rows go, and a copy without a doc_id leaves before the one that has it."""
     good, other = (" ".join(f"{x}river{k}" + "." * (k % 12 == 11) for k in range(240)) for x in "ab")
