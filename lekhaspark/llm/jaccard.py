@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import documents, forget, partitions, written
+from .store import documents, forget, written
 
 #: Tokens that order A knows as common: a bound on what is broadcast, not on what is compared.
 MOST_COMMON = 1 << 16
@@ -145,53 +145,6 @@ def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(sets, "doc_id long, key long, n long, digest binary, tokens array<long>")
 
 
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """(t, doc_id, n, at) of the tokens that two classes have in their prefixes. The records are packed
-    by hash before they are dealt, and each task sorts its own; what only one class has goes no further."""
-    n = partitions(rows)
-
-    def pack(batches):
-        for b in batches:
-            off = b.column(3).offsets.to_numpy()
-            size = np.diff(off)
-            t = b.column(3).values.to_numpy()[off[0] : off[-1]].view(B.U)
-            row, at = np.repeat(np.arange(b.num_rows), size), np.arange(len(t)) - np.repeat(off[:-1] - off[0], size)
-            head = np.stack([b.column(k).to_numpy() for k in range(3)]).astype(np.int64)
-            bucket = (B.mix(t, 31) % B.U(n)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[by], np.arange(n + 1))
-            out: list[list] = [[], [], [], [], []]
-            for k in range(n):
-                pick = by[ends[k] : ends[k + 1]]
-                if len(pick):
-                    used, index = np.unique(row[pick], return_inverse=True)
-                    for c, v in zip(out, (k, t[pick].tobytes(), head[:, used].tobytes(), index.astype(np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes())):
-                        c.append(v)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "t", "rows", "row", "at"])
-
-    def sort(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for bucket, *r in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(bucket, []).append(r)
-        for bucket in list(held):
-            parts = held.pop(bucket)
-            t = np.concatenate([np.frombuffer(p[0], B.U) for p in parts])
-            head = [np.frombuffer(p[1], np.int64).reshape(3, -1)[:, np.frombuffer(p[2], np.uint32)] for p in parts]
-            doc, size, kind = np.concatenate(head, axis=1)
-            at = np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts])
-            by = np.argsort(t, kind="stable")
-            start = np.flatnonzero(np.concatenate(([True], t[by][1:] != t[by][:-1])))
-            lo, hi = np.minimum.reduceat(kind[by], start), np.maximum.reduceat(kind[by], start)
-            pick = by[np.repeat(lo != hi, np.diff(np.append(start, len(by))))]
-            for k in range(0, len(pick), 100_000):
-                p = pick[k : k + 100_000]
-                yield pa.record_batch([pa.array(t[p].view(np.int64)), pa.array(doc[p]), pa.array(size[p]), pa.array(at[p].astype(np.int64))], names=["t", "doc_id", "n", "at"])
-
-    packed = rows.select("doc_id", "n", "class", "tokens").mapInArrow(pack, "bucket int, t binary, rows binary, row binary, at binary")
-    return packed.repartition(n, "bucket").mapInArrow(sort, "t long, doc_id long, n long, at long")
-
-
 def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose order-A prefixes have enough in common: beyond them the sets can share at most what either has left."""
     x = prefixes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))

@@ -5,9 +5,11 @@ Two lines are the same when at most one word differs, is missing or is added
 are equal. Of the same lines the earliest (by doc_id, then place) stays; a line
 goes when an earlier one is the same as it.
 
-* Equal lines are one entry, found by a 128-bit hash; only hashes travel.
+* Equal lines are one entry, found by a 128-bit hash; only hashes travel, and
+  whatever follows works on entries, so a line that stands everywhere counts once.
 * An entry can have a partner only if some other entry shares its first or last half:
-  a grouped minimum and maximum over half-line hashes drops all others.
+  a grouped minimum and maximum over half-line hashes, combined before the
+  shuffle, drops all others.
 * The rest emit their deletion neighbourhood as hashed keys: the line itself, and the
   line without word i, keyed with i (for a replaced word) and without it (for an
   added one). Equal keys meet in a grouped minimum - no pairs are made, so a
@@ -15,23 +17,23 @@ goes when an earlier one is the same as it.
 * The entry and the earliest holder of its key are compared word by word.
 
 Defined cases: a null text has no lines; a line without words is never a
-duplicate and is kept; rows with one doc_id are taken in the order of their text hash; a
-null doc_id comes first; an empty table gives an empty result.
+duplicate and is kept; rows with one doc_id are taken in the order of their text hash,
+and rows with equal doc_id and text are reported once; a
+null doc_id comes first; an empty table gives an empty result; very long texts and lines are
+read whole; only doc_id and text are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .jaccard import shared_tokens
-from .store import documents, written
+from .store import documents, forget, written
 
 LEAST_WORDS = 8
 _POSITION = "struct<doc_id: long, text_hash: long, line: int>"
@@ -53,7 +55,7 @@ def _key(kind: int, *parts: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(parts), digest_size=16, salt=kind.to_bytes(8, "little")).digest()
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
+def _line_rows(docs: DataFrame, least_words: int) -> DataFrame:
     """One row for each line with a word: doc_id, text_hash, line, id (hash of its words), n_words, n_chars, halves."""
 
     def run(batches):
@@ -68,7 +70,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                         n = len(words)
                         if n:
                             halves = {_short(k, words[:q] if k % 2 == 0 else words[n - q :]) for m in (n, n - 1) for q in (m // 2,) for k in (2 * q, 2 * q + 1)}
-                            for c, v in zip(cols, (ids[i], hashes[i], at, _key(0, *words), n, len(line), sorted(halves) if n >= LEAST_WORDS - 1 else [])):
+                            for c, v in zip(cols, (ids[i], hashes[i], at, _key(0, *words), n, len(line), sorted(halves) if n >= least_words - 1 else [])):
                                 c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "text_hash", "line", "id", "n_words", "n_chars", "halves"])
@@ -97,15 +99,21 @@ def same_but_one(a: list[bytes], b: list[bytes]) -> bool:
     return a == b or rest[0] == rest[1]
 
 
+def _with_partner(keyed: DataFrame) -> DataFrame:
+    """The rows (short, t, ...) whose key t another entry has as well; the join splits keys that very many have."""
+    shared = keyed.groupBy("t").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("t")
+    return keyed.join(shared, "t", "left_semi")
+
+
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each line with a word: doc_id, text_hash, line, n_chars, removed (boolean)."""
-    rows = written(_line_rows(docs), "lines")
+    rows = written(_line_rows(docs, least_words), "lines")
     pos = F.struct("doc_id", "text_hash", "line")
-    short = F.xxhash64("id").alias("short")
-    entries = written(rows.groupBy("id").agg(F.min(pos).alias("pos")).select("id", short, "pos"), "entries")
-    halves = rows.where(F.size("halves") > 0).select(short, F.col("halves"))
-    likely = shared_tokens(halves.select(F.col("short").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.col("short").alias("class"), F.col("halves").alias("tokens"))).select(F.col("doc_id").alias("short")).distinct()
-    firsts = entries.join(likely, "short", "left_semi").select("short", "pos")
+    found = written(rows.groupBy("id").agg(F.min(pos).alias("pos"), F.first("halves").alias("halves")).select("id", F.xxhash64("id").alias("short"), "pos", "halves"), "entries")
+    entries = found.select("id", "pos")
+    firsts = found.where(F.size("halves") > 0).select("short", "pos")
+    likely = _with_partner(found.select("short", F.explode("halves").alias("t"))).select("short").distinct()
+    firsts = written(firsts.join(likely, "short", "left_semi"), "firsts")
 
     def keys(batches):
         """Keys in order: the line, then for each word the line without it, and the same with its place."""
@@ -119,14 +127,15 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
                     bare = _short(1, less)
                     mine += [bare, _placed(bare, i)]
                 out.append(mine)
-            none = pa.array(np.zeros(len(out), np.int64))
-            yield pa.record_batch([b.column(0), none, b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "tokens"])
+            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["short", "keys"])
 
     texts = written(_texts(docs, firsts), "likely")
     named = texts.join(firsts, "pos").select("short", "words")
-    near = shared_tokens(named.mapInArrow(keys, "doc_id long, n long, class long, tokens array<long>"))
-    near = near.select("t", F.col("doc_id").alias("short"), (F.col("at") % 2 == 0).alias("full")).distinct().join(firsts, "short")
+    made = written(named.mapInArrow(keys, "short long, keys array<long>"), "variants")
+    near = _with_partner(made.select("short", F.posexplode("keys").alias("at", "t")))
+    near = near.select("t", "short", (F.col("at") % 2 == 0).alias("full")).distinct().join(firsts, "short")
     near = written(near.select("t", "full", "pos"), "keys")
+    forget(made)
     # with one word replaced any two holders are the same; with one word added, a whole line and those with one word more
     least = near.groupBy("t").agg(F.min(F.when(F.col("full"), F.col("pos"))).alias("whole"), F.min(F.when(~F.col("full"), F.col("pos"))).alias("longer"))
     met = near.join(least, "t").select("pos", F.explode(F.filter(F.array(F.col("whole"), F.when(F.col("full"), F.col("longer"))), lambda p: p.isNotNull())).alias("lead")).where("lead < pos").distinct()
@@ -148,14 +157,15 @@ def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = repeated_lines(docs, least_words)
     done = rows.groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
+        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
         F.coalesce(F.sum(F.when(~F.col("removed"), F.col("n_chars"))), F.lit(0)).alias("kept_chars"),
     )
-    every = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
+    # equal rows have equal lines: their counts are so many times those of one
+    every = documents(docs).groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.count("*").alias("copies"))
     d, h = done.columns[:2]
     met = every.join(done.withColumnsRenamed({d: "d", h: "h"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    zero = F.lit(0).cast("long")
-    return met.select("doc_id", "text_hash", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_removed")], F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("kept_chars", zero).alias("kept_chars"))
+    each = [F.expr(f"coalesce({c}, 0L) div copies").alias(c) for c in ("n_lines", "n_removed", "kept_chars")]
+    return met.select("doc_id", "text_hash", *each[:2], F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), each[2])
 
 
 def drop_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -189,6 +189,40 @@ def test_substrings_equal_brute_force(spark, docs, edges):
     assert got[1] == 0 and got[2] == 174 and got[6] == 0 and got[9] > 100_000 and got[3] == 0
 
 
+def brute_lines(rows, least):
+    """(doc_id, n_lines, removed) of each distinct row, by comparing every line with all that stand before it."""
+    placed = sorted({(d, t) for d, t in rows}, key=lambda r: r[0])
+    seen, out = [], []
+    for d, t in placed:
+        removed, n = [], 0
+        for at, line in enumerate(t.split("\n")):
+            w = line.encode().split()
+            if w:
+                n += 1
+                if any(w == x or max(len(w), len(x)) >= least and lines.same_but_one(w, x) for x in seen):
+                    removed.append(at)
+                seen.append(w)
+        out.append((d, n, removed))
+    return out
+
+
+@pytest.mark.parametrize("least", [8, 3])
+def test_lines_equal_brute_force(spark, least):
+    """Lines of a small vocabulary, copies with words changed, added and left out, and repeated rows."""
+    rng = random.Random(least)
+    made = [[rng.choice("abcdefgh") + str(rng.randrange(4)) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    for _ in range(200):
+        w = list(rng.choice([x for x in made if x]))
+        i = rng.randrange(len(w))
+        w[i : i + rng.randrange(2)] = rng.choice(([], ["z"], ["y", "z"]))
+        made.append(w)
+    rows = [(d, "\n".join(" ".join(rng.choice(made)) for _ in range(rng.randrange(1, 6)))) for d in range(150)]
+    rows += [rows[3], rows[3], rows[70]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_lines"], r["removed_lines"]) for r in lines.line_report(df, least).orderBy("doc_id").collect()]
+    assert got == brute_lines(rows, least) and any(r for _, _, r in got)
+
+
 def test_lines(spark, edges):
     a = "the quick brown fox jumps over the lazy dog today"
     rows = [(1, f"{a}\nshort line"), (2, f"{a.replace('lazy', 'idle')}\nshort line\nshort lines"), (3, f"{a} again\n\n{a.replace('fox ', '')}"), (4, "the slow brown fox leaps over the lazy dog today")]
