@@ -145,17 +145,22 @@ def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(sets, "doc_id long, key long, n long, digest binary, tokens array<long>")
 
 
-def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose order-A prefixes have enough in common: beyond them the sets can share at most what either has left."""
+    pairs = written(pairs, "candidates")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    prefixes = written(nodes.select("cid", "n", "tokens").join(involved, "cid", "left_semi"), "prefixes")
     x = prefixes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
     y = prefixes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
     most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
     most = F.least(most, F.col("n"), F.col("m"))
     enough = (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("m") - most)) & (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
+    close = written(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "pairs")
+    forget(pairs, prefixes)
+    return close
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link: the prefixes of both hash orders must meet, then whole sets are compared,
     pair by pair inside Spark, so that no task holds the sets of many pairs at once."""
 
@@ -172,8 +177,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.select(F.col("cid").alias("node"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.key").alias("key")).join(involved, "node", "left_semi")
-    own = texts.join(wanted, ["doc_id", "key"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = written(own.mapInArrow(whole, "cid long, set array<long>, by_b array<int>, by_c array<int>"), "whole")
+    # written first, so that Spark knows whether it is small enough to leave the texts where they are
+    wanted = written(wanted, "wanted")
+    own = texts.join(wanted, ["doc_id", "key"])
+    if repeats:
+        own = own.groupBy("node").agg(F.first("text").alias("text"))
+    sets = written(own.select("node", "text").mapInArrow(whole, "cid long, set array<long>, by_b array<int>, by_c array<int>"), "whole")
     left = sets.select(F.col("cid").alias("a"), F.col("by_b").alias("x_b"), F.col("by_c").alias("x_c"))
     right = sets.select(F.col("cid").alias("b"), F.col("by_b").alias("y_b"), F.col("by_c").alias("y_c"))
     met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c"))
@@ -182,7 +191,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.size("x") + F.size("y"))
     sides = met.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
     links = written(sides.where(linked).select("a", "b"), "links")
-    forget(sets, met)
+    forget(sets, met, wanted)
     return links
 
 
@@ -192,8 +201,8 @@ def _possible(percent: int, n, i, m, j):
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100) * most >= F.lit(percent) * (n + m - most))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) between the sets of nodes (cid, lead, n, tokens), one row each; texts has (doc_id, key, text)."""
+def _links(nodes: DataFrame, texts: DataFrame, repeats: bool, words: int, percent: int) -> DataFrame:
+    """(node, component) over the links between the sets of nodes (cid, lead, n, tokens), one row each; texts has (doc_id, key, text), with repeats if rows may be equal."""
     # the tokens that two sets have in their prefixes: counts are combined before the shuffle, the join splits hot tokens
     listed = nodes.select("cid", "n", F.posexplode("tokens").alias("at", "t"))
     shared = listed.groupBy("t").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("t")
@@ -204,8 +213,8 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> tupl
     leaders = weighed.groupBy("t").agg(F.max(F.struct("w", (-F.col("cid")).alias("c"), "n", "at")).alias("l")).select("t", (-F.col("l.c")).alias("lead"), F.col("l.n").alias("m"), F.col("l.at").alias("j"))
     first = kept.join(leaders, "t").where("cid <> lead").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
     first = first.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-    first = written(_close(first, nodes, percent), "pairs")
-    links = _verified(first, nodes, texts, words, percent)
+    first = _close(first, nodes, percent)
+    links = _verified(first, nodes, texts, repeats, words, percent)
     group = connected_components(links)
     # what the leaders left open: lists that hold sets of two components, and there only pairs of different components
     placed = kept.join(group.withColumnRenamed("node", "cid"), "cid", "left").select("t", "cid", "n", "at", F.coalesce("component", "cid").alias("g"))
@@ -216,12 +225,12 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> tupl
     y = placed.select("t", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("g").alias("g2"))
     rest = placed.where(short).join(y, "t").where("g <> g2 and (n < m or (n = m and cid < cid2))").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
     rest = rest.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = written(_close(rest, nodes, percent), "pairs")
-    more = _verified(rest, nodes, texts, words, percent)
+    rest = _close(rest, nodes, percent)
+    more = _verified(rest, nodes, texts, repeats, words, percent)
     every = written(more.union(links), "links")
     components = connected_components(every)
-    forget(kept, first, placed, rest, links, more)
-    return every, components
+    forget(kept, first, placed, rest, links, more, every)
+    return components
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -231,21 +240,24 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     full = rows.where("doc_id is not null and n > 0")
     least = F.min(F.struct("doc_id", "key"))
     classes = written(full.groupBy("digest").agg(least.alias("lead"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    nodes = classes.withColumn("cid", F.col("lead.doc_id"))
     # two sets under one least doc_id are two nodes: the second is known by its digest
-    twice = classes.groupBy(F.col("lead.doc_id").alias("cid")).agg(F.min("digest").alias("one"), F.count("*").alias("k")).where("k > 1").select("cid", "one")
-    named = classes.withColumn("cid", F.col("lead.doc_id")).join(twice, "cid", "left")
-    by_set = F.lit(1 << 62) + F.pmod(F.xxhash64("digest"), F.lit(1 << 62))
-    nodes = written(named.select(F.when(F.col("one") != F.col("digest"), by_set).otherwise(F.col("cid")).alias("cid"), "lead", "digest", "class_size", "n", "tokens"), "nodes")
+    twice = written(nodes.groupBy("cid").agg(F.min("digest").alias("one"), F.count("*").alias("k")).where("k > 1").select("cid", "one"), "twice")
+    if not twice.isEmpty():
+        by_set = F.lit(1 << 62) + F.pmod(F.xxhash64("digest"), F.lit(1 << 62))
+        nodes = nodes.join(twice, "cid", "left").withColumn("cid", F.when(F.col("one") != F.col("digest"), by_set).otherwise(F.col("cid")))
     slim = written(rows.select("doc_id", "key", "n", "digest"), "rows")
-    forget(rows, classes)
+    forget(rows)
+    repeats = not slim.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     texts = base.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    _, components = _links(nodes, texts, words, percent)
+    components = _links(nodes, texts, repeats, words, percent)
     placed = nodes.join(components.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "lead", "class_size", "cid", F.coalesce("component", "cid").alias("component"))
     placed = written(placed, "placed")
-    forget(nodes)
+    forget(classes, twice)
     # a component that holds only second sets is named by the least doc_id among them
-    unnamed = placed.where(F.col("component") >= F.lit(1 << 62)).groupBy("component").agg(F.min("lead.doc_id").alias("name"))
-    by_class = placed.join(unnamed, "component", "left").select("digest", F.col("lead").alias("l"), "class_size", (F.col("cid") == F.col("component")).alias("leads"), F.coalesce("name", "component").alias("component"))
+    unnamed = written(placed.where(F.col("component") >= F.lit(1 << 62)).groupBy("component").agg(F.min("lead.doc_id").alias("name")), "unnamed")
+    by_class = placed.withColumn("name", F.lit(None).cast("long")) if unnamed.isEmpty() else placed.join(unnamed, "component", "left")
+    by_class = by_class.select("digest", F.col("lead").alias("l"), "class_size", (F.col("cid") == F.col("component")).alias("leads"), F.coalesce("name", "component").alias("component"))
     known = slim.where("doc_id is not null and n > 0").join(by_class, "digest")
     known = known.select("doc_id", "key", "n", F.col("l.doc_id").alias("cid"), "class_size", "component", (F.col("leads") & (F.col("doc_id") == F.col("l.doc_id")) & (F.col("key") == F.col("l.key"))).alias("lead"))
     alone = slim.where("doc_id is null or n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("cid"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component"), F.lit(True).alias("lead"))
