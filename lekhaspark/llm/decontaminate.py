@@ -1,12 +1,14 @@
 """Operator 10: benchmark decontamination by a BM25 index with block-max WAND.
 
-The index holds the test items. For a term and an item it has the BM25 impact,
+The index holds inverted lists of the test items. For a term and an item it has the BM25 impact,
 divided by the sum of the item's impacts, so that a passage which contains all of
-an item scores 1. Items stand in blocks; for each term and block the index has
-the highest impact. Every document is cut into overlapping passages, and every
-passage is a query over the whole index: the highest impacts of a block, summed over
-the terms of a passage, bound what any item of the block can score, so only blocks
-whose bound reaches the threshold are scored. Nothing that reaches it is lost, and
+an item scores 1. Items stand in blocks; a term has the highest impact of all its list and of
+each block. Every document is cut into overlapping passages, and every
+passage is a query over the whole index. As in WAND, the terms of a passage are put in order of their
+highest impacts; up to a pivot they cannot reach the threshold together, so only blocks on the lists
+from the pivot on are looked at. Then the highest impacts of the block, summed over all terms of the
+passage, bound what any item of it can score, and only the items of blocks whose bound reaches the threshold
+are scored. All passages of a slice of texts go through these steps together. Nothing that reaches the threshold is lost, and
 there is no limit on how many are retrieved. A retrieved item counts
 when both parts of it, question and answer, are there, or WHOLE_OVERLAP of it in order
 without regard to the parts (a passage cut off before the answer). A part is there by word
@@ -18,10 +20,11 @@ only after the question, and those of the question before the answer.
 At most PART_WORDS words of items are broadcast at once; a larger benchmark is cut
 into such parts, with idf over all items, and the documents are read once for each part.
 
-Defined cases: items and documents without words match nothing; repeated items
-are items of their own; repeated rows of a doc_id give one row for each item;
-null doc_ids are never reported, and `clean` keeps them only if nothing
-matches them - which is tested on the row itself.
+Defined cases: items and documents without words match nothing; an empty benchmark or no documents give an
+empty result; repeated items are items of their own; of equal scores every item is reported; repeated rows of a
+doc_id give one row for each item; very long texts are read whole, in passages; null doc_ids are never reported, and
+`clean` keeps them only if nothing matches them - which is tested on the row itself; only doc_id, text and item_id are
+read, so further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .store import forget, written
 
 K1, LENGTH_WEIGHT = 1.2, 0.75
 THRESHOLD = 0.5
@@ -42,9 +46,11 @@ WHOLE_OVERLAP = 0.6
 GRAM = 3
 BLOCK = 8
 SEGMENT = 64
-#: The most words of items in one dense index (one item at least), and in what is broadcast at once.
-INDEX_WORDS = 1 << 14
-PART_WORDS = 1 << 17
+#: The most words of items in what is broadcast at once (one item at least): about 16 bytes of lists for each word.
+PART_WORDS = 1 << 20
+#: Look-ups of one step, a bound on its memory.
+CHUNK = 1 << 20
+ROUNDING = 1e-9
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
@@ -123,7 +129,10 @@ def word_overlaps(item: np.ndarray, n_question: int, passage: np.ndarray) -> tup
 
 
 class Index:
-    """Items of one length class: dense impacts of terms in blocks of items."""
+    """Inverted lists of items of one length class.
+
+    For each term: its highest impact; the blocks of items it stands in, with the highest impact in
+    each; and the items, with their impacts. Lists are sorted codes (term, block) and (term, item)."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean: float):
         self.ids = [i for i, _ in items]
@@ -133,20 +142,28 @@ class Index:
         self.n_question = [len(q) if len(q) < len(w) else 0 for (q, _), w in zip(parts, words)]
         self.segment = max(SEGMENT, *map(len, words))
         self.terms = np.unique(np.concatenate(words))
-        impact = np.zeros((len(self.terms), len(items)), np.float32)
+        self.n_blocks = -(-len(items) // BLOCK)
+        codes, impacts = [], []
         for j, w in enumerate(words):
             t, tf = np.unique(w, return_counts=True)
             seen = np.array([df[int(x)] for x in t.view(np.int64)])
             idf = np.log(1 + (n_items - seen + 0.5) / (seen + 0.5))
             v = idf * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * len(w) / mean))
-            impact[np.searchsorted(self.terms, t), j] = v / v.sum()
-        n_blocks = -(-len(items) // BLOCK)
-        padded = np.zeros((len(self.terms), n_blocks * BLOCK), np.float32)
-        padded[:, : len(items)] = impact
-        self.impact, self.block_max = impact, padded.reshape(len(self.terms), n_blocks, BLOCK).max(axis=2)
-
-    def search(self, h: np.ndarray, count: np.ndarray):
-        """(row, item, score, question, answer) of all passages that reach the threshold and hold both parts or most of the item."""
+            codes.append(np.searchsorted(self.terms, t).astype(np.int64) * len(items) + j)
+            impacts.append(v / v.sum())
+        code, impact = np.concatenate(codes), np.concatenate(impacts)
+        by = np.argsort(code)
+        self.item_code, self.impact = code[by], impact[by]
+        term, item = np.divmod(self.item_code, len(items))
+        block = term * self.n_blocks + item // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        self.block_code, self.block_max = block[first], np.maximum.reduceat(self.impact, first)
+        self.block_ptr = np.searchsorted(self.block_code // self.n_blocks, np.arange(len(self.terms) + 1))
+        self.term_max = np.maximum.reduceat(self.block_max, self.block_ptr[:-1])
+
+    def above(self, h: np.ndarray, count: np.ndarray):
+        """(first word, row, item, score) of all passages and items whose score reaches the threshold. A passage is two
+        segments of a row, or the last one; h are the words of the rows, count how many each has."""
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[at] == h)
         if not len(known):
@@ -156,47 +173,68 @@ class Index:
         n_seg = -(-count // self.segment)
         seg_base = np.cumsum(n_seg) - n_seg
         seg = seg_base[row] + (known - (ends - count)[row]) // self.segment
-        code = np.unique(seg * len(self.terms) + at[known])
-        seg, term = code // len(self.terms), code % len(self.terms)
-        total = int(n_seg.sum())
         owner = np.repeat(np.arange(len(count)), n_seg)
-        follows = np.append(owner[1:] == owner[:-1], False)
-        starts = np.searchsorted(seg, np.arange(total + 1))
-
-        def passages(table: np.ndarray, of: np.ndarray) -> np.ndarray:
-            """Sums of the rows of `table` over the terms of each passage that starts in `of`; a term in both its segments counts twice."""
-            need = np.union1d(of, of[follows[of]] + 1)
-            sums = np.zeros((len(need), table.shape[1]), np.float32)
-            step = max(1, (1 << 22) // (table.shape[1] * 64))
-            for lo in range(0, len(need), step):
-                part = need[lo : lo + step]
-                size = starts[part + 1] - starts[part]
-                full = np.flatnonzero(size)
-                if len(full):
-                    first = np.cumsum(size[full]) - size[full]
-                    at_ = np.repeat(starts[part[full]] - first, size[full]) + np.arange(int(size[full].sum()))
-                    sums[lo + full] = np.add.reduceat(table[term[at_]], first, axis=0)
-            here = np.searchsorted(need, of)
-            both = follows[of]
-            out = sums[here]
-            out[both] += sums[here[both] + 1]
-            return out
-
-        # block bounds first, then the items of the blocks whose bound reaches the threshold
-        bound = passages(self.block_max, np.arange(total)) >= THRESHOLD
-        open_ = np.flatnonzero(bound.any(axis=1))
-        if not len(open_):
+        # each segment's terms belong to the passage that starts there and to the one that starts before it
+        earlier = seg[(seg > 0)]
+        back = owner[earlier - 1] == owner[earlier]
+        code = np.concatenate((seg, earlier[back] - 1)) * len(self.terms) + np.concatenate((at[known], at[known][seg > 0][back]))
+        passage, term = np.divmod(np.unique(code), len(self.terms))
+        # what all terms of a passage can give at most
+        top = self.term_max[term]
+        likely = np.bincount(passage, top)[passage] >= THRESHOLD - ROUNDING
+        passage, term, top = passage[likely], term[likely], top[likely]
+        if not len(passage):
             return
-        likely = passages(self.impact, open_) >= THRESHOLD - 1e-5
-        likely &= np.repeat(bound[open_], BLOCK, axis=1)[:, : len(self.ids)]
-        for k, item in zip(*(x.tolist() for x in np.nonzero(likely))):
-            s = int(open_[k])
-            r = owner[s]
-            terms = np.unique(term[starts[s] : starts[s + 2 if follows[s] else s + 1]])
-            score = float(self.impact[terms, item].sum())
-            if score < THRESHOLD - 1e-5:
-                continue
-            lo = ends[r] - count[r] + (s - seg_base[r]) * self.segment
+        # the pivot: the terms before it, weakest first, cannot reach the threshold together, so an item needs one from it on
+        by = np.lexsort((top, passage))
+        passage, term, top = passage[by], term[by], top[by]
+        starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        size = np.diff(np.append(starts, len(passage)))
+        total = np.cumsum(top)
+        strong = total - np.repeat(total[starts] - top[starts], size) >= THRESHOLD - ROUNDING
+        own = np.repeat(np.arange(len(starts)), size)
+        blocks = _spans(self.block_ptr[term[strong]], self.block_ptr[term[strong] + 1])
+        width = (self.block_ptr[term[strong] + 1] - self.block_ptr[term[strong]]).astype(np.int64)
+        pair = np.unique(np.repeat(own[strong], width) * self.n_blocks + self.block_code[blocks] % self.n_blocks)
+        which, block = np.divmod(pair, self.n_blocks)
+        for part in self._chunks(size[which]):
+            bound = self._sums(which[part], block[part], starts, size, term, self.block_code, self.block_max, self.n_blocks)
+            open_ = np.flatnonzero(bound >= THRESHOLD - ROUNDING)
+            w = np.repeat(which[part][open_], BLOCK)
+            item = (block[part][open_][:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            w, item = w[item < len(self.ids)], item[item < len(self.ids)]
+            for inner in self._chunks(size[w]):
+                score = self._sums(w[inner], item[inner], starts, size, term, self.item_code, self.impact, len(self.ids))
+                for k in np.flatnonzero(score >= THRESHOLD - ROUNDING).tolist():
+                    s = int(passage[starts[w[inner][k]]])
+                    r = int(owner[s])
+                    yield int(ends[r] - count[r] + (s - seg_base[r]) * self.segment), r, int(item[inner][k]), float(score[k])
+
+    @staticmethod
+    def _chunks(size: np.ndarray):
+        """Ranges of pairs with about CHUNK look-ups each."""
+        cut = np.searchsorted(np.cumsum(size), np.arange(CHUNK, int(size.sum()) + CHUNK, CHUNK), "right") if len(size) else []
+        lo = 0
+        for hi in cut:
+            if hi > lo:
+                yield slice(lo, int(hi))
+                lo = int(hi)
+        if lo < len(size):
+            yield slice(lo, len(size))
+
+    @staticmethod
+    def _sums(which, target, starts, size, term, codes, values, n):
+        """For pairs of a passage and a block or item: the sum of the listed values over the passage's terms."""
+        width = size[which]
+        places = _spans(starts[which], starts[which] + width)
+        wanted = term[places] * n + np.repeat(target, width)
+        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        return np.bincount(np.repeat(np.arange(len(which)), width), np.where(codes[at] == wanted, values[at], 0.0), len(which))
+
+    def search(self, h: np.ndarray, count: np.ndarray):
+        """(row, item_id, score, question, answer) of what `above` finds and the passage holds both parts or most of the item."""
+        ends = np.cumsum(count)
+        for lo, r, item, score in self.above(h, count):
             passage = h[lo : min(lo + 2 * self.segment, ends[r])]
             got, whole = _grams(passage), 0.0
             q, a = (float(np.isin(p, got).mean()) if len(p) else 0.0 for p in self.parts[item])
@@ -207,6 +245,13 @@ class Index:
                 yield r, self.ids[item], score, q, a
 
 
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All integers of the ranges lo..hi, one after another."""
+    size = (hi - lo).astype(np.int64)
+    first = np.cumsum(size) - size
+    return np.repeat(lo - first, size) + np.arange(int(size.sum()))
+
+
 def _indexes(benchmark: DataFrame):
     """Parts of the benchmark of about PART_WORDS words, each a list of indexes of items of like length."""
 
@@ -219,27 +264,23 @@ def _indexes(benchmark: DataFrame):
             yield pa.record_batch([ids, pa.array(h.view(np.int64)), pa.array(n[row].astype(np.int64))], names=["item_id", "term", "n"])
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    words = items.mapInArrow(terms, "item_id long, term long, n long").distinct()
-    lengths = words.groupBy("item_id").agg(F.max("n").alias("n"))
-    n_items, total = lengths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words = written(items.mapInArrow(terms, "item_id long, term long, n long").distinct(), "item_words")
+    n_items, total = words.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_parts = max(1, -(-total // PART_WORDS))
-    df = words.groupBy("term").agg(F.countDistinct("item_id").alias("df"))
+    df = written(words.groupBy("term").agg(F.countDistinct("item_id").alias("df")), "item_df")
     for k in range(n_parts):
         own = F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == k
         part = [(r["item_id"], r["text"]) for r in items.where(own).collect()]
         seen = {r["term"]: r["df"] for r in df.join(words.where(own).select("term").distinct(), "term").collect()}
-        sized = sorted((len(_text_words(t)), i, t) for i, t in part)
         groups: list[list] = []
-        room = 0
-        for n, i, t in sized:
+        for n, i, t in sorted((len(_text_words(t)), i, t) for i, t in part):
             if not n:
                 continue
-            if not groups or room < n or n > max(SEGMENT, 2 * groups[-1][0][0]):
+            if not groups or n > max(SEGMENT, 2 * groups[-1][0][0]):
                 groups.append([])
-                room = INDEX_WORDS
             groups[-1].append((n, i, t))
-            room -= n
         yield [Index([(i, t) for _, i, t in g], seen, n_items, total / max(1, n_items)) for g in groups]
+    forget(words, df)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
+import math
 import random
 import re
 import time
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +72,48 @@ def test_token_counts_at_every_code_point(spark):
         assert {r["doc_id"]: r["fit_end"] for r in prefix_tokens.fit(prefixes, budget).collect()} == longest
 
 
+def test_decontamination_retrieves_all_above_the_threshold(spark):
+    """Against exhaustive BM25 scoring of every passage with every item, computed from words, not from lists."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r["item_id"]: decontaminate._text_words(r["text"]).tolist() for r in bench.collect()}
+    mean, df = sum(map(len, items.values())) / len(items), Counter(w for x in items.values() for w in set(x))
+    impacts = {}
+    for i, x in items.items():
+        v = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, n in Counter(x).items()}
+        impacts[i] = {w: y / sum(v.values()) for w, y in v.items()}
+    texts = [decontaminate._text_words(r["text"] or "") for r in docs.collect()]
+    texts += [np.concatenate((texts[k], np.array(x[: len(x) * 2 // 3], np.uint64), texts[k + 1])) for k, x in enumerate(items.values())]
+    h, count = np.concatenate(texts), np.array([len(t) for t in texts])
+    found = 0
+    for index in next(decontaminate._indexes(bench)):
+        want, at = {}, 0
+        for r, t in enumerate(texts):
+            for lo in range(0, len(t), index.segment):
+                passage = set(t[lo : lo + 2 * index.segment].tolist())
+                for i in index.ids:
+                    score = sum(y for w, y in impacts[i].items() if w in passage)
+                    if score >= decontaminate.THRESHOLD:
+                        want[at + lo, r, i] = score
+            at += len(t)
+        got = {(lo, r, index.ids[k]): score for lo, r, k, score in index.above(h, count)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        found += len(got)
+    assert found > len(items)
+
+
+def test_decontamination_edges(spark):
+    """Empty tables, clashing names, repeated rows and items, ties, a very long text with an item at its end."""
+    item = "What is the capital of the old river kingdom of the north? The capital is the white town of Arvenhall by the sea."
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, item, 7), (1, item, 7), (2, f"{long} {item}", 7), (3, long, 7), (4, None, 7), (5, "", 7), (None, item, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(10, item, 1), (11, item, 1), (12, None, 1), (None, item, 1), (13, "", 1)], "item_id long, text string, doc_id int")
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(docs, bench).collect()) == [(d, i, 1.0) for d in (1, 2) for i in (10, 11)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5]
+    assert decontaminate.find(docs.limit(0), bench).count() == decontaminate.find(docs, bench.limit(0)).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0)).count() == 7
+
+
 PROSE = [f"Paragraph {k} of the article, which goes on for a while, with commas and a full stop." for k in range(4)]
 BODY = "".join(f"<p>{x}</p>" for x in PROSE)
 BESIDE = "<nav><a href=x>menu of the page</a></nav><div class=sidebar><p>Side note, which is no part of the article.</p></div>"
