@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import documents, forget, written
+from .store import documents, forget, sieved, written
 
 #: Tokens that order A knows as common: a bound on what is broadcast, not on what is compared.
 MOST_COMMON = 1 << 16
@@ -149,7 +149,8 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose order-A prefixes have enough in common: beyond them the sets can share at most what either has left."""
     pairs = written(pairs, "candidates")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    prefixes = written(nodes.select("cid", "n", "tokens").join(involved, "cid", "left_semi"), "prefixes")
+    likely = sieved(nodes.select("cid", "n", "tokens"), involved, "cid")
+    prefixes = written(likely.join(involved, "cid", "left_semi"), "prefixes")
     x = prefixes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
     y = prefixes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
     most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
@@ -177,9 +178,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: boo
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.select(F.col("cid").alias("node"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.key").alias("key")).join(involved, "node", "left_semi")
-    # written first, so that Spark knows whether it is small enough to leave the texts where they are
     wanted = written(wanted, "wanted")
-    own = texts.join(wanted, ["doc_id", "key"])
+    own = sieved(texts, wanted, "doc_id", "key").join(wanted, ["doc_id", "key"])
     if repeats:
         own = own.groupBy("node").agg(F.first("text").alias("text"))
     sets = written(own.select("node", "text").mapInArrow(whole, "cid long, set array<long>, by_b array<int>, by_c array<int>"), "whole")

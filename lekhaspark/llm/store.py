@@ -52,6 +52,22 @@ def forget(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.written_to)
 
 
+#: Bits of a sieve: eight megabytes, whatever it was made of.
+SIEVE_BITS = 1 << 26
+_MAP_BITS = 1 << 15
+
+
+def sieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """rows without most of those whose columns `on` equal no row of keys; none that equals one is lost. Keys are marked in a
+    bitmap of a fixed size, the only thing that is broadcast; the more keys there are, the more other rows slip
+    through. A join that follows shuffles little more than what it needs."""
+    place = F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS))
+    marked = keys.select(place.alias("p")).groupBy(F.expr(f"p div {_MAP_BITS}").alias("_map")).agg(F.bitmap_construct_agg(F.col("p") % _MAP_BITS).alias("_bits"))
+    placed = rows.withColumn("_p", place).withColumn("_map", F.expr(f"_p div {_MAP_BITS}"))
+    byte = f"cast(conv(hex(substring(_bits, cast(_p % {_MAP_BITS} div 8 + 1 as int), 1)), 16, 10) as int)"
+    return placed.join(F.broadcast(marked), "_map").where(f"{byte} >> cast(_p % 8 as int) & 1 = 1").select(rows.columns)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
