@@ -48,7 +48,7 @@ BLOCK = 8
 SEGMENT = 64
 #: The most words of items in what is broadcast at once (one item at least): about 16 bytes of lists for each word.
 PART_WORDS = 1 << 20
-#: Look-ups of one step, a bound on its memory.
+#: Entries of lists in one step, a bound on its memory.
 CHUNK = 1 << 20
 ROUNDING = 1e-9
 
@@ -132,7 +132,7 @@ class Index:
     """Inverted lists of items of one length class.
 
     For each term: its highest impact; the blocks of items it stands in, with the highest impact in
-    each; and the items, with their impacts. Lists are sorted codes (term, block) and (term, item)."""
+    each; and for each of these entries the items, with their impacts. Lists are sorted codes (term, block) and (term, item)."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean: float):
         self.ids = [i for i, _ in items]
@@ -158,6 +158,7 @@ class Index:
         block = term * self.n_blocks + item // BLOCK
         first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         self.block_code, self.block_max = block[first], np.maximum.reduceat(self.impact, first)
+        self.entry_ptr = np.append(first, len(self.item_code))
         self.block_ptr = np.searchsorted(self.block_code // self.n_blocks, np.arange(len(self.terms) + 1))
         self.term_max = np.maximum.reduceat(self.block_max, self.block_ptr[:-1])
 
@@ -189,47 +190,45 @@ class Index:
         by = np.lexsort((top, passage))
         passage, term, top = passage[by], term[by], top[by]
         starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-        size = np.diff(np.append(starts, len(passage)))
+        cut = np.append(starts, len(passage))
         total = np.cumsum(top)
-        strong = total - np.repeat(total[starts] - top[starts], size) >= THRESHOLD - ROUNDING
-        own = np.repeat(np.arange(len(starts)), size)
-        blocks = _spans(self.block_ptr[term[strong]], self.block_ptr[term[strong] + 1])
-        width = (self.block_ptr[term[strong] + 1] - self.block_ptr[term[strong]]).astype(np.int64)
-        pair = np.unique(np.repeat(own[strong], width) * self.n_blocks + self.block_code[blocks] % self.n_blocks)
-        which, block = np.divmod(pair, self.n_blocks)
-        for part in self._chunks(size[which]):
-            bound = self._sums(which[part], block[part], starts, size, term, self.block_code, self.block_max, self.n_blocks)
-            open_ = np.flatnonzero(bound >= THRESHOLD - ROUNDING)
-            w = np.repeat(which[part][open_], BLOCK)
-            item = (block[part][open_][:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            w, item = w[item < len(self.ids)], item[item < len(self.ids)]
-            for inner in self._chunks(size[w]):
-                score = self._sums(w[inner], item[inner], starts, size, term, self.item_code, self.impact, len(self.ids))
-                for k in np.flatnonzero(score >= THRESHOLD - ROUNDING).tolist():
-                    s = int(passage[starts[w[inner][k]]])
-                    r = int(owner[s])
-                    yield int(ends[r] - count[r] + (s - seg_base[r]) * self.segment), r, int(item[inner][k]), float(score[k])
-
-    @staticmethod
-    def _chunks(size: np.ndarray):
-        """Ranges of pairs with about CHUNK look-ups each."""
-        cut = np.searchsorted(np.cumsum(size), np.arange(CHUNK, int(size.sum()) + CHUNK, CHUNK), "right") if len(size) else []
-        lo = 0
-        for hi in cut:
-            if hi > lo:
-                yield slice(lo, int(hi))
-                lo = int(hi)
-        if lo < len(size):
-            yield slice(lo, len(size))
-
-    @staticmethod
-    def _sums(which, target, starts, size, term, codes, values, n):
-        """For pairs of a passage and a block or item: the sum of the listed values over the passage's terms."""
-        width = size[which]
-        places = _spans(starts[which], starts[which] + width)
-        wanted = term[places] * n + np.repeat(target, width)
-        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-        return np.bincount(np.repeat(np.arange(len(which)), width), np.where(codes[at] == wanted, values[at], 0.0), len(which))
+        strong = total - np.repeat(total[starts] - top[starts], np.diff(cut)) >= THRESHOLD - ROUNDING
+        width = self.block_ptr[term + 1] - self.block_ptr[term]
+        for lo, hi in _ranges(np.add.reduceat(width, starts) + self.n_blocks):
+            own = slice(cut[lo], cut[hi])
+            n = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
+            for which, item, score in self._scored(n, term[own], top[own], strong[own], hi - lo):
+                s = int(passage[starts[lo + which]])
+                r = int(owner[s])
+                yield int(ends[r] - count[r] + (s - seg_base[r]) * self.segment), r, item, score
+
+    def _scored(self, passage: np.ndarray, term: np.ndarray, top: np.ndarray, strong: np.ndarray, n: int):
+        """(passage, item, score) that reach the threshold, of n passages with these terms; strong: from the pivot on."""
+
+        def lists(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The entries of the lists of terms, and for each its passage and block as one number."""
+            lo, hi = self.block_ptr[term[mask]], self.block_ptr[term[mask] + 1]
+            entry = _spans(lo, hi)
+            return entry, np.repeat(passage[mask], hi - lo) * self.n_blocks + self.block_code[entry] % self.n_blocks
+
+        # blocks on the lists from the pivot on: what these give, and what the terms before it give at most
+        entry, at = lists(strong)
+        given = np.bincount(at, self.block_max[entry], n * self.n_blocks).reshape(n, self.n_blocks)
+        before = np.bincount(passage, np.where(strong, 0.0, top), n)
+        near = (given > 0) & (given + before[:, None] >= THRESHOLD - ROUNDING)
+        # there the lists before the pivot count as well
+        weak, at_weak = lists(~strong & near.any(axis=1)[passage])
+        near = near.ravel()
+        entry, at = (np.concatenate((x[near[at]], y[near[at_weak]])) for x, y in ((entry, weak), (at, at_weak)))
+        open_ = np.bincount(at, self.block_max[entry], n * self.n_blocks) >= THRESHOLD - ROUNDING
+        entry, at = entry[open_[at]], at[open_[at]]
+        # the items of the open blocks
+        lo, hi = self.entry_ptr[entry], self.entry_ptr[entry + 1]
+        place = _spans(lo, hi)
+        pair, of = np.unique(np.repeat(at // self.n_blocks, hi - lo) * len(self.ids) + self.item_code[place] % len(self.ids), return_inverse=True)
+        score = np.bincount(of, self.impact[place], len(pair))
+        for k in np.flatnonzero(score >= THRESHOLD - ROUNDING).tolist():
+            yield int(pair[k]) // len(self.ids), int(pair[k]) % len(self.ids), float(score[k])
 
     def search(self, h: np.ndarray, count: np.ndarray):
         """(row, item_id, score, question, answer) of what `above` finds and the passage holds both parts or most of the item."""
@@ -245,6 +244,15 @@ class Index:
                 yield r, self.ids[item], score, q, a
 
 
+def _ranges(size: np.ndarray):
+    """Ranges (first, last) of rows of about CHUNK in all, one row at least."""
+    done, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """All integers of the ranges lo..hi, one after another."""
     size = (hi - lo).astype(np.int64)
