@@ -8,41 +8,59 @@ kept when its posterior probability of being good is at least one half and the
 base rules did not fail it.
 
 The corpus enters the estimation only as counts of vote patterns: one grouped
-count, at most 3 ** rules rows whatever the corpus holds. EM runs over that
-bounded table inside one row, as higher-order functions. Everything is
-DataFrame expressions; documents are never shuffled.
+count, written as a table. Each round of EM is one aggregation over that table to a row for
+each rule and vote, 3 * rules rows; only these sums reach the driver, which puts them into
+the next round's expressions. Everything is DataFrame expressions; documents are never
+shuffled, and nothing is broadcast.
 
 Defined cases: a null or empty text has no words, fails the base and is not
-kept; an empty table gives an empty result; repeated rows are judged alike;
-only doc_id and text are read, so other columns may bear any name.
+kept; an empty table gives an empty result; repeated rows and equal vote patterns are judged alike;
+a very long text is counted whole; only doc_id and text are read, so other columns may bear any name.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import documents, written
+from .store import documents, forget, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROUNDS = 12
+LEAST_WORDS = 50
 GOOD_PRIOR = 0.9
 #: (name, condition of a bad vote, condition of a good vote) over the features below.
 RULES = [
-    ("length", "n_words < 50", "false"),
-    ("word_length", "word_chars > 9 * n_words or word_chars < 2 * n_words", "false"),
-    ("symbols", "5 * n_symbols > n_words", "false"),
-    ("symbol_share", "20 * n_symbols > word_chars", "false"),
-    ("marks", "4 * n_marks > n_words", "false"),
-    ("capitals", "2 * n_upper > n_letters", "false"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "false"),
-    ("lines", "2 * n_dup_lines > n_lines", "false"),
-    ("prose", "50 * n_stops < n_words", "25 * n_stops >= n_words and 50 * n_symbols <= n_words and 2 * n_upper <= n_letters and 100 * n_repeat_words <= 10 * n_words"),
+    ("length", "n_words < 50", "n_words >= 100"),
+    ("word_length", "word_chars > 9 * n_words or word_chars < 2 * n_words", "word_chars >= 3 * n_words and word_chars <= 8 * n_words"),
+    ("symbols", "5 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    ("marks", "4 * n_marks > n_words", "20 * n_marks <= n_words"),
+    ("capitals", "2 * n_upper > n_letters", "10 * n_upper <= n_letters"),
+    ("digits", "5 * n_digits > n_letters", "20 * n_digits <= n_letters"),
+    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    ("lines", "2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
+    ("prose", "50 * n_stops < n_words", "25 * n_stops >= n_words and 4 * n_stops <= n_words"),
+    ("function_words", "n_words >= 50 and 50 * n_function < n_words", "10 * n_function >= n_words"),
+    ("variety", "n_words >= 50 and n_distinct * n_distinct < 8 * n_words", "n_distinct * n_distinct >= 16 * n_words"),
+    ("letters", "10 * n_letters < 6 * word_chars", "10 * n_letters >= 8 * word_chars"),
+    ("line_length", "n_words < 4 * n_lines and n_lines >= 5", "n_words >= 8 * n_lines"),
+    ("line_ends", "5 * n_ended < n_lines", "10 * n_ended >= 7 * n_lines"),
+    ("brackets", "50 * abs(n_open - n_close) > n_words", "n_open = n_close"),
+    ("long_words", "20 * n_long > n_words", "50 * n_long <= n_words"),
 ]
 #: Pseudo-votes (bad, abstain, good) of each rule for good and for bad documents, out of 1.
-PRIOR = {"good": (0.02, 0.58, 0.40), "bad": (0.40, 0.50, 0.10)}
+PRIOR = {"good": (0.01, 0.19, 0.80), "bad": (0.25, 0.10, 0.65)}
 #: Weight of the pseudo-votes, as a share of all documents.
-PRIOR_WEIGHT = 0.10
+PRIOR_WEIGHT = 0.05
+# Common function words of the languages that a corpus is mostly in; texts in others only lose the good vote's help.
+FUNCTION_WORDS = (
+    "the of and to in is that it for on with as was are be this by or from "
+    "der die das und ist nicht ein eine mit auf zu den von sich "
+    "le la les de des et est une un en que pour dans el los las y es por con para una del no se"
+).split()
 _N = 3 * len(RULES)
 
 
@@ -59,6 +77,9 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"[.!?]")).cast("long").alias("n_stops"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(r"[0-9]")).cast("long").alias("n_digits"),
+        F.regexp_count("text", F.lit(r"[(\[{]")).cast("long").alias("n_open"),
+        F.regexp_count("text", F.lit(r"[)\]}]")).cast("long").alias("n_close"),
     )
     grams = F.expr(
         "if(size(words) < 3, array(), zip_with(slice(words, 1, size(words) - 2), zip_with(slice(words, 2, size(words) - 2), "
@@ -73,7 +94,11 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("grams")) == F.size("grams"), F.lit(0)).otherwise(_covered()).cast("long").alias("n_repeat_words"),
-        "n_marks", "n_stops", "n_upper", "n_letters",
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
+        F.size(F.filter("words", lambda w: F.length(w) > 14)).cast("long").alias("n_long"),
+        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;][\"')\]]?[\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
+        "n_marks", "n_stops", "n_upper", "n_letters", "n_digits", "n_open", "n_close",
     )
 
 
@@ -90,49 +115,64 @@ def votes() -> list[Column]:
     return [F.when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1).alias(f"v_{name}") for name, bad, good in RULES]
 
 
-def posteriors(patterns: DataFrame) -> DataFrame:
-    """(idx, n) -> (idx, p_good): idx holds 3 * rule + vote for each rule; at most 3 ** rules rows, by construction."""
-    prior = {k: "array(" + ", ".join(f"{v!r}D" for v in PRIOR[k] * len(RULES)) + ")" for k in PRIOR}
-    log_odds = (
-        "ln(m.p) - ln(1 - m.p) + aggregate(x.idx, 0D, (s, k) -> s + ln(m.g[k]) - ln(m.b[k]))"
-    )
-    soft = f"transform(all, x -> struct(x.idx as idx, x.n as n, 1 / (1 + exp(-({log_odds}))) as r))"
-
-    def share(of: str, side: str) -> str:
-        return (
-            f"transform(sequence(0, {_N - 1}), k -> (aggregate(e, 0D, (s, x) -> s + if(array_contains(x.idx, k), x.n * {of}, 0D)) + w * {prior[side]}[k]) "
-            f"/ (aggregate(e, 0D, (s, x) -> s + x.n * {of}) + w))"
-        )
-
-    total = "aggregate(all, 0D, (s, x) -> s + x.n)"
-    step = (
-        f"aggregate(array({soft}), m, (m0, e) -> aggregate(array(greatest({total} * {PRIOR_WEIGHT}D, 1e-9D)), m0, (m1, w) -> struct("
-        f"(aggregate(e, 0D, (s, x) -> s + x.n * x.r) + w * {GOOD_PRIOR}D) / ({total} + w) as p, {share('x.r', 'good')} as g, {share('(1 - x.r)', 'bad')} as b)))"
-    )
-    model = f"aggregate(sequence(1, {ROUNDS}), struct({GOOD_PRIOR}D as p, {prior['good']} as g, {prior['bad']} as b), (m, i) -> {step})"
-    one = patterns.agg(F.sort_array(F.collect_list(F.struct("idx", F.col("n").cast("double").alias("n")))).alias("all"))
-    fitted = one.select("all", F.expr(model).alias("m"))
-    return fitted.select(F.expr(f"inline(transform(all, x -> struct(x.idx as idx, 1 / (1 + exp(-({log_odds}))) as p_good)))"))
-
-
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, one vote column for each rule, p_good and kept."""
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    index = F.array(*[F.col(f"v_{name}") + 3 * i for i, (name, _, _) in enumerate(RULES)])
-    seen = written(features(docs).select("*", *votes()).withColumn("idx", index), "votes")
-    fitted = written(posteriors(seen.groupBy("idx").agg(F.count("*").alias("n"))), "patterns")
-    # at most 3 ** rules rows: the bound that allows the broadcast
-    return seen.join(F.broadcast(fitted), "idx").select(
+def _log_odds(p: float, good: list[float], bad: list[float]) -> Column:
+    """Of a row of votes, under a model: the share of good documents and each rule's vote probabilities for either kind."""
+    out = F.lit(math.log(p) - math.log(1 - p))
+    for i, (name, _, _) in enumerate(RULES):
+        weights = [F.lit(math.log(good[3 * i + v]) - math.log(bad[3 * i + v])) for v in range(3)]
+        out = out + F.when(F.col(f"v_{name}") == 0, weights[0]).when(F.col(f"v_{name}") == 2, weights[2]).otherwise(weights[1])
+    return out
+
+
+def fit(patterns: DataFrame) -> tuple[float, list[float], list[float]]:
+    """(share of good documents, P(vote | good), P(vote | bad)) of vote patterns (v_..., n); votes of rule i are at 3 * i + vote."""
+    good, bad = ([*PRIOR[k]] * len(RULES) for k in ("good", "bad"))
+    p, prior_good, prior_bad = GOOD_PRIOR, good, bad
+    keys = F.array(*[F.col(f"v_{name}") + 3 * i for i, (name, _, _) in enumerate(RULES)])
+    for _ in range(ROUNDS):
+        r = 1 / (1 + F.exp(-_log_odds(p, good, bad)))
+        each = patterns.select(F.explode(F.concat(keys, F.array(F.lit(_N)))).alias("k"), (F.col("n") * r).alias("g"), (F.col("n") * (1 - r)).alias("b"))
+        sums = {row["k"]: (row["g"], row["b"]) for row in each.groupBy("k").agg(F.sum("g").alias("g"), F.sum("b").alias("b")).collect()}
+        if not sums:
+            break
+        all_good, all_bad = sums[_N]
+        w = PRIOR_WEIGHT * (all_good + all_bad)
+        p = (all_good + w * GOOD_PRIOR) / (all_good + all_bad + w)
+        good = [(sums.get(k, (0.0, 0.0))[0] + w * prior_good[k]) / (all_good + w) for k in range(_N)]
+        bad = [(sums.get(k, (0.0, 0.0))[1] + w * prior_bad[k]) / (all_bad + w) for k in range(_N)]
+    return p, good, bad
+
+
+def accuracies(p: float, good: list[float], bad: list[float]) -> dict[str, tuple[float, float]]:
+    """For each rule: how likely a document with its bad vote is bad, and one with its good vote good, by the fitted model."""
+    return {
+        name: ((1 - p) * bad[3 * i] / ((1 - p) * bad[3 * i] + p * good[3 * i]), p * good[3 * i + 2] / (p * good[3 * i + 2] + (1 - p) * bad[3 * i + 2]))
+        for i, (name, _, _) in enumerate(RULES)
+    }
+
+
+def quality(docs: DataFrame, least_words: int = LEAST_WORDS, report: Callable[[dict], None] | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, one vote column for each rule, p_good and kept. The base fails texts of under
+    `least_words` words and those that repeat themselves in more than half of their words. `report` gets the accuracies."""
+    failed = F.expr(f"n_words < {int(least_words)} or 100 * n_repeat_words > 50 * n_words")
+    seen = written(features(docs).select("*", *votes()), "votes")
+    patterns = written(seen.groupBy([f"v_{name}" for name, _, _ in RULES]).agg(F.count("*").cast("double").alias("n")), "patterns")
+    model = fit(patterns)
+    forget(patterns)
+    if report:
+        report(accuracies(*model))
+    p_good = 1 / (1 + F.exp(-_log_odds(*model)))
+    return seen.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good", *[f"v_{name}" for name, _, _ in RULES],
+        (~failed & (p_good >= 0.5)).alias("kept"), p_good.alias("p_good"), *[f"v_{name}" for name, _, _ in RULES],
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without rejected rows. A row is known by a hash of its doc_id and text, so that rows without a doc_id,
     and rows of different text that share one, are judged each for itself."""
     key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    judged = quality(docs.select(key.alias("doc_id"), docs["text"].alias("text")))
+    judged = quality(docs.select(key.alias("doc_id"), docs["text"].alias("text")), least_words)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, key == F.col("_gone"), "left_anti").select(docs.columns)
 
@@ -151,7 +191,10 @@ r AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM t, (VALUES (0), (1), (2)) A
 f AS (SELECT w0.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[!?]'))::BIGINT AS n_marks, len(regexp_extract_all(text, '[.!?]'))::BIGINT AS n_stops,
-  len(regexp_extract_all(text, '\\p{{Lu}}'))::BIGINT AS n_upper, len(regexp_extract_all(text, '\\p{{L}}'))::BIGINT AS n_letters FROM w0 LEFT JOIN r USING (doc_id)),
+  len(regexp_extract_all(text, '\\p{{Lu}}'))::BIGINT AS n_upper, len(regexp_extract_all(text, '\\p{{L}}'))::BIGINT AS n_letters,
+  len(regexp_extract_all(text, '[0-9]'))::BIGINT AS n_digits, len(regexp_extract_all(text, '[(\\[{{]'))::BIGINT AS n_open, len(regexp_extract_all(text, '[)\\]}}]'))::BIGINT AS n_close,
+  len(list_distinct(words))::BIGINT AS n_distinct, len(list_filter(words, lambda w: lower(w) IN ({', '.join(f"'{w}'" for w in FUNCTION_WORDS)})))::BIGINT AS n_function,
+  len(list_filter(words, lambda w: length(w) > 14))::BIGINT AS n_long, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;]["'')\\]]?[\\x20\\x09-\\x0D]*$')))::BIGINT AS n_ended FROM w0 LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, {vote} FROM f),
 pat AS (SELECT {ks}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
 tot AS (SELECT sum(n) AS n FROM pat),

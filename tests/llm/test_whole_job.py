@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality
+from lekhaspark.llm.store import sieved
 
 SF = "/root/testdata/sf0.001"
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -114,6 +115,49 @@ def test_decontamination_edges(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 7
 
 
+def test_quality_estimates_accuracies(spark):
+    """Votes drawn with known accuracies of each rule: EM finds these and the hidden kind without labels."""
+    rng, names = random.Random(3), [name for name, _, _ in quality.RULES]
+    sharp = [0.55 + 0.4 * k / len(names) for k in range(len(names))]
+    counts, kinds = Counter(), {}
+    for _ in range(6000):
+        good = rng.random() < 0.8
+        votes = tuple(1 if rng.random() < 0.2 else 2 * (good == (rng.random() < a)) for a in sharp)
+        counts[votes] += 1
+        kinds.setdefault(votes, []).append(good)
+    df = spark.createDataFrame([(*v, float(n)) for v, n in counts.items()], ", ".join(f"v_{n} int" for n in names) + ", n double")
+    p, good, bad = quality.fit(df)
+    assert abs(p - 0.8) < 0.05
+    w = quality.PRIOR_WEIGHT
+    for i, a in enumerate(sharp):  # the pseudo-votes pull by their stated weight
+        assert abs(good[3 * i + 2] - (0.64 * a + w * quality.PRIOR["good"][2]) / (0.8 + w)) < 0.04
+        assert abs(bad[3 * i] - (0.16 * a + w * quality.PRIOR["bad"][0]) / (0.2 + w)) < 0.09
+    odds = {tuple(r[:-1]): r[-1] for r in df.select(*df.columns[:-1], quality._log_odds(p, good, bad)).collect()}
+    assert sum((odds[v] > 0) == k for v, ks in kinds.items() for k in ks) > 0.97 * 6000
+    assert quality.accuracies(p, good, bad)[names[-1]][1] > quality.accuracies(p, good, bad)[names[0]][1]
+
+
+def test_quality_votes_differ_and_verdicts_follow_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.quality(docs).join(labels, "doc_id", "left").toPandas()
+    votes = got[[c for c in got if c.startswith("v_")]]
+    assert votes.shape[1] >= 15 and all((votes[c] == k).any() for c in votes for k in (0, 2) if c not in ("v_brackets", "v_digits", "v_line_length", "v_word_length", "v_lines"))
+    # a document may have a bad vote and stay: the posterior decides, not any one rule
+    assert ((votes == 0).any(axis=1) & (got.p_good >= 0.5)).sum() > 5
+    known = got[~got.base_failed & got.quality.notna()]
+    assert (known.kept == (known.quality == 1)).mean() > 0.99
+    stage = corpus_pipeline.quality_rules(spark, docs, SF).join(labels, "doc_id").toPandas()
+    assert (stage.quality == 1).sum() >= 0.97 * (got.quality == 1).sum() and (stage.quality == 0).sum() <= 0.05 * (got.quality == 0).sum()
+
+
+def test_sieve_loses_no_row(spark):
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    keys = rows.where("a % 11 = 0")
+    left = sieved(rows, keys, "a", "b")
+    assert left.columns == ["a", "b"] and left.where("a % 11 = 0").count() == keys.count() and left.count() < keys.count() + 20
+    assert sieved(rows, keys.limit(0), "a").count() == 0
+
+
 PROSE = [f"Paragraph {k} of the article, which goes on for a while, with commas and a full stop." for k in range(4)]
 BODY = "".join(f"<p>{x}</p>" for x in PROSE)
 BESIDE = "<nav><a href=x>menu of the page</a></nav><div class=sidebar><p>Side note, which is no part of the article.</p></div>"
