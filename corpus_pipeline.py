@@ -15,7 +15,8 @@ from lekhaspark.llm.store import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
+    """A short text is no junk by itself: the base asks for one word only, the length rule votes like the others."""
+    return quality.keep_good(docs, least_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
