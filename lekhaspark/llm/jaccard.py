@@ -14,7 +14,8 @@ n - ceil(s * n) + 1 tokens. Three orders are used:
 
 Only one row of each class makes lists, so copies cost nothing there; lists are
 joined and grouped by Spark, so a token that very many sets share is combined
-before the shuffle or split as a skewed join, never gathered in one task.
+before the shuffle or split as a skewed join, never gathered in one task. Pairs and sets
+meet by merge joins at every size, since either side grows with the input.
 
 Candidates from a list are not all its pairs. First each member of a list is
 compared with one leader, the member with most common tokens in its prefix.
@@ -150,13 +151,13 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pairs = written(pairs, "candidates")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     likely = sieved(nodes.select("cid", "n", "tokens"), involved, "cid")
-    prefixes = written(likely.join(involved, "cid", "left_semi"), "prefixes")
+    prefixes = written(likely.join(involved.hint("merge"), "cid", "left_semi"), "prefixes")
     x = prefixes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
     y = prefixes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
     most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
     most = F.least(most, F.col("n"), F.col("m"))
     enough = (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("m") - most)) & (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-    close = written(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "pairs")
+    close = written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(enough).select("a", "b"), "pairs")
     forget(pairs, prefixes)
     return close
 
@@ -179,17 +180,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: boo
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.select(F.col("cid").alias("node"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.key").alias("key")).join(involved, "node", "left_semi")
     wanted = written(wanted, "wanted")
-    own = sieved(texts, wanted, "doc_id", "key").join(wanted, ["doc_id", "key"])
+    own = sieved(texts, wanted, "doc_id", "key").join(wanted.hint("merge"), ["doc_id", "key"])
     if repeats:
         own = own.groupBy("node").agg(F.first("text").alias("text"))
     sets = written(own.select("node", "text").mapInArrow(whole, "cid long, set array<long>, by_b array<int>, by_c array<int>"), "whole")
     left = sets.select(F.col("cid").alias("a"), F.col("by_b").alias("x_b"), F.col("by_c").alias("x_c"))
     right = sets.select(F.col("cid").alias("b"), F.col("by_b").alias("y_b"), F.col("by_c").alias("y_c"))
-    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c"))
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c"))
     met = written(met.select("a", "b"), "met")
     both = F.size(F.array_intersect("x", "y"))
     linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.size("x") + F.size("y"))
-    sides = met.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    x, y = (sets.select(F.col("cid").alias(c), F.col("set").alias(s)).hint("merge") for c, s in (("a", "x"), ("b", "y")))
+    sides = met.join(x, "a").join(y, "b")
     links = written(sides.where(linked).select("a", "b"), "links")
     forget(sets, met, wanted)
     return links
