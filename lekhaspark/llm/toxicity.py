@@ -19,7 +19,9 @@ reads every text whole. labels, lang, source and doc_id are no inputs of a score
 
 Defined cases: a null or empty text has no evidence and gets the curve's base
 probability; without labels of both kinds the lexicon is empty and every
-score is 0.5 by the curve's prior or the share of the labels; repeated rows score alike.
+score is 0.5 by the curve's prior or the share of the labels; repeated rows score alike, entries of equal weight stand in
+the order of their letters; an empty table gives an empty result; very long texts are read whole; only doc_id, text and the labels'
+toxic are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that learning reads, at most (about): a bounded sample by hash.
 MOST_ROWS = 20_000
-MOST_ENTRIES = 400
 STEMS = (4, 5, 6)
 LEAST_SEEN = 5
 LEAST_LOG_ODDS = 2.0
@@ -163,8 +164,8 @@ def learn(rows: DataFrame) -> Model:
     rate = F.lit(n1 / (n0 + n1))
     z = (F.col("n1") - (F.col("n0") + F.col("n1")) * rate) / F.sqrt((F.col("n0") + F.col("n1")) * rate * (1 - rate))
     strong = _counts(rows, lambda t: _features(t.split())).where(F.col("n1") >= LEAST_SEEN).withColumn("w", log_odds).withColumn("z", z)
-    # the entries of a lexicon are a report of the strongest, in a fixed order
-    strong = strong.where((F.col("w") >= LEAST_LOG_ODDS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "f").limit(MOST_ENTRIES)
+    # all that pass the tests: the bounded sample of rows bounds them
+    strong = strong.where((F.col("w") >= LEAST_LOG_ODDS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "f")
     model.lexicon = {r["f"]: float(r["w"]) for r in strong.select("f", "w").collect()}
     model.compile()
 
@@ -181,7 +182,7 @@ def learn(rows: DataFrame) -> Model:
         return out
 
     calm = _counts(rows, around).where((F.col("n0") >= LEAST_SEEN) & ((F.col("n1") + 0.5) / (F.col("n0") + 1) <= rate / (1 - rate)))
-    model.exceptions = [r["f"] for r in calm.orderBy(F.desc("n0"), "f").limit(MOST_ENTRIES).collect()]
+    model.exceptions = [r["f"] for r in calm.orderBy(F.desc("n0"), "f").collect()]
     model.automaton = None
     model.compile()
 
@@ -211,7 +212,7 @@ def _logistic(x: np.ndarray, k: np.ndarray, n: np.ndarray, ridge: float = 0.05)
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, evidence, score, predicted, matches (folded entries that counted) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_ENTRIES entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its entries stand in at least LEAST_SEEN of at most MOST_ROWS labelled rows
 
     def run(batches):
         m = shared.value.compile()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality
+from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality, toxicity
 from lekhaspark.llm.store import sieved
 
 SF = "/root/testdata/sf0.001"
@@ -150,6 +150,30 @@ def test_quality_votes_differ_and_verdicts_follow_labels(spark):
     assert (stage.quality == 1).sum() >= 0.97 * (got.quality == 1).sum() and (stage.quality == 0).sum() <= 0.05 * (got.quality == 0).sum()
 
 
+def test_toxicity_on_rows_never_learned_from(spark):
+    """Labels of the table itself: the held-out fold is scored by a model that never saw it; its clean rows stay clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(toxicity.labelled(docs, labels.where(~toxicity.held_out(F.col("doc_id")))))
+    known = docs.join(labels.where(toxicity.held_out(F.col("doc_id"))), "doc_id")
+    got = toxicity.score(known, model).join(labels, "doc_id").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    rank = got.score.rank()
+    auc = (rank[got.toxic == 1].sum() - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean))
+    assert len(toxic) > 30 and auc > 0.95 and toxic.predicted.mean() > 0.85 and clean.predicted.mean() < 0.01
+
+
+def test_toxicity_edges(spark):
+    """No labels of one kind, empty tables, nulls, very long texts, repeated rows and clashing names."""
+    rows = [(1, "you utter moron", "x"), (1, "you utter moron", "x"), (2, None, "x"), (3, "", "x"), (None, "fine words " * 40_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.learn(toxicity.labelled(docs, labels))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 and not r["matches"] for r in got)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.learn(toxicity.labelled(docs, labels.limit(0))).lexicon == {}
+
+
 def test_sieve_loses_no_row(spark):
     rows = spark.range(-20_000, 20_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
     keys = rows.where("a % 11 = 0")
