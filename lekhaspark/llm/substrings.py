@@ -19,22 +19,25 @@ differ string by string:
    bytes themselves are dealt by hash and sorted. A string that stands in a smaller
    document goes.
 
+Records that are equal within a slice leave it once, under their least document: what every
+document holds comes to the task of its key once for each slice, not once for each document.
+
 The texts are written once, in slices, as a table bucketed by slice, and the answers
 are routed to the slices, so texts are never shuffled. Records are packed arrays
-sorted in the tasks. The full sort of all suffixes, and a comparison of bytes after
-equal hashes, would need the texts of both sides in one task; instead two hashes
-decide, of 64 and 48 bits: of the gram and its context in step 1, of a string and
-of its halves in step 3.
+sorted in the tasks. Whatever the polynomial hash finds equal is verified by a second hash of 64 bits,
+made of the bytes themselves and not of the polynomial: of the context in step 1, of the string in step 3.
 
 Defined cases: a null or short text loses nothing; rows with one doc_id are not
 smaller than each other, so they lose nothing to each other; a row with a null
-doc_id neither loses nor takes away; a document longer than a slice is one slice.
+doc_id neither loses nor takes away; a document longer than a slice is one slice; an empty table gives an empty
+result; only doc_id and text are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import documents, fresh_path, partitions
+from .store import documents, forget, fresh_path, partitions, remove, written
 
 LENGTH = 50
 GRAM = 16
@@ -58,43 +61,75 @@ def _spread(values: np.ndarray, of: np.ndarray, buckets: int) -> list[np.ndarray
     return [by[ends[i] : ends[i + 1]] for i in range(buckets)]
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """For each position the eight bytes from there on as a number, zeros beyond the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded.tobytes(), 0, (1,))
+
+
+def _check_hash(words: np.ndarray, first: np.ndarray, size: np.ndarray | int, longest: int) -> np.ndarray:
+    """A hash of the bytes first..first+size that has nothing in common with the polynomial: eight bytes at a time, each word
+    mixed with its place, then summed and mixed. It verifies what the polynomial finds equal."""
+    out = B.mix(np.broadcast_to(np.asarray(size), first.shape).astype(B.U), 41)
+    for k in range(0, longest, 8):
+        left = size - k
+        w = words[np.minimum(first + k, len(words) - 1)]
+        short = np.clip(8 - left, 0, 8)
+        if np.any(short):
+            w = np.where(short >= 8, B.U(0), w & (B.U(0xFFFFFFFFFFFFFFFF) >> (8 * np.minimum(short, 7)).astype(B.U)))
+        out = out + B.mix(w, 43 + k)
+    return B.mix(out, 42)
+
+
 class _Slice:
-    """Bytes, rows, prefix hashes and anchors of one slice."""
+    """Bytes, rows, prefix hashes and anchors of one slice; anchors: the gaps that an earlier step has found."""
 
-    def __init__(self, table: pa.Table, length: int):
+    def __init__(self, table: pa.Table, length: int, gaps: bytes | None = None):
         table = table.sort_by("r")
         self.length = length
         self.ids = table.column("doc_id").combine_chunks()
         self.data, self.off = B.utf8(table.column("text"))
         self.hash = B.prefix_hash(self.data)
+        self.words = _words(self.data)
         self.reach = length - GRAM
-        n = len(self.data)
+        self.anchors = self._anchors() if gaps is None else np.cumsum(np.frombuffer(gaps, np.uint32).astype(np.int64))
+        self.keys = B.mix(B.span_hash(self.hash, self.anchors, self.anchors + GRAM), 21)
+        self.row = np.searchsorted(self.off, self.anchors, "right") - 1
+        self.first = np.maximum(self.anchors - self.reach, self.off[self.row])
+        self.last = np.minimum(self.anchors + length, self.off[self.row + 1])
+        self.docs = self.ids.fill_null(0).to_numpy()
+
+    def _anchors(self) -> np.ndarray:
+        n, length = len(self.data), self.length
         alive = np.zeros(max(0, n - length + 1), bool)
         known = self.ids.is_valid().to_numpy(zero_copy_only=False)
         for lo, hi, ok in zip(self.off[:-1].tolist(), self.off[1:].tolist(), known.tolist()):
             if ok and hi - lo >= length:
                 alive[lo : hi - length + 1] = True
-        if alive.any():
-            at = np.arange(n - GRAM + 1)
-            gram = B.mix(B.span_hash(self.hash, at, at + GRAM), 21)
-            low = (gram & B.U(0xFFFFFFFF00000000)) | at.astype(B.U)
-            width, need = 1, length - GRAM + 1
-            while width * 2 <= need:
-                low = np.minimum(low[:-width], low[width:])
-                width *= 2
-            if width < need:
-                low = np.minimum(low[: len(low) - (need - width)], low[need - width :])
-            self.anchors = B.distinct((low[: len(alive)][alive] & B.U(0xFFFFFFFF))).astype(np.int64)
-            self.keys = gram[self.anchors]
-        else:
-            self.anchors, self.keys = np.zeros(0, np.int64), np.zeros(0, B.U)
-        self.row = np.searchsorted(self.off, self.anchors, "right") - 1
-        self.first = np.maximum(self.anchors - self.reach, self.off[self.row])
-        self.last = np.minimum(self.anchors + length, self.off[self.row + 1])
+        if not alive.any():
+            return np.zeros(0, np.int64)
+        at = np.arange(n - GRAM + 1)
+        gram = B.mix(B.span_hash(self.hash, at, at + GRAM), 21)
+        low = (gram & B.U(0xFFFFFFFF00000000)) | at.astype(B.U)
+        width, need = 1, length - GRAM + 1
+        while width * 2 <= need:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < need:
+            low = np.minimum(low[: len(low) - (need - width)], low[need - width :])
+        return B.distinct((low[: len(alive)][alive] & B.U(0xFFFFFFFF))).astype(np.int64)
+
+    def gaps(self) -> bytes:
+        return np.diff(self.anchors, prepend=0).astype(np.uint32).tobytes()
 
     def contexts(self) -> np.ndarray:
-        inside = (self.anchors - self.first).astype(B.U) << B.U(32) | (self.last - self.anchors).astype(B.U)
-        return B.mix(B.span_hash(self.hash, self.first, self.last) ^ B.mix(inside, 22), 23)
+        """The bytes around an anchor that strings of the length can reach, and where the anchor stands in them."""
+        inside = B.mix((self.anchors - self.first).astype(B.U), 22)
+        return B.mix(_check_hash(self.words, self.first, self.last - self.first, self.reach + self.length) ^ inside, 23)
+
+    def suffixes(self) -> tuple["_Distinct", np.ndarray]:
+        second = self.contexts()
+        return _Distinct(self.docs[self.row], self.keys, second), second
 
     def halves(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index in anchors, side, hash) of the gram with half of its reach to the left (0) or right (1), where the row has it."""
@@ -116,10 +151,35 @@ class _Slice:
 
     def names(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = B.span_hash(self.hash, starts, starts + self.length)
-        # a second polynomial: the halves of the string, mixed
-        half = self.length // 2
-        g = B.mix(B.span_hash(self.hash, starts, starts + half), 25) ^ B.mix(B.span_hash(self.hash, starts + half, starts + self.length), 26)
-        return B.mix(h, 24), g
+        return B.mix(h, 24), _check_hash(self.words, starts, self.length, self.length)
+
+
+class _Distinct:
+    """Equal records of a slice as one: that of the least document stands for them, so that what every document holds
+    leaves a slice once."""
+
+    def __init__(self, docs: np.ndarray, *keys: np.ndarray):
+        one = keys[0] if len(keys) == 1 else keys[0] ^ B.mix(keys[1], 44)
+        by = np.argsort(one, kind="stable")
+        start = _first_of(one[by])
+        size = np.diff(np.append(start, len(by)))
+        self.of = np.empty(len(by), np.int64)
+        self.of[by] = np.repeat(np.arange(len(start)), size)
+        least = np.minimum.reduceat(docs[by], start) if len(start) else docs[:0]
+        most = np.maximum.reduceat(docs[by], start) if len(start) else docs[:0]
+        #: whether a smaller document of this slice holds the record
+        self.later = docs > least[self.of]
+        self.least, self.most = least, most
+        #: one record of each group, of its least document
+        place = np.full(len(start), len(by), np.int64)
+        np.minimum.at(place, self.of[~self.later], np.flatnonzero(~self.later))
+        self.one = place
+
+    def spread(self, marked: np.ndarray) -> np.ndarray:
+        """The records of the least documents whose groups are marked."""
+        flags = np.zeros(len(self.one), bool)
+        flags[marked] = True
+        return np.flatnonzero(flags[self.of] & ~self.later)
 
 
 _RECORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("second", pa.binary()), ("docs", pa.binary())])
@@ -128,15 +188,19 @@ _ANSWERS = pa.schema([("g", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int
 _ANSWERS_DDL = "g long, bucket int, kind int, at binary"
 
 
-def _packed(g: int, keys: np.ndarray, second: np.ndarray | None, rows: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
-    """Records by bucket: 8 bytes of key, 6 of the second hash, and an index into the distinct doc_ids that head `docs`."""
+def _packed(g: int, keys: np.ndarray, second: np.ndarray | None, of: np.ndarray, buckets: int, gaps: bytes | None = None) -> pa.Table:
+    """Records by bucket: 8 bytes of key, 8 of the second hash, and an index into the distinct doc_ids that head `docs`.
+    gaps: the anchors of the slice, in a bucket of its own that is only passed on."""
     cols: list[list] = [[] for _ in _RECORDS]
+    if gaps is not None:
+        for c, v in zip(cols, (-1 - g % buckets, g, gaps, b"", b"")):
+            c.append(v)
     for b, pick in enumerate(_spread(keys, keys, buckets)):
         if len(pick):
-            docs, index = np.unique(ids[rows[pick]], return_inverse=True)
+            docs, index = np.unique(of[pick], return_inverse=True)
             kind = np.uint16 if len(docs) <= 1 << 16 else np.uint32
             head = np.array([len(docs), np.dtype(kind).itemsize], np.int64).tobytes()
-            short = b"" if second is None else second[pick].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            short = b"" if second is None else second[pick].tobytes()
             for c, v in zip(cols, (b, g, keys[pick].tobytes(), short, head + docs.astype(np.int64).tobytes() + index.astype(kind).tobytes())):
                 c.append(v)
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RECORDS)], schema=_RECORDS)
@@ -148,24 +212,24 @@ def _docs(raw: bytes) -> np.ndarray:
     return ids[np.frombuffer(raw, np.uint16 if size == 2 else np.uint32, -1, 16 + 8 * int(n))]
 
 
-def _long(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if raw:
-        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(n, 6)
-    return out.view(B.U).ravel()
-
-
 class _Block:
     """The records of one bucket, and where they came from."""
 
     def __init__(self, bucket: int, rows: list):
         self.bucket, self.gs = bucket, [r[0] for r in rows]
+        if bucket < 0:
+            self.gaps = [r[1] for r in rows]
+            return
         size = np.array([len(r[1]) // 8 for r in rows])
         self.keys = np.concatenate([np.frombuffer(r[1], B.U) for r in rows])
-        self.second = np.concatenate([_long(r[2], n) for r, n in zip(rows, size.tolist())])
+        self.second = np.concatenate([np.frombuffer(r[2], B.U) if r[2] else np.zeros(n, B.U) for r, n in zip(rows, size.tolist())])
         self.docs = np.concatenate([_docs(r[3]) for r in rows])
         self.block, self.start = np.repeat(np.arange(len(rows)), size), np.cumsum(size) - size
 
+    def passed_on(self) -> pa.RecordBatch:
+        cols = (self.gs, [self.bucket] * len(self.gs), [0] * len(self.gs), self.gaps)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _ANSWERS)], schema=_ANSWERS)
+
     def answer(self, marked: np.ndarray, kind: int) -> pa.RecordBatch:
         """The places of the marked records in their blocks, to their slices."""
         pick = np.flatnonzero(marked)
@@ -200,8 +264,11 @@ def _several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _settle(batches):
-    """Step 1: settled suffixes (kind 1) and open ones (kind 2)."""
+    """Step 1: settled suffixes (kind 1) and open ones (kind 2); anchors of slices (kind 0) are passed on."""
     for x in _gather(batches):
+        if x.bucket < 0:
+            yield x.passed_on()
+            continue
         by = np.lexsort((x.docs, x.second, x.keys))
         k, c, d = x.keys[by], x.second[by], x.docs[by]
         start = _first_of(k, c)
@@ -243,8 +310,8 @@ def _marks(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.n
     return np.sort(np.concatenate([places[b][a] for b, a in own]))
 
 
-def _sliced(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The texts in slices of about SLICE bytes, bucketed by slice; and their bytes."""
+def _sliced(docs: DataFrame) -> tuple[DataFrame, int, Callable[[], None]]:
+    """The texts in slices of about SLICE bytes, bucketed by slice; their bytes; and what drops the table."""
 
     def cut(batches):
         g, room, r = 0, 0, 0
@@ -261,10 +328,15 @@ def _sliced(docs: DataFrame) -> tuple[DataFrame, int]:
 
     spark, n = docs.sparkSession, partitions(docs)
     rows = documents(docs).mapInArrow(cut, "g long, r long, doc_id long, text string, n_bytes long")
-    name = f"lekhaspark_slices_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n, "g").option("path", fresh_path(spark, "slices")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    name, path = f"lekhaspark_slices_{uuid.uuid4().hex}", fresh_path(spark, "slices")
+    rows.write.bucketBy(n, "g").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     table = spark.table(name)
-    return table, table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+    return table, table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], drop
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -273,46 +345,62 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     it that also stands in a document with a smaller doc_id."""
     if length <= 2 * GRAM:
         raise ValueError(f"length must be over {2 * GRAM}")
-    slices, total = _sliced(docs)
+    slices, total, drop_slices = _sliced(docs)
     n = partitions(docs)
     buckets = max(n, total // (8 * _BUCKET_RECORDS) + 1)
 
-    def numbers(s: _Slice) -> np.ndarray:
-        return s.ids.fill_null(0).to_numpy()
+    def again(table: pa.Table, answers: pa.Table) -> _Slice:
+        """A slice with the anchors that the first step has found."""
+        gaps = [a for a, k in zip(answers.column("at").to_pylist(), answers.column("kind").to_pylist()) if k == 0]
+        return _Slice(table, length, gaps[0])
 
     def sides(s: _Slice, answers: pa.Table):
-        open_ = _marks(answers, 2, s.keys, buckets)
+        suffixes, _ = s.suffixes()
+        open_ = suffixes.spread(_marks(answers, 2, s.keys[suffixes.one], buckets))
         index, side, h = s.halves(open_)
-        return open_[index], side, h
+        return open_[index], side, _Distinct(s.docs[s.row[open_[index]]], h), h
 
     def ends(s: _Slice, answers: pa.Table) -> np.ndarray:
-        anchor, side, h = sides(s, answers)
-        shared = _marks(answers, 3, h, buckets)
+        anchor, side, halves, h = sides(s, answers)
+        # two documents of this slice, or this one and another
+        shared = (halves.least != halves.most)[halves.of]
+        marked = np.zeros(len(halves.one), bool)
+        marked[_marks(answers, 3, np.concatenate((h[halves.one], h[halves.one])), buckets) % max(1, len(marked))] = True
+        shared |= marked[halves.of]
         return s.strings(anchor[shared], side[shared])
 
     def anchored(key, table):
         s = _Slice(table, length)
-        return _packed(key[0].as_py(), s.keys, s.contexts(), s.row, numbers(s), buckets)
+        suffixes, second = s.suffixes()
+        one = suffixes.one
+        return _packed(key[0].as_py(), s.keys[one], second[one], suffixes.least, buckets, s.gaps())
 
     def halved(key, table, answers):
-        s = _Slice(table, length)
-        anchor, _, h = sides(s, answers)
-        return _packed(key[0].as_py(), h, None, s.row[anchor], numbers(s), buckets)
+        s = again(table, answers)
+        _, _, halves, h = sides(s, answers)
+        # the least and the greatest document that hold a half: enough for others to know whether it is shared
+        twice = np.concatenate((h[halves.one], h[halves.one]))
+        return _packed(key[0].as_py(), twice, None, np.concatenate((halves.least, halves.most)), buckets)
 
-    def around(key, table, answers):
-        s = _Slice(table, length)
-        starts = ends(s, answers)
+    def names(s: _Slice, starts: np.ndarray) -> tuple[_Distinct, np.ndarray, np.ndarray]:
         a, b = s.names(starts)
-        return _packed(key[0].as_py(), a, b, np.searchsorted(s.off, starts, "right") - 1, numbers(s), buckets)
+        return _Distinct(s.docs[np.searchsorted(s.off, starts, "right") - 1], a, b), a, b
+
+    def around(key, table, answers):
+        s = again(table, answers)
+        strings, a, b = names(s, ends(s, answers))
+        return _packed(key[0].as_py(), a[strings.one], b[strings.one], strings.least, buckets)
 
     def finish(key, table, answers):
-        s = _Slice(table, length)
+        s = again(table, answers)
         change = np.zeros(len(s.data) + 1, np.int32)
-        settled = _marks(answers, 1, s.keys, buckets)
+        suffixes, _ = s.suffixes()
+        settled = np.concatenate((np.flatnonzero(suffixes.later), suffixes.spread(_marks(answers, 1, s.keys[suffixes.one], buckets))))
         np.add.at(change, s.first[settled], 1)
         np.add.at(change, s.last[settled], -1)
         starts = ends(s, answers)
-        starts = starts[_marks(answers, 4, s.names(starts)[0], buckets)]
+        strings, a, _ = names(s, starts)
+        starts = starts[np.concatenate((np.flatnonzero(strings.later), strings.spread(_marks(answers, 4, a[strings.one], buckets))))]
         np.add.at(change, starts, 1)
         np.add.at(change, starts + length, -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -328,16 +416,18 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([s.ids, pa.array(np.diff(s.off)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
-    from .store import written
-
     by_slice = slices.select("g", "r", "doc_id", "text").groupBy("g")
     records = by_slice.applyInArrow(anchored, _RECORDS_DDL)
     found = written(records.repartition(n, "bucket").mapInArrow(_settle, _ANSWERS_DDL), "settled")
-    records = by_slice.cogroup(found.where("kind = 2").groupBy("g")).applyInArrow(halved, _RECORDS_DDL)
+    records = by_slice.cogroup(found.where("kind in (0, 2)").groupBy("g")).applyInArrow(halved, _RECORDS_DDL)
     shared = written(records.repartition(n, "bucket").mapInArrow(_share, _ANSWERS_DDL), "shared")
-    records = by_slice.cogroup(found.where("kind = 2").union(shared).groupBy("g")).applyInArrow(around, _RECORDS_DDL)
+    records = by_slice.cogroup(found.where("kind in (0, 2)").union(shared).groupBy("g")).applyInArrow(around, _RECORDS_DDL)
     strings = written(records.repartition(n, "bucket").mapInArrow(_compare, _ANSWERS_DDL), "strings")
-    both = found.union(shared).union(strings)
-    return by_slice.cogroup(both.groupBy("g")).applyInArrow(
+    every = found.union(shared).union(strings)
+    result = by_slice.cogroup(every.groupBy("g")).applyInArrow(
         finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
     )
+    result = written(result, "removed")
+    forget(found, shared, strings)
+    drop_slices()
+    return result
