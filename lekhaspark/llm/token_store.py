@@ -8,16 +8,18 @@ is a folder of four Parquet tables that only Spark writes and reads:
 
 * chunks: sha256, n_ids, ids (little-endian, 2 bytes each where the vocabulary allows, else 4) - each distinct chunk once
 * recipes: doc_id, start, n_tokens, chunks (the ordered sha256 of its chunks), in ascending doc_id order over the files
-* manifest: level, node, n_children, sha256 - a Merkle tree over the sorted chunk names; level 0 has the root
+* manifest: level, node, n_children, sha256 - a Merkle tree over the sorted names of the chunks and hashes of the recipes; level 0 has the root
 * format: one row with the version, bytes an id takes, end id
 
-`read_back` checks every chunk against its name, and the sum of a document is
+`read_back` first compares the root that the stored recipes and chunk names give with the manifest's, then checks every
+chunk against its name: a recipe whose chunks were exchanged, left out or put in another order is found by its hash. The sum of a document is
 combined from the sums of its chunks, so payloads are read once and never shuffled again.
 `restore` gives the ids of the documents.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a
 doc_id follow each other and each has its own start; null doc_ids come first; an
-empty table gives an empty store with one root over nothing.
+empty table gives an empty store with one root over nothing; a very long text is one recipe of many chunks; only doc_id and
+text are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import documents, fresh_path, partitions, written
+from .store import documents, forget, fresh_path, partitions, remove, written
 
 WINDOW = 16
 MEAN_IDS = 512
@@ -186,7 +188,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     unique = each.groupBy(F.col("c.chunks").alias("sha256")).agg(F.first("c.sizes").alias("n_ids"), F.first("c.ids").alias("ids"))
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
     _write_recipes(rows.select("doc_id", "n_tokens", "chunks"), f"{path}/recipes")
-    _write_manifest(spark.read.parquet(f"{path}/chunks").select(F.hex("sha256").alias("node")), f"{path}/manifest")
+    forget(rows)
+    _write_manifest(_leaves(spark, path), f"{path}/manifest")
     # the size of an id needs no second reading: a chunk says it
     width = F.max(F.expr("length(ids) div n_ids"))
     spark.read.parquet(f"{path}/chunks").agg(F.coalesce(width, F.lit(4)).cast("int").alias("id_bytes")).select(F.lit(1).alias("version"), "id_bytes", F.lit(end_id).alias("end_id")).write.parquet(f"{path}/format")
@@ -205,6 +208,7 @@ def _write_recipes(rows: DataFrame, to: str) -> None:
     # one row for each range: as many as there are shuffle partitions
     placed = placed.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("inner")).alias("start"), "n_tokens", "chunks")
     placed.repartitionByRange(n, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(to)
+    forget(ranged)
 
 
 def _write_manifest(nodes: DataFrame, to: str, fan_out: int = 256) -> None:
@@ -225,16 +229,27 @@ def _write_manifest(nodes: DataFrame, to: str, fan_out: int = 256) -> None:
         digits -= 2
 
 
-def verify_manifest(spark: SparkSession, path: str) -> bool:
-    """The manifest that the stored chunks give is the stored manifest."""
+def _leaves(spark: SparkSession, path: str) -> DataFrame:
+    """(node): the names of the chunks, and of each recipe the hash of all that it says."""
+    recipe = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("start").cast("string"), F.col("n_tokens").cast("string"), F.array_join(F.transform("chunks", F.hex), ","))
+    recipes = spark.read.parquet(f"{path}/recipes").select(F.upper(F.sha2(recipe, 256)).alias("node"))
+    return spark.read.parquet(f"{path}/chunks").select(F.hex("sha256").alias("node")).union(recipes)
+
+
+def verify_manifest(spark: SparkSession, path: str, whole: bool = True) -> bool:
+    """Whether the stored chunk names and recipes give the stored manifest; only its root unless whole."""
     again = fresh_path(spark, "manifest")
-    _write_manifest(spark.read.parquet(f"{path}/chunks").select(F.hex("sha256").alias("node")), again)
-    a, b = (spark.read.parquet(p).select("level", "node", "n_children", "sha256") for p in (again, f"{path}/manifest"))
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    _write_manifest(_leaves(spark, path), again)
+    a, b = (spark.read.parquet(p).select("level", "node", "n_children", "sha256").where("true" if whole else "level = 0") for p in (again, f"{path}/manifest"))
+    same = a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    remove(spark, again)
+    return same
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    if not verify_manifest(spark, path, whole=False):
+        raise ValueError("the recipes and chunk names do not give the root of the manifest")
     form = spark.read.parquet(f"{path}/format").first()
     kind = np.dtype("<u2" if form["id_bytes"] == 2 else "<u4")
 

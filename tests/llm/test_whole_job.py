@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality, toxicity
+from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality, token_store, toxicity
 from lekhaspark.llm.store import sieved
 
 SF = "/root/testdata/sf0.001"
@@ -174,6 +174,20 @@ def test_toxicity_edges(spark):
     assert toxicity.learn(toxicity.labelled(docs, labels.limit(0))).lexicon == {}
 
 
+def test_store_finds_exchanged_chunks(spark, tmp_path):
+    """Two chunks of one recipe change places: every chunk still holds what its name says, but the recipe's hash does not."""
+    text = " ".join(f"word{k % 997}x{k}" for k in range(6000))
+    path = token_store.write_store(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), PATH, str(tmp_path / "store"))
+    assert token_store.read_back(spark, path).count() == 2
+    recipes = spark.read.parquet(f"{path}/recipes")
+    assert recipes.where("size(chunks) > 2").count() == 1
+    changed = recipes.withColumn("chunks", F.reverse("chunks")).collect()
+    spark.createDataFrame(changed, recipes.schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    assert not token_store.verify_manifest(spark, path)
+    with pytest.raises(ValueError):
+        token_store.read_back(spark, path)
+
+
 def test_sieve_loses_no_row(spark):
     rows = spark.range(-20_000, 20_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
     keys = rows.where("a % 11 = 0")
