@@ -325,4 +325,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stand_in = F.coalesce(docs["doc_id"].cast("long"), F.lit(-1) - F.abs(F.xxhash64(docs["text"].cast("string"))) % F.lit(1 << 62))
     keyed = docs.select(stand_in.alias("doc_id"), docs["text"].alias("text"))
     gone = find(keyed, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, stand_in == F.col("_gone"), "left_anti").select(docs.columns)
+    return docs.join(gone, stand_in == gone["_gone"], "left_anti").select(docs.columns)

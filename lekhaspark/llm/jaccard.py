@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import documents, forget, sieved, written
+from .store import documents, forget, free_name, sieved, written
 
 #: Tokens that order A knows as common: a bound on what is broadcast, not on what is compared.
 MOST_COMMON = 1 << 16
@@ -285,11 +285,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = written(_grouped(docs.select(row_id.alias("doc_id"), text.alias("text")), words, percent).select("doc_id", "key", "lead"), "judged")
     gone = found.where(~F.col("lead")).select("doc_id", "key").distinct()
     again = written(found.where("lead").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated")
-    marks = gone.union(again).select(F.col("doc_id").alias("_row"), F.col("key").alias("_key"))
-    same = (row_id == F.col("_row")) & (F.xxhash64(text) == F.col("_key"))
-    kept = docs.join(marks, same, "left_anti").select(docs.columns)
+    row, mark = free_name(docs, "_row"), free_name(docs, "_mark")
+    named = lambda d: d.select(F.col("doc_id").alias(row), F.col("key").alias(mark))
+    same = lambda d: (row_id == d[row]) & (F.xxhash64(text) == d[mark])
+    marks = named(gone.union(again))
+    kept = docs.join(marks, same(marks), "left_anti").select(docs.columns)
     if again.isEmpty():
         return kept
-    repeated = again.select(F.col("doc_id").alias("_row"), F.col("key").alias("_key"))
-    one = docs.join(repeated, same).dropDuplicates(["_row", "_key"]).select([docs[c] for c in docs.columns])
+    repeated = named(again)
+    one = docs.join(repeated, same(repeated)).dropDuplicates([row, mark]).select(docs.columns)
     return kept.union(one)

@@ -21,7 +21,8 @@ their limit are a prefix, which one pass over the sums of the sorted sources fin
 Defined cases: a null or empty text has size 0 and is never taken; documents
 without any word have target 0; equal doc_ids of one source are
 separate rows in the order of their size; a null doc_id sorts first; an empty
-table gives an empty result.
+table gives an empty result; a very long text is one entry of its size; only doc_id, source and text are
+read, so further columns may bear any name.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ changes what stands before it (within a letter and its accents, an ending such a
 special string), the last pieces of the cut text are made again by the library's rules.
 
 Defined cases: a null or empty text has 0 tokens; a very long text is one slice
-of its own; repeated rows count alike; a null doc_id is kept.
+of its own; repeated rows count alike; a null doc_id is kept; an empty table gives an empty
+result; only doc_id and text are read, so further columns may bear any name.
 """
 
 from __future__ import annotations

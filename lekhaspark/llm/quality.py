@@ -174,7 +174,7 @@ def keep_good(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
     judged = quality(docs.select(key.alias("doc_id"), docs["text"].alias("text")), least_words)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti").select(docs.columns)
+    return docs.join(gone, key == gone["_gone"], "left_anti").select(docs.columns)
 
 
 def sql() -> str:

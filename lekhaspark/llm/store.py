@@ -68,6 +68,13 @@ def sieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     return placed.join(F.broadcast(marked), "_map").where(f"{byte} >> cast(_p % 8 as int) & 1 = 1").select(rows.columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lekhaspark.llm import decontaminate, html_text, prefix_tokens, quality, token_store, toxicity
-from lekhaspark.llm.store import sieved
+from lekhaspark.llm.store import sieved, written
 
 SF = "/root/testdata/sf0.001"
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -188,6 +188,35 @@ def test_store_finds_exchanged_chunks(spark, tmp_path):
         token_store.read_back(spark, path)
 
 
+def test_stages_one_after_another_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names, empty tables: every stage takes what
+    the one before it left and returns the columns of documents."""
+    prose = " ".join(f"{w}." if k % 9 == 8 else w for k, w in enumerate(("the river of the town is to be seen from the hill and it runs by the mill in a long slow bend " * 6).split()))
+    plain = lambda x: " ".join(f"The {x}{k} of the town and the {x}{k + 1} in it are to be seen." for k in range(60))
+    long = " ".join(f"The w{k} of v{k % 977} is in the x{k % 31} and it is to be." for k in range(12_000))
+    rows = [(1, plain("mill"), "en", "s", 1), (1, plain("mill"), "en", "s", 1), (2, plain("mill"), None, None, None), (None, plain("mill"), "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0),
+            (None, None, None, None, None), (5, " \n\t ", "en", "s", 3), (6, long, "en", "t", 9), (7, "one", "en", "s", 3), (8, plain("inn"), "en", None, 5), (9, prose, "en", "u", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = df.withColumns({c: F.lit("x") for c in ("size", "key", "range", "digest", "cid", "node", "words", "lines", "kept", "_row", "_key", "_gone", "bucket", "score", "taken")})
+    for docs in (df, extra, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = written(stage(spark, docs, SF), "stage")
+            assert after.columns == df.columns or after.columns == extra.columns, name
+            docs = after
+        ids = {r["doc_id"] for r in docs.collect()}
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == docs.count()
+        assert ids <= {1, 6, 7, 8} and (not rows or docs.count() == 0 or {1, 8} <= ids)
+    assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+def test_token_counts_of_empty_and_clashing_tables(spark):
+    rows = spark.createDataFrame([(1, "two words", 5, "x"), (None, None, 6, "y")], "doc_id long, text string, n_tokens int, piece string")
+    got = prefix_tokens.token_prefixes(rows, PATH)
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got.collect()) == [(0, 0, 0), (1, 9, 2)]
+    assert prefix_tokens.token_prefixes(rows.limit(0), PATH).count() == 0
+
+
 def test_sieve_loses_no_row(spark):
     rows = spark.range(-20_000, 20_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
     keys = rows.where("a % 11 = 0")
