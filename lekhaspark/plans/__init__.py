@@ -1,2 +1,2 @@
-from . import archive, classes, curation, evidence, relational, texts  # noqa: F401
+from . import archive, classes, curation, evidence, portal, relational, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
