@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let
@@ -158,6 +158,15 @@ def classify_order(subject: Column, category: Column | None = None, provider: Co
     return let(facts, lambda x: _decision(x, line(category), F.trim(category), provider.isin(*rulebooks) if rulebooks else F.lit(False), (provider != "") & (provider != portal), provider))
 
 
+def classified(orders: DataFrame, subject: str, category: str) -> DataFrame:
+    """orders with c, their class: each distinct subject and category is classified once and joined back, since orders
+    repeat their subjects while the patterns cost more than the join."""
+    keys = orders.select(subject, category).distinct()
+    known = keys.select(F.col(subject).alias("_s"), F.col(category).alias("_c"), classify_order(F.col(subject), F.col(category)).alias("c"))
+    met = orders.join(known, F.col(subject).eqNullSafe(F.col("_s")) & F.col(category).eqNullSafe(F.col("_c")))
+    return met.select(*[orders[c] for c in orders.columns], "c")
+
+
 def _decision(x: Column, category: Column, stated: Column, rulebook: Column, other: Column, provider: Column) -> Column:
     s, hard, soft, money, general, broad, scheme = (x[k] for k in ("s", "hard", "soft", "money", "general", "broad", "scheme"))
     any_of = lambda a: F.size(a) > 0
@@ -194,7 +203,9 @@ def topics(*texts: Column, catalogue: Column | None = None) -> Column:
     named = F.lit(None).cast("array<string>") if catalogue is None else catalogue
 
     def of(x):
-        hit = {code: has(x, p, fold=True) for code, p in TOPICS.items()}
+        # the patterns without word edges in one alternation are true wherever one with its edges is
+        likely = x.rlike("(?i)" + unicodedata.normalize("NFC", "|".join(f"(?:{p})" for p in TOPICS.values())).replace(r"\b", ""))
+        hit = {code: likely & has(x, p, fold=True) for code, p in TOPICS.items()}
         for code in hit:
             words = [code] + [k for k, v in TOPIC_ALIASES.items() if code in v]
             hit[code] = hit[code] | F.coalesce(F.arrays_overlap(named, F.array(*map(F.lit, words))), F.lit(False))

@@ -16,6 +16,11 @@ MONTH = "|".join(_MONTH)
 DATE_TEXT = rf"(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTH})\.?,?\s+\d{{4}})"
 
 
+#: One day or a list of days, as questions write them.
+_ORDINAL = r"\d{1,2}(?:st|nd|rd|th)?"
+_DAYS = rf"{_ORDINAL}(?:\s*(?:,|or|and|&|और|या|व|तथा)\s*{_ORDINAL})*"
+
+
 def search_terms(c: Column, stop: list[str], most: int = 12) -> Column:
     """The first `most` distinct words in order: no stop words, no single letters or digits outside Devanagari."""
     words = F.regexp_extract_all(F.lower(F.translate(c, "‌‍़", "")), F.lit(r"[0-9a-zऀ-ॣ०-ॿ]+"), F.lit(0))
@@ -31,12 +36,13 @@ def _day(c: Column) -> Column:
 def date_range(question: Column, today: Column) -> Column:
     """struct<from: date, to: date> of the first kind of range that a question names, null when it names none.
 
-    In this order: between two dates, since a date, several dates, a day and month without a year (the latest past one),
-    one date, today, yesterday, the last N days (366 at most), this or last week (from Monday), this or last month,
+    In this order: between two dates, since a date, several dates, a day or a list of days with a month before or after it, the
+    month also misspelt (without a year the latest past one), one date, today, yesterday, the last N days (366 at most), this or last week (from Monday), this or last month,
     this year, a month, a year. A range without a year never starts in the future. `today` is a date."""
     d = DATE_TEXT
     pairs = [(rf"(?:between|from)\s+({d})\s+(?:and|to|till|until)\s+({d})", 2), (rf"({d})\s+से\s+({d})\s+तक", 2), (rf"(?:since|after|from)\s+({d})", 1), (rf"({d})\s+(?:के\s+बाद|से)", 1)]
-    day_month = rf"(?:^|\s)(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?({MONTH})\.?(?=[\s,.?!]|$)(?!,?\s+\d{{4}})"
+    days_month = rf"(?:^|\s)({_DAYS})\s+(?:of\s+)?((?:{MONTH}|[a-z]{{3,12}}))\.?(?:,?\s+(\d{{4}}))?(?=[\s,.?!]|$)"
+    month_days = rf"(?:^|\s)((?:{MONTH}|[a-z]{{3,12}}))\.?\s+({_DAYS})(?:,?\s+(\d{{4}}))?(?=[\s,.?!]|$)"
     month_alone = rf"(?:^|\s)({MONTH})\.?(?:,?\s+(\d{{4}}))?(?=\s|$)"
     one_year = r"(?:^|\s)(?:in\s+)?((?:19|20)\d{2})(?:\s+(?:के|में))?(?=\s|$)"
     monday, month, year = F.date_trunc("week", today).cast("date"), F.trunc(today, "month"), F.trunc(today, "year")
@@ -45,10 +51,21 @@ def date_range(question: Column, today: Column) -> Column:
     number = lambda text: F.coalesce(*[F.when(text.rlike(rf"^(?:{m})$"), F.lit(i)) for i, m in enumerate(_MONTH, 1)])
     made = lambda y, m, day: F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), day), "yyyy-M-d")
 
-    def latest_day(q: Column) -> Column:
-        m, day = number(part(q, day_month, 2)), part(q, day_month, 1)
-        both = F.array(made(F.year(today), m, day), made(F.year(today) - 1, m, day))
-        return let(F.when(m.isNotNull(), both), lambda x: F.when(x[0] > today, x[1]).otherwise(x[0]))
+    def loose(text: Column) -> Column:
+        """Number of a month, also of an English name in which up to two letters are wrong."""
+        near = F.array_sort(F.array(*[F.struct(F.levenshtein(text, F.lit(e)).alias("d"), F.lit(i).alias("m")) for i, e in enumerate(ENGLISH_MONTHS, 1)]))
+        return F.coalesce(number(text), F.when(text.rlike("^[a-z]{5,12}$") & (near[0]["d"] <= 2), near[0]["m"]))
+
+    def listed(q: Column, pattern: str, days: int, name: int) -> Column:
+        """Days of a list that exist in the month, each the latest past one where no year is named."""
+        m, y = loose(part(q, pattern, name)), part(q, pattern, 3).try_cast("int")
+        at = lambda x: F.when(y.isNotNull(), made(y, x["m"], x["d"])).when(made(F.year(today), x["m"], x["d"]) > today, made(F.year(today) - 1, x["m"], x["d"])).otherwise(made(F.year(today), x["m"], x["d"]))
+        each = F.transform(F.regexp_extract_all(part(q, pattern, days), F.lit(r"\d{1,2}"), F.lit(0)), lambda d: F.struct(m.alias("m"), d.alias("d")))
+        return F.when(m.isNotNull(), F.array_sort(F.filter(F.transform(each, at), lambda x: x.isNotNull())))
+
+    def named_days(q: Column) -> Column:
+        first, second = listed(q, days_month, 1, 2), listed(q, month_days, 2, 1)
+        return F.when(F.size(first) > 0, first).when(F.size(second) > 0, second)
 
     def month_start(q: Column) -> Column:
         y = part(q, month_alone, 2).try_cast("int")
@@ -62,7 +79,7 @@ def date_range(question: Column, today: Column) -> Column:
         return F.coalesce(
             span(ends[0], ends[1]), span(ends[2], ends[3]), span(ends[4], today), span(ends[5], today),
             F.when(F.size(found) >= 2, span(F.get(found, F.lit(0)), F.get(found, F.size(found) - 1))),
-            span(near, near),
+            F.when(F.size(near) > 0, span(F.get(near, F.lit(0)), F.get(near, F.size(near) - 1))),
             F.when(F.size(found) == 1, span(F.get(found, F.lit(0)), F.get(found, F.lit(0)))),
             said(r"\btoday\b|आज", today, today),
             said(r"\byesterday\b|(?:^|\s)कल(?:\s|$)", F.date_sub(today, 1), F.date_sub(today, 1)),
@@ -77,8 +94,13 @@ def date_range(question: Column, today: Column) -> Column:
         )
 
     def read(q: Column) -> Column:
-        ends = F.transform(F.array(*[part(q, p, i) for p, n in pairs for i in range(1, n + 1)]), _day)
-        found = F.array_distinct(F.array_sort(F.filter(F.transform(F.regexp_extract_all(q, F.lit(rf"({d})"), F.lit(1)), _day), lambda x: x.isNotNull())))
-        return let(F.struct(ends.alias("ends"), found.alias("found"), latest_day(q).alias("near"), month_start(q).alias("first")), lambda x: chosen(q, x["ends"], x["found"], x["near"], x["first"]))
+        # each kind is looked for only where a cheap sign of it stands
+        none = F.array().cast("array<date>")
+        dated = q.rlike(r"\d{4}")
+        ends = F.when(dated, F.transform(F.array(*[part(q, p, i) for p, n in pairs for i in range(1, n + 1)]), _day)).otherwise(F.array(*[F.lit(None).cast("date")] * 6))
+        found = F.when(dated, F.array_distinct(F.array_sort(F.filter(F.transform(F.regexp_extract_all(q, F.lit(rf"({d})"), F.lit(1)), _day), lambda x: x.isNotNull())))).otherwise(none)
+        near = F.when(q.rlike(rf"(?:^|\s){_ORDINAL}(?:[\s,.?!]|$)"), named_days(q))
+        first = F.when(q.rlike(rf"(?:^|\s)(?:{MONTH})"), month_start(q))
+        return let(F.struct(ends.alias("ends"), found.alias("found"), near.alias("near"), first.alias("first")), lambda x: chosen(q, x["ends"], x["found"], x["near"], x["first"]))
 
     return let(F.lower(ascii_digits(question)), read)

@@ -9,14 +9,24 @@ from ..functions.questions import search_terms
 from ..functions.text import tokens
 
 
+#: Terms that are tested inside the rows of texts; with more, all words are exploded and joined.
+MOST_TERMS = 5000
+
+
 def keyword_hits(docs: DataFrame, key: str, text: str, questions: DataFrame, question: str, asked: str, stop: list[str], top: int = 10) -> DataFrame:
     """(question, key, score, rank): the `top` texts of each question with any of its terms; score is the sum of
     ln(1 + occurrences) over 1 + ln(words of the text). Words that no question has leave before the shuffle, each text is
     counted once for all questions, and the rank limit is applied before rows of a question meet."""
     terms = questions.select(F.col(question), F.explode(search_terms(F.col(asked), stop)).alias("term"))
     words = tokens(F.lower(F.translate(F.col(text), "‌‍़", "")))
-    rows = docs.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("n"), F.explode("words").alias("term"))
-    counts = rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
+    held = docs.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("n"), "words")
+    asked_for = terms.select("term").distinct()
+    few = [r["term"] for r in asked_for.limit(MOST_TERMS + 1).collect()]
+    if len(few) <= MOST_TERMS:
+        # terms of a bounded number leave each text's own array, before rows are made of words
+        held = held.withColumn("words", F.filter("words", lambda w: w.isin(few)))
+    rows = held.select(key, "n", F.explode("words").alias("term"))
+    counts = rows.join(asked_for, "term", "left_semi").groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
     score = F.round(F.sum(F.log1p("tf")) / (1 + F.log(F.col("n"))), 6)
     hits = counts.join(terms, "term").groupBy(question, key, "n").agg(score.alias("score"))
     order = Window.partitionBy(question).orderBy(F.desc("score"), key)

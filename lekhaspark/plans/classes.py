@@ -41,7 +41,7 @@ def classified_orders(t):
     at = (F.col("o_orderkey") % len(SUBJECTS)).cast("int")
     subject, category = (F.get(F.array(*[F.lit(s[k]) for s in SUBJECTS]), at) for k in (0, 1))
     orders = t("orders").select("o_orderkey", subject.alias("subject"), category.alias("category"))
-    return orders.select("o_orderkey", C.classify_order(F.col("subject"), F.col("category")).alias("c")).select("o_orderkey", "c.doc_type", "c.tier", "c.confidence")
+    return C.classified(orders, "subject", "category").select("o_orderkey", "c.doc_type", "c.tier", "c.confidence")
 
 
 def _re2(pattern: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking as R
 from ..operators import state as S
+from ..operators import vectors as V
 from .registry import query
 
 TIER = "CASE WHEN l.toxic = 1 THEN 'C' WHEN l.quality = 1 THEN 'A' WHEN l.quality = 0 THEN 'B' END"
@@ -152,38 +153,43 @@ def term_frequency_search(t):
 
 
 _QUERY_VECTOR = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
-_TOP = "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings"
+# Searches ask for every vector whose id is divisible by 20, against all vectors.
+_ASKED = "SELECT q.vec_id AS query, r.vec_id, r.label, round(list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0"
 
 
-def _similar(t):
-    q = t("embeddings").where("vec_id = 0").select("embedding").first()["embedding"]  # one stated query vector
-    return t("embeddings").select("vec_id", "label", F.round(R.cosine(F.col("embedding"), F.array(*[F.lit(float(v)) for v in q])), 6).alias("similarity"))
+def _nearest(t, top: int, condition: str = "true"):
+    e = t("embeddings")
+    return V.nearest(e.where(condition), e.where("vec_id % 20 = 0"), "vec_id", "embedding", top)
 
 
-@query(f"{_TOP} ORDER BY similarity DESC, vec_id LIMIT 20")
+def _top(condition: str, top: int) -> str:
+    return f"SELECT query, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM ({_ASKED} AND {condition}) a) b WHERE k <= {top}"
+
+
+@query(_top("true", 20))
 def vector_topk(t):
-    return _similar(t).orderBy(F.desc("similarity"), "vec_id").limit(20)
+    return _nearest(t, 20).drop("rank")
 
 
-@query(f"{_TOP} WHERE label IN (1, 2, 3) ORDER BY similarity DESC, vec_id LIMIT 20")
+@query(_top("r.label IN (1, 2, 3)", 20))
 def vector_topk_filtered(t):
-    return _similar(t).where(F.col("label").isin(1, 2, 3)).orderBy(F.desc("similarity"), "vec_id").limit(20)
+    return _nearest(t, 20, "label IN (1, 2, 3)").drop("rank")
 
 
-@query(f"WITH s AS ({_TOP}) SELECT vec_id, similarity FROM s WHERE similarity >= greatest(0.45, (SELECT max(similarity) FROM s) - 0.12)")
+@query(f"WITH s AS ({_ASKED}), m AS (SELECT query, greatest(0.45, round(max(similarity) - 0.5, 6)) AS low FROM s GROUP BY 1) SELECT s.query, vec_id, similarity FROM s JOIN m ON m.query = s.query WHERE similarity >= low")
 def similarity_floor(t):
-    s = _similar(t)
-    best = s.agg(F.max("similarity")).first()[0] or 0.0
-    return s.where(F.col("similarity") >= max(0.45, best - 0.12)).select("vec_id", "similarity")
+    e = t("embeddings")
+    return V.above_floor(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 0.45, 0.5)
 
 
-@query(f"""WITH s AS ({_TOP}), v AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS r FROM s ORDER BY r LIMIT 50),
-l AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS r FROM s ORDER BY r LIMIT 50)
-SELECT vec_id, round(sum(x), 9) AS fused FROM (SELECT vec_id, 1.0 / (60 + r) AS x FROM v UNION ALL SELECT vec_id, 1.2 / (60 + r) FROM l) GROUP BY vec_id""")
+@query(f"""WITH s AS ({_ASKED}), v AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS r FROM s QUALIFY r <= 50),
+l AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS r FROM s WHERE label IN (1, 2, 3) QUALIFY r <= 50)
+SELECT query, vec_id, round(sum(x), 9) AS fused FROM (SELECT query, vec_id, 1.0 / (60 + r) AS x FROM v UNION ALL SELECT query, vec_id, 1.2 / (60 + r) FROM l) GROUP BY 1, 2""")
 def rrf_fusion(t):
-    s = _similar(t)
-    top = lambda c: R.ranked(s.orderBy(F.desc(c), "vec_id").limit(50), c, "vec_id")
-    return R.fuse([(top("similarity"), 1.0), (top("label"), 1.2)], "vec_id").select("vec_id", F.round("fused", 9).alias("fused"))
+    """Reciprocal ranks of two searches of each query, one of them among three labels only."""
+    weighed = lambda d, w: d.select("query", "vec_id", (F.lit(w) / (60 + F.col("rank"))).alias("x"))
+    both = weighed(_nearest(t, 50), 1.0).union(weighed(_nearest(t, 50, "label IN (1, 2, 3)"), 1.2))
+    return both.groupBy("query", "vec_id").agg(F.round(F.sum("x"), 9).alias("fused"))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS n FROM conversations) WHERE n = 1")
