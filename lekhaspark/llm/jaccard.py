@@ -8,6 +8,8 @@ n - ceil(s * n) + 1 tokens. Three orders are used:
 * A: tokens by how common they are (counts over all documents, the common ones
   last), ties by hash. Its prefix lists make the candidates.
   A candidate must share so many prefix tokens that the rest can make up what is missing.
+* A bitmap of SIGNATURE bits holds the parity of how many tokens of the set fall on each bit. Two sets differ in at
+  least as many tokens as their bitmaps in bits, so pairs that differ in too many never leave the join of lists.
 * B and C: two seeded hash orders. The pairs that order A leaves are joined with their B and
   C prefixes alone; a pair that lacks a common token in either is dropped. Whole
   sets are read only for the pairs that pass all three.
@@ -54,6 +56,8 @@ from .store import documents, forget, free_name, sieved, written
 MOST_COMMON = 1 << 16
 #: A token counts as common from so many documents of one batch of input rows.
 COMMON_IN_BATCH = 4
+#: Bits of a set's bitmap.
+SIGNATURE = 256
 #: Sets leave Python in batches of about so many tokens.
 SET_TOKENS = 1 << 18
 
@@ -82,6 +86,12 @@ def token_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, B.U)
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens on SIGNATURE bits, as 64-bit numbers."""
+    odd = np.bincount((tokens >> B.U(17)).astype(np.int64) & (SIGNATURE - 1), minlength=SIGNATURE).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1 if n else 0
 
@@ -118,13 +128,13 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, key, n, digest, tokens): text hash, size, digest and order-A prefix of each document's set."""
+    """(doc_id, key, n, digest, tokens, bits): text hash, size, digest, order-A prefix and bitmap of each document's set."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def sets(batches):
         t, count = common.value
         for b in batches:
-            done, size, digest, prefixes, held = 0, [], [], [], 0
+            done, size, digest, prefixes, bits, held = 0, [], [], [], [], 0
             for i, g in enumerate(token_sets(b.column(2), words)):
                 p = prefix_length(len(g), percent)
                 if len(t) and len(g):
@@ -136,14 +146,15 @@ def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 size.append(len(g))
                 digest.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
                 prefixes.append(g_a[:p].view(np.int64).copy())
+                bits.append(signature(g))
                 held += p
                 if held >= SET_TOKENS or i == b.num_rows - 1:
-                    columns = [b.column(0).slice(done, len(size)), b.column(1).slice(done, len(size)), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(prefixes)]
-                    yield pa.record_batch(columns, names=["doc_id", "key", "n", "digest", "tokens"])
-                    done, size, digest, prefixes, held = i + 1, [], [], [], 0
+                    columns = [b.column(0).slice(done, len(size)), b.column(1).slice(done, len(size)), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(prefixes), lists(bits)]
+                    yield pa.record_batch(columns, names=["doc_id", "key", "n", "digest", "tokens", "bits"])
+                    done, size, digest, prefixes, bits, held = i + 1, [], [], [], [], 0
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(sets, "doc_id long, key long, n long, digest binary, tokens array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, n long, digest binary, tokens array<long>, bits array<long>")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -203,8 +214,14 @@ def _possible(percent: int, n, i, m, j):
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100) * most >= F.lit(percent) * (n + m - most))
 
 
+def _alike(percent: int):
+    """Bitmap filter: linked sets differ in (100 - percent) / (100 + percent) of their tokens at most."""
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(SIGNATURE // 64)), F.lit(0))
+    return F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n") + F.col("m"))
+
+
 def _links(nodes: DataFrame, texts: DataFrame, repeats: bool, words: int, percent: int) -> DataFrame:
-    """(node, component) over the links between the sets of nodes (cid, lead, n, tokens), one row each; texts has (doc_id, key, text), with repeats if rows may be equal."""
+    """(node, component) over the links between the sets of nodes (cid, lead, n, tokens, bits), one row each; texts has (doc_id, key, text), with repeats if rows may be equal."""
     # the tokens that two sets have in their prefixes: counts are combined before the shuffle, the join splits hot tokens
     listed = nodes.select("cid", "n", F.posexplode("tokens").alias("at", "t"))
     shared = listed.groupBy("t").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("t")
@@ -221,11 +238,12 @@ def _links(nodes: DataFrame, texts: DataFrame, repeats: bool, words: int, percen
     # what the leaders left open: lists that hold sets of two components, and there only pairs of different components
     placed = kept.join(group.withColumnRenamed("node", "cid"), "cid", "left").select("t", "cid", "n", "at", F.coalesce("component", "cid").alias("g"))
     open_lists = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    placed = written(placed.join(open_lists, "t", "left_semi"), "open")
+    placed = placed.join(open_lists, "t", "left_semi").join(nodes.select("cid", "bits").hint("merge"), "cid")
+    placed = written(placed, "open")
     # within a list, the shorter side needs only the shorter index prefix
     short = (F.lit(100 + percent) * (F.col("n") - F.col("at"))) >= F.lit(2 * percent) * F.col("n")
-    y = placed.select("t", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("g").alias("g2"))
-    rest = placed.where(short).join(y, "t").where("g <> g2 and (n < m or (n = m and cid < cid2))").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")))
+    y = placed.select("t", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("g").alias("g2"), F.col("bits").alias("bits2"))
+    rest = placed.where(short).join(y, "t").where("g <> g2 and (n < m or (n = m and cid < cid2))").where(_possible(percent, F.col("n"), F.col("at"), F.col("m"), F.col("j")) & _alike(percent))
     rest = rest.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = _close(rest, nodes, percent)
     more = _verified(rest, nodes, texts, repeats, words, percent)
@@ -241,7 +259,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = written(shingle_rows(base, words, percent), "sets")
     full = rows.where("doc_id is not null and n > 0")
     least = F.min(F.struct("doc_id", "key"))
-    classes = written(full.groupBy("digest").agg(least.alias("lead"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    classes = written(full.groupBy("digest").agg(least.alias("lead"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "classes")
     nodes = classes.withColumn("cid", F.col("lead.doc_id"))
     # two sets under one least doc_id are two nodes: the second is known by its digest
     twice = written(nodes.groupBy("cid").agg(F.min("digest").alias("one"), F.count("*").alias("k")).where("k > 1").select("cid", "one"), "twice")
