@@ -177,6 +177,7 @@ def _decision(x: Column, category: Column, stated: Column, rulebook: Column, oth
         parts = [F.array(F.lit(r)) if isinstance(r, str) else r for r in reasons]
         return F.struct(as_column(kind).alias("doc_type"), F.lit(tier).alias("tier"), as_column(confidence).alias("confidence"), F.concat(*parts).alias("reasons"))
 
+    # Types, tiers, confidences and reasons of the decisions, in their order.
     w = F.when(rulebook, of(F.when(stated.isin(STATED_TYPES), stated).otherwise("guideline"), "A", "high", "curated core rule"))
     w = w.when((s == "") & other, of("guideline", "A", "low", F.array(F.concat(F.lit("provider:"), provider))))
     w = w.when(s == "", of("other", "B", "low", "no-subject"))

@@ -40,6 +40,7 @@ def date_range(question: Column, today: Column) -> Column:
     month also misspelt (without a year the latest past one), one date, today, yesterday, the last N days (366 at most), this or last week (from Monday), this or last month,
     this year, a month, a year. A range without a year never starts in the future. `today` is a date."""
     d = DATE_TEXT
+    # The words that make a range, in English and Hindi; those of weeks, months and years stand in `chosen`.
     pairs = [(rf"(?:between|from)\s+({d})\s+(?:and|to|till|until)\s+({d})", 2), (rf"({d})\s+से\s+({d})\s+तक", 2), (rf"(?:since|after|from)\s+({d})", 1), (rf"({d})\s+(?:के\s+बाद|से)", 1)]
     days_month = rf"(?:^|\s)({_DAYS})\s+(?:of\s+)?((?:{MONTH}|[a-z]{{3,12}}))\.?(?:,?\s+(\d{{4}}))?(?=[\s,.?!]|$)"
     month_days = rf"(?:^|\s)((?:{MONTH}|[a-z]{{3,12}}))\.?\s+({_DAYS})(?:,?\s+(\d{{4}}))?(?=[\s,.?!]|$)"

@@ -24,6 +24,8 @@ KINDS = {
     "amends": r"संशोधन|संशोधित|संशो\s?ि?\s?ध|modif|amend",
 }
 STRENGTH = {"supersedes": 4, "cancels": 3, "amends": 2, "corrects": 2, "refers": 0}
+# Characters of evidence before and after a reference, and those after it in which its kind stands.
+BEFORE, AFTER, KIND_AFTER = 40, 80, 120
 REFERENCE = rf"{NUMBER_WORD}\s*[:\-–]?\s*{NUMBER}\s*[,।]?\s*{DATE_WORD}\s*[:\-–]?\s*{DATE}"
 
 
@@ -72,10 +74,10 @@ def order_references(docs: DataFrame, key: str, text: str, own_number: str | Non
     rows = rows.where(F.col("m.go_key").isNotNull() & F.col("m.go_date").isNotNull() & ~self)
     before, after = F.expr("gaps[at]"), F.expr("gaps[at + 1]")
     start = F.expr("aggregate(slice(gaps, 1, at + 1), 0, (s, g) -> s + length(g)) + aggregate(slice(found, 1, at), 0, (s, f) -> s + f.size)")
-    kind = F.coalesce(let(F.substring(after, 1, 120), _kind), let(F.right(before, F.lit(40)), _kind), F.lit("refers"))
+    kind = F.coalesce(let(F.substring(after, 1, KIND_AFTER), _kind), let(F.right(before, F.lit(BEFORE)), _kind), F.lit("refers"))
     rows = rows.select(key, "at", "x", kind.alias("kind"), "m.number", "m.go_key", "m.go_date", "m.size", start.alias("start")).withColumnRenamed("number", "go_number")
-    low = F.greatest(F.col("start") - 40, F.lit(0))
-    evidence = F.trim(F.substring("x", low + 1, F.col("start") - low + F.col("size") + 80))
+    low = F.greatest(F.col("start") - BEFORE, F.lit(0))
+    evidence = F.trim(F.substring("x", low + 1, F.col("start") - low + F.col("size") + AFTER))
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in STRENGTH.items()])
     best = first_per(rows.withColumn("evidence", evidence), [key, "go_key", "go_date"], [rank.desc(), "at"])
     return best.select(key, "kind", "go_number", "go_key", "go_date", "evidence")

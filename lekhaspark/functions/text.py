@@ -114,6 +114,7 @@ def text_quality(c: Column) -> Column:
     lead_ratio = leading / F.greatest(n, F.lit(1))
     joiners = F.regexp_count(c, F.lit(r"[‌‍]"))
     join_ratio = joiners / F.greatest(deva, F.lit(1))
+    # The penalties and their limits.
     score = (
         F.lit(100.0)
         - F.when(mark_ratio < 0.07, 25).when(mark_ratio < 0.10, 12).otherwise(0)

@@ -43,6 +43,25 @@ def find_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return exact.union(order)
 
 
+def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left (a, words), right (b, words: arrays of distinct words) -> (a, b, overlap): pairs that share `least` or more of the smaller
+    set. Of the smaller set only its rarest words, as many as cannot all be missing, look for partners, so common words
+    make no pairs; sets are compared for what is left."""
+    counts = left.select(F.explode("words").alias("w")).union(right.select(F.explode("words"))).groupBy("w").agg(F.count("*").alias("df"))
+
+    def words(d: DataFrame, key: str) -> DataFrame:
+        each = d.select(key, F.size("words").alias("n"), F.explode("words").alias("w")).join(counts, "w")
+        return each.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("df", "w")))
+
+    a, b = words(left, "a").withColumnsRenamed({"n": "n_a", "r": "r_a"}).drop("df"), words(right, "b").withColumnsRenamed({"n": "n_b", "r": "r_b"}).drop("df")
+    rare = lambda n, r: r <= n - F.ceil(F.lit(least) * n) + 1
+    first = a.where(rare(F.col("n_a"), F.col("r_a"))).join(b, "w").where("n_a <= n_b").select("a", "b")
+    second = b.where(rare(F.col("n_b"), F.col("r_b"))).join(a, "w").where("n_b < n_a").select("a", "b")
+    met = first.union(second).distinct().join(left.select("a", F.col("words").alias("_a")), "a").join(right.select("b", F.col("words").alias("_b")), "b")
+    share = F.size(F.array_intersect("_a", "_b")) / F.least(F.size("_a"), F.size("_b"))
+    return met.select("a", "b", share.alias("overlap")).where(F.col("overlap") >= least)
+
+
 def changed_ranges(a: Column, b: Column) -> Column:
     """Ranges (start, end) of places at which two captures of up to some kilobytes differ; a longer one differs to its end."""
     n = F.greatest(F.length(a), F.length(b))

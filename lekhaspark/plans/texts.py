@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import duplicates as D
 from ..operators import ranking as R
 from ..operators import state as S
 from ..operators import vectors as V
@@ -241,10 +242,19 @@ def stratified_sample(t):
 
 @query(r"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS ws FROM benchmark), e AS (SELECT item_id, unnest(ws) AS w FROM w),
 p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM e a JOIN e b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2)
-SELECT p.a, p.b, round(shared::DOUBLE / least(len(x.ws), len(y.ws)), 6) AS overlap FROM p JOIN w x ON p.a = x.item_id JOIN w y ON p.b = y.item_id WHERE shared::DOUBLE / least(len(x.ws), len(y.ws)) >= 0.5""")
+SELECT p.a, p.b, round(shared::DOUBLE / least(len(x.ws), len(y.ws)), 6) AS overlap FROM p JOIN w x ON p.a = x.item_id JOIN w y ON p.b = y.item_id WHERE shared::DOUBLE / least(len(x.ws), len(y.ws)) >= 0.3""")
 def word_overlap_pairs(t):
-    w = t("benchmark").select("item_id", F.array_distinct(T.tokens(F.lower("text"))).alias("ws"))
-    e = w.select("item_id", F.explode("ws").alias("w"), F.size("ws").alias("n"))
-    pairs = e.select("w", F.col("item_id").alias("a"), F.col("n").alias("n_a")).join(e.select("w", F.col("item_id").alias("b"), F.col("n").alias("n_b")), "w").where("a < b")
-    got = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return got.select("a", "b", F.round(F.col("shared") / F.least("n_a", "n_b"), 6).alias("overlap"), (F.col("shared") / F.least("n_a", "n_b")).alias("o")).where("o >= 0.5").drop("o")
+    w = t("benchmark").select("item_id", F.array_distinct(T.tokens(F.lower("text"))).alias("words"))
+    pairs = D.overlap_pairs(w.withColumnRenamed("item_id", "a"), w.withColumnRenamed("item_id", "b"), 0.3).where("a < b")
+    return pairs.select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+@query(r"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS ws FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS ws FROM documents),
+e AS (SELECT item_id, unnest(ws) AS w FROM w), f AS (SELECT doc_id, unnest(ws) AS w FROM d), p AS (SELECT item_id, doc_id, count(*) AS shared FROM e JOIN f USING (w) GROUP BY 1, 2)
+SELECT p.item_id, p.doc_id, round(shared::DOUBLE / least(len(w.ws), len(d.ws)), 6) AS overlap FROM p JOIN w USING (item_id) JOIN d USING (doc_id) WHERE shared::DOUBLE / least(len(w.ws), len(d.ws)) >= 0.8""")
+def benchmark_overlap(t):
+    """Documents that hold eight tenths of the words of an item, or whose own words an item holds."""
+    words = F.array_distinct(T.tokens(F.lower("text"))).alias("words")
+    items, docs = t("benchmark").select(F.col("item_id").alias("a"), words), t("documents").select(F.col("doc_id").alias("b"), words)
+    pairs = D.overlap_pairs(items, docs, 0.8)
+    return pairs.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("overlap", 6).alias("overlap"))
