@@ -38,6 +38,8 @@ EARLIER_ENGLISH = (
     r"\b(?:this|that|the same|the above|above|said|aforesaid|cited)\s+(?:order|go|g\.o\.|circular|notification|rules?|chapter|document|office memorandum|om)\b|"
     r"\b(?:it|its)\b.*\b(?:amend|change|supersed|cancel|revis|modif)"
 )
+NOTE_START = r"^[\s*_>]*(?:\(|\[)?\s*[*_]*\s*(?:note|nb|caution|disclaimer|नोट|टिप्पणी|ध्यान दें|सावधानी)\s*[:：-]"
+NOTE_TOPIC = r"mask|ocr|verif|extraction|original (?:source|page)|सत्याप|संघर्ष|मूल (?:स्रोत|पृष्ठ)|ओसीआर|छिपा"
 _NOT_FOUND = "(?iu)" + "|".join(NOT_FOUND)
 #: A draft longer than this is no mere "not found"; so many signs beside the token are no answer.
 LONGEST_NON_ANSWER, SHORTEST_ANSWER = 1500, 160
@@ -69,6 +71,17 @@ def without_token(answer: Column) -> Column:
     return F.when(answer.contains(NO_ANSWER), F.trim(F.regexp_replace(F.replace(answer, F.lit(NO_ANSWER), F.lit("")), r"\n{3,}", "\n\n"))).otherwise(answer)
 
 
+def without_notes(answer: Column) -> Column:
+    """The answer without paragraphs at its end that only speak of masking, OCR or verification; as it is when no citation
+    would be left."""
+    parts = F.split(F.regexp_replace(answer, r"\s+$", ""), r"\n\s*\n")
+    note = lambda x: x.rlike("(?iu)" + NOTE_START) & x.rlike("(?iu)" + NOTE_TOPIC)
+    # the first paragraph stays whatever it is; of the others all up to the last that is no note
+    kept = F.greatest(F.lit(1), F.array_max(F.transform(parts, lambda x, i: F.when(~note(x), i + 1).otherwise(0))))
+    stripped = F.array_join(F.slice(parts, 1, kept), "\n\n")
+    return F.when(stripped.rlike(r"\[S\d+\s+p\.\d+\]"), stripped).otherwise(answer)
+
+
 def asks_about_changes(question: Column) -> Column:
     return F.translate(question, JOINERS, "").rlike("(?i)" + LATER_CHANGE)
 

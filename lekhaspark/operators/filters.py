@@ -243,3 +243,20 @@ def hide_providers(question: str, hidden: dict[str, str]) -> Column:
     asked = question.casefold()
     gone = sorted(p for p, district in hidden.items() if district.casefold() not in asked)
     return ~_is(F.col("provider").isin(gone)) if gone else _everything()
+
+
+def scope(docs: DataFrame, request: dict) -> DataFrame:
+    """All filters of a search scope at once: keys departments, jurisdictions, topics, number, number_prefix, source_ids,
+    section, words, phrases, patterns, spellings, rulebooks, official; unknown keys are an error."""
+    known = {"departments", "jurisdictions", "topics", "number", "number_prefix", "source_ids", "section", "words", "phrases", "patterns", "spellings", "rulebooks", "official"}
+    if set(request) - known:
+        raise ValueError(f"unknown filters: {sorted(set(request) - known)}")
+    spellings = request.get("spellings", {})
+    conditions = [
+        by_jurisdiction(request.get("jurisdictions", [])), by_topic(request.get("topics", [])), number_contains(request.get("number", "")), number_prefix(request.get("number_prefix", "")),
+        by_source_ids(request.get("source_ids")), section_like(request.get("section", "")), all_words(request.get("words", ""), spellings),
+        finder_terms(request.get("phrases", []), request.get("patterns", []), spellings), official_only() if request.get("official", True) else _everything(),
+    ]
+    for c in conditions:
+        docs = docs.where(c)
+    return department_any(docs, request.get("departments", []), request.get("rulebooks", ()))

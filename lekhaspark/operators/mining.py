@@ -80,3 +80,41 @@ def ocr_parts(batches: DataFrame) -> DataFrame:
     good = (F.size(marks) == F.size("pages")) & (F.size("pages") > 0) & (marks == F.sequence(F.lit(1), F.size("pages"))) & (F.trim(F.regexp_replace(parts[0], r"\s+", " ")) == "")
     kept = batches.where(F.coalesce(good, F.lit(False)))
     return kept.select("batch", F.inline(F.arrays_zip(F.col("pages").alias("page"), F.slice(parts, 2, F.size("pages")).alias("text")))).select("batch", "page", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+
+
+#: Shares of a sample by kind of document, and pages of one document at most.
+SHARES = {"rulebook": (0.35, 8), "order": (0.55, 3), "other": (0.10, 4)}
+
+
+def sample_pages(pages: DataFrame, total: int, excluded: DataFrame, shares: dict[str, tuple[float, int]] = SHARES) -> DataFrame:
+    """pages (kind, source_id, page) -> a fixed sample of about `total`: of each kind its share, of a document no more pages than
+    the kind allows, in the order of a hash; documents of `excluded` (source_id) are left out."""
+    turn = F.sha2(F.concat_ws("|", "source_id", F.col("page").cast("string")), 256)
+    held = pages.join(excluded.select("source_id").distinct(), "source_id", "left_anti").withColumn("_h", turn)
+    out = None
+    for kind, (share, quota) in shares.items():
+        own = held.where(F.col("kind") == kind).withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("_h"))).where(F.col("_n") <= quota)
+        part = own.orderBy("_h").limit(int(total * share + 0.5))
+        out = part if out is None else out.union(part)
+    return out.select(pages.columns)
+
+
+def is_dev(source_id, percent: int = 8):
+    """Whether a document belongs to the test half: by a hash of its id, so that all its pages go together."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit("dev|"), source_id), 256), 1, 8), 16, 10).cast("long") % 100 < percent
+
+
+def training_rows(candidates: DataFrame, count: int, overlap: float = 0.6) -> DataFrame:
+    """candidates (query, source_id, positive_source, rank, words, positive_words: arrays) -> (query, negatives, dev): wrong pages of
+    other documents that share less than `overlap` of the smaller word set with the right page, best first, `count` at
+    most. Questions of test documents take any; training rows with a test document among their negatives are dropped, and
+    so are rows with fewer than two."""
+    shared = F.coalesce(F.size(F.array_intersect("words", "positive_words")) / F.nullif(F.least(F.size("words"), F.size("positive_words")), F.lit(0)), F.lit(0.0))
+    good = candidates.where((F.col("source_id") != F.col("positive_source")) & (shared < overlap))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    kept = good.withColumn("place", place).where(F.col("place") <= count)
+    rows = kept.groupBy("query").agg(
+        F.first(is_dev(F.col("positive_source"))).alias("dev"), F.bool_or(is_dev(F.col("source_id"))).alias("mixed"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "source_id"))), lambda x: x["source_id"]).alias("negatives"),
+    )
+    return rows.where((F.size("negatives") >= 2) & (F.col("dev") | ~F.col("mixed"))).select("query", "negatives", "dev")

@@ -120,3 +120,16 @@ def place_codes(names: DataFrame, places: DataFrame) -> DataFrame:
     keys = places.select("code", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
     keys = keys.select(key(F.col("n")).alias("_k"), "code").groupBy("_k").agg(F.min("code").alias("code"), F.max("code").alias("_hi")).where("code = _hi").drop("_hi")
     return names.withColumn("_k", key(F.col("name"))).join(keys, "_k", "left").drop("_k")
+
+
+def portal_record(url: Column, claimed: Column, hosts: list[str], path: str, canonical: str) -> Column:
+    """struct(source_id, url, problem) of a listed link: hosts with or without www and in any case are one; the id is what the
+    link's id1 encodes, and must equal a claimed one."""
+    host = F.regexp_replace(F.lower(F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    right = host.isin(hosts) & (F.lower(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))) == path.lower())
+    encoded = F.coalesce(F.parse_url(url, F.lit("QUERY"), F.lit("id1")), F.lit(""))
+    decoded = F.decode(F.try_to_binary(F.url_decode(encoded), F.lit("base64")), "UTF-8")
+    found = F.when(decoded.rlike(r"^\d+#\d+#\d+#\d{4}$"), decoded)
+    problem = F.when(~right, "not the official endpoint").when(found.isNull(), "no order identifier").when(claimed.isNotNull() & (claimed != found), "id does not match the link")
+    ok = problem.isNull()
+    return F.struct(F.when(ok, found).alias("source_id"), F.when(ok, F.concat(F.lit(canonical + "?"), F.parse_url(url, F.lit("QUERY")))).alias("url"), problem.alias("problem"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import listings, matching, mining
+from ..operators import checks, listings, matching, mining, records
 from .registry import query
 
 # What questions may name, as small tables: phrases of departments, playbooks with triggers, contexts and boosts.
@@ -185,3 +185,47 @@ def evidence_sentence(t):
 @query("SELECT coalesce(CASE c_nationkey % 3 WHEN 0 THEN 'UP' WHEN 1 THEN 'IN' END, '?') AS code, count(*) AS documents, count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS superseded, count(CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 END) AS drafts FROM customer GROUP BY 1")
 def jurisdiction_report(t):
     return listings.jurisdiction_report(t("customer").selectExpr("CASE c_nationkey % 3 WHEN 0 THEN 'UP' WHEN 1 THEN 'IN' END AS jurisdiction_code", "CASE c_mktsegment WHEN 'BUILDING' THEN 'superseded' WHEN 'FURNITURE' THEN 'draft' END AS status"))
+
+
+_KIND = "CASE WHEN o_custkey % 10 < 3 THEN 'rulebook' WHEN o_custkey % 10 < 9 THEN 'order' ELSE 'other' END"
+
+
+@query(f"""WITH p AS (SELECT {_KIND} AS kind, CAST(o_custkey AS STRING) AS source_id, o_orderkey AS page, sha256(concat(CAST(o_custkey AS STRING), '|', CAST(o_orderkey AS STRING))) AS h FROM orders WHERE o_custkey % 50 <> 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY h) AS n FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h) AS k FROM q WHERE n <= CASE kind WHEN 'rulebook' THEN 8 WHEN 'order' THEN 3 ELSE 4 END)
+SELECT kind, source_id, page FROM r WHERE k <= CASE kind WHEN 'rulebook' THEN 70 WHEN 'order' THEN 110 ELSE 20 END""")
+def page_sample(t):
+    """A sample of two hundred pages: 35, 55 and 10 of a hundred by kind, with a quota for each document."""
+    pages = t("orders").selectExpr(f"{_KIND} AS kind", "CAST(o_custkey AS STRING) AS source_id", "o_orderkey AS page")
+    return mining.sample_pages(pages, 200, pages.where("CAST(source_id AS INT) % 50 = 1"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS query, CAST(l_suppkey % 40 AS STRING) AS source_id, CAST(l_orderkey % 40 AS STRING) AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank, l_quantity FROM lineitem),
+g AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM w WHERE source_id <> pos AND l_quantity <= 25),
+d AS (SELECT *, ('0x' || substr(sha256(concat('dev|', pos)), 1, 8))::BIGINT % 100 < 8 AS dev, ('0x' || substr(sha256(concat('dev|', source_id)), 1, 8))::BIGINT % 100 < 8 AS neg FROM g WHERE place <= 3)
+SELECT query, string_agg(source_id, ',' ORDER BY place) AS negatives, bool_or(dev) AS dev FROM d GROUP BY 1 HAVING count(*) >= 2 AND (bool_or(dev) OR NOT bool_or(neg))""")
+def training_rows(t):
+    """Candidates whose words are made of the line's quantity: up to 25 they share two words of four with the right page, else three."""
+    words = F.when(F.col("l_quantity") <= 25, F.array(*map(F.lit, "abxy"))).otherwise(F.array(*map(F.lit, "abcx")))
+    c = t("lineitem").select(
+        F.col("l_orderkey").alias("query"), (F.col("l_suppkey") % 40).cast("string").alias("source_id"), (F.col("l_orderkey") % 40).cast("string").alias("positive_source"),
+        F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber)").alias("rank"), words.alias("words"), F.array(*map(F.lit, "abcd")).alias("positive_words"),
+    )
+    return mining.training_rows(c, 3).withColumn("negatives", F.array_join("negatives", ","))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN concat(CAST(o_orderkey AS STRING), '#', CAST(o_custkey % 9 AS STRING), '#1#2020') END AS source_id, CASE o_orderkey % 4 WHEN 2 THEN 'not the official endpoint' WHEN 3 THEN 'id does not match the link' END AS problem FROM orders""")
+def portal_records(t):
+    k = F.col("o_orderkey") % 4
+    order = F.concat(F.col("o_orderkey").cast("string"), F.lit("#"), (F.col("o_custkey") % 9).cast("string"), F.lit("#1#2020"))
+    host = F.when(k == 0, "https://www.Orders.gov/go/view.ASPX").when(k == 1, "http://orders.gov/GO/View.aspx").when(k == 2, "https://other.org/GO/View.aspx").otherwise("https://orders.gov/GO/View.aspx")
+    url = F.concat(host, F.lit("?id1="), F.url_encode(F.base64(order.cast("binary"))))
+    r = t("orders").select("o_orderkey", records.portal_record(url, F.when(k == 3, "1#1#1#2020").when(k == 0, order), ["orders.gov"], "/GO/View.aspx", "https://orders.gov/GO/View.aspx").alias("r"))
+    return r.select("o_orderkey", "r.source_id", "r.problem")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN concat('It is so [S1 p.2].', chr(10), chr(10), 'And more.') WHEN 1 THEN concat('Note: OCR text.', chr(10), chr(10), 'Note: masked numbers.') WHEN 2 THEN concat('It is so [S1 p.2].', chr(10), chr(10), 'Note: see the rules.') ELSE concat('No citation.', chr(10), chr(10), 'Note: verify.') END AS answer FROM lineitem""")
+def stripped_notes(t):
+    k = F.col("l_linenumber") % 4
+    text = F.when(k == 0, "It is so [S1 p.2].\n\nAnd more.\n\n**Note:** masked numbers need verification.\n \nनोट: ओसीआर").when(k == 1, "Note: OCR text.\n\nNote: masked numbers.")
+    text = text.when(k == 2, "It is so [S1 p.2].\n\nNote: see the rules.").otherwise("No citation.\n\nNote: verify.")
+    return t("lineitem").select("l_orderkey", "l_linenumber", checks.without_notes(text).alias("answer"))

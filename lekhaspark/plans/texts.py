@@ -24,10 +24,12 @@ def normalize_ws(t):
     return t("documents").select("doc_id", F.sha2(T.normalize_space(F.col("text")), 256).alias("sha"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[ऀ-ॿ]'))::BIGINT AS devanagari, len(regexp_extract_all(text, '[A-Za-z]'))::BIGINT AS latin FROM documents")
+@query("SELECT doc_id, d::BIGINT AS devanagari, l::BIGINT AS latin, round(coalesce(d / nullif(d + l, 0), 0), 6) AS hindi_share FROM (SELECT doc_id, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS d, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM documents)")
 def script_counts(t):
     deva, latin = T.script_counts(F.col("text"))
-    return t("documents").select("doc_id", deva.cast("long").alias("devanagari"), latin.cast("long").alias("latin"))
+    counted = t("documents").select("doc_id", deva.cast("long").alias("devanagari"), latin.cast("long").alias("latin"))
+    share = F.coalesce(F.col("devanagari") / F.nullif(F.col("devanagari") + F.col("latin"), F.lit(0)), F.lit(0.0))
+    return counted.withColumn("hindi_share", F.round(share, 6))
 
 
 @query()
@@ -62,7 +64,7 @@ def dev_split(t):
     return t("documents").select("doc_id", (T.hash_bucket(F.concat_ws("|", F.lit("dev"), "source", F.col("doc_id").cast("string")), 100) < 8).alias("dev"))
 
 
-@query("SELECT source, sorted[1 + floor((n - 1) * 0.25)::INT] AS p25, sorted[1 + floor((n - 1) * 0.5)::INT] AS p50, sorted[1 + floor((n - 1) * 0.95)::INT] AS p95 FROM (SELECT source, list(n_chars ORDER BY n_chars) AS sorted, count(*) AS n FROM documents GROUP BY source)")
+@query("SELECT source, sorted[1 + floor((n - 1) * 0.25)::INT] AS p25, sorted[1 + floor((n - 1) * 0.5)::INT] AS p50, sorted[1 + floor((n - 1) * 0.75)::INT] AS p75, sorted[1 + floor((n - 1) * 0.95)::INT] AS p95, sorted[1] AS least, sorted[n] AS most, len(list_filter(sorted, lambda x: x < 120))::BIGINT AS short, len(list_filter(sorted, lambda x: x > 1900))::BIGINT AS long FROM (SELECT source, list(n_chars ORDER BY n_chars) AS sorted, count(*) AS n FROM documents GROUP BY source)")
 def chunk_length_percentiles(t):
     """Lower-index percentiles by source. Lengths are counted first, so a source is a histogram and not a list of rows."""
     from pyspark.sql import Window
@@ -70,7 +72,10 @@ def chunk_length_percentiles(t):
     hist = t("documents").groupBy("source", "n_chars").agg(F.count("*").alias("k"))
     upto = hist.withColumn("hi", F.sum("k").over(Window.partitionBy("source").orderBy("n_chars"))).join(hist.groupBy("source").agg(F.sum("k").alias("n")), "source")
     at = lambda p: F.min(F.when(F.col("hi") > F.floor((F.col("n") - 1) * p), F.col("n_chars")))
-    return upto.groupBy("source").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return upto.groupBy("source").agg(
+        at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.95).alias("p95"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"),
+        F.coalesce(F.sum(F.when(F.col("n_chars") < 120, F.col("k"))), F.lit(0)).alias("short"), F.coalesce(F.sum(F.when(F.col("n_chars") > 1900, F.col("k"))), F.lit(0)).alias("long"),
+    )
 
 
 @query(r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS w FROM documents) GROUP BY w HAVING count(*) >= 2")

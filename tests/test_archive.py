@@ -134,3 +134,16 @@ def test_records(spark, tmp_path):
 def test_hits_of_empty_tables(spark):
     h = spark.createDataFrame([], "query int, page int, variant int, rank int")
     assert hits.rerank_pool(h, 3, 3).count() == hits.alternates(h, h).count() == 0
+
+
+def test_old_pages_and_scopes(spark):
+    raw = [b"<meta charset=utf-8>\xc3\xa9", b"<p>\x97 dash", b"<meta charset='iso-8859-5'>\xd0", None]
+    df = spark.createDataFrame([(k, bytearray(b) if b else None) for k, b in enumerate(raw)], "i int, b binary")
+    assert [r["t"] for r in df.select("i", P.decode_page("b").alias("t")).orderBy("i").collect()] == ["<meta charset=utf-8>é", "<p>— dash", "<meta charset='iso-8859-5'>а", None]
+    assert each(spark, P.old_references, ["a &#151; b&#146;s &#129; &#200;"]) == ["a — b’s &#129; &#200;"]
+    rows = [("1#2#3#2020", "Home", 2, "UP", ["police"], True, "p", "5 / 1", None, "Budget", "x", "Rules of pay", "{}"), ("2#2#3#2020", "Home", 2, "UP", ["land"], False, "p", "5 / 2", None, "", "x", "Rules of pay", "{}")]
+    docs = spark.createDataFrame(rows, "source_id string, department string, department_id int, jurisdiction_code string, topics array<string>, provenance_ok boolean, provider string, go_number string, go_date string, section string, category string, subject string, metadata string")
+    assert filters.scope(docs, {}).count() == 1 and filters.scope(docs, {"official": False}).count() == 2
+    assert filters.scope(docs, {"official": False, "departments": ["Home"], "topics": ["land"], "words": "rules pay", "number_prefix": "5/"}).count() == 1
+    with pytest.raises(ValueError):
+        filters.scope(docs, {"colour": "red"})
