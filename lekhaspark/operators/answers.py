@@ -67,6 +67,20 @@ def numeric_issues(units: DataFrame, key: str, evidence: DataFrame, named: DataF
     return all_.select(key, "unit", issue.alias("issue")).where("issue is not null")
 
 
+def validate(answers: DataFrame, key: str, text: str, evidence: DataFrame, named: DataFrame | None = None, placeholder: str = r"<<[A-Z_]+>>") -> DataFrame:
+    """(key, issues: sorted codes, ok) of every answer. An answer without words is empty_answer and nothing else; else
+    internal_placeholder, missing_citation (evidence was there and none is cited), invalid_citation, and the issues of numbers."""
+    words = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CITATION, ""), r"[^\p{L}\p{N}]+", "")
+    held = evidence.select(key).distinct().withColumn("_evidence", F.lit(True))
+    units = claim_units(answers, key, text)
+    codes = invalid_citations(units, key, evidence).select(key, F.lit("invalid_citation").alias("code")).union(numeric_issues(units, key, evidence, named).select(key, F.col("issue").alias("code")))
+    found = codes.groupBy(key).agg(F.collect_set("code").alias("_codes"))
+    met = answers.select(key, text).join(held, key, "left").join(found, key, "left")
+    own = F.array_compact(F.array(F.when(F.col(text).rlike(placeholder), F.lit("internal_placeholder")), F.when(F.col("_evidence") & ~F.col(text).rlike(CITATION), F.lit("missing_citation"))))
+    issues = F.when(words == "", F.array(F.lit("empty_answer"))).otherwise(F.array_sort(F.array_union(own, F.coalesce("_codes", F.array().cast("array<string>")))))
+    return met.select(key, issues.alias("issues")).withColumn("ok", F.size("issues") == 0)
+
+
 # How a finished line ends, where a sentence ends, citations after it, list marks.
 FINISHED = re.compile(r"[।॥.?!)\]]\s*$")
 SENTENCE_ENDS = re.compile(r"[\[\]]|[।॥?!]|\.(?!\d)")

@@ -71,6 +71,14 @@ def answer_numeric_issues(t):
     return A.numeric_issues(A.claim_units(texts, "l_orderkey", "text"), "l_orderkey", evidence)
 
 
+@query(f"""{_LINES}, q AS (SELECT l_orderkey, CASE WHEN l_quantity > 40 THEN 'uncited' WHEN l_returnflag = 'R' AND (l_linestatus <> 'O' OR l_linenumber = 3) THEN 'unsafe' WHEN l_linenumber = 3 THEN 'unsupported' END AS code FROM x
+UNION ALL SELECT l_orderkey, CASE WHEN min(l_quantity) > 40 THEN 'missing_citation' END FROM x GROUP BY 1)
+SELECT l_orderkey, coalesce(array_to_string(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), ','), '') AS issues, count(code) = 0 AS ok FROM q GROUP BY 1""")
+def answer_validation(t):
+    texts, evidence = _answers(t)
+    return A.validate(texts, "l_orderkey", "text", evidence).withColumn("issues", F.array_join("issues", ","))
+
+
 @query(f"{_LINES} SELECT l_orderkey, concat('S', l_linenumber) AS label, l_linenumber AS page FROM x WHERE l_quantity <= 40 AND l_returnflag = 'A'")
 def answer_invalid_citations(t):
     texts, _ = _answers(t)
