@@ -177,7 +177,7 @@ def keep_good(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return docs.join(gone, key == gone["_gone"], "left_anti").select(docs.columns)
 
 
-def sql() -> str:
+def sql(least_words: int = LEAST_WORDS) -> str:
     """The same in DuckDB SQL."""
     vote = ", ".join(f"CASE WHEN {bad} THEN {3 * i} WHEN {good} THEN {3 * i + 2} ELSE {3 * i + 1} END AS k{i}" for i, (_, bad, good) in enumerate(RULES))
     ks = ", ".join(f"k{i}" for i in range(len(RULES)))
@@ -210,5 +210,5 @@ m{i} AS (SELECT (s{i}.g + {PRIOR_WEIGHT} * tot.n * {GOOD_PRIOR}) / (tot.n + {PRI
   FROM m0 LEFT JOIN c{i} USING (k), s{i}, tot)"""
     ctes += f""",
 z AS (SELECT {ks}, 1 / (1 + exp(-(ln(max(p)) - ln(1 - max(p)) + sum(ln(g) - ln(b))))) AS p_good FROM lon JOIN m{ROUNDS} USING (k) GROUP BY {ks}),
-q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v JOIN z USING ({ks}))"""
+q AS (SELECT *, n_words < {int(least_words)} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v JOIN z USING ({ks}))"""
     return f"WITH {ctes} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND p_good >= 0.5) AS kept FROM q"
