@@ -22,8 +22,8 @@ into such parts, with idf over all items, and the documents are read once for ea
 
 Defined cases: items and documents without words match nothing; an empty benchmark or no documents give an
 empty result; repeated items are items of their own; of equal scores every item is reported; repeated rows of a
-doc_id give one row for each item; very long texts are read whole, in passages; null doc_ids are never reported, and
-`clean` keeps them only if nothing matches them - which is tested on the row itself; only doc_id, text and item_id are
+doc_id give one row for each item; very long texts are read whole, in passages; null doc_ids are never reported;
+`clean` tests every row on its own text, whatever its doc_id; only doc_id, text and item_id are
 read, so further columns may bear any name.
 """
 
@@ -321,8 +321,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose document contains an item. Null doc_ids get a stand-in id for the search."""
-    stand_in = F.coalesce(docs["doc_id"].cast("long"), F.lit(-1) - F.abs(F.xxhash64(docs["text"].cast("string"))) % F.lit(1 << 62))
-    keyed = docs.select(stand_in.alias("doc_id"), docs["text"].alias("text"))
-    gone = find(keyed, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, stand_in == gone["_gone"], "left_anti").select(docs.columns)
+    """docs without the rows whose text contains an item. A row is known by a hash of its doc_id and text, so that rows
+    without a doc_id, and rows of different text that share one, are judged each for itself."""
+    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    gone = find(docs.select(key.alias("doc_id"), docs["text"].alias("text")), benchmark).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, key == gone["_gone"], "left_anti").select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, lines, mixing, prefix_tokens, quality, substrings, token_store, toxicity
+from . import decontaminate, fingerprints, html_text, importance, jaccard, lines, mixing, prefix_tokens, quality, substrings, token_store, toxicity, treap
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -67,12 +67,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_versions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_quality_rules, op3_html_extraction, op4_token_counts, op5_substring_dedup,
     op6_line_dedup, op7_token_store, op8_source_mixing, op9_toxicity, op10_decontamination,
+    op11_importance_resampling, op12_ranked_search, op13_fingerprints,
 )}
 #: The others are tested against brute force, the tokenizers library, a round trip or held-out labels.
 SQL = {
     "op2_quality_rules": quality.sql(),
     "op8_source_mixing": mixing.sql(),
+    "op12_ranked_search": treap.sql(),
 }

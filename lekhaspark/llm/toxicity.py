@@ -110,7 +110,15 @@ class Model:
                 calm.append((start, end + 1))
             elif start not in best or w > best[start][1]:
                 best[start] = end + 1, w
-        spans = [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in calm)]
+        spans, reach, at = [], 0, 0
+        calm.sort()
+        for s, (e, w) in sorted(best.items()):
+            # reach: how far the exceptions go that begin at s or before
+            while at < len(calm) and calm[at][0] <= s:
+                reach = max(reach, calm[at][1])
+                at += 1
+            if e > reach:
+                spans.append((s, e, w))
         n_words = folded.count(" ") - 1
         return sum(w for _, _, w in spans) / (1 + math.log1p(n_words / LENGTH_UNIT)), spans
 
@@ -231,5 +239,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id):
-    """Whether a doc_id is in the fold that learning never sees."""
-    return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == 0
+    """Whether a doc_id is in the fold that learning never sees; without a doc_id (the crc32 of nothing) it is."""
+    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
