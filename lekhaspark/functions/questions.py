@@ -34,7 +34,8 @@ def _day(c: Column) -> Column:
 
 
 def date_range(question: Column, today: Column) -> Column:
-    """struct<from: date, to: date> of the first kind of range that a question names, null when it names none.
+    """struct<from: date, to: date, dates: array<date>, said: string> of the first kind of range that a question names, null when it
+    names none: dates are the days where several are named, said the words that name it, in lower case.
 
     In this order: between two dates, since a date, several dates, a day or a list of days with a month before or after it, the
     month also misspelt (without a year the latest past one), one date, today, yesterday, the last N days (366 at most), this or last week (from Monday), this or last month,
@@ -48,7 +49,8 @@ def date_range(question: Column, today: Column) -> Column:
     one_year = r"(?:^|\s)(?:in\s+)?((?:19|20)\d{2})(?:\s+(?:के|में))?(?=\s|$)"
     monday, month, year = F.date_trunc("week", today).cast("date"), F.trunc(today, "month"), F.trunc(today, "year")
     part = F.regexp_extract
-    span = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to")))
+    none = F.array().cast("array<date>")
+    span = lambda a, b, text, days=none: F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to"), F.when(F.size(days) > 1, days).otherwise(none).alias("dates"), F.trim(text).alias("said")))
     number = lambda text: F.coalesce(*[F.when(text.rlike(rf"^(?:{m})$"), F.lit(i)) for i, m in enumerate(_MONTH, 1)])
     made = lambda y, m, day: F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), day), "yyyy-M-d")
 
@@ -65,8 +67,9 @@ def date_range(question: Column, today: Column) -> Column:
         return F.when(m.isNotNull(), F.array_sort(F.filter(F.transform(each, at), lambda x: x.isNotNull())))
 
     def named_days(q: Column) -> Column:
+        made_of = lambda days, pattern: F.struct(F.array_distinct(days).alias("days"), part(q, pattern, 0).alias("said"))
         first, second = listed(q, days_month, 1, 2), listed(q, month_days, 2, 1)
-        return F.when(F.size(first) > 0, first).when(F.size(second) > 0, second)
+        return F.when(F.size(first) > 0, made_of(first, days_month)).when(F.size(second) > 0, made_of(second, month_days))
 
     def month_start(q: Column) -> Column:
         y = part(q, month_alone, 2).try_cast("int")
@@ -74,29 +77,30 @@ def date_range(question: Column, today: Column) -> Column:
         return F.when(~((part(q, month_alone, 1) == "may") & y.isNull()), let(number(part(q, month_alone, 1)), lambda m: F.when(m.isNotNull(), most_recent(m))))
 
     def chosen(q: Column, ends: Column, found: Column, near: Column, first: Column) -> Column:
-        said = lambda p, a, b: F.when(q.rlike(p), span(a, b))
-        days = F.concat(part(q, r"\b(?:last|past)\s+(\d{1,3})\s+days?\b", 1), part(q, r"पिछले\s+(\d{1,3})\s+दिन", 1)).try_cast("int")
+        said = lambda p, a, b: F.when(q.rlike(p), span(a, b, part(q, p, 0)))
+        last_days = r"\b(?:last|past)\s+(\d{1,3})\s+days?\b|पिछले\s+(\d{1,3})\s+दिन"
+        days = F.concat(part(q, last_days, 1), part(q, last_days, 2)).try_cast("int")
         named = part(q, one_year, 1).try_cast("int")
+        at = lambda dates, k: F.get(dates, F.lit(k) if k >= 0 else F.size(dates) - 1)
         return F.coalesce(
-            span(ends[0], ends[1]), span(ends[2], ends[3]), span(ends[4], today), span(ends[5], today),
-            F.when(F.size(found) >= 2, span(F.get(found, F.lit(0)), F.get(found, F.size(found) - 1))),
-            F.when(F.size(near) > 0, span(F.get(near, F.lit(0)), F.get(near, F.size(near) - 1))),
-            F.when(F.size(found) == 1, span(F.get(found, F.lit(0)), F.get(found, F.lit(0)))),
+            *[span(ends[2 * k], ends[2 * k + 1], part(q, pairs[k][0], 0)) for k in (0, 1)], *[span(ends[k + 2], today, part(q, pairs[k][0], 0)) for k in (2, 3)],
+            F.when(F.size(found) >= 2, span(at(found, 0), at(found, -1), part(q, f"(?s){d}.*{d}", 0), found)),
+            F.when(near.isNotNull(), span(at(near["days"], 0), at(near["days"], -1), near["said"], near["days"])),
+            F.when(F.size(found) == 1, span(at(found, 0), at(found, 0), part(q, d, 0))),
             said(r"\btoday\b|आज", today, today),
             said(r"\byesterday\b|(?:^|\s)कल(?:\s|$)", F.date_sub(today, 1), F.date_sub(today, 1)),
-            F.when(days >= 1, span(F.date_sub(today, F.least(days, F.lit(366)) - 1), today)),
+            F.when(days >= 1, span(F.date_sub(today, F.least(days, F.lit(366)) - 1), today, part(q, last_days, 0))),
             said(r"\bthis\s+week\b|इस\s+(?:सप्ताह|हफ्ते|हफ़्ते)", monday, today),
             said(r"\blast\s+week\b|पिछले\s+(?:सप्ताह|हफ्ते|हफ़्ते)", F.date_sub(monday, 7), F.date_sub(monday, 1)),
             said(r"\bthis\s+month\b|इस\s+(?:माह|महीने)", month, today),
             said(r"\blast\s+month\b|पिछले\s+(?:माह|महीने)", F.add_months(month, -1), F.date_sub(month, 1)),
             said(r"\bthis\s+year\b|इस\s+(?:वर्ष|साल)", year, today),
-            F.when(first <= today, span(first, F.least(F.last_day(first), today))),
-            F.when(named <= F.year(today), span(F.make_date(named, F.lit(1), F.lit(1)), F.least(F.make_date(named, F.lit(12), F.lit(31)), today))),
+            F.when(first <= today, span(first, F.least(F.last_day(first), today), part(q, month_alone, 0))),
+            F.when(named <= F.year(today), span(F.make_date(named, F.lit(1), F.lit(1)), F.least(F.make_date(named, F.lit(12), F.lit(31)), today), part(q, one_year, 0))),
         )
 
     def read(q: Column) -> Column:
         # each kind is looked for only where a cheap sign of it stands
-        none = F.array().cast("array<date>")
         dated = q.rlike(r"\d{4}")
         ends = F.when(dated, F.transform(F.array(*[part(q, p, i) for p, n in pairs for i in range(1, n + 1)]), _day)).otherwise(F.array(*[F.lit(None).cast("date")] * 6))
         found = F.when(dated, F.array_distinct(F.array_sort(F.filter(F.transform(F.regexp_extract_all(q, F.lit(rf"({d})"), F.lit(1)), _day), lambda x: x.isNotNull())))).otherwise(none)

@@ -35,21 +35,21 @@ def padded(c: Column) -> Column:
 
 
 def phrase_hits(questions: DataFrame, phrases: DataFrame) -> DataFrame:
-    """questions (query, question), phrases (entry, phrase) -> (query, entry, phrase, n_words, rest): phrases that stand in a
-    question as whole words. Both sides meet on the first word, not in a cross join; rest is what follows the phrase."""
+    """questions (query, question), phrases (entry, phrase) -> (query, entry, phrase, n_words, n_chars, rest, before): phrases that stand in a
+    question as whole words. Both sides meet on the first word, not in a cross join; rest is what follows the phrase, before what precedes it."""
     q = questions.select("query", padded(F.col("question")).alias("_q"))
     q = q.withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_q"), " ")))).where("_w <> ''")
     p = phrases.select("entry", "phrase", padded(F.col("phrase")).alias("_p")).where(F.length("_p") > 2)
     p = p.withColumn("_w", F.split(F.trim("_p"), " ")[0])
     met = q.join(p, "_w").where(F.contains("_q", "_p"))
-    return met.select("query", "entry", "phrase", F.size(F.split(F.trim("_p"), " ")).alias("n_words"), F.length(F.trim("_p")).alias("n_chars"), F.expr("substring(_q, instr(_q, _p) + length(_p), 40)").alias("rest"))
+    return met.select("query", "entry", "phrase", F.size(F.split(F.trim("_p"), " ")).alias("n_words"), F.length(F.trim("_p")).alias("n_chars"), F.expr("substring(_q, instr(_q, _p) + length(_p), 40)").alias("rest"), F.expr("right(substring(_q, 1, instr(_q, _p)), 20)").alias("before"))
 
 
 def department_mentions(questions: DataFrame, registry: DataFrame) -> DataFrame:
     """registry (entry, phrase): of each question the longest department phrase it names, and whether the mention is strong (two
     words, or the word department beside it); of equal lengths the strong one, then the least entry."""
     hits = phrase_hits(questions, registry)
-    strong = (F.col("n_words") >= 2) | F.col("phrase").rlike("(?i)(विभाग|department)$") | F.col("rest").rlike("(?i)^(विभाग|department|dept)( |$)")
+    strong = (F.col("n_words") >= 2) | F.col("phrase").rlike("(?i)(विभाग|department)$") | F.col("rest").rlike("(?i)^(विभाग|विभागों|departments?|dept)( |$)") | F.col("before").rlike("(department|dept) of $")
     best = Window.partitionBy("query").orderBy(F.desc("n_chars"), F.desc("strong"), "entry", "phrase")
     return hits.withColumn("strong", strong).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("query", "entry", "phrase", "strong")
 
