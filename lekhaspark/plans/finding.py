@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import finder
+from ..operators.search import cover_ranks
 from .registry import query
 
 TODAY = "2026-09-27"
+STOP = ["the", "and", "of", "to", "in", "is", "which", "what"]
 # What questions may name: departments with their names.
 REGISTRY = [
     (34, "Public Works"), (34, "PWD"), (34, "लोक निर्माण विभाग"), (37, "Agriculture"), (37, "कृषि विभाग"), (162, "Finance"), (162, "वित्त विभाग"), (40, "Home"), (40, "गृह विभाग"), (50001, "Basic Education"),
@@ -57,3 +59,35 @@ def parsed_questions(t):
     joined = [F.array_join(c, " ").alias(c) for c in ("phrases", "patterns", "jurisdictions", "topics", "words")]
     days = [F.col(c).cast("string").alias(c) for c in ("date_from", "date_to")]
     return found.select("query", "mode", "explicit", F.coalesce("department", F.lit(-1)).alias("department"), "go_number", *joined, "section", "person", *days, F.size("dates").alias("dates"), "similar")
+
+
+def _covers(least: str) -> str:
+    """Over positions: for each place the last ones of all terms of its text, the least-th of which begins the stretch."""
+    return rf"""WITH q AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-zऀ-ॣ०-ॿ]+') AS ws FROM benchmark WHERE item_id % 20 = 0)),
+f AS (SELECT item_id, w, min(i) AS i FROM q WHERE length(w) >= 2 AND w NOT IN ({', '.join(f"'{s}'" for s in STOP)}) GROUP BY item_id, w),
+t AS (SELECT item_id, w, count(*) OVER (PARTITION BY item_id) AS size FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM f) WHERE n <= 12),
+d AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS ws FROM documents)),
+p AS (SELECT item_id, doc_id, n, pos, w, size FROM d JOIN t USING (w)),
+l AS (SELECT p.*, max(CASE WHEN p.w = t.w THEN pos END) OVER (PARTITION BY p.item_id, doc_id, t.w ORDER BY pos) AS last FROM p JOIN t ON p.item_id = t.item_id),
+b AS (SELECT item_id, doc_id, n, pos, list(last ORDER BY last DESC) FILTER (last IS NOT NULL) AS lasts, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS k, any_value(size) AS size FROM l GROUP BY item_id, doc_id, n, pos),
+s AS (SELECT *, coalesce(lasts[{least}], 0) AS start_pos FROM b),
+c AS (SELECT *, lag(start_pos, 1, 0) OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS before FROM s),
+h AS (SELECT c.*, o.k AS first FROM c JOIN b o ON c.item_id = o.item_id AND c.doc_id = o.doc_id AND o.pos = c.start_pos WHERE start_pos > before),
+r AS (SELECT item_id, doc_id, round(sum(0.1::DOUBLE / (1 + (pos - start_pos) - (k - first))) / (1 + ln(n)), 6) AS score FROM h GROUP BY item_id, doc_id, n)
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) x WHERE rank <= 10"""
+
+
+def _ranked(t, least):
+    """Queries are the items whose id is divisible by 20, against all documents."""
+    return cover_ranks(t("documents"), "doc_id", "text", t("benchmark").where("item_id % 20 = 0"), "item_id", "text", STOP, least)
+
+
+@query(_covers("1"))
+def cover_rank_any(t):
+    return _ranked(t, 1)
+
+
+@query(_covers("3"))
+def cover_rank_three(t):
+    return _ranked(t, 3)
+

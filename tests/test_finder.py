@@ -1,9 +1,12 @@
 import datetime
+import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lekhaspark.functions import glossary
-from lekhaspark.operators import filters, finder
+from lekhaspark.operators import filters, finder, search
 
 TODAY = "2026-09-27"
 REGISTRY = [
@@ -90,3 +93,36 @@ def test_glossary():
     assert glossary.pattern_spellings("*solar पम्प*") == ["*solar पम्प*", "*सोलर पम्प*", "*सौर पम्प*"]
     assert len(glossary.pattern_spellings("solar pump subsidy")) == 6 and glossary.pattern_spellings("x*") == ["x*"]
     assert glossary.spellings()["अनुदान"] == ["subsidy", "subsidies", "अनुदान", "सब्सिडी", "grant", "grants"]
+
+
+def brute_covers(places, least):
+    """Every stretch from one place to another, kept if it has enough terms and neither end can go."""
+    out = 0.0
+    enough = lambda a, b: len({t for _, t in places[a : b + 1]}) >= least
+    for a in range(len(places)):
+        for b in range(a, len(places)):
+            if enough(a, b) and not enough(a + 1, b) and not enough(a, b - 1):
+                out += 0.1 / (1 + places[b][0] - places[a][0] - (b - a))
+    return out
+
+
+def test_cover_density(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(120):
+        places = sorted((at, rng.choice("abcd"[: 1 + k % 4])) for at in rng.sample(range(1, 60), rng.randint(1, 20)))
+        least = rng.randint(1, 4)
+        rows.append((k, places, least))
+        want[k] = brute_covers(places, least)
+    df = spark.createDataFrame(rows, "k int, places array<struct<at: int, term: string>>, least int")
+    got = {r["k"]: r["x"] for r in df.select("k", search.cover_density(F.col("places"), F.col("least")).alias("x")).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_cover_ranks(spark):
+    docs = spark.createDataFrame([(1, "solar x x pump"), (2, "solar pump and solar"), (3, "pump"), (4, None), (5, "")], "d int, text string")
+    asked = spark.createDataFrame([("q", "the solar pump"), ("z", "")], "q string, asked string")
+    both = search.cover_ranks(docs, "d", "text", asked, "q", "asked", ["the"], None).orderBy("rank").collect()
+    assert [(r["d"], r["rank"]) for r in both] == [(2, 1), (1, 2)]
+    assert abs(both[1]["score"] - 0.1 / 3 / (1 + math.log(4))) < 1e-6 and abs(both[0]["score"] - (0.1 + 0.1 / 2) / (1 + math.log(4))) < 1e-6
+    assert search.cover_ranks(docs, "d", "text", asked, "q", "asked", ["the"]).count() == 3
