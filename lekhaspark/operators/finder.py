@@ -144,27 +144,21 @@ def parse(questions: DataFrame, registry: DataFrame, today: Column | str) -> Dat
     # departments named by the issuer, the section, the rest, and anywhere: one lookup for all
     parts = q.select("query", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.coalesce(c, F.lit("")).alias("words")) for k, c in enumerate((F.col("who"), F.coalesce("section", "issuing"), F.col("rest"), F.col("lower")))])).alias("p"))
     asked = parts.where("p.words <> ''").select(F.struct("query", "p.part").alias("query"), F.col("p.words").alias("question"))
-    found = department_mentions(asked, registry).select(F.col("query.query").alias("_query"), F.col("query.part").alias("part"), F.struct("entry", "strong", "phrase").alias("m"))
-    names = ["_who", "_section", "_rest", "_any"]
-    wide = found.groupBy("_query").agg(*[F.max(F.when(F.col("part") == k, F.col("m"))).alias(n) for k, n in enumerate(names)])
-    phrases = registry.select("entry", normal_name(F.col("phrase")).alias("p")).withColumn("p", F.explode(F.array("p", F.regexp_replace("p", r"\s*विभाग$", "")))).where("length(p) >= 2").distinct()
-    called = phrases.groupBy("entry").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("p")).alias("n"), "p"))), lambda x: x["p"]).alias("called"))
+    phrases = registry.select("entry", F.explode(F.array("phrase", F.regexp_replace("phrase", r"\s*विभाग$", ""))).alias("phrase")).where("length(phrase) >= 2").distinct()
+    called = phrases.select("entry", normal_name(F.col("phrase")).alias("p")).distinct().groupBy("entry").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("p")).alias("n"), "p"))), lambda x: x["p"]).alias("called"))
+    found = department_mentions(asked, phrases).join(called, "entry").select(F.col("query.query").alias("_query"), F.col("query.part").alias("part"), F.struct("entry", "strong", "phrase", "called").alias("m"))
+    wide = found.groupBy("_query").agg(*[F.max(F.when(F.col("part") == k, F.col("m"))).alias(n) for k, n in enumerate(["_who", "_section", "_rest", "_any"])])
     q = q.join(wide, q["query"] == wide["_query"], "left")
-    for n in ("_section", "_rest", "_any"):
-        own = called.select(F.col("entry").alias(f"{n}_entry"), F.col("called").alias(f"{n}_called"))
-        q = q.join(own, F.col(f"{n}.entry") == F.col(f"{n}_entry"), "left")
-    own = called.select(F.col("entry").alias("_who_entry"), F.col("called").alias("_who_called"))
-    q = q.join(own, F.col("_who.entry") == F.col("_who_entry"), "left")
     spaced = _within(normal_name(F.col("rest")))
     # a one-word name is a department only where nothing else is asked for
-    others = F.filter(_subject_words(_without(spaced, F.coalesce("_rest_called", F.array()))), lambda w: ~w.rlike(f"^(?:{MONTH})$"))
+    others = F.filter(_subject_words(_without(spaced, F.coalesce("_rest.called", F.array()))), lambda w: ~w.rlike(f"^(?:{MONTH})$"))
     by_rest = F.when(F.col("_rest.strong") | (F.size(others) == 0), F.col("_rest"))
     of_issuer = F.when(F.col("_government"), None).otherwise(F.col("_who"))
     q = q.withColumn("department", F.coalesce(of_issuer["entry"], F.col("_section.entry"), by_rest["entry"]))
-    named = F.when(of_issuer.isNotNull(), F.col("_who_called")).when(F.col("_section").isNotNull(), F.col("_section_called")).when(by_rest.isNotNull(), F.col("_rest_called"))
+    named = F.when(of_issuer.isNotNull(), F.col("_who.called")).when(F.col("_section").isNotNull(), F.col("_section.called")).when(by_rest.isNotNull(), F.col("_rest.called"))
     q = q.withColumn("rest", F.when(F.col("department").isNotNull(), _without(spaced, F.coalesce(named, F.array()))).otherwise(F.col("rest")))
     # sections have Hindi names
-    hindi = F.get(F.filter("_section_called", lambda p: p.rlike("[\\u0900-\\u097f]") & ~p.endswith("विभाग")), F.lit(0))
+    hindi = F.get(F.filter("_section.called", lambda p: p.rlike("[\\u0900-\\u097f]") & ~p.endswith("विभाग")), F.lit(0))
     in_hindi = F.trim(F.replace(_within(normal_name(F.col("section"))), _within(F.lower("_section.phrase")), _within(hindi)))
     section = F.when(F.col("_section.phrase").rlike("[A-Za-z]") & hindi.isNotNull() & F.col("section").isNotNull(), in_hindi).otherwise(F.col("section"))
     q = q.withColumn("section", F.coalesce(section, "issuing", "numbered"))
@@ -176,7 +170,7 @@ def parse(questions: DataFrame, registry: DataFrame, today: Column | str) -> Dat
     order_word, verb = F.col("lower").rlike(ORDER_WORD), F.trim("lower").rlike(FIND_VERB)
     explicit = F.col("number").isNotNull() | (F.size("phrases") > 0) | (F.size("patterns") > 0) | verb
     left = F.replace(_within(normal_name(F.col("lower"))), normal_name(F.col("range.said")), F.lit(" "))
-    bare = F.col("range").isNotNull() & F.col("_any").isNotNull() & (F.size(F.filter(_subject_words(_without(F.regexp_replace(left, r"\s+", " "), F.coalesce("_any_called", F.array()))), lambda w: ~w.rlike(f"^(?:{MONTH})$"))) == 0)
+    bare = F.col("range").isNotNull() & F.col("_any").isNotNull() & (F.size(F.filter(_subject_words(_without(F.regexp_replace(left, r"\s+", " "), F.coalesce("_any.called", F.array()))), lambda w: ~w.rlike(f"^(?:{MONTH})$"))) == 0)
     listing = order_word | explicit | (narrowed & F.col("lower").rlike(KINDS)) | bare
     content = F.col("lower").rlike(CONTENT_QUESTION) & ~explicit
     about_rules = ~explicit & ~order_word & F.col("text").rlike(RULEBOOKS)

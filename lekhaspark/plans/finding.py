@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import finder
+from ..operators import salvage as S
 from ..operators.search import cover_ranks
 from .registry import query
 
@@ -45,7 +46,7 @@ def questions(t):
 _ROWS = f"q AS (SELECT doc_id AS query, doc_id % {len(TEMPLATES)} AS k, {', '.join(f'{e} AS {n}' for n, e in _PARTS.items())} FROM documents WHERE doc_id IS NOT NULL), day AS (SELECT query, make_date(CAST(y AS BIGINT), CAST(m AS BIGINT), CAST(d AS BIGINT)) AS day FROM q)"
 
 
-@query(f"""WITH {_ROWS} SELECT q.query, CASE WHEN k IN (0, 7, 9, 13) THEN 'recent' ELSE 'find' END AS mode, k IN (1, 2, 3, 5, 6) AS explicit,
+@query(f"""WITH {_ROWS} SELECT q.query, CASE WHEN k IN (0, 7, 9, 13) THEN 'recent' ELSE 'find' END AS mode, k IN (1, 2, 3, 5, 6, 12) AS explicit,
 CASE k WHEN 0 THEN 50001 WHEN 3 THEN 37 WHEN 5 THEN 37 WHEN 9 THEN 162 WHEN 13 THEN 34 ELSE -1 END AS department, CASE k WHEN 1 THEN concat(n, '/', y, '/', d) WHEN 12 THEN concat(n, '/', y) END AS go_number,
 CASE WHEN k = 2 THEN concat(a, ' ', b) ELSE '' END AS phrases, CASE WHEN k = 3 THEN concat(a, '*') ELSE '' END AS patterns, CASE WHEN k = 5 THEN concat('कृषि अनुभाग ', d) END AS section, CASE WHEN k = 6 THEN concat(a, ' ', b) END AS person,
 CASE WHEN k = 11 THEN 'IN' ELSE '' END AS jurisdictions, CASE WHEN k = 11 THEN 'gem' ELSE '' END AS topics, CASE k WHEN 4 THEN concat(a, ' ', b) WHEN 10 THEN concat(a, ' home') WHEN 11 THEN a ELSE '' END AS words,
@@ -91,3 +92,41 @@ def cover_rank_any(t):
 def cover_rank_three(t):
     return _ranked(t, 3)
 
+
+
+# Answers of the orders: each line of an order is a sentence about its supplier, part and quantity; flags and numbers decide what is wrong with it.
+_SAID = "concat('Supplier ', CASE WHEN l_tax > 0.04 THEN 'delivers' ELSE 'promises' END, ' goods without quotation up to ', CAST(CAST(l_quantity AS INT) AS STRING), ' units')"
+_SENTENCES = f"""x AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, CAST(l_quantity AS INT) AS q, {_SAID} AS said,
+CASE WHEN l_quantity > 40 THEN '' WHEN l_returnflag = 'R' THEN concat(' [S', l_linenumber + 10, ' p.', l_linenumber, ']') ELSE concat(' [S', l_linenumber, ' p.', l_linenumber, ']') END AS cite, l_returnflag = 'A' AS wrong, l_linestatus = 'F' AS other FROM
+(SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2) l)"""
+
+
+def _order_answers(t):
+    """Answers and their pages. Page n prints the number of line n; where the flag is A it prints another one, so the citation is wrong; flag R cites a
+    page that is not there; quantities above 40 have no citation. Page 90 + n prints the number of line n where the line's status is F."""
+    t("lineitem").createOrReplaceTempView("lineitem")
+    x = t("lineitem").sparkSession.sql(f"WITH {_SENTENCES} SELECT * FROM x")
+    line = F.struct("l_linenumber", F.concat(F.lit("- "), "said", "cite", F.lit(".")).alias("s"))
+    answers = x.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda v: v["s"]), "\n").alias("text"))
+    own = x.select("l_orderkey", F.concat(F.lit("S"), "l_linenumber").alias("label"), F.col("l_linenumber").cast("int").alias("page"), F.array(F.concat(F.lit("goods: "), (F.col("q") + F.when(F.col("wrong"), 1000).otherwise(0)).cast("string"))).alias("texts"))
+    also = x.where("other").select("l_orderkey", F.concat(F.lit("S"), F.col("l_linenumber") + 20).alias("label"), (F.col("l_linenumber") + 90).cast("int").alias("page"), F.array(F.concat(F.lit("without quotation for goods up to "), "q", F.lit(" units"))).alias("texts"))
+    return answers, own.union(also).withColumn("risky", F.lit(False))
+
+
+_OK = "cite <> '' AND l_returnflag <> 'R' AND NOT wrong"
+
+
+@query(f"""WITH {_SENTENCES}, k AS (SELECT l_orderkey, count(*) AS sentences, count(CASE WHEN {_OK} THEN 1 END) AS kept, string_agg(CASE WHEN {_OK} THEN concat('• ', said, cite, '.') END, chr(10) ORDER BY l_linenumber) AS lines, any_value(CASE WHEN {_OK} THEN concat(said, cite, '.') END) AS one FROM x GROUP BY 1)
+SELECT l_orderkey, CAST(kept AS INTEGER) AS kept, sentences, CASE WHEN kept = 0 OR kept < ceil(sentences * 0.3) THEN '' WHEN kept = 1 THEN one ELSE lines END AS salvaged FROM k""")
+def salvaged_answers(t):
+    answers, evidence = _order_answers(t)
+    return S.salvage(answers, "l_orderkey", "text", evidence)
+
+
+@query(f"""WITH {_SENTENCES}, p AS (SELECT l_orderkey, l_linenumber + 20 AS label, l_linenumber + 90 AS page, q FROM x WHERE other),
+b AS (SELECT x.l_orderkey, x.l_linenumber, arg_min({{'l': p.label, 'p': p.page}}, p.label) AS best FROM x JOIN p ON x.l_orderkey = p.l_orderkey AND x.q = p.q WHERE cite = '' OR wrong AND l_returnflag <> 'R' GROUP BY 1, 2),
+f AS (SELECT x.*, CASE WHEN best IS NOT NULL THEN concat(' [S', best.l, ' p.', best.p, ']') ELSE '' END AS more FROM x LEFT JOIN b ON x.l_orderkey = b.l_orderkey AND x.l_linenumber = b.l_linenumber)
+SELECT l_orderkey, string_agg(concat('- ', said, cite, more, '.'), chr(10) ORDER BY l_linenumber) AS answer, CAST(count(CASE WHEN more <> '' THEN 1 END) AS INTEGER) AS added FROM f GROUP BY 1""")
+def cited_answers(t):
+    answers, evidence = _order_answers(t)
+    return S.add_citations(answers, "l_orderkey", "text", evidence)
