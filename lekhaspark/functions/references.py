@@ -68,18 +68,26 @@ def order_references(docs: DataFrame, key: str, text: str, own_number: str | Non
     # numbers, keys and dates are elements of the array: what filters the exploded rows reads them and computes nothing again
     found = F.transform("parts", lambda p: let(F.regexp_replace(F.regexp_replace(p[1], r"\s+", ""), r"[,.।\-]+$", ""), lambda n: F.struct(F.length(p[0]).alias("size"), n.alias("number"), go_key(n).alias("go_key"), reference_date(p[2]).alias("go_date"))))
     cut = cut.select(key, "x", "own_number", "own_date", gaps.alias("gaps"), found.alias("found"))
+    # where each reference begins: the lengths of all that stands before it
+    places = F.aggregate(
+        F.arrays_zip(F.slice("gaps", F.lit(1), F.size("found")).alias("g"), F.transform("found", lambda m: m["size"]).alias("n")), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")),
+        lambda s, p: F.struct((s["end"] + F.length(p["g"]) + p["n"]).alias("end"), F.concat(s["starts"], F.array(s["end"] + F.length(p["g"]))).alias("starts")), lambda s: s["starts"],
+    )
+    low = lambda start: F.greatest(start - BEFORE, F.lit(0))
+    own_key = go_key(F.col("own_number"))
+    cut = cut.select(key, "x", "own_date", own_key.alias("own_key"), "gaps", "found", places.alias("places"))
+    # only short pieces leave the row of a text: what stands beside a reference, and its evidence
+    each = F.transform("found", lambda m, k: F.struct(
+        k.alias("at"), m["number"].alias("go_number"), m["go_key"].alias("go_key"), m["go_date"].alias("go_date"), F.right(F.get("gaps", k), F.lit(BEFORE)).alias("before"), F.substring(F.get("gaps", k + 1), 1, KIND_AFTER).alias("after"),
+        let(F.get("places", k), lambda s: F.trim(F.substr("x", low(s) + 1, s - low(s) + m["size"] + AFTER))).alias("evidence"),
+    ))
+    good = lambda m: m["go_key"].isNotNull() & m["go_date"].isNotNull() & ~F.coalesce((m["go_key"] == F.col("own_key")) & (m["go_date"] == F.col("own_date")), F.lit(False))
     # the outer form, since Spark would else infer a filter that finds all references a second time
-    rows = cut.select("*", F.posexplode_outer("found").alias("at", "m"))
-    self = F.coalesce((F.col("m.go_key") == go_key(F.col("own_number"))) & (F.col("m.go_date") == F.col("own_date")), F.lit(False))
-    rows = rows.where(F.col("m.go_key").isNotNull() & F.col("m.go_date").isNotNull() & ~self)
-    before, after = F.expr("gaps[at]"), F.expr("gaps[at + 1]")
-    start = F.expr("aggregate(slice(gaps, 1, at + 1), 0, (s, g) -> s + length(g)) + aggregate(slice(found, 1, at), 0, (s, f) -> s + f.size)")
-    kind = F.coalesce(let(F.substring(after, 1, KIND_AFTER), _kind), let(F.right(before, F.lit(BEFORE)), _kind), F.lit("refers"))
-    rows = rows.select(key, "at", "x", kind.alias("kind"), "m.number", "m.go_key", "m.go_date", "m.size", start.alias("start")).withColumnRenamed("number", "go_number")
-    low = F.greatest(F.col("start") - BEFORE, F.lit(0))
-    evidence = F.trim(F.substring("x", low + 1, F.col("start") - low + F.col("size") + AFTER))
+    rows = cut.select(key, F.explode_outer(F.filter(each, good)).alias("m")).select(key, "m.*").where("go_key is not null")
+    kind = F.coalesce(_kind(F.col("after")), _kind(F.col("before")), F.lit("refers"))
+    rows = rows.withColumn("kind", kind)
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in STRENGTH.items()])
-    best = first_per(rows.withColumn("evidence", evidence), [key, "go_key", "go_date"], [rank.desc(), "at"])
+    best = first_per(rows, [key, "go_key", "go_date"], [rank.desc(), "at"])
     return best.select(key, "kind", "go_number", "go_key", "go_date", "evidence")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import order_key, word_set
+from ..functions.text import let, order_key, word_set
 
 #: Words that either text must have to be compared, and the share of the smaller set that makes one order.
 LEAST_WORDS, SAME_ORDER = 15, 0.5
@@ -67,9 +67,14 @@ def changed_ranges(a: Column, b: Column) -> Column:
     n = F.greatest(F.length(a), F.length(b))
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     differs = F.filter(places, lambda i: F.substr(a, i + 1, F.lit(1)) != F.substr(b, i + 1, F.lit(1)))
-    starts = F.filter(differs, lambda i: ~F.array_contains(differs, i - 1))
-    ends = F.filter(differs, lambda i: ~F.array_contains(differs, i + 1))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
+
+    def ranges(d: Column) -> Column:
+        # the places are in order: a range begins and ends where the neighbour is not the next place
+        starts = F.filter(d, lambda x, k: F.coalesce(F.get(d, k - 1) != x - 1, F.lit(True)))
+        ends = F.filter(d, lambda x, k: F.coalesce(F.get(d, k + 1) != x + 1, F.lit(True)))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
+
+    return let(differs, ranges)
 
 
 def capture_history(captures: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import legacy_font
+from ..functions import layout, legacy_font
 from ..functions import transliteration as T
 from ..operators import suggest
 from .registry import query
@@ -83,3 +83,19 @@ def typed_suggestions(t):
 SELECT latin, CAST(place AS INTEGER) AS place, word FROM (SELECT *, row_number() OVER (PARTITION BY latin ORDER BY weight DESC, word) AS place FROM h) x WHERE place <= 3""")
 def typed_completions(t):
     return suggest.complete(_typed(t), _known(t))
+
+
+_LINES = 12
+_CUT = "(SELECT doc_id, lang, x, [{at}] AS l, [{after}] AS r FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\\s+', '_', 'g') AS x FROM documents) d) c"
+_SQL_CUT = _CUT.format(**{n: ", ".join(f"substring(x, {1 + 30 * (k + first)}, 30)" for k in range(_LINES)) for n, first in (("at", 0), ("after", _LINES))})
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(x) < {60 * _LINES} THEN x WHEN lang = 'en' THEN concat(array_to_string(l, chr(10)), chr(10), chr(10), array_to_string(r, chr(10)))
+ELSE array_to_string(list_transform(range(1, {_LINES + 1}), lambda i: concat(l[i], r[i])), chr(10)) END AS text FROM {_SQL_CUT}""")
+def two_columns(t):
+    """Texts printed in two columns (English ones with a gutter, the others without), read in one."""
+    d = t("documents").select("doc_id", "lang", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "_").alias("x"))
+    gap = F.when(F.col("lang") == "en", "    ").otherwise("")
+    lines = [F.concat(F.substring("x", 1 + 30 * k, 30), gap, F.substring("x", 1 + 30 * (k + _LINES), 30)) for k in range(_LINES)]
+    page = F.when(F.length("x") < 60 * _LINES, F.col("x")).otherwise(F.concat_ws("\n", *lines))
+    return d.select("doc_id", layout.one_column(page).alias("text"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lekhaspark.functions import layout
 from lekhaspark.functions import pages as P
 from lekhaspark.functions import unicode as U
 from lekhaspark.operators import checks, duplicates, filters, hits, records
@@ -59,9 +60,9 @@ def test_html_pieces(spark):
 def test_page_layouts(spark):
     left, right = [f"left line {k:02d} of the text" for k in range(12)], [f"right line {k:02d} of the text" for k in range(12)]
     page = "\n".join(f"{a:<40}{b}" for a, b in zip(left, right))
-    assert each(spark, P.one_column, [page, "one\ncolumn", None]) == ["\n".join(left) + "\n\n" + "\n".join(right), "one\ncolumn", None]
+    assert each(spark, layout.one_column, [page, "one\ncolumn", None]) == ["\n".join(left) + "\n\n" + "\n".join(right), "one\ncolumn", None]
     table = "\n".join(f"{'cell':<26}{'cell':<26}{'cell':<26}" for _ in range(12))
-    assert each(spark, P.gutter, [table, page]) == [None, each(spark, P.gutter, [page])[0]] and each(spark, P.gutter, [page])[0] is not None
+    assert each(spark, layout.gutter, [table, page]) == [None, each(spark, layout.gutter, [page])[0]] and each(spark, layout.gutter, [page])[0] is not None
     legacy = "mRrj izns'k 'kklu ds vkns'k esa dgk x;k gS fd ;g fu;e ls ykxw gS vkSj bl dks ij fy, ;k rFkk gS"
     assert each(spark, P.legacy_font, [legacy, "the rule of the state is to be in force for all of the year and on", "नियम " * 20]) == [True, False, False]
     good = "नियम क्या कहता है यह स्पष्ट रूप से लिखा है " * 3
@@ -147,3 +148,14 @@ def test_old_pages_and_scopes(spark):
     assert filters.scope(docs, {"official": False, "departments": ["Home"], "topics": ["land"], "words": "rules pay", "number_prefix": "5/"}).count() == 1
     with pytest.raises(ValueError):
         filters.scope(docs, {"colour": "red"})
+
+
+def test_reflow(spark):
+    two = "\n".join(f"{f'left line {k:02d} of text':<40}right line {k:02d} of text" for k in range(10))
+    rows = [("a", n, two) for n in (1, 2)] + [("a", 3, "plain"), ("b", 1, two), ("b", 2, two), ("c", 1, two), *[("c", n, "plain") for n in (2, 3)], ("d", 1, None)]
+    got = {(r["d"], r["n"]): r["text"] for r in layout.reflow(spark.createDataFrame(rows, "d string, n int, text string"), "d", "text").collect()}
+    assert got["a", 1] == got["a", 2] != two and got["a", 1].startswith("left line 00 of text\nleft line 01") and got["a", 3] == "plain"
+    assert got["b", 1] == two and got["c", 1] == two and got["d", 1] is None
+    # lines across the gutter stay whole
+    wide = two + "\n" + "one line that goes across the whole of the page and the gutter"
+    assert each(spark, layout.one_column, [wide])[0].split("\n")[10].endswith("the gutter")
