@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements and names by what they are for.
-NEVER = frozenset("script style noscript template iframe object embed svg canvas head nav aside footer header button select textarea input dialog menu".split())
+NEVER = frozenset("script style noscript template iframe object embed svg canvas head nav aside footer header button select textarea input label legend dialog menu".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -42,14 +42,16 @@ PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcap
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "caption", "li", "dd", "dt", "summary"} | {"p"}
 SAME_CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
-    r"related|recommend\w*|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toc|footer|masthead|comments?|commentlist|replies|reply|respond|disqus|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|ads(?:by|ense|box|lot)\w*|ad(?:box|unit|slot|space|banner|wrapper|container|block)s?|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
+    r"related|recommend\w*|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toc|footer|masthead|comments?\w*|replies|reply|responses?|respond|disqus\w*|"
     r"discussion|skip|hidden|toolbar|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
 #: Names that articles also give to their own paragraphs and headings.
 UNSURE = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|header|search|tags?|meta|byline|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
-COMMENTS = re.compile(r"(?:^|\s)(?:comments?|commentlist|replies|reply|respond|disqus|discussion)(?:[_-](?:list|thread|area|section|body|content|text|wrap\w*))?(?:$|\s)", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|responses?|respond|disqus|discussion)(?:[_-](?:\d+|list|thread|area|section|body|content|text|item|wrap\w*))?(?:$|\s)", re.I)
+#: The end of an article, which may hold its last words beside links and dates.
+ARTICLE_END = re.compile(r"(?:^|\s)(?:post|entry|article|story|content)[_-]+(?:footer|header|meta|bottom|end)(?:$|[\s_-])", re.I)
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -101,7 +103,8 @@ def _next_tag(page: str, at: int, last: dict[str, int]) -> tuple[int, int, str,
 
 
 def _unwanted(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """Whether the element is never content, and whether it is doubtful (1) or comments (2); inside: within an article."""
+    """Whether the element is never content, and whether it is doubtful (1), comments (2) or the end of an article, of which prose stays (3);
+    inside: within an article."""
     if tag in NEVER and not (tag == "header" and inside):
         return True, 0
     doubt = int(tag == "form")
@@ -109,9 +112,15 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, 0
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            if UNWANTED.search(value) or UNSURE.search(value) and not (inside and (tag in PARAGRAPHS or tag == "header")):
-                doubt = max(doubt, 2 if COMMENTS.search(value) else 1)
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
+            if COMMENTS.search(value):
+                doubt = 2
+            elif tag in ("article", "main"):
+                continue
+            elif ARTICLE_END.search(value):
+                doubt = doubt or 3
+            elif UNWANTED.search(value) or UNSURE.search(value) and not (inside and (tag in PARAGRAPHS or tag == "header")):
+                doubt = doubt if doubt == 2 else 1
     return False, doubt
 
 
@@ -119,7 +128,9 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
     """(element, text, characters of it in links) of each block of text, in page order; and the elements that hold text, parents first."""
     root = _Node("#", None, False, 0)
     stack, out, nodes, run, linked = [root], [], [root], [], 0
-    opened: Counter = Counter()
+    # where the elements of each tag stand on the stack, and the blocks that a paragraph, or any text, does not close through
+    places: dict[str, list[int]] = defaultdict(list)
+    walls, inner_walls = [0], [0]
 
     def flush():
         nonlocal linked
@@ -129,15 +140,27 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             out.append((stack[-1].holder, text, min(linked, len(text))))
         linked = 0
 
+    def push(node: _Node):
+        at = len(stack)
+        places[node.tag].append(at)
+        if node.tag in BLOCKS and node.tag != "p":
+            walls.append(at)
+            if node.tag not in PARAGRAPHS:
+                inner_walls.append(at)
+        stack.append(node)
+
     def pop(to: int):
         while len(stack) > to:
-            opened[stack.pop().tag] -= 1
+            places[stack.pop().tag].pop()
+        for w in (walls, inner_walls):
+            while w[-1] >= to:
+                w.pop()
 
     def say(text: str):
         nonlocal linked
         if text and not stack[-1].drop:
             run.append(text)
-            if opened["a"]:
+            if places["a"]:
                 linked += len(_SPACE.sub(" ", text))
 
     at, last = 0, {c: page.rfind(c) for c in "\"'>"}
@@ -151,8 +174,8 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             say(" " if tag != "wbr" else "")
             continue
         if closing:
-            if opened[tag] > 0:
-                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+            if places[tag]:
+                i = places[tag][-1]
                 if any(n.holder is n for n in stack[i:]):
                     flush()
                 pop(i)
@@ -160,15 +183,11 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
         if tag in BLOCKS:
             flush()
             stop = SAME_CLOSES.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
-            if any(opened[t] > 0 for t in stop):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in stop:
-                        pop(i)
-                        break
-                    if stack[i].tag in BLOCKS and not (stack[i].tag == "p" or tag in SAME_CLOSES and stack[i].tag in PARAGRAPHS):
-                        break
+            nearest = max((places[t][-1] for t in stop if places[t]), default=0)
+            if nearest and nearest >= (inner_walls if tag in SAME_CLOSES else walls)[-1]:
+                pop(nearest)
         parent = stack[-1]
-        never, doubt = _unwanted(tag, attrs, opened["article"] > 0 or opened["main"] > 0)
+        never, doubt = _unwanted(tag, attrs, bool(places["article"] or places["main"]))
         drop, empty = parent.drop or never, attrs.endswith("/")
         if tag in RAW and not (empty and tag in ("svg", "iframe")):
             close = _RAW_END[tag].search(page, at)
@@ -177,8 +196,7 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             if drop and not parent.drop or doubt:
                 flush()
             node = _Node(tag, parent, drop, doubt)
-            stack.append(node)
-            opened[tag] += 1
+            push(node)
             if node.holder is node:
                 nodes.append(node)
     say(page[at:])
@@ -199,7 +217,7 @@ def _without_doubtful(blocks: list[tuple[_Node, str, int]], nodes: list[_Node])
         inner: dict[int, _Node | None] = {}
         plain: dict[int, bool] = {}
         for n in nodes:
-            doubtful = n.doubt and id(n) not in wrappers
+            doubtful = n.doubt in (1, 2) and id(n) not in wrappers
             inner[id(n)] = n if doubtful else inner[id(n.up)] if n.up else None
             plain[id(n)] = (not doubtful or n.doubt == 1) and (plain[id(n.up)] if n.up else True)
         outside, own, kept, first = 0, {}, [], {}
@@ -213,7 +231,7 @@ def _without_doubtful(blocks: list[tuple[_Node, str, int]], nodes: list[_Node])
                 first.setdefault(id(n), n)
         likely = [k for k in own if own[k] > outside and (not kept or plain[k])]
         if not likely:
-            return kept
+            return _said_by_author(kept, nodes)
         n = first[max([k for k in likely if plain[k]] or likely, key=own.get)]
         while n is not None:
             if n.doubt:
@@ -221,6 +239,30 @@ def _without_doubtful(blocks: list[tuple[_Node, str, int]], nodes: list[_Node])
             n = n.up
 
 
+def _said_by_author(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> list[tuple[_Node, str, int]]:
+    """blocks without what belongs to comments (the heading above them, say) and without what is no prose at the end of an article."""
+    over: set[int] = set()
+    for n in nodes:
+        up = n.up if n.doubt == 2 else None
+        while up is not None and id(up) not in over and up.tag not in ("#", "html", "body", "main"):
+            over.add(id(up))
+            up = up.up
+    prose: dict[int, int] = defaultdict(int)
+    for node, text, linked in blocks:
+        if not over or not _prose(text, linked):
+            continue
+        up = node
+        while up is not None:
+            prose[id(up)] += 1
+            up = up.up if not prose[id(up)] > 1 else None
+    # elements that hold comments and no prose besides, and ends of articles, with all that is in them
+    out: dict[int, tuple[bool, bool]] = {}
+    for n in nodes:
+        above = out[id(n.up)] if n.up else (False, False)
+        out[id(n)] = above[0] or id(n) in over and not prose[id(n)], above[1] or n.doubt == 3
+    return [b for b in blocks if not out[id(b[0])][0] and (not out[id(b[0])][1] or 2 * _prose(*b[1:]) > len(b[1]))]
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, joined by line ends."""
     blocks, nodes = _blocks(page or "")
