@@ -1,6 +1,7 @@
 """Operator 2 [native]: quality verdicts by weak supervision.
 
-Rules look at one document and vote bad (0), abstain (1) or vote good (2). A
+Rules look at one document and vote bad (0), abstain (1) or vote good (2). A bad
+vote is a hint and no verdict: most short documents are good, say. A
 two-class model gives each rule a probability of each vote for good and for
 bad documents; expectation-maximisation estimates these and the share of good
 documents from the votes of the whole corpus, without labels. A document is
@@ -34,25 +35,20 @@ LEAST_WORDS = 50
 GOOD_PRIOR = 0.9
 #: (name, condition of a bad vote, condition of a good vote) over the features below.
 RULES = [
-    ("length", "n_words < 50", "n_words >= 100"),
-    ("word_length", "word_chars > 9 * n_words or word_chars < 2 * n_words", "word_chars >= 3 * n_words and word_chars <= 8 * n_words"),
+    ("length", "n_words < 100", "n_words >= 200"),
+    ("word_length", "word_chars > 8 * n_words or word_chars < 3 * n_words", "word_chars >= 4 * n_words and word_chars <= 7 * n_words"),
     ("symbols", "5 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    ("marks", "4 * n_marks > n_words", "20 * n_marks <= n_words"),
-    ("capitals", "2 * n_upper > n_letters", "10 * n_upper <= n_letters"),
     ("digits", "5 * n_digits > n_letters", "20 * n_digits <= n_letters"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    ("lines", "2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
-    ("prose", "50 * n_stops < n_words", "25 * n_stops >= n_words and 4 * n_stops <= n_words"),
+    ("repeats", "20 * n_repeat_words > n_words", "n_repeat_words = 0"),
+    ("lines", "n_dup_lines > 0", "n_dup_lines = 0"),
+    ("prose", "n_words >= 50 and 50 * n_stops < n_words", "30 * n_stops >= n_words and 4 * n_stops <= n_words"),
     ("function_words", "n_words >= 50 and 50 * n_function < n_words", "10 * n_function >= n_words"),
-    ("variety", "n_words >= 50 and n_distinct * n_distinct < 8 * n_words", "n_distinct * n_distinct >= 16 * n_words"),
     ("letters", "10 * n_letters < 6 * word_chars", "10 * n_letters >= 8 * word_chars"),
-    ("line_length", "n_words < 4 * n_lines and n_lines >= 5", "n_words >= 8 * n_lines"),
-    ("line_ends", "5 * n_ended < n_lines", "10 * n_ended >= 7 * n_lines"),
-    ("brackets", "50 * abs(n_open - n_close) > n_words", "n_open = n_close"),
+    ("line_ends", "n_lines >= 3 and 5 * n_ended < n_lines", "10 * n_ended >= 7 * n_lines"),
     ("long_words", "20 * n_long > n_words", "50 * n_long <= n_words"),
 ]
 #: Pseudo-votes (bad, abstain, good) of each rule for good and for bad documents, out of 1.
-PRIOR = {"good": (0.01, 0.19, 0.80), "bad": (0.25, 0.10, 0.65)}
+PRIOR = {"good": (0.05, 0.15, 0.80), "bad": (0.30, 0.10, 0.60)}
 #: Weight of the pseudo-votes, as a share of all documents.
 PRIOR_WEIGHT = 0.05
 # Common function words of the languages that a corpus is mostly in; texts in others only lose the good vote's help.
@@ -73,13 +69,9 @@ def features(docs: DataFrame) -> DataFrame:
         words.alias("words"),
         lines.alias("lines"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count("text", F.lit(r"[!?]")).cast("long").alias("n_marks"),
         F.regexp_count("text", F.lit(r"[.!?]")).cast("long").alias("n_stops"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.regexp_count("text", F.lit(r"[0-9]")).cast("long").alias("n_digits"),
-        F.regexp_count("text", F.lit(r"[(\[{]")).cast("long").alias("n_open"),
-        F.regexp_count("text", F.lit(r"[)\]}]")).cast("long").alias("n_close"),
     )
     grams = F.expr(
         "if(size(words) < 3, array(), zip_with(slice(words, 1, size(words) - 2), zip_with(slice(words, 2, size(words) - 2), "
@@ -94,11 +86,10 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("grams")) == F.size("grams"), F.lit(0)).otherwise(_covered()).cast("long").alias("n_repeat_words"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
         F.size(F.filter("words", lambda w: F.length(w) > 14)).cast("long").alias("n_long"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;][\"')\]]?[\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
-        "n_marks", "n_stops", "n_upper", "n_letters", "n_digits", "n_open", "n_close",
+        "n_stops", "n_letters", "n_digits",
     )
 
 
@@ -190,10 +181,10 @@ t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM g WHERE c
 r AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM t, (VALUES (0), (1), (2)) AS s(d) WHERE k > 1 GROUP BY doc_id),
 f AS (SELECT w0.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-  coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[!?]'))::BIGINT AS n_marks, len(regexp_extract_all(text, '[.!?]'))::BIGINT AS n_stops,
-  len(regexp_extract_all(text, '\\p{{Lu}}'))::BIGINT AS n_upper, len(regexp_extract_all(text, '\\p{{L}}'))::BIGINT AS n_letters,
-  len(regexp_extract_all(text, '[0-9]'))::BIGINT AS n_digits, len(regexp_extract_all(text, '[(\\[{{]'))::BIGINT AS n_open, len(regexp_extract_all(text, '[)\\]}}]'))::BIGINT AS n_close,
-  len(list_distinct(words))::BIGINT AS n_distinct, len(list_filter(words, lambda w: lower(w) IN ({', '.join(f"'{w}'" for w in FUNCTION_WORDS)})))::BIGINT AS n_function,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[.!?]'))::BIGINT AS n_stops,
+  len(regexp_extract_all(text, '\\p{{L}}'))::BIGINT AS n_letters,
+  len(regexp_extract_all(text, '[0-9]'))::BIGINT AS n_digits,
+  len(list_filter(words, lambda w: lower(w) IN ({', '.join(f"'{w}'" for w in FUNCTION_WORDS)})))::BIGINT AS n_function,
   len(list_filter(words, lambda w: length(w) > 14))::BIGINT AS n_long, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;]["'')\\]]?[\\x20\\x09-\\x0D]*$')))::BIGINT AS n_ended FROM w0 LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, {vote} FROM f),
 pat AS (SELECT {ks}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
