@@ -50,7 +50,8 @@ from .store import documents, forget, fresh_path, partitions, remove, written
 LENGTH = 50
 GRAM = 16
 SLICE = 4 << 20
-_BUCKET_RECORDS = 1 << 20
+#: Bytes of text whose records make a bucket, at most where there are fewer shuffle partitions than that takes.
+_BUCKET_BYTES = 32 << 20
 
 
 def _spread(values: np.ndarray, of: np.ndarray, buckets: int) -> list[np.ndarray]:
@@ -239,12 +240,17 @@ class _Block:
 
 
 def _gather(batches):
-    held: dict[int, list] = {}
+    """Blocks of rows that are sorted by bucket, one in memory at a time."""
+    last, held = None, []
     for b in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
-            held.setdefault(bucket, []).append(row)
-    for bucket in list(held):
-        yield _Block(bucket, held.pop(bucket))
+            if held and bucket != last:
+                yield _Block(last, held)
+                held = []
+            last = bucket
+            held.append(row)
+    if held:
+        yield _Block(last, held)
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -347,7 +353,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be over {2 * GRAM}")
     slices, total, drop_slices = _sliced(docs)
     n = partitions(docs)
-    buckets = max(n, total // (8 * _BUCKET_RECORDS) + 1)
+    buckets = max(n, total // _BUCKET_BYTES + 1)
 
     def again(table: pa.Table, answers: pa.Table) -> _Slice:
         """A slice with the anchors that the first step has found."""
@@ -418,11 +424,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     by_slice = slices.select("g", "r", "doc_id", "text").groupBy("g")
     records = by_slice.applyInArrow(anchored, _RECORDS_DDL)
-    found = written(records.repartition(n, "bucket").mapInArrow(_settle, _ANSWERS_DDL), "settled")
+    found = written(records.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, _ANSWERS_DDL), "settled")
     records = by_slice.cogroup(found.where("kind in (0, 2)").groupBy("g")).applyInArrow(halved, _RECORDS_DDL)
-    shared = written(records.repartition(n, "bucket").mapInArrow(_share, _ANSWERS_DDL), "shared")
+    shared = written(records.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_share, _ANSWERS_DDL), "shared")
     records = by_slice.cogroup(found.where("kind in (0, 2)").union(shared).groupBy("g")).applyInArrow(around, _RECORDS_DDL)
-    strings = written(records.repartition(n, "bucket").mapInArrow(_compare, _ANSWERS_DDL), "strings")
+    strings = written(records.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _ANSWERS_DDL), "strings")
     every = found.union(shared).union(strings)
     result = by_slice.cogroup(every.groupBy("g")).applyInArrow(
         finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
