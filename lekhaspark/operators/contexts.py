@@ -73,17 +73,18 @@ def no_evidence(queries: DataFrame, contexts: DataFrame) -> DataFrame:
 def handbook_links(indexes: DataFrame) -> DataFrame:
     """indexes (volume, url, html) -> (volume, place, url, label, page): links of an index in reading order that stay inside its folder; page: whether it is an HTML
     page. Links to the index itself, to other folders and hosts, and to parts of a page are navigation and leave."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
-    each = indexes.select("volume", F.col("url").alias("index_url"), F.regexp_extract("url", r"^(.*/)[^/]*$", 1).alias("folder"), F.posexplode(found).alias("place", "a"))
-    href = lambda k: F.regexp_extract("a", r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", k)
-    raw = F.trim(decode_entities(F.concat(href(1), href(2), href(3))))
-    label = F.trim(F.regexp_replace(decode_entities(F.regexp_replace("a", r"<[^>]+>", " ")), r"\s+", " "))
-    each = each.select("volume", "index_url", "folder", "place", raw.alias("raw"), label.alias("label")).where("raw <> ''").where(~F.col("raw").rlike(r"(?i)^(?:javascript:|mailto:|#)"))
-    host = F.regexp_extract("folder", r"^(https?://[^/]+)", 1)
-    url = F.when(F.col("raw").rlike("(?i)^https?://"), F.col("raw")).when(F.col("raw").startswith("/"), F.concat(host, "raw")).otherwise(F.concat("folder", F.regexp_replace("raw", r"^(?:\./)+", "")))
-    each = each.withColumn("url", F.regexp_replace(url, "#.*$", ""))
-    inside = F.col("url").startswith(F.col("folder")) & ~F.col("url").contains("/../") & (F.col("url") != F.col("index_url"))
-    return each.where(inside).select("volume", "place", "url", "label", F.col("url").rlike(r"(?i)\.(?:html?|hmt)(?:\?|$)").alias("page"))
+    folder, host = F.regexp_extract("url", r"^(.*/)[^/]*$", 1), F.regexp_extract("url", r"^(https?://[^/]+)", 1)
+    held = indexes.select("volume", F.col("url").alias("index_url"), folder.alias("folder"), host.alias("host"), F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0)).alias("found"))
+    # addresses and labels are made inside the array, once for each link
+    href = lambda a: F.concat(*[F.regexp_extract(a, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", k) for k in (1, 2, 3)])
+    label = lambda a: F.trim(F.regexp_replace(decode_entities(F.regexp_replace(a, r"<[^>]+>", " ")), r"\s+", " "))
+    raw = F.transform("found", lambda a, i: F.struct(i.alias("place"), F.trim(F.replace(href(a), F.lit("&amp;"), F.lit("&"))).alias("raw"), a.alias("a")))
+    raw = F.filter(raw, lambda x: (x["raw"] != "") & ~x["raw"].rlike(r"(?i)^(?:javascript:|mailto:|#)"))
+    whole = lambda r: F.when(r.rlike("(?i)^https?://"), r).when(r.startswith("/"), F.concat("host", r)).otherwise(F.concat("folder", F.regexp_replace(r, r"^(?:\./)+", "")))
+    links = F.transform(raw, lambda x: F.struct(x["place"].alias("place"), F.regexp_replace(whole(x["raw"]), "#.*$", "").alias("url"), x["a"].alias("a")))
+    links = F.filter(links, lambda x: x["url"].startswith(F.col("folder")) & ~x["url"].contains("/../") & (x["url"] != F.col("index_url")))
+    each = held.select("volume", F.explode(links).alias("l")).select("volume", "l.place", "l.url", "l.a")
+    return each.select("volume", "place", "url", label(F.col("a")).alias("label"), F.col("url").rlike(r"(?i)\.(?:html?|hmt)(?:\?|$)").alias("page"))
 
 
 def handbook_index(indexes: DataFrame) -> DataFrame:

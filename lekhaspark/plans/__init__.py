@@ -1,2 +1,2 @@
-from . import archive, classes, curation, evidence, finding, portal, relational, scripts, texts  # noqa: F401
+from . import archive, classes, curation, evidence, finding, portal, relational, rulebooks, scripts, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -43,3 +43,30 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
         ledgers.keep_latest(files.stream_jsonl(spark, log, schema), table, str(tmp_path / checkpoint), ["id"], ["at"], "state").awaitTermination()
     got = {r["id"]: (r["state"], r["entries"]) for r in ledgers.current(spark.read.parquet(table), ["id"], ["at"], "state").collect()}
     assert got == {"s": ("stored", 3), "u": ("new", 1)}
+
+
+def test_tail(spark, tmp_path):
+    from lekhaspark.sources.tail import Range, last_line_end, lines_of, tail
+
+    path = tmp_path / "ledger.jsonl"
+
+    def run():
+        query = tail(spark, str(path), 16).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r["offset"], r["line"]) for r in spark.read.schema("line string, offset long").parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out").exists() else []
+
+    run()
+    path.write_bytes('{"a": 1}\r\n\nनियम पंक्ति\n{"cut'.encode())
+    first = run()
+    assert first == [(0, '{"a": 1}'), (10, ""), (11, "नियम पंक्ति")]
+    with path.open("ab") as f:
+        f.write(b'": 2}\n' + b"x" * 100 + b"\nlast")
+    again = run()
+    start = len('{"a": 1}\r\n\nनियम पंक्ति\n'.encode())
+    assert again == [*first, (start, '{"cut": 2}'), (start + 11, "x" * 100)]
+    assert run() == again and last_line_end(str(path)) == start + 112 and last_line_end(str(tmp_path / "none"), 7) == 7
+    # however the bytes are cut, every line is in one range
+    end = last_line_end(str(path))
+    for size in (1, 3, 10, 64, 1000):
+        cuts = [*range(0, end, size), end]
+        assert [x for a, b in zip(cuts, cuts[1:]) for x in lines_of(str(path), Range(a, b, a == 0))] == [(line, at) for at, line in again]
