@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import amendments as A
+from ..operators import answer_pages as E
 from ..operators import contexts as C
 from ..operators import tables
 from .registry import query
@@ -122,3 +124,43 @@ SELECT volume, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE concat(a,
 def paragraph_ranges(t):
     numbers = t("lineitem").select(F.col("l_orderkey").alias("volume"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_linenumber") - 1).alias("last"))
     return C.compressed_ranges(numbers, "volume")
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT *, l_orderkey % 3 = 0 AS logits, flag = 'R' AS near, (part % 100) / 100.0::DOUBLE AS v FROM x), r AS (SELECT *, CASE WHEN NOT near THEN CASE WHEN logits THEN 1 / (1 + exp(-(v * 8 - 5))) ELSE v END END AS relevance FROM s),
+k AS (SELECT *, bool_and(v * 8 - 5 BETWEEN 0 AND 1) FILTER (NOT near) OVER (PARTITION BY l_orderkey) AS mild FROM r), g AS (SELECT *, CASE WHEN logits AND mild AND NOT near THEN v * 8 - 5 ELSE relevance END AS rel FROM k)
+SELECT g.l_orderkey AS query, g.l_linenumber AS page_number, coalesce(CASE WHEN g.near THEN a.rel >= 0.5 ELSE g.rel >= 0.5 END, false) AS kept, round(coalesce(max(g.rel) OVER (PARTITION BY g.l_orderkey), 0), 6) AS best FROM g LEFT JOIN g a ON a.l_orderkey = g.l_orderkey AND a.l_linenumber = g.l_linenumber - 1 AND NOT a.near""")
+def relevance_anchors(t):
+    """Lines of an order as pages: those of flag R are neighbours of the page before. Every third order has logits."""
+    near, v = F.col("flag") == "R", (F.col("part") % 100) / 100.0
+    e = _lines(t).select(F.col("l_orderkey").alias("query"), F.lit("d").alias("source_id"), F.col("l_linenumber").alias("page_number"), F.when(near, "neighbor").otherwise("direct").alias("role"), F.when(near, F.col("l_linenumber") - 1).alias("anchor_page"), F.when(F.col("l_orderkey") % 3 == 0, v * 8 - 5).otherwise(v).alias("score"))
+    return E.relevant(e, 0.5).select("query", "page_number", "kept", F.round("best", 6).alias("best"))
+
+
+@query(f"""WITH {_LINES}, w AS (SELECT part AS query, l_orderkey AS id, row_number() OVER (PARTITION BY part ORDER BY l_orderkey) AS place FROM (SELECT DISTINCT part, l_orderkey FROM x WHERE flag = 'A') y QUALIFY place <= 10),
+s AS (SELECT part AS query, l_orderkey AS id, max((supp * 37 % 100) / 100.0::DOUBLE) AS similarity FROM x GROUP BY 1, 2), f AS (SELECT *, greatest(0.45::DOUBLE, max(similarity) OVER (PARTITION BY query) - 0.12::DOUBLE) AS floor FROM s),
+b AS (SELECT query, id, 0 AS o, place::DOUBLE AS k, 'words' AS found FROM w UNION ALL SELECT f.query, f.id, 1, -similarity, 'similar' FROM f LEFT JOIN w ON w.query = f.query AND w.id = f.id WHERE similarity >= floor AND w.id IS NULL)
+SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY o, k, id) AS INTEGER) AS place, found FROM b QUALIFY place <= 10""")
+def filled_pages(t):
+    """Orders of a part: lines of flag A are hits by words, the others are more or less alike."""
+    x = _lines(t)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("id"))
+    hits = x.where("flag = 'A'").select(F.col("part").alias("query"), F.col("l_orderkey").alias("id")).distinct().withColumn("place", place)
+    similar = x.groupBy(F.col("part").alias("query"), F.col("l_orderkey").alias("id")).agg(F.max((F.col("supp") * 37 % 100) / 100.0).alias("similarity"))
+    return E.filled_page(hits, similar)
+
+
+@query("""WITH l AS (SELECT event_type AS listing, event_id AS number, user_id AS page, CAST(event_id % 50 AS BIGINT) AS rows_, CASE WHEN event_id % 5 = 0 THEN event_id END AS total, CASE WHEN event_id % 7 = 0 AND event_type <> 'click' THEN 20 + event_id % 3 END AS size, event_id % 11 = 0 AS reshuffle FROM events),
+a AS (SELECT listing, count(DISTINCT page) FILTER (NOT reshuffle) AS pages, coalesce(sum(rows_) FILTER (NOT reshuffle), 0)::BIGINT AS rows, arg_max(total, number) FILTER (NOT reshuffle AND total IS NOT NULL) AS total, coalesce(arg_max(size, number) FILTER (NOT reshuffle AND size IS NOT NULL), 100)::BIGINT AS page_size, count(*) FILTER (reshuffle) AS reshuffles FROM l GROUP BY 1),
+o AS (SELECT DISTINCT event_type AS listing, user_id FROM events), s AS (SELECT user_id, arg_max(CASE event_id % 4 WHEN 0 THEN 'stored' WHEN 1 THEN 'retry' WHEN 2 THEN 'unavailable' ELSE 'skipped' END, event_id) AS state FROM events WHERE user_id % 3 > 0 GROUP BY 1),
+c AS (SELECT o.listing, count(*) AS orders, count(*) FILTER (state IN ('stored', 'skipped')) AS archived, count(*) FILTER (state = 'unavailable') AS unavailable, count(*) FILTER (state = 'retry') AS retry FROM o LEFT JOIN s ON s.user_id = o.user_id GROUP BY 1),
+m AS (SELECT *, orders - archived - unavailable - retry AS waiting, CAST(ceil(total / page_size::DOUBLE) AS BIGINT) - pages AS missing_pages FROM a JOIN c USING (listing))
+SELECT listing, pages, rows, total, page_size, reshuffles, orders, archived, unavailable, retry, waiting, missing_pages, CASE WHEN listing = 'view' THEN CASE WHEN total > orders THEN concat('complete, ', total - orders, ' orders fewer than the portal total (reshuffled/duplicate rows)') ELSE 'complete' END WHEN missing_pages <> 0 THEN concat(missing_pages, ' pages to capture') ELSE 'capture open' END AS state FROM m""")
+def capture_reports(t):
+    e = t("events")
+    number = F.col("event_id")
+    log = e.select(F.col("event_type").alias("listing"), number.alias("number"), F.col("user_id").alias("portal_page"), (number % 50).alias("rows"), F.when(number % 5 == 0, number).alias("total"), F.when((number % 7 == 0) & (F.col("event_type") != "click"), 20 + number % 3).alias("page_size"), (number % 11 == 0).alias("reshuffle"))
+    inventory = e.select(F.col("event_type").alias("listing"), F.col("user_id").alias("source_id")).distinct()
+    kind = F.when(number % 4 == 0, "stored").when(number % 4 == 1, "retry").when(number % 4 == 2, "unavailable").otherwise("skipped")
+    statuses = e.where("user_id % 3 > 0").select(F.col("user_id").alias("source_id"), number.alias("number"), kind.alias("state"))
+    found = E.capture_report(log, inventory, statuses, e.where("event_type = 'view'").select(F.col("event_type").alias("listing")))
+    return found.withColumn("page_size", F.col("page_size").cast("long"))

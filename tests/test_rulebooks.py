@@ -1,10 +1,12 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lekhaspark.operators import amendments as A
 from lekhaspark.operators import contexts as C
+from lekhaspark.operators import profiles
 
 VITTA = "core-rules-leave-rules"
 
@@ -80,3 +82,42 @@ def test_handbook_index(spark):
     assert [r["url"] for r in C.handbook_links(df).where("not page").collect()] == [base + "06.doc"]
     numbers = spark.createDataFrame([("a", 5, 9), ("a", 1, 2), ("a", 3, 3), ("a", 7, 8), ("a", 12, 12), ("b", 4, 4), ("b", 9, 2)], "k string, first int, last int")
     assert {r["k"]: r["ranges"] for r in C.compressed_ranges(numbers, "k").collect()} == {"a": "1-3, 5-9, 12", "b": "4"}
+
+
+def brute_profiles(profiles, requests):
+    out, log = dict(profiles), []
+    for at, number, user, action in sorted(requests):
+        active = sum(v is None for v in out.values())
+        if user not in out or out[user] is not None and out[user] + datetime.timedelta(days=7) <= at:
+            o = "unknown"
+        elif (action == "restore") == (out[user] is None):
+            o = "again"
+        elif action == "restore":
+            o = "full" if active >= 5 else "done"
+        else:
+            o = "last" if active <= 1 else "done"
+        if o == "done":
+            out[user] = None if action == "restore" else at
+        log.append((number, o))
+    return out, log
+
+
+def test_profiles(spark):
+    rng = random.Random(2)
+    day = datetime.datetime(2026, 1, 1)
+    own, asked, want = [], [], {}
+    for account in range(60):
+        users = {u: rng.choice([None, None, None, day]) for u in range(rng.randint(0, 9))}
+        log = [(day + datetime.timedelta(hours=rng.randint(0, 300)), k, rng.randint(0, 9), rng.choice(["delete", "delete", "restore"])) for k in range(rng.randint(0, 12))]
+        own += [(account, u, v) for u, v in users.items()]
+        asked += [(account, k, at, u, a) for at, k, u, a in log]
+        if users or log:
+            want[account] = brute_profiles(users, log)
+    got = profiles.after_requests(spark.createDataFrame(own, "account int, user_id int, deleted_at timestamp"), spark.createDataFrame(asked, "account int, number int, at timestamp, user_id int, action string"))
+    rows = {r["account"]: r for r in got.collect()}
+    assert rows.keys() == want.keys()
+    for account, (users, log) in want.items():
+        assert {p["user_id"]: p["deleted_at"] for p in rows[account]["profiles"]} == users and [tuple(o) for o in rows[account]["outcomes"]] == log
+    assert {o for _, log in want.values() for _, o in log} == {"done", "again", "last", "full", "unknown"}
+    late = profiles.purged(got, F.lit(day + datetime.timedelta(days=60))).collect()
+    assert all(p["deleted_at"] is None for r in late for p in r["profiles"])
