@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import finder
+from ..operators import procurement as P
 from ..operators import salvage as S
 from ..operators.search import cover_ranks
 from .registry import query
@@ -130,3 +131,32 @@ SELECT l_orderkey, string_agg(concat('- ', said, cite, more, '.'), chr(10) ORDER
 def cited_answers(t):
     answers, evidence = _order_answers(t)
     return S.add_citations(answers, "l_orderkey", "text", evidence)
+
+
+_BOOK_WORDS = ["gem gtc rules", "GFR 2017", "the DFPR", "works manual", "non-consultancy manual", "consultancy manual", "UP procurement manual", "goods manual", "goods manual 2016", "nothing"]
+_BOOK_TEXT = "concat('What does ', [" + ", ".join(f"'{w}'" for w in _BOOK_WORDS) + f"][1 + CAST(doc_id % {len(_BOOK_WORDS)} AS INT)], ' say of ', regexp_extract(lower(coalesce(text, '')), '([a-z]+ [a-z]+)', 1), CASE WHEN doc_id % 3 = 0 THEN ' in a tender' WHEN doc_id % 3 = 1 THEN ' and GFR' ELSE '' END)"
+
+
+def _re2(name: str) -> str:
+    pattern, unless = next((p, u) for n, p, u in P.BOOKS if n == name)
+    hit = lambda p: f"regexp_matches(q, '(?i){p}')"
+    return f"CASE WHEN {hit(pattern)}{f' AND NOT {hit(unless)}' if unless else ''} THEN '{name}' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_BOOK_TEXT} AS q FROM documents) SELECT doc_id, array_to_string(list_filter([{', '.join(_re2(n) for n, _, _ in P.BOOKS)}], lambda x: x IS NOT NULL), '; ') AS books, regexp_matches(q, '(?i){P.BUYING}') AS buying, regexp_matches(q, '(?i){P.GEM}') AS gem FROM t""")
+def named_rulebooks(t):
+    """Questions that name books, with words of every document."""
+    words = F.get(F.array(*map(F.lit, _BOOK_WORDS)), (F.col("doc_id") % len(_BOOK_WORDS)).cast("int"))
+    about = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "([a-z]+ [a-z]+)", 1)
+    third = F.col("doc_id") % 3
+    asked = t("documents").select("doc_id", F.concat(F.lit("What does "), words, F.lit(" say of "), about, F.when(third == 0, " in a tender").when(third == 1, " and GFR").otherwise("")).alias("q"))
+    return asked.select("doc_id", F.array_join(P.named_books(F.col("q")), "; ").alias("books"), P.is_buying(F.col("q")).alias("buying"), (F.size(P.books_to_check(F.col("q"))) == 2).alias("gem"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS query, l_linenumber AS place, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT *, CASE WHEN s % 4 = 0 THEN 9 ELSE s % 4 END AS rank, min(place) OVER (PARTITION BY query, s) AS first FROM x)
+SELECT query, concat('S', row_number() OVER (PARTITION BY query ORDER BY rank, first, place)) AS label, concat('book-', s) AS source_id, place AS page_number FROM r""")
+def authority_order(t):
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("place")).agg(F.min("l_suppkey").alias("s"))
+    evidence = lines.select("query", "place", F.concat(F.lit("book-"), "s").alias("source_id"), F.col("place").alias("page_number"))
+    ranks = t("supplier").where("s_suppkey % 4 > 0").select(F.concat(F.lit("book-"), "s_suppkey").alias("source_id"), (F.col("s_suppkey") % 4).alias("rank"))
+    return P.by_authority(evidence, ranks)

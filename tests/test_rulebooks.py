@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhaspark.operators import amendments as A
 from lekhaspark.operators import contexts as C
-from lekhaspark.operators import profiles
+from lekhaspark.operators import procurement, profiles
 
 VITTA = "core-rules-leave-rules"
 
@@ -121,3 +121,23 @@ def test_profiles(spark):
     assert {o for _, log in want.values() for _, o in log} == {"done", "again", "last", "full", "unknown"}
     late = profiles.purged(got, F.lit(day + datetime.timedelta(days=60))).collect()
     assert all(p["deleted_at"] is None for r in late for p in r["profiles"])
+
+
+def test_named_books(spark):
+    cases = {
+        "UP GeM orders on EMD": (["UP GeM orders"], True), "जेम पोर्टल के शासनादेश": (["UP GeM orders"], True), "payment terms guideline in GFR and the Manual of Procurement of Goods": (["GFR 2017", "Manual for Procurement of Goods"], True),
+        "UP Procurement Manual 2016 for goods": (["UP Procurement Manual (Goods) 2016"], True), "non-consultancy manual": (["Manual for Procurement of Non-Consultancy Services"], False), "leave rules": ([], False), "": ([], False), None: (None, None),
+    }
+    rows = spark.createDataFrame([(q,) for q in cases], "q string").select("q", procurement.named_books(F.col("q")).alias("b"), procurement.is_buying(F.col("q")).alias("p")).collect()
+    assert {r["q"]: (r["b"], r["p"]) for r in rows if r["q"] is not None} == {q: v for q, v in cases.items() if q is not None}
+    e = "query int, place int, source_id string, page_number int"
+    evidence = spark.createDataFrame([(1, 1, "x", 1), (1, 2, "gfr", 5), (1, 3, "x", 2), (1, 4, "go", 1), (1, 5, "gfr", 4)], e)
+    ranks = spark.createDataFrame([("go", 1), ("gfr", 3)], "source_id string, rank int")
+    order = [(r["source_id"], r["page_number"]) for r in procurement.by_authority(evidence, ranks).orderBy("label").collect()]
+    assert order == [("go", 1), ("gfr", 5), ("gfr", 4), ("x", 1), ("x", 2)]
+    extra = spark.createDataFrame([(1, 1, "gfr", 4), (1, 2, "gtc", 9)], e)
+    assert [(r["source_id"], r["page_number"]) for r in procurement.named_first(evidence, extra, 3).orderBy("label").collect()] == [("gfr", 4), ("gtc", 9), ("x", 1)]
+    assert procurement.named_first(evidence, extra, 1).count() == 2
+    books = spark.createDataFrame([("GFR", "gfr"), ("GTC", "gtc")], "book string, source_id string")
+    named = spark.createDataFrame([(1, "GFR"), (1, "GTC")], "query int, book string")
+    assert [r["book"] for r in procurement.missing_books(named, books, evidence).collect()] == ["GTC"]
