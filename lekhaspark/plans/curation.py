@@ -27,8 +27,8 @@ SELECT l_partkey, l_orderkey, strength FROM (SELECT *, row_number() OVER (PARTIT
 sql("candidate_queue", """SELECT p_partkey, tier FROM (SELECT p_partkey, p_size, CASE p_type WHEN 'ECONOMY' THEN 'A' WHEN 'SMALL' THEN 'B' ELSE 'C' END AS tier FROM part WHERE p_size <= 30) x
 ORDER BY CASE tier WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END, p_size, p_partkey LIMIT 100""")
 sql("empty_days", """WITH span AS (SELECT explode(sequence(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY)) AS day)
-SELECT CAST(s.day AS STRING) AS day FROM span s LEFT ANTI JOIN (SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00') o ON o.day = s.day""",
-    "WITH span AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS STRING) AS day FROM span WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")
+SELECT CAST(s.day AS STRING) AS day FROM span s LEFT ANTI JOIN (SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00' AND o_totalprice > 250000) o ON o.day = s.day""",
+    "WITH span AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS STRING) AS day FROM span WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_totalprice > 250000)")
 sql("expansion_merge", """WITH a AS (SELECT l_partkey AS id, sum(l_discount) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey), b AS (SELECT l_partkey AS id, sum(l_tax) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey)
 SELECT id, round(sum(s), 6) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY id""")
 sql("evidence_merge", """WITH n AS (SELECT l_orderkey, l_partkey, 0 AS part, l_linenumber AS r FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_partkey, 1, l_linenumber FROM lineitem),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import amendments as A
 from ..operators import answer_pages as E
+from ..operators import audits as U
 from ..operators import contexts as C
 from ..operators import tables
 from .registry import query
@@ -164,3 +165,42 @@ def capture_reports(t):
     statuses = e.where("user_id % 3 > 0").select(F.col("user_id").alias("source_id"), number.alias("number"), kind.alias("state"))
     found = E.capture_report(log, inventory, statuses, e.where("event_type = 'view'").select(F.col("event_type").alias("listing")))
     return found.withColumn("page_size", F.col("page_size").cast("long"))
+
+
+_TOKENS = "list_sort(list_distinct(list_transform(regexp_extract_all(x, '[0-9][0-9.,:/()\\-]*'), lambda w: regexp_replace(w, '[.,;:]+$', ''))))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, concat(CASE doc_id % 3 WHEN 0 THEN replace(coalesce(text, ''), '5', '8') ELSE coalesce(text, '') END, ' Rule ', doc_id % 7, '.') AS y FROM documents WHERE doc_id IS NOT NULL AND doc_id % 5 <> 4),
+t AS (SELECT doc_id, {_TOKENS} AS n, {_TOKENS.replace('(x,', '(y,')} AS o FROM d)
+SELECT doc_id AS source_id, array_to_string(list_sort(list_filter(n, lambda w: NOT list_contains(o, w))), ' ') AS native_only, array_to_string(list_sort(list_filter(o, lambda w: NOT list_contains(n, w))), ' ') AS ocr_only, len(list_filter(n, lambda w: NOT list_contains(o, w))) + len(list_filter(o, lambda w: NOT list_contains(n, w))) > 0 AS conflict FROM t""")
+def numeric_disagreements(t):
+    """Documents with a native text and an OCR text that misreads a digit in every third; of every fifth the OCR text is canonical, so nothing is compared."""
+    text, i = F.coalesce("text", F.lit("")), F.col("doc_id")
+    read = F.concat(F.when(i % 3 == 0, F.replace(text, F.lit("5"), F.lit("8"))).otherwise(text), F.lit(" Rule "), i % 7, F.lit("."))
+    d = t("documents").where("doc_id is not null").select(i.alias("source_id"), F.explode(F.array(F.struct(F.lit("native").alias("variant_type"), text.alias("text")), F.struct(F.lit("ocr").alias("variant_type"), read.alias("text")))).alias("v"))
+    v = d.select("source_id", F.lit(1).alias("page_number"), F.col("v.variant_type").alias("variant_id"), "v.variant_type", ((F.col("source_id") % 5 == 4) & (F.col("v.variant_type") == "ocr")).alias("canonical"), "v.text")
+    return U.numeric_conflicts(v).select("source_id", F.array_join("native_only", " ").alias("native_only"), F.array_join("ocr_only", " ").alias("ocr_only"), "conflict")
+
+
+@query("""WITH l AS (SELECT source, doc_id, length(coalesce(text, '')) AS n FROM documents WHERE source IS NOT NULL), q AS (SELECT source, list(n ORDER BY n) AS s, count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(CASE WHEN n < 120 THEN 1 END) AS short, count(CASE WHEN n > 1900 THEN 1 END) AS long FROM l GROUP BY 1)
+SELECT source, chunks, documents, s[1]::INTEGER AS shortest, s[1 + floor((chunks - 1) * 0.25)::BIGINT]::INTEGER AS p25, s[1 + floor((chunks - 1) * 0.5)::BIGINT]::INTEGER AS p50, s[1 + floor((chunks - 1) * 0.75)::BIGINT]::INTEGER AS p75, s[1 + floor((chunks - 1) * 0.95)::BIGINT]::INTEGER AS p95, s[chunks]::INTEGER AS longest, short, long FROM q""")
+def length_reports(t):
+    lengths = t("documents").where("source is not null").select("source", F.col("doc_id").alias("source_id"), F.lit(1).alias("page_number"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
+    return U.length_report(lengths, "source").select("source", "chunks", "documents", "shortest", "p25", "p50", "p75", "p95", "longest", "short", "long")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS source_id, CASE WHEN l_tax > 0.04 THEN 'ocr' ELSE 'native' END AS k, l_returnflag = 'R' AS legacy, octet_length(encode(concat('पृष्ठ ', l_partkey))) AS n FROM lineitem)
+SELECT source_id, count(*) AS pages, CASE WHEN count(DISTINCT k) > 1 THEN 'mixed' ELSE min(k) END AS text_source, count(CASE WHEN legacy THEN 1 END) AS legacy_pages, CAST(sum(n) AS BIGINT) AS n_bytes FROM p GROUP BY 1""")
+def extraction_reports(t):
+    p = t("lineitem").select(F.col("l_orderkey").alias("source_id"), F.when(F.col("l_tax") > 0.04, "ocr").otherwise("native").alias("text_source"), (F.col("l_returnflag") == "R").alias("legacy"), F.concat(F.lit("पृष्ठ "), "l_partkey").alias("text"))
+    return U.extraction_report(p)
+
+
+@query("""WITH f AS (SELECT l_orderkey AS o, CASE WHEN l_orderkey % 4 = 0 THEN 'none' WHEN l_orderkey % 4 = 1 THEN 'A' WHEN l_orderkey % 4 = 2 THEN 'B' ELSE 'C' END AS tier, CASE l_returnflag WHEN 'R' THEN 'original' WHEN 'A' THEN 'image' ELSE 'other' END AS kind, l_partkey AS n, l_orderkey % 4 = 3 AND l_linenumber = 1 AS ev FROM lineitem),
+o AS (SELECT tier, o, sum(n) FILTER (kind = 'original') AS a, sum(n) FILTER (kind = 'image') AS b, sum(n) FILTER (kind = 'other') AS c, bool_or(ev) AS ev FROM f GROUP BY 1, 2),
+t AS (SELECT tier, count(*) AS orders, coalesce(sum(a), 0)::BIGINT AS original, coalesce(sum(b), 0)::BIGINT AS image, coalesce(sum(c), 0)::BIGINT AS other, count(CASE WHEN ev THEN 1 END) AS evicted FROM o GROUP BY 1)
+SELECT *, orders - evicted AS kept, round((original + image + other)::DOUBLE / orders * orders / sum(orders) OVER () * 140000, 2) AS projected FROM t""")
+def storage_reports(t):
+    i = F.col("l_orderkey") % 4
+    f = t("lineitem").select(F.col("l_orderkey").alias("source_id"), F.when(i == 1, "A").when(i == 2, "B").when(i == 3, "C").alias("tier"), F.when(F.col("l_returnflag") == "R", "original").when(F.col("l_returnflag") == "A", "image").otherwise("other").alias("kind"), F.col("l_partkey").alias("n_bytes"), ((i == 3) & (F.col("l_linenumber") == 1)).alias("evicted"))
+    return U.storage_report(f, 140_000).withColumn("projected", F.round("projected", 2))

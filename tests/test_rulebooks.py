@@ -1,10 +1,12 @@
 import datetime
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lekhaspark.operators import amendments as A
+from lekhaspark.operators import audits
 from lekhaspark.operators import contexts as C
 from lekhaspark.operators import procurement, profiles
 
@@ -141,3 +143,18 @@ def test_named_books(spark):
     books = spark.createDataFrame([("GFR", "gfr"), ("GTC", "gtc")], "book string, source_id string")
     named = spark.createDataFrame([(1, "GFR"), (1, "GTC")], "query int, book string")
     assert [r["book"] for r in procurement.missing_books(named, books, evidence).collect()] == ["GTC"]
+
+
+def test_audits(spark):
+    v = [("a", 1, 1, "native", True, "Rule 5 of 2020, 1,000"), ("a", 1, 2, "ocr", False, "Rule ५ of 2020; 7,000."), ("a", 2, 3, "native", True, "5"), ("a", 2, 4, "ocr", True, "6"), ("a", 3, 5, "native", True, None), ("a", 3, 6, "ocr", False, "no number")]
+    got = audits.numeric_conflicts(spark.createDataFrame(v, "source_id string, page_number int, variant_id int, variant_type string, canonical boolean, text string")).orderBy("page_number").collect()
+    assert [tuple(r) for r in got] == [("a", 1, ["1,000"], ["7,000"], True), ("a", 3, [], [], False)]
+    lengths = [("x", f"d{k % 3}", k, n) for k, n in enumerate([5, 100, 119, 120, 1900, 1901, 7, 7, 7, 3000])]
+    r = audits.length_report(spark.createDataFrame(lengths, "s string, source_id string, page_number int, length int"), "s").first()
+    values = sorted(n for *_, n in lengths)
+    assert [r[c] for c in ("p25", "p50", "p75", "p95")] == [values[math.floor(9 * p)] for p in (0.25, 0.5, 0.75, 0.95)]
+    assert (r["chunks"], r["documents"], r["pages"], r["shortest"], r["longest"], r["short"], r["long"]) == (10, 3, 10, 5, 3000, 6, 2)
+    pages = spark.createDataFrame([("a", "ok"), ("a", "ok"), ("b", "bad"), ("b", "ok")], "d string, class string")
+    assert [tuple(r) for r in audits.class_counts(pages, "d", "class", ["ok", "review", "bad"]).orderBy("place").select("class", "pages", "documents").collect()] == [("ok", 3, 2), ("review", 0, 0), ("bad", 1, 1)]
+    scripts = audits.script_report(spark.createDataFrame([("a", "नियम ab"), ("b", "12"), ("c", None)], "d string, t string"), "d", F.col("t")).orderBy("d").collect()
+    assert [r["ratio"] for r in scripts] == [4 / 6, None, None]
