@@ -251,12 +251,12 @@ def corpus_audit(t):
 def _capture(d):
     return d.select(
         F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("text_hash"), F.when(F.col("doc_id") % 9 == 0, F.sha2(F.substring("text", 1, 40), 256)).alias("file_hash"),
-        F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/x-2020")).alias("go_number"), F.concat(F.lit("2020-01-1"), (F.col("doc_id") % 3).cast("string")).alias("go_date"), "text",
+        F.concat(F.floor(F.col("doc_id") / 20).cast("string"), F.lit("/x-2020")).alias("go_number"), F.concat(F.lit("2020-01-1"), (F.col("doc_id") % 3).cast("string")).alias("go_date"), "text",
     )
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substring(text, 1, 4000)), '[\p{L}\p{M}\p{N}]+'), lambda x: length(x) >= 3)) AS w, sha256(text) AS th, CASE WHEN doc_id % 9 = 0 THEN sha256(substring(text, 1, 40)) END AS fh,
- concat(CAST(doc_id % 50 AS STRING), '|', CAST(doc_id % 3 AS STRING)) AS k FROM documents), a AS (SELECT * FROM w WHERE doc_id % 2 = 1), b AS (SELECT * FROM w WHERE doc_id % 2 = 0),
+ concat(CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING), '|', CAST(doc_id % 3 AS STRING)) AS k FROM documents), a AS (SELECT * FROM w WHERE doc_id % 2 = 1), b AS (SELECT * FROM w WHERE doc_id % 2 = 0),
 f AS (SELECT a.doc_id, max(b.doc_id) AS of FROM a JOIN b ON a.fh = b.fh GROUP BY 1), t AS (SELECT a.doc_id, max(b.doc_id) AS of FROM a JOIN b ON a.th = b.th GROUP BY 1),
 e AS (SELECT doc_id, 'exact' AS kind, of FROM f UNION ALL SELECT doc_id, 'exact', of FROM t WHERE doc_id NOT IN (SELECT doc_id FROM f)),
 m AS (SELECT a.doc_id, b.doc_id AS of, CASE WHEN len(a.w) >= 15 AND len(b.w) >= 15 THEN len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) ELSE 0 END AS score, len(a.w) >= 15 AND len(b.w) >= 15 AS compared FROM a JOIN b USING (k) WHERE a.doc_id NOT IN (SELECT doc_id FROM e)),

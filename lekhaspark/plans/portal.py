@@ -18,15 +18,15 @@ QUESTIONS = [
 ]
 
 
-def _q(k: str = "l_orderkey * 10 + l_linenumber") -> str:
-    return "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + f"][1 + CAST(({k}) % {len(QUESTIONS)} AS INT)]"
+#: A question for each document: one of the above, and words of the document.
+_Q = "concat([" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + f"][1 + CAST(doc_id % {len(QUESTIONS)} AS INT)], ' / ', regexp_extract(coalesce(text, ''), '([A-Za-z]+ [A-Za-z]+ [A-Za-z]+)', 1))"
 
 
 def questions(t):
-    """One question for each line of an order."""
-    key = F.expr("l_orderkey * 10 + l_linenumber")
-    lines = t("lineitem").select(key.alias("query")).distinct()
-    return lines.withColumn("question", F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("query") % len(QUESTIONS)).cast("int")))
+    """One question for each document, with words of its own."""
+    asked = F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % len(QUESTIONS)).cast("int"))
+    words = F.regexp_extract(F.coalesce("text", F.lit("")), "([A-Za-z]+ [A-Za-z]+ [A-Za-z]+)", 1)
+    return t("documents").where("doc_id is not null").select(F.col("doc_id").alias("query"), F.concat(asked, F.lit(" / "), words).alias("question"))
 
 
 def _values(rows, names):
@@ -34,7 +34,7 @@ def _values(rows, names):
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({', '.join(names)})"
 
 
-_QUESTIONS = f"q AS (SELECT query, concat(' ', trim(regexp_replace(lower({_q('query')}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')), ' ') AS x FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS query FROM lineitem) l)"
+_QUESTIONS = f"q AS (SELECT doc_id AS query, concat(' ', trim(regexp_replace(lower({_Q}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')), ' ') AS x FROM documents WHERE doc_id IS NOT NULL)"
 
 
 def _hits(name: str, rows) -> str:
@@ -57,7 +57,12 @@ def playbook_match(t):
     return matching.playbooks(questions(t), *tables)
 
 
-@query(f"""SELECT query, CASE k WHEN 9 THEN 'gem,procurement,audit' WHEN 10 THEN 'pension,rti' ELSE '' END AS topics, CASE k WHEN 9 THEN 'GeM,purchase rules,audit,audit' WHEN 10 THEN 'पेंशन,RTI' ELSE '' END AS matched FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS query, (l_orderkey * 10 + l_linenumber) % {len(QUESTIONS)} AS k FROM lineitem) x""")
+_TOPIC_SQL = [(code, "'(?i)" + p.replace("'", "''") + "'") for code, p in matching.QUERY_TOPICS]
+
+
+@query(f"""WITH q AS (SELECT doc_id AS query, {_Q} AS q FROM documents WHERE doc_id IS NOT NULL)
+SELECT query, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(q, {p}) THEN '{c}' END" for c, p in _TOPIC_SQL)}], lambda x: x IS NOT NULL), ',') AS topics,
+array_to_string(flatten([{', '.join(f'regexp_extract_all(q, {p})' for _, p in _TOPIC_SQL)}]), ',') AS matched FROM q""")
 def question_topics(t):
     found = questions(t).select("query", matching.query_topics(F.col("question")).alias("t"))
     return found.select("query", F.array_join("t.topics", ",").alias("topics"), F.array_join("t.matched", ",").alias("matched"))
