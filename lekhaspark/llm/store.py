@@ -1,10 +1,13 @@
 """Written tables in the shared folder of the cluster.
 
 Intermediate results are cut by writing Parquet under spark.checkpoint.dir, so
-a lost executor costs a re-read and never a recomputation from a local copy."""
+a lost executor costs a re-read and never a recomputation from a local copy. All of an application stand in
+one folder, which goes when its Python process ends, or with `drop_run`; what operators return may still read it until then."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Path -> what deletes it at the end.
+_RUNS: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    path = f"{shared_dir(spark)}/lekhaspark-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        _RUNS[path] = where, spark._jsc.hadoopConfiguration()
+    return path
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application: nothing that an operator has returned can be read any more."""
+    where, conf = _RUNS.pop(run_dir(spark))
+    where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for where, conf in _RUNS.values():
+        # the JVM may be gone already
+        with contextlib.suppress(Exception):
+            where.getFileSystem(conf).delete(where, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lekhaspark/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -152,7 +152,7 @@ def _shift(crc: int, n_bytes: int) -> int:
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> str:
-    """Encodes docs and writes the store; returns its folder."""
+    """Encodes docs and writes the store; returns its folder. Without a path it is an intermediate table, which goes with the application."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "ids")
 
