@@ -159,3 +159,16 @@ def test_reflow(spark):
     # lines across the gutter stay whole
     wide = two + "\n" + "one line that goes across the whole of the page and the gutter"
     assert each(spark, layout.one_column, [wide])[0].split("\n")[10].endswith("the gutter")
+
+
+def test_gates_without_a_query(spark):
+    df = spark.createDataFrame([("a", None), ("b", "a")], "source_id string, duplicate_of string")
+    assert [r["source_id"] for r in df.where(filters.not_duplicates()).collect()] == ["a"]
+    texts = ["see https://up.gov.in/a.pdf and https://example.org/b now", "http://x.nic.in/1 https://gov.in.evil.com/2", "no link", "https://gov.in", None]
+    assert each(spark, filters.public_links, texts) == ["see https://up.gov.in/a.pdf and now", "http://x.nic.in/1", "no link", "https://gov.in", None]
+    rows = [(True, "native", True, "conflict"), (False, "ocr", True, "ocr_only_unverified"), (False, "ocr", False, "variants_agree"), (False, "native", True, "native_primary"), (False, "native", False, "unverified"), (None, None, None, "unverified")]
+    got = spark.createDataFrame(rows, "c boolean, v string, k boolean, want string").select("want", P.verification_status(F.col("c"), F.col("v"), F.col("k")).alias("s")).collect()
+    assert all(r["s"] == r["want"] for r in got)
+    a, b = "x" * 50 + "abc" + "y" * 20, "x" * 50 + "aZc" + "y" * 18
+    two = spark.createDataFrame([(a, b)], "a string, b string").select(duplicates.changed_ranges(F.col("a"), F.col("b")).alias("r")).first()["r"]
+    assert [tuple(x) for x in two] == [(51, 52), (71, 73)]
