@@ -83,6 +83,12 @@ def _without(c: Column, said: Column) -> Column:
     return F.aggregate(said, c, lambda text, p: F.replace(text, _within(p), F.lit(" ")))
 
 
+def _step(q: DataFrame) -> DataFrame:
+    """q as it is: an unpivot of one column, which is a projection that Spark's planner draws no conclusions from. Over a chain of steps
+    that each rewrite `rest`, these take it several seconds and help nothing."""
+    return q.unpivot([c for c in q.columns if c != "rest"], ["rest"], "_of", "rest").drop("_of")
+
+
 def _subject_words(rest: Column) -> Column:
     words = F.split(F.regexp_replace(F.regexp_replace(rest, ABOUT_CUE, " "), r"[(),.?!।:;\"'/\-]", " "), r"\s+")
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(FILLER) & ~w.rlike(r"^\d+(?:st|nd|rd|th)?$"))
@@ -107,7 +113,7 @@ def _asked(questions: DataFrame, today: Column) -> DataFrame:
     single = F.transform(F.regexp_extract_all("rest", F.lit(WILDCARD), F.lit(0)), lambda p: F.regexp_replace(p, r"^[(\[\"']+|[)\]\"'.,;:!]+$", ""))
     patterns = F.concat(F.transform("starred", lambda p: F.concat(F.lit("*"), F.trim(F.translate(p, "*", "")), F.lit("*"))), F.filter(single, lambda p: F.length(F.translate(p, "*?", "")) >= 2))
     q = q.withColumn("patterns", patterns).withColumn("rest", F.regexp_replace("rest", WILDCARD, " "))
-    q = q.withColumn("topics", query_topics(F.col("text")))
+    q = _step(q).withColumn("topics", query_topics(F.col("text")))
     named = F.concat(F.regexp_extract_all("text", F.lit(CENTRAL), F.lit(0)), F.regexp_extract_all("text", F.lit(STATE), F.lit(0)), F.col("topics.matched"))
     codes = F.filter(F.array(F.when(F.col("text").rlike(CENTRAL), "IN"), F.when(F.col("text").rlike(STATE), "UP")), lambda c: c.isNotNull())
     q = q.withColumn("jurisdictions", codes).withColumn("rest", _without(F.regexp_replace("rest", r"\s+", " "), F.transform(named, F.lower)))
@@ -115,6 +121,7 @@ def _asked(questions: DataFrame, today: Column) -> DataFrame:
     said = normal_name(F.col("range.said"))
     q = q.withColumn("rest", F.when(F.col("range").isNotNull(), F.replace(F.replace(_within(normal_name(F.col("rest"))), _within(said), F.lit(" ")), said, F.lit(" "))).otherwise(F.col("rest")))
     # who issued it: in Hindi what stands before is the subject
+    q = _step(q)
     q = q.withColumn("by", F.coalesce(_first(F.col("rest"), RELEASED_BY, 0), _first(F.col("rest"), RELEASED_BY_HINDI, 0)))
     q = q.withColumn("who", F.trim(F.coalesce(_first(F.col("rest"), RELEASED_BY), _first(F.col("rest"), RELEASED_BY_HINDI))))
     subject = _first(_within(F.col("who")), rf"^(.*{ISSUER_AFTER})")
@@ -130,7 +137,7 @@ def _asked(questions: DataFrame, today: Column) -> DataFrame:
     english = _first(F.col("rest"), ENGLISH_SECTION, 0)
     free = F.col("section").isNull() & F.col("issuing").isNull() & english.isNotNull()
     q = q.withColumn("numbered", F.when(free, F.concat(F.lit("अनुभाग-"), F.regexp_extract("rest", ENGLISH_SECTION, 1))))
-    return q.withColumn("rest", F.when(F.col("numbered").isNotNull(), F.regexp_replace("rest", ENGLISH_SECTION, " ")).otherwise(F.col("rest")))
+    return _step(q.withColumn("rest", F.when(F.col("numbered").isNotNull(), F.regexp_replace("rest", ENGLISH_SECTION, " ")).otherwise(F.col("rest"))))
 
 
 def parse(questions: DataFrame, registry: DataFrame, today: Column | str) -> DataFrame:
