@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import conversations as D
 from ..operators import finder
 from ..operators import procurement as P
 from ..operators import salvage as S
@@ -160,3 +161,18 @@ def authority_order(t):
     evidence = lines.select("query", "place", F.concat(F.lit("book-"), "s").alias("source_id"), F.col("place").alias("page_number"))
     ranks = t("supplier").where("s_suppkey % 4 > 0").select(F.concat(F.lit("book-"), "s_suppkey").alias("source_id"), (F.col("s_suppkey") % 4).alias("rank"))
     return P.by_authority(evidence, ranks)
+
+
+_LEANS = " OR ".join("regexp_matches(question, '" + p.replace("'", "''") + "')" for p in D.FOLLOW_UP)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE turn % 6 WHEN 2 THEN concat('And what of ', coalesce(text, '')) WHEN 4 THEN concat(coalesce(text, ''), ' under that rule?') ELSE trim(coalesce(text, '')) END AS q0 FROM conversations WHERE role = 'user'),
+u AS (SELECT conv_id, turn, trim(q0, ' ') AS question, trim(regexp_replace(q0, '\\s+', ' ', 'g')) AS l FROM t), c AS (SELECT *, nullif(CASE WHEN length(l) > 500 THEN concat(rtrim(substring(l, 1, 500)), '…') ELSE l END, '') AS c FROM u),
+b AS (SELECT *, lag(c, 1 IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS b, lag(c, 2 IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM c),
+f AS (SELECT *, b IS NOT NULL AND ({_LEANS}) AS contextualized FROM b)
+SELECT conv_id, turn, contextualized, CASE WHEN contextualized THEN concat('Current question: ', question, chr(10), CASE WHEN a IS NOT NULL THEN concat('Previous user question 1: ', a, chr(10), 'Previous user question 2: ', b) ELSE concat('Previous user question 1: ', b) END) ELSE question END AS retrieval_query FROM f""")
+def contextual_questions(t):
+    """Turns of conversations, some of which point back to what was asked before."""
+    text, k = F.coalesce("text", F.lit("")), F.col("turn") % 6
+    asked = F.when(k == 2, F.concat(F.lit("And what of "), text)).when(k == 4, F.concat(text, F.lit(" under that rule?"))).otherwise(text)
+    return D.contextual_questions(t("conversations").withColumn("text", asked)).select("conv_id", "turn", "contextualized", "retrieval_query")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lekhaspark.functions import glossary
-from lekhaspark.operators import filters, finder, search
+from lekhaspark.operators import conversations, filters, finder, search
 
 TODAY = "2026-09-27"
 REGISTRY = [
@@ -126,3 +126,15 @@ def test_cover_ranks(spark):
     assert [(r["d"], r["rank"]) for r in both] == [(2, 1), (1, 2)]
     assert abs(both[1]["score"] - 0.1 / 3 / (1 + math.log(4))) < 1e-6 and abs(both[0]["score"] - (0.1 + 0.1 / 2) / (1 + math.log(4))) < 1e-6
     assert search.cover_ranks(docs, "d", "text", asked, "q", "asked", ["the"]).count() == 3
+
+
+def test_follow_ups(spark):
+    turns = [("a", 1, "user", "What is earned leave?"), ("a", 2, "assistant", "x"), ("a", 3, "user", "And for teachers?"), ("a", 5, "user", "  "), ("a", 7, "user", "इसके लिए शासनादेश"), ("a", 9, "user", "Rules of pension"), ("a", 11, "user", "a rule that holds"), ("a", 13, "user", "does that rule hold"), ("b", 1, "user", "And this?"), ("b", 3, "user", "long " * 200), ("b", 5, "user", "what about it"), ("c", 1, "user", None)]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in conversations.contextual_questions(df).collect()}
+    assert {k for k, r in got.items() if r["contextualized"]} == {("a", 3), ("a", 7), ("a", 13), ("b", 5)}
+    assert got["a", 3]["retrieval_query"] == "Current question: And for teachers?\nPrevious user question 1: What is earned leave?"
+    assert got["a", 7]["retrieval_query"].endswith("Previous user question 1: What is earned leave?\nPrevious user question 2: And for teachers?")
+    assert got["b", 5]["retrieval_query"].endswith("…") and got["c", 1]["retrieval_query"] == "" and got["b", 1]["retrieval_query"] == "And this?"
+    picked = {(r["conv_id"], r["turn"]) for r in conversations.contextual_questions(df, F.col("turn") == 9).collect() if r["contextualized"]}
+    assert ("a", 9) in picked
