@@ -9,7 +9,8 @@ from ..operators import amendments as A
 from ..operators import answer_pages as E
 from ..operators import audits as U
 from ..operators import contexts as C
-from ..operators import tables
+from ..operators import listings, tables
+from ..sources import cms
 from .registry import query
 
 _LINES = "x AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, min(l_linestatus) AS status, min(l_partkey) AS part, min(l_suppkey) AS supp, min(CAST(l_shipdate AS DATE)) AS day FROM lineitem GROUP BY 1, 2)"
@@ -204,3 +205,21 @@ def storage_reports(t):
     i = F.col("l_orderkey") % 4
     f = t("lineitem").select(F.col("l_orderkey").alias("source_id"), F.when(i == 1, "A").when(i == 2, "B").when(i == 3, "C").alias("tier"), F.when(F.col("l_returnflag") == "R", "original").when(F.col("l_returnflag") == "A", "image").otherwise("other").alias("kind"), F.col("l_partkey").alias("n_bytes"), ((i == 3) & (F.col("l_linenumber") == 1)).alias("evicted"))
     return U.storage_report(f, 140_000).withColumn("projected", F.round("projected", 2))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, min(CAST(l_shipdate AS DATE)) AS day FROM lineitem GROUP BY 1, 2), p AS (SELECT *, count(*) FILTER (flag <> 'R') OVER (PARTITION BY l_orderkey) AS n FROM x)
+SELECT concat('cms-', l_orderkey, CASE WHEN n > 1 THEN CASE flag WHEN 'A' THEN concat('-pdf_', l_linenumber) ELSE '-hi' END ELSE '' END) AS source_id, concat('Post ', l_orderkey) AS title, concat('https://cms.gov/', l_orderkey, '-', l_linenumber, '.pdf') AS url,
+CASE flag WHEN 'A' THEN '2001-02-03' ELSE strftime(day, '%Y-%m-%d') END AS go_date, CASE flag WHEN 'A' THEN 'unknown' ELSE 'hi' END AS language FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, CASE WHEN flag = 'A' THEN l_linenumber ELSE 0 END ORDER BY l_linenumber) AS k FROM p WHERE flag <> 'R') y WHERE flag = 'A' OR k = 1 OR n = 1""")
+def cms_documents(t):
+    """Orders as posts of a content system, lines as their files: Hindi ones with a date of their own, others without, and files on another host."""
+    x = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min(F.to_date("l_shipdate")).alias("day"))
+    file_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    host = F.when(F.col("flag") == "R", "https://example.org/").otherwise("https://cms.gov/")
+    url = F.concat(F.lit('{"ID": 1, "url": "'), host, "l_orderkey", F.lit("-"), "l_linenumber", F.lit('.pdf"}'))
+    plain = F.concat(F.lit('{"posts": {"acf_data": {"note": "x", "file_date": null, "language": ["Hindi", "English"], "pdf_'), "l_linenumber", F.lit('": '), url, F.lit("}}}"))
+    hindi = F.concat(F.lit('{"posts": {"acf_data": {"pdf": '), url, F.lit(', "file_date": "'), F.date_format("day", "dd/MM/yyyy"), F.lit('", "language": ["Hindi"]}}}'))
+    files = x.select(F.lit("cms").alias("site"), file_id.alias("file_id"), F.when(F.col("flag") == "A", plain).otherwise(hindi).alias("body"))
+    held = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(file_id)).alias("ids"))
+    listing = F.concat(F.lit('{"total_pages": 1, "posts": [{"ID": '), "l_orderkey", F.lit(', "post_title": " Post '), "l_orderkey", F.lit(' ", "acf_data": {"date": "03/02/2001", "file": [{"file": ['), F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit("]}]}}]}"))
+    answers = held.select(F.col("l_orderkey").alias("place"), F.lit("cms").alias("site"), listing.alias("body"))
+    return listings.attachments(cms.cms_posts(answers, files), ["cms.gov"])
