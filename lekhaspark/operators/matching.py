@@ -109,3 +109,20 @@ def trigrams(c: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams of two texts."""
     return F.coalesce(F.size(F.array_intersect(trigrams(a), trigrams(b))) / F.nullif(F.size(F.array_union(trigrams(a), trigrams(b))), F.lit(0)), F.lit(0.0))
+
+
+def similar_names(rows: DataFrame, queries: DataFrame, key: str, name: str, top: int = 10) -> DataFrame:
+    """(query, key, similarity, rank): the `top` rows of each query (tables with the same key and name columns) by shared trigrams, then by key; rows that share none
+    are no hits. Names are compared once however often they occur: distinct names meet on their trigrams, and each stands for its first `top` keys."""
+    def pieces(d: DataFrame, n: str, size: str, t: str) -> DataFrame:
+        each = d.where(F.col(name).isNotNull()).select(F.col(name).alias(n)).distinct().withColumn("_g", trigrams(F.col(n)))
+        return each.select(n, F.size("_g").alias(size), F.explode("_g").alias(t))
+
+    shared = pieces(queries, "_q", "_qn", "_t").join(pieces(rows, "_r", "_rn", "_t"), "_t").groupBy("_q", "_r", "_qn", "_rn").agg(F.count("*").alias("_s"))
+    pairs = shared.select("_q", "_r", F.round(F.col("_s") / (F.col("_qn") + F.col("_rn") - F.col("_s")), 6).alias("similarity"))
+    first = Window.partitionBy(name).orderBy(key)
+    held = rows.where(F.col(name).isNotNull()).select(key, name).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= top)
+    best = Window.partitionBy("_q").orderBy(F.desc("similarity"), key)
+    ranked = pairs.join(held, F.col("_r") == F.col(name)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("_q", key, "similarity", "rank")
+    asked = queries.select(F.col(key).alias("query"), F.col(name).alias("_name"))
+    return asked.join(ranked, F.col("_name") == F.col("_q")).select("query", key, "similarity", "rank")

@@ -76,6 +76,15 @@ def trigram_similarity(t):
     return p.join(F.broadcast(first)).select("p_partkey", F.round(matching.similarity(F.col("p_name"), F.col("first")), 6).alias("similarity"))
 
 
+@query("""WITH w AS (SELECT p_partkey, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring(concat('  ', w, ' '), i, 3))))) AS g FROM part),
+s AS (SELECT a.p_partkey AS query, w.p_partkey, round(len(list_intersect(w.g, a.g)) / len(list_distinct(list_concat(w.g, a.g))), 6) AS similarity FROM w JOIN w a ON a.p_partkey % 20 = 0)
+SELECT query, p_partkey, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, p_partkey) AS rank FROM s WHERE similarity > 0) x WHERE rank <= 10""")
+def similar_names(t):
+    """Queries are the parts whose key is divisible by 20, against all parts."""
+    p = t("part").select("p_partkey", "p_name")
+    return matching.similar_names(p, p.where("p_partkey % 20 = 0"), "p_partkey", "p_name")
+
+
 @query(r"""WITH c AS (SELECT page, term, count(*) AS tf FROM (SELECT doc_id AS page, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')) AS term FROM documents) x GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), r AS (SELECT page, c.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN d ON c.term = d.term, n WHERE df >= 2 AND df <= 0.3 * n),
 m AS (SELECT page, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1), q AS (SELECT query, term, 1 + ln(count(*)) AS q FROM (SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')) AS term FROM benchmark WHERE item_id % 20 = 0) x GROUP BY 1, 2),
