@@ -61,5 +61,7 @@ sql("threshold_calibration", """WITH m AS (SELECT event_type, min(CASE WHEN user
 SELECT event_type, CASE WHEN lo > hi THEN round((lo + hi) / 2, 6) END AS threshold FROM m""")
 sql("amended_orders_running", """SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM orders""")
 sql("daily_credit_budget", """SELECT event_id, used FROM (SELECT event_id, event_type, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM events) x WHERE used <= 5""")
-sql("group_pages_by_order", """SELECT l_orderkey, min_by(l_linenumber, l_extendedprice) AS best_page, max(l_extendedprice) AS score, count(*) AS pages FROM (SELECT l_orderkey, l_linenumber, -l_extendedprice AS l_extendedprice FROM lineitem) x GROUP BY l_orderkey""")
+# of lines with the same price the first is the best page
+_BEST_PAGE = """SELECT l_orderkey, min_by(l_linenumber, CASE WHEN l_extendedprice IS NOT NULL THEN {pair} END) AS best_page, max(l_extendedprice) AS score, count(*) AS pages FROM (SELECT l_orderkey, l_linenumber, -l_extendedprice AS l_extendedprice FROM lineitem) x GROUP BY l_orderkey"""
+sql("group_pages_by_order", _BEST_PAGE.format(pair="struct(l_extendedprice, l_linenumber)"), _BEST_PAGE.format(pair="row(l_extendedprice, l_linenumber)"))
 sql("strong_weak_split", """SELECT o_orderkey, o_totalprice >= 0.25 * max(o_totalprice) OVER (PARTITION BY o_custkey) AS strong FROM orders""")

@@ -78,3 +78,23 @@ def test_state_and_files(spark, tmp_path):
     assert [(r["id"], r["state"], r["entries"]) for r in got] == [("s", "stored", 2)]
     (tmp_path / "bad.jsonl").write_text('{"id": "a", "at": 1}\n\n{broken\n')
     assert files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), stream.schema, strict=False).count() == 1
+
+
+def tied_lines(spark, tmp_path, rows):
+    """A folder with these lines (order, line, supplier, price), in several files, and the SQL engine on it."""
+    d = str(tmp_path)
+    for n, r in enumerate(rows):
+        frame = spark.createDataFrame([r], "l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double")
+        frame.coalesce(1).write.mode("append").parquet(f"{d}/lineitem.parquet")
+    os.symlink(f"{SF}/pages.parquet", f"{d}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{d}/lineitem.parquet/*.parquet'")
+    return d, c
+
+
+def test_best_page_of_equal_prices(spark, tmp_path):
+    rows = [(1, 5, 1, 9.0), (1, 2, 2, 9.0), (1, 7, 3, 9.0), (1, 1, 4, 3.0), (2, 3, 1, None), (3, 4, 1, None), (3, 6, 1, 1.0)]
+    d, c = tied_lines(spark, tmp_path, rows)
+    got = sorted(map(tuple, QUERIES["group_pages_by_order"](spark, d).collect()))
+    assert got == [(1, 2, -3.0, 4), (2, None, None, 1), (3, 6, -1.0, 2)]
+    assert got == sorted(c.execute(ORACLES["group_pages_by_order"]).fetchall())
