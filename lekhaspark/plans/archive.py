@@ -182,12 +182,12 @@ def exact_pages(t):
     return hits.exact_pages(asked, variants(t)).select("query", "source_id", "page_number", "variant_id", "label")
 
 
-# Fused hits: the lines of an order, ranked by price; a page is a supplier, a variant a part.
-_HITS = "h AS (SELECT l_orderkey AS query, l_suppkey % 4 AS page, l_linenumber % 2 AS variant, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem)"
+# Fused hits: the lines of an order, ranked by price, then by line and supplier; a page is a supplier, a variant a part.
+_HITS = "h AS (SELECT l_orderkey AS query, l_suppkey % 4 AS page, l_linenumber % 2 AS variant, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_suppkey) AS rank FROM lineitem)"
 
 
 def fused(t):
-    return t("lineitem").selectExpr("l_orderkey AS query", "l_suppkey % 4 AS page", "l_linenumber % 2 AS variant", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank")
+    return t("lineitem").selectExpr("l_orderkey AS query", "l_suppkey % 4 AS page", "l_linenumber % 2 AS variant", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_suppkey) AS rank")
 
 
 _POOL = f"{_HITS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, page ORDER BY rank) AS k FROM h) x WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS pool_rank FROM u), p AS (SELECT query, page, variant, rank, pool_rank, rank > 3 AS backfilled FROM r WHERE rank <= 3 OR pool_rank <= 3)"
@@ -218,13 +218,13 @@ def hydrated_hits(t):
     return hits.hydrate(h, v, d).select("variant_id", "selected_text", "canonical_text", F.array_join("other_texts", "|").alias("other_texts"), "page_url", "legacy_font")
 
 
-@query("""WITH e AS (SELECT l_orderkey AS query, l_suppkey % 5 AS source_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank, l_discount * 10 AS relevance, CASE WHEN l_linenumber = 7 THEN 'neighbor' END AS role,
+@query("""WITH e AS (SELECT l_orderkey AS query, l_suppkey % 5 AS source_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_suppkey) AS rank, l_discount * 10 AS relevance, CASE WHEN l_linenumber = 7 THEN 'neighbor' END AS role,
  CASE l_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('long title ', 20) ELSE concat('Title  ', CAST(l_suppkey % 5 AS STRING)) END AS title, CASE WHEN l_suppkey % 2 = 0 THEN '12/2020' ELSE '' END AS go_number, CASE WHEN l_suppkey % 3 = 0 THEN '2020-01-01' END AS go_date FROM lineitem),
 b AS (SELECT *, row_number() OVER (PARTITION BY query, source_id ORDER BY rank) AS k FROM e WHERE relevance >= 0.25 AND role IS NULL), s AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM b WHERE k = 1 AND title <> '')
 SELECT query, place, source_id, CASE WHEN length(t) > 140 THEN concat(substring(t, 1, 137), '…') ELSE t END AS title, nullif(concat_ws(', ', nullif(go_number, ''), go_date), '') AS reference FROM s WHERE place <= 3""")
 def closest_documents(t):
     e = t("lineitem").selectExpr(
-        "l_orderkey AS query", "l_suppkey % 5 AS source_id", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank", "l_discount * 10 AS relevance",
+        "l_orderkey AS query", "l_suppkey % 5 AS source_id", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_suppkey) AS rank", "l_discount * 10 AS relevance",
         "CASE WHEN l_linenumber = 7 THEN 'neighbor' END AS role", "CASE l_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('long title ', 20) ELSE concat('Title  ', l_suppkey % 5) END AS title",
         "CASE WHEN l_suppkey % 2 = 0 THEN '12/2020' ELSE '' END AS go_number", "CASE WHEN l_suppkey % 3 = 0 THEN '2020-01-01' END AS go_date",
     )

@@ -52,7 +52,7 @@ sql("hash_refresh", """WITH a AS (SELECT source, sum(n_chars) AS h FROM document
 SELECT a.source, CASE WHEN b.source IS NULL THEN 'new' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS state FROM a LEFT JOIN b ON a.source = b.source""")
 sql("promoted_labels", """SELECT l_suppkey, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN max(l_linestatus) END AS label, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_suppkey""")
 sql("misspelt_names", """SELECT p_partkey, p_name FROM part WHERE levenshtein(p_type, 'ECONOMI') <= 2""", """SELECT p_partkey, p_name FROM part WHERE levenshtein(p_type, 'ECONOMI') <= 2""")
-sql("hard_negatives", """WITH q AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+sql("hard_negatives", """WITH q AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 slots AS (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)
 SELECT p.l_orderkey, s.i AS slot, g.l_partkey AS negative FROM q p JOIN slots s ON true JOIN q g ON g.l_orderkey = p.l_orderkey AND g.r = 2 + s.i % (p.n - 1) WHERE p.r = 1 AND p.n > 1""")
 sql("filter_case_checks", """WITH got AS (SELECT o_custkey, count(*) AS found, count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) AS wrong FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey)

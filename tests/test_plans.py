@@ -98,3 +98,14 @@ def test_best_page_of_equal_prices(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["group_pages_by_order"](spark, d).collect()))
     assert got == [(1, 2, -3.0, 4), (2, None, None, 1), (3, 6, -1.0, 2)]
     assert got == sorted(c.execute(ORACLES["group_pages_by_order"]).fetchall())
+
+
+def test_equal_prices_of_one_line(spark, tmp_path):
+    """Lines that share order, number and price are on different pages: the supplier decides, whatever the order of the files."""
+    rows = [(o, 1, s, 9.0) for o, suppliers in ((1, (6, 5, 7)), (2, (7, 6, 5)), (3, (5, 7, 6))) for s in suppliers] + [(1, 2, 4, 1.0)]
+    d, c = tied_lines(spark, tmp_path, rows)
+    for name in ("rerank_pool", "alternate_variants"):
+        got = QUERIES[name](spark, d)
+        assert sorted(map(tuple, got.collect())) == sorted(c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]}) x").fetchall()), name
+    got = QUERIES["rerank_pool"](spark, d).where("rank <= 3").orderBy("query", "rank").collect()
+    assert [(r["query"], r["page"]) for r in got] == [(q, p) for q in (1, 2, 3) for p in (1, 2, 3)]
