@@ -54,7 +54,7 @@ CASE WHEN k = 2 THEN concat(a, ' ', b) ELSE '' END AS phrases, CASE WHEN k = 3 T
 CASE WHEN k = 11 THEN 'IN' ELSE '' END AS jurisdictions, CASE WHEN k = 11 THEN 'gem' ELSE '' END AS topics, CASE k WHEN 4 THEN concat(a, ' ', b) WHEN 10 THEN concat(a, ' home') WHEN 11 THEN a ELSE '' END AS words,
 CASE k WHEN 12 THEN concat(y, '-01-01') WHEN 5 THEN '2026-09-21' WHEN 7 THEN strftime(least(day, DATE '2025-12-28'), '%Y-%m-%d') WHEN 9 THEN strftime(day, '%Y-%m-%d') WHEN 13 THEN strftime(day, '%Y-%m-%d') END AS date_from,
 CASE k WHEN 12 THEN concat(y, '-12-31') WHEN 5 THEN '{TODAY}' WHEN 7 THEN strftime(greatest(day, DATE '2025-12-28'), '%Y-%m-%d') WHEN 9 THEN strftime(day, '%Y-%m-%d') WHEN 13 THEN '{TODAY}' END AS date_to,
-CASE WHEN k = 7 AND day <> DATE '2025-12-28' THEN 2 ELSE 0 END AS dates, CASE k WHEN 2 THEN concat(a, ' ', b) WHEN 3 THEN a WHEN 4 THEN concat(a, ' ', b) WHEN 10 THEN concat(a, ' home') WHEN 11 THEN a END AS similar
+CASE WHEN k = 7 AND day <> DATE '2025-12-28' THEN 2 ELSE 0 END AS dates, CASE k WHEN 2 THEN concat(a, ' ', b) WHEN 3 THEN CASE WHEN length(a) >= 3 THEN a END WHEN 4 THEN concat(a, ' ', b) WHEN 10 THEN concat(a, ' home') WHEN 11 THEN a END AS similar
 FROM q JOIN day ON q.query = day.query WHERE k NOT IN (8, 14)""")
 def parsed_questions(t):
     registry = t("nation").sparkSession.createDataFrame(REGISTRY, "entry int, phrase string")

@@ -109,3 +109,15 @@ def test_equal_prices_of_one_line(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]}) x").fetchall()), name
     got = QUERIES["rerank_pool"](spark, d).where("rank <= 3").orderBy("query", "rank").collect()
     assert [(r["query"], r["page"]) for r in got] == [(q, p) for q in (1, 2, 3) for p in (1, 2, 3)]
+
+
+def test_short_stems_of_patterns(spark, tmp_path):
+    """A text without a word of four letters leaves a pattern whose stem has two: too short for a search by meaning."""
+    d = str(tmp_path)
+    spark.createDataFrame([(3, "solar pumps"), (18, ""), (33, None)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0,)], "n_nationkey int").write.parquet(f"{d}/nation.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    got = QUERIES["parsed_questions"](spark, d)
+    assert sorted((r["query"], r["patterns"], r["similar"]) for r in got.collect()) == [(3, "zysolar*", "zysolar"), (18, "zy*", None), (33, "zy*", None)]
+    assert sorted(c.sql(ORACLES["parsed_questions"]).project('query, patterns, "similar"').fetchall()) == [(3, "zysolar*", "zysolar"), (18, "zy*", None), (33, "zy*", None)]
