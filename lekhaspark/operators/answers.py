@@ -32,7 +32,7 @@ def claim_units(answers: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each line with text: key, unit, line, cited (label, page), digits outside citations and list numbers.
     A line of citations only belongs to the line before it."""
     joined = F.regexp_replace(F.col(text), r"\n\s*(?=(?:\[S\d+\s+p\.\d+\][\s.,;]*)+(?:\n|$))", " ")
-    lines = answers.select(key, F.posexplode(F.split(joined, "\n")).alias("unit", "line")).where("trim(line) <> ''")
+    lines = answers.select(key, F.posexplode_outer(F.split(joined, "\n")).alias("unit", "line")).where("trim(line) <> ''")
     labels, pages = F.regexp_extract_all("line", F.lit(CITATION), F.lit(1)), F.regexp_extract_all("line", F.lit(CITATION), F.lit(2))
     cited = F.array_distinct(F.zip_with(labels, pages, lambda s, p: F.struct(s.alias("label"), p.try_cast("int").alias("page"))))
     bare = F.regexp_replace(F.regexp_replace("line", CITATION, ""), LIST_NUMBER, "")
@@ -45,26 +45,46 @@ def invalid_citations(units: DataFrame, key: str, evidence: DataFrame) -> DataFr
     return cited.join(evidence.select(key, "label", "page"), [key, "label", "page"], "left_anti")
 
 
+def page_texts() -> Column:
+    """The different extractions of a page of the evidence."""
+    return F.array_distinct(F.filter("texts", lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def judged(units: DataFrame, key: str, evidence: DataFrame, named: DataFrame | None = None, **more: Column) -> DataFrame:
+    """units with `pages` (the evidence of their answer: array of struct(label, page, risky, groups, and `more`), empty without any) and `issue`, as
+    numeric_issues has it, else null. The pages of an answer are one row, so a unit meets them in one join by the answer and is read once."""
+    if named is not None:
+        units = units.join(named.select(key, F.col("numbers").alias("_named")), key, "left")
+        units = units.withColumn("digits", F.array_except("digits", F.coalesce("_named", F.array().cast("array<string>")))).drop("_named")
+    units = units.withColumn("digits", F.array_distinct("digits"))
+    groups = F.transform(page_texts(), lambda x: F.array_distinct(digit_groups(x)))
+    page = F.struct("label", "page", "risky", groups.alias("groups"), *[c.alias(n) for n, c in more.items()])
+    held = evidence.select(key, page.alias("p")).groupBy(key).agg(F.collect_list("p").alias("pages"))
+    met = units.join(held, key, "left")
+    met = met.withColumn("pages", F.coalesce("pages", F.array().cast(held.schema["pages"].dataType)))
+    named_here = lambda p: F.exists("cited", lambda c: (c["label"] == p["label"]) & (c["page"] == p["page"]))
+    holding = lambda p: F.size(F.filter(p["groups"], lambda g: F.size(F.array_except("digits", g)) == 0))
+    met = met.withColumn("_met", F.filter("pages", named_here))
+    met = met.withColumn("_safe", F.filter("_met", lambda p: ~p["risky"] | (holding(p) >= 2)))
+    found = F.flatten(F.transform("_safe", lambda p: F.flatten(p["groups"])))
+    issue = F.when(F.size("digits") == 0, None).when(F.size("cited") == 0, "uncited").when(F.col("line").rlike(CAUTION), None)
+    issue = issue.when((F.size("_met") > 0) & (F.size("_safe") == 0), "unsafe").when((F.size("_safe") > 0) & (F.size(F.array_except("digits", found)) > 0), "unsupported")
+    return met.withColumn("issue", issue).drop("_met", "_safe")
+
+
 def numeric_issues(units: DataFrame, key: str, evidence: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(key, unit, issue) of lines that state numbers: uncited, unsafe (only risky pages hold them) or unsupported.
 
     `evidence`: key, label, page, texts (array of the page's extractions), risky. A risky page is safe
     when two different extractions hold all numbers of the line. `named`: key, numbers that are names and no claims."""
-    if named is not None:
-        units = units.join(named.select(key, F.col("numbers").alias("_named")), key, "left")
-        units = units.withColumn("digits", F.array_except("digits", F.coalesce("_named", F.array().cast("array<string>")))).drop("_named")
-    claims = units.where("size(digits) > 0").withColumn("digits", F.array_distinct("digits"))
-    cites = claims.select(key, "unit", "digits", F.explode("cited").alias("c")).select(key, "unit", "digits", "c.label", "c.page")
-    pages = evidence.select(key, "label", "page", "risky", F.transform(F.array_distinct(F.filter("texts", lambda x: F.coalesce(x, F.lit("")) != "")), lambda x: F.array_distinct(digit_groups(x))).alias("groups"))
-    met = cites.join(pages, [key, "label", "page"])
-    holding = F.size(F.filter("groups", lambda g: F.size(F.array_except("digits", g)) == 0))
-    safe = ~F.col("risky") | (holding >= 2)
-    met = met.select(key, "unit", safe.alias("safe"), F.array_intersect("digits", F.flatten("groups")).alias("found"))
-    seen = met.groupBy(key, "unit").agg(F.count("*").alias("pages"), F.count_if("safe").alias("safe_pages"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("safe"), F.col("found"))))).alias("found"))
-    all_ = claims.join(seen, [key, "unit"], "left")
-    issue = F.when(F.size("cited") == 0, "uncited").when(F.col("line").rlike(CAUTION), None).when(F.col("safe_pages") == 0, "unsafe")
-    issue = issue.when((F.col("safe_pages") > 0) & (F.size(F.array_except("digits", "found")) > 0), "unsupported")
-    return all_.select(key, "unit", issue.alias("issue")).where("issue is not null")
+    issue = F.when(F.col("issue").isNotNull(), F.array("issue"))
+    # the outer form keeps Spark from finding every issue a second time in a filter
+    return judged(units, key, evidence, named).select(key, "unit", F.explode_outer(issue).alias("issue")).where("issue is not null")
+
+
+def is_held(c: Column) -> Column:
+    """Whether the cited page is one of `pages`."""
+    return F.exists("pages", lambda p: (p["label"] == c["label"]) & (p["page"] == c["page"]))
 
 
 def validate(answers: DataFrame, key: str, text: str, evidence: DataFrame, named: DataFrame | None = None, placeholder: str = r"<<[A-Z_]+>>") -> DataFrame:
@@ -72,9 +92,10 @@ def validate(answers: DataFrame, key: str, text: str, evidence: DataFrame, named
     internal_placeholder, missing_citation (evidence was there and none is cited), invalid_citation, and the issues of numbers."""
     words = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CITATION, ""), r"[^\p{L}\p{N}]+", "")
     held = evidence.select(key).distinct().withColumn("_evidence", F.lit(True))
-    units = claim_units(answers, key, text)
-    codes = invalid_citations(units, key, evidence).select(key, F.lit("invalid_citation").alias("code")).union(numeric_issues(units, key, evidence, named).select(key, F.col("issue").alias("code")))
-    found = codes.groupBy(key).agg(F.collect_set("code").alias("_codes"))
+    units = judged(claim_units(answers, key, text), key, evidence, named)
+    invalid = F.exists("cited", lambda c: ~F.coalesce(is_held(c), F.lit(False)))
+    codes = F.array_compact(F.array(F.when(invalid, F.lit("invalid_citation")), F.col("issue")))
+    found = units.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(codes))).alias("_codes"))
     met = answers.select(key, text).join(held, key, "left").join(found, key, "left")
     own = F.array_compact(F.array(F.when(F.col(text).rlike(placeholder), F.lit("internal_placeholder")), F.when(F.col("_evidence") & ~F.col(text).rlike(CITATION), F.lit("missing_citation"))))
     issues = F.when(words == "", F.array(F.lit("empty_answer"))).otherwise(F.array_sort(F.array_union(own, F.coalesce("_codes", F.array().cast("array<string>")))))

@@ -5,11 +5,11 @@ these sentences with the pages of the same answer, so the work is spread by answ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digit_groups
-from .answers import CITATION, LIST_NUMBER, numeric_issues
+from .answers import CITATION, LIST_NUMBER, is_held, judged, page_texts
 
 LEAST_KEPT = 0.3
 LEAST_WORDS = 3
@@ -49,7 +49,7 @@ def sentence_units(answers: DataFrame, key: str, text: str) -> DataFrame:
         return F.array_distinct(F.zip_with(labels, pages, lambda a, p: F.struct(a.alias("label"), p.try_cast("int").alias("page"))))
 
     own = F.transform(F.filter(parts, lambda p: p["s"] != ""), lambda p: F.struct(p["at"].alias("at"), p["s"].alias("s"), citations(p["s"]).alias("c")))
-    each = answers.select(key, own.alias("all")).select(key, "all", F.posexplode("all").alias("unit", "u"))
+    each = answers.select(key, own.alias("all")).select(key, "all", F.posexplode_outer("all").alias("unit", "u")).where("unit is not null")
     later = F.filter(F.slice("all", F.col("unit") + 2, F.size("all")), lambda p: (p["at"] == F.col("u.at")) & (F.size(p["c"]) > 0))
     cited = F.when(F.size("u.c") > 0, F.col("u.c")).otherwise(F.coalesce(F.get(later, F.lit(0))["c"], F.slice("u.c", 1, 0)))
     return each.select(key, "unit", F.col("u.s").alias("line"), F.col("u.at").alias("at_line"), cited.alias("cited"), digit_groups(bare(F.regexp_replace("u.s", LIST_NUMBER, ""))).alias("digits"))
@@ -61,16 +61,13 @@ def salvage(answers: DataFrame, key: str, text: str, evidence: DataFrame, named:
     Where less than LEAST_KEPT of the sentences with words can be kept, nothing is (an empty text): a fragment misleads.
 
     evidence and named are those of `answers.numeric_issues`."""
-    units = sentence_units(answers, key, text)
-    issues = numeric_issues(units, key, evidence, named).select(key, "unit").withColumn("_bad", F.lit(True))
-    valid = units.select(key, "unit", F.explode("cited").alias("c")).select(key, "unit", "c.label", "c.page").join(evidence.select(key, "label", "page").distinct(), [key, "label", "page"], "left_semi")
-    valid = valid.select(key, "unit").distinct().withColumn("_valid", F.lit(True))
+    units = judged(sentence_units(answers, key, text), key, evidence, named)
     clean = F.trim(F.regexp_replace(F.regexp_replace("line", LIST_NUMBER, ""), BULLETS, ""))
     stars = F.regexp_count(clean, F.lit(r"\*\*"))
     clean = F.when(stars % 2 == 1, F.replace(clean, F.lit("**"), F.lit(""))).otherwise(clean)
     shown = ~F.col("line").rlike(PLACEHOLDER)
-    met = units.join(issues, [key, "unit"], "left").join(valid, [key, "unit"], "left").withColumn("clean", clean)
-    keep = shown & F.col("_bad").isNull() & F.col("_valid") & (n_words(F.col("clean")) >= LEAST_WORDS) & ~F.col("clean").rlike(DEPENDENT)
+    met = units.select(key, "unit", "line", F.col("issue").isNull().alias("_good"), F.exists("cited", is_held).alias("_valid")).withColumn("clean", clean)
+    keep = shown & F.col("_good") & F.col("_valid") & (n_words(F.col("clean")) >= LEAST_WORDS) & ~F.col("clean").rlike(DEPENDENT)
     worded = shown & (n_words(F.regexp_replace("line", LIST_NUMBER, "")) >= LEAST_WORDS)
     found = met.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.coalesce(keep, F.lit(False)), F.struct("unit", "clean")))).alias("_kept"), F.count_if(worded).alias("sentences"))
     lines = F.transform("_kept", lambda x: x["clean"])
@@ -89,20 +86,21 @@ def add_citations(answers: DataFrame, key: str, text: str, evidence: DataFrame,
     if named is not None:
         units = units.join(named.select(key, F.col("numbers").alias("_named")), key, "left")
         units = units.withColumn("digits", F.array_except("digits", F.coalesce("_named", F.array().cast("array<string>")))).drop("_named")
-    wrong = numeric_issues(units, key, evidence).where("issue in ('uncited', 'unsupported')").select(key, "unit")
-    open_ = units.join(wrong, [key, "unit"], "left_semi").select(key, "unit", "line", F.array_distinct("digits").alias("digits"), content_words(F.col("line")).alias("words"))
-    texts = F.array_distinct(F.filter("texts", lambda x: F.coalesce(x, F.lit("")) != ""))
-    pages = evidence.select(key, "label", "page", "risky", F.transform(texts, lambda x: F.array_distinct(digit_groups(x))).alias("groups"), content_words(F.array_join(texts, " ")).alias("on_page"))
-    met = open_.join(pages, key)
-    holding = F.size(F.filter("groups", lambda g: F.size(F.array_except("digits", g)) == 0))
-    met = met.where((F.size(F.array_except("digits", F.flatten("groups"))) == 0) & (~F.col("risky") | (holding >= 2)))
-    met = met.withColumn("shared", F.size(F.array_intersect("words", "on_page"))).where(F.col("shared") >= LEAST_SHARED)
-    best = Window.partitionBy(key, "unit").orderBy(F.desc("shared"), F.length("label"), "label", "page")
-    first = met.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    citation = F.concat(F.lit(" ["), "label", F.lit(" p."), "page", F.lit("]"))
+    units = judged(units, key, evidence, on_page=content_words(F.array_join(page_texts(), " ")))
+    open_ = units.select(key, "unit", "line", "digits", F.when(F.col("issue").isin("uncited", "unsupported"), F.col("pages")).alias("pages"), content_words(F.col("line")).alias("words"))
+
+    def fits(p: Column) -> Column:
+        holding = F.size(F.filter(p["groups"], lambda g: F.size(F.array_except("digits", g)) == 0))
+        return (F.size(F.array_except("digits", F.flatten(p["groups"]))) == 0) & (~p["risky"] | (holding >= 2)) & (F.size(F.array_intersect("words", p["on_page"])) >= LEAST_SHARED)
+
+    # of equals the least comes first
+    ranked = F.transform(F.filter("pages", fits), lambda p: F.struct((-F.size(F.array_intersect("words", p["on_page"]))).alias("shared"), F.length(p["label"]).alias("n"), p["label"].alias("label"), p["page"].alias("page")))
+    best = F.when(F.size("pages") > 0, F.array_min(ranked))
+    first = open_.select(key, "unit", "line", best.alias("best"))
+    citation = F.concat(F.lit(" ["), "best.label", F.lit(" p."), "best.page", F.lit("]"))
     ended = F.regexp_extract("line", r"([.।!?])\s*$", 1)
     fixed = F.when(ended != "", F.concat(F.regexp_replace("line", r"\s*[.।!?]\s*$", ""), citation, ended)).otherwise(F.concat("line", citation))
-    changes = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("unit", "line", fixed.alias("fixed")))).alias("changes"))
+    changes = first.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("unit", "line", fixed.alias("fixed"))))).alias("changes"))
     met = answers.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(changes, key, "left")
     # sentences are put in from the first on, each searched for after the one before
     start = F.struct(F.lit("").alias("done"), F.col("_text").alias("rest"), F.lit(0).alias("added"))

@@ -106,13 +106,16 @@ CASE WHEN l_quantity > 40 THEN '' WHEN l_returnflag = 'R' THEN concat(' [S', l_l
 def _order_answers(t):
     """Answers and their pages. Page n prints the number of line n; where the flag is A it prints another one, so the citation is wrong; flag R cites a
     page that is not there; quantities above 40 have no citation. Page 90 + n prints the number of line n where the line's status is F."""
-    t("lineitem").createOrReplaceTempView("lineitem")
+    # by order at once: lines, answers, pages and all that follows keep this division
+    t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_tax").repartition("l_orderkey").createOrReplaceTempView("lineitem")
     x = t("lineitem").sparkSession.sql(f"WITH {_SENTENCES} SELECT * FROM x")
     line = F.struct("l_linenumber", F.concat(F.lit("- "), "said", "cite", F.lit(".")).alias("s"))
     answers = x.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda v: v["s"]), "\n").alias("text"))
-    own = x.select("l_orderkey", F.concat(F.lit("S"), "l_linenumber").alias("label"), F.col("l_linenumber").cast("int").alias("page"), F.array(F.concat(F.lit("goods: "), (F.col("q") + F.when(F.col("wrong"), 1000).otherwise(0)).cast("string"))).alias("texts"))
-    also = x.where("other").select("l_orderkey", F.concat(F.lit("S"), F.col("l_linenumber") + 20).alias("label"), (F.col("l_linenumber") + 90).cast("int").alias("page"), F.array(F.concat(F.lit("without quotation for goods up to "), "q", F.lit(" units"))).alias("texts"))
-    return answers, own.union(also).withColumn("risky", F.lit(False))
+    own = F.struct(F.concat(F.lit("S"), "l_linenumber").alias("label"), F.col("l_linenumber").cast("int").alias("page"), F.array(F.concat(F.lit("goods: "), (F.col("q") + F.when(F.col("wrong"), 1000).otherwise(0)).cast("string"))).alias("texts"))
+    also = F.struct(F.concat(F.lit("S"), F.col("l_linenumber") + 20).alias("label"), (F.col("l_linenumber") + 90).cast("int").alias("page"), F.array(F.concat(F.lit("without quotation for goods up to "), "q", F.lit(" units"))).alias("texts"))
+    each = x.select("l_orderkey", F.inline(F.array_compact(F.array(own, F.when(F.col("other"), also)))))
+    return answers, each.withColumn("risky", F.lit(False))
+
 
 
 _OK = "cite <> '' AND l_returnflag <> 'R' AND NOT wrong"
