@@ -56,16 +56,23 @@ def portal_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """Records of saved result pages: page_id, portal_row, source_id, source_url, the FIELDS, link_text. The header of a table is its first row of at least
     LEAST_FIELDS named fields without links; later rows with a valid link are records. A column that is both department and section holds
     the department on its first line and the section on the rest."""
-    r = rows(pages, html)
-    labels = F.transform("cells", lambda c: _one_line(c["text"]))
-    found = [F.get(F.filter(F.transform(labels, lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull()), F.lit(0)).alias(f) for f, p in FIELDS.items()]
-    named = sum((F.when(f.isNotNull(), 1).otherwise(0) for f in found), F.lit(0))
-    linked = F.exists("cells", lambda c: F.size(c["links"]) > 0)
-    heads = r.where((named >= LEAST_FIELDS) & ~linked).groupBy("page_id", "table").agg(F.min_by(F.struct(*found), "row").alias("at"), F.min("row").alias("head"))
+    linked = lambda r: F.exists(r["cells"], lambda c: F.size(c["links"]) > 0)
+
+    def fields(r: Column) -> Column:
+        labels = F.transform(r["cells"], lambda c: _one_line(c["text"]))
+        place = lambda x, p: F.get(F.filter(F.transform(x, lambda c, i: F.when(c.rlike(p), i)), lambda i: i.isNotNull()), F.lit(0))
+        return let(labels, lambda x: F.struct(*[place(x, p).alias(f) for f, p in FIELDS.items()]))
+
+    # headers are found inside the row of their page, so a page is read once and its rows meet no others; rows stand in order, so the first header of a table is the highest
+    named = lambda at: sum((F.when(at[f].isNotNull(), 1).otherwise(0) for f in FIELDS), F.lit(0))
+    heads = F.filter(F.transform(F.filter("_rows", lambda r: ~linked(r)), lambda r: F.struct(r["table"].alias("table"), r["row"].alias("row"), fields(r).alias("at"))), lambda h: named(h["at"]) >= LEAST_FIELDS)
+    r = pages.select("page_id", grids(F.col(html)).alias("_rows")).select("page_id", heads.alias("_heads"), F.filter("_rows", linked).alias("_rows"))
+    r = r.select("page_id", "_heads", F.inline_outer("_rows")).where("row is not null")
     links = F.filter(F.transform(F.flatten(F.transform("cells", lambda c: c["links"])), lambda a: F.struct(portal_link(a["href"]).alias("to"), a["label"].alias("label"))), lambda a: a["to"].isNotNull())
-    # rows with links are found before they meet their header
-    body = r.where(linked).withColumn("link", F.get(links, F.lit(0))).where("link is not null")
-    met = body.join(heads, ["page_id", "table"]).where(F.col("row") > F.col("head"))
+    head = F.get(F.filter("_heads", lambda h: h["table"] == F.col("table")), F.lit(0))
+    # the outer form, since Spark would else infer a filter that reads all links a second time
+    met = r.select("page_id", "table", "row", "cells", head.alias("head"), F.explode_outer(F.slice(links, 1, 1)).alias("link"))
+    met = met.where("link is not null and row > head.row").withColumn("at", F.col("head.at"))
     text = lambda f: F.get("cells", F.col(f"at.{f}"))["text"]
     value = lambda c: F.nullif(_one_line(c), F.lit(""))
     both = F.col("at.department") == F.col("at.section")
@@ -116,14 +123,15 @@ def row_items(pages: DataFrame, html: str = "html", site_language: str = "both",
     say. A row of more than MOST_LINKS links says nothing about each; a document that is linked twice has its fuller row, then the first."""
     r = rows(pages, html)
     links = F.flatten(F.transform("cells", lambda c: c["links"]))
-    r = r.select("page_id", "table", "row", F.filter(F.transform("cells", lambda c: _one_line(c["text"])), lambda t: t != "").alias("texts"), links.alias("links")).where("size(links) > 0")
-    each = r.select("page_id", "table", "row", F.when(F.size("links") > MOST_LINKS, F.slice("texts", 1, 0)).otherwise(F.col("texts")).alias("texts"), F.posexplode(F.filter("links", lambda a: a["href"].rlike(documents))).alias("at", "a"))
+    r = r.select("page_id", "table", "row", F.filter(F.transform("cells", lambda c: _one_line(c["text"])), lambda t: t != "").alias("texts"), links.alias("links"))
+    each = r.select("page_id", "table", "row", F.when(F.size("links") > MOST_LINKS, F.slice("texts", 1, 0)).otherwise(F.col("texts")).alias("texts"), F.posexplode_outer(F.filter("links", lambda a: a["href"].rlike(documents))).alias("at", "a")).where("at is not null")
     label = _one_line(F.translate(F.col("a.label"), "​‌‍﻿", ""))
     each = each.withColumn("label", label).withColumn("usable", F.when(F.size("texts") > 0, F.col("texts")).otherwise(F.array("label")))
     file = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a.href", r"([^/]*?)(?:\.pdf)?(?:[?#].*)?$", 1), "%20", " "), "[_-]+", " "))
-    plain = F.when((_clean(F.col("label")) != "") & ~_clean(F.col("label")).rlike(GENERIC_LABEL), _clean(F.col("label")))
+    plain = let(_clean(F.col("label")), lambda x: F.when((x != "") & ~x.rlike(GENERIC_LABEL), x))
     each = each.withColumn("title", F.coalesce(_title(F.col("usable"), F.col("label")), plain, F.nullif(file, F.lit("")), F.lit("Document")))
-    dated = F.coalesce(F.get(F.filter(F.transform(F.filter("usable", P.is_date_only), P.any_date), lambda d: d.isNotNull()), F.lit(0)), F.get(F.filter(F.transform("usable", P.any_date), lambda d: d.isNotNull()), F.lit(0)))
+    first_date = lambda x: F.get(F.filter(F.transform(x, P.any_date), lambda d: d.isNotNull()), F.lit(0))
+    dated = F.coalesce(first_date(F.filter("usable", P.is_date_only)), first_date(F.col("usable")))
     stated = F.lower(F.regexp_extract(F.array_join("texts", " | "), STATED_LANGUAGE, 1))
     guessed = language(F.col("title"))
     spoken = F.when(stated != "", F.when(stated.rlike("hindi|हिंदी|हिन्दी"), "hi").otherwise("en")).otherwise(F.when((guessed == "unknown") & F.lit(site_language in ("hi", "en")), site_language).otherwise(guessed))

@@ -1,6 +1,6 @@
 """What a step costs for each row: texts are read once, pages meet their answers in one join, blocks of vectors are small."""
 
-from lekhaspark.operators import answers
+from lekhaspark.operators import answers, tables
 
 
 def plan(frame) -> str:
@@ -13,3 +13,8 @@ def test_answers_meet_their_pages_once(spark):
     found = answers.numeric_issues(answers.claim_units(texts, "k", "text"), "k", pages)
     assert sorted(map(tuple, found.collect())) == [(1, 0, "unsupported"), (1, 1, "uncited")]
     assert plan(found).count("Join ") == 1
+
+
+def test_pages_are_read_once(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td>a</td></tr></table>")], "page_id long, html string")
+    assert plan(tables.portal_rows(pages)).count("ArrowEvalPython") == 1
