@@ -36,7 +36,8 @@ ROMANIZE: Rules = [
 ]
 WITHOUT_NASALS: Rules = [(f"[{NASALS}]", "")]
 #: Habits of spelling that do not change a word.
-LOOSE: Rules = [("[^a-z]", ""), ("w", "v"), ("ph", "f"), ("q", "k"), ("z", "j"), ("x", "ks"), ("ei", "e"), ("ee|ii", "i"), ("oo|uu", "u"), *[(c + c + "+", c) for c in "abcdefghijklmnopqrstuvwxyz"]]
+_HABITS: Rules = [("[^a-z]", ""), ("w", "v"), ("ph", "f"), ("q", "k"), ("z", "j"), ("x", "ks"), ("ei", "e"), ("ee|ii", "i"), ("oo|uu", "u")]
+LOOSE: Rules = [*_HABITS, *[(c + c + "+", c) for c in "abcdefghijklmnopqrstuvwxyz"]]
 SCHWA: Rules = [("a", "")]
 BARE: Rules = [("([bcdgjkpst])h", r"\1"), ("[aeiou]", "")]
 
@@ -67,9 +68,25 @@ SIGNS_OF = {v: k for k, v in reversed(SIGNS.items())}
 PHONETIC: Rules = _phonetic()
 
 
-def rewrite(c: Column, rules: Rules) -> Column:
-    """c after all rules, one after another."""
+def _merged(rules: Rules) -> list[tuple[Rules, bool]]:
+    """The rules in order; neighbours that put one character for one, of which none rewrites what another wrote, stand together (True)."""
+    out: list[tuple[Rules, bool]] = []
     for pattern, by in rules:
+        single = bool(re.fullmatch(r"[\w\u0900-\u097f]", pattern)) and len(by) == 1 and by != "\\"
+        if single and out and out[-1][1] and not any(pattern in (p, b) for p, b in out[-1][0]):
+            out[-1][0].append((pattern, by))
+        else:
+            out.append(([(pattern, by)], single))
+    return out
+
+
+def rewrite(c: Column, rules: Rules) -> Column:
+    """c after all rules, one after another; runs of single characters in one pass."""
+    for group, single in _merged(rules):
+        if single and len(group) > 1:
+            c = F.translate(c, "".join(p for p, _ in group), "".join(b for _, b in group))
+            continue
+        pattern, by = group[0]
         c = F.replace(c, F.lit(pattern), F.lit(by)) if re.fullmatch(r"[\w\u0900-\u097f]+", pattern) and "\\" not in by else F.regexp_replace(c, pattern, re.sub(r"\\(\d)", r"$\1", by))
     return c
 
@@ -87,7 +104,7 @@ def romanize(word: Column) -> Column:
 
 
 def loose_key(latin: Column) -> Column:
-    return rewrite(F.lower(latin), LOOSE)
+    return F.regexp_replace(rewrite(F.lower(latin), _HABITS), r"([a-z])\1+", "$1")
 
 
 def schwa_key(latin: Column) -> Column:

@@ -18,12 +18,19 @@ LEAST_PREFIX = 3
 ALIAS, SPELT, SCHWA, CONSONANTS, RULE = range(5)
 
 
+def _settled(rows: DataFrame, column: str) -> DataFrame:
+    """rows as they are: an unpivot of one column, beyond which Spark's planner moves neither this column's rules nor filters on it. A chain of rules is
+    worked off once for a word, not once for each key that is made of it."""
+    return rows.unpivot([c for c in rows.columns if c != column], [column], "_of", column).drop("_of")
+
+
 def lexicon(words: DataFrame) -> DataFrame:
     """words (word, weight) -> (word, weight, latin, loose, loose_bare): weights of equal words added up; words that have no Latin form leave."""
     known = words.select(nfc(F.col("word")).alias("word"), "weight").groupBy("word").agg(F.sum("weight").alias("weight"))
-    spelt = known.withColumn("latin", T.romanize(F.col("word"))).where("latin <> ''")
-    bare = T.loose_key(T.romanize(T.rewrite(F.col("word"), T.WITHOUT_NASALS)))
-    return spelt.withColumn("loose", T.loose_key(F.col("latin"))).withColumn("loose_bare", bare)
+    spelt = _settled(known.withColumn("latin", T.romanize(F.col("word"))), "latin").where("latin <> ''")
+    spelt = _settled(spelt.withColumn("loose", T.loose_key(F.col("latin"))), "loose")
+    bare = F.when(F.col("word").rlike(f"[{T.NASALS}]"), T.loose_key(T.romanize(T.rewrite(F.col("word"), T.WITHOUT_NASALS)))).otherwise(F.col("loose"))
+    return _settled(spelt.withColumn("loose_bare", bare), "loose_bare").select("word", "weight", "latin", "loose", "loose_bare")
 
 
 def _best(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -41,10 +48,12 @@ def suggest(typed: DataFrame, known: DataFrame, aliases: DataFrame, limit: int =
     length where the others do not fill the list, and last the word by rule. Within a level by weight, then by letters."""
     keys = F.array(
         _key(SPELT, "loose"), F.when(F.col("loose_bare") != F.col("loose"), _key(SPELT, "loose_bare")),
-        _key(SCHWA, T.schwa_key(F.col("latin"))),
-        F.when(F.length(T.consonant_key(F.col("latin"))) >= 3, _key(CONSONANTS, T.consonant_key(F.col("latin")), F.substring("loose", 1, 1), F.length("loose").cast("string"))),
+        _key(SCHWA, T.rewrite(F.col("loose"), T.SCHWA)),
+        F.when(F.length("_bare") >= 3, _key(CONSONANTS, "_bare", F.substring("loose", 1, 1), F.length("loose").cast("string"))),
     )
-    each = known.select("word", "weight", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("word", "weight", "k.level", "k.key").where(~F.col("key").isin("", "|"))
+    # the consonants of the loose key, which a word has already
+    known = _settled(known.withColumn("_bare", T.rewrite(F.col("loose"), T.BARE)), "_bare")
+    each = known.select("word", "weight", F.explode_outer(keys).alias("k")).where("k is not null").select("word", "weight", "k.level", "k.key").where(~F.col("key").isin("", "|"))
     # more than this of one key cannot be seen: `limit` words, and as many that stand before them already
     index = _best(each, ["level", "key"], 2 * limit + 1)
     asked = typed.select("latin").distinct().withColumn("loose", T.loose_key(F.col("latin"))).where("loose <> ''")

@@ -1,6 +1,8 @@
 """What a step costs for each row: texts are read once, pages meet their answers in one join, blocks of vectors are small."""
 
-from lekhaspark.operators import answers, tables
+from lekhaspark.functions import legacy_font
+from lekhaspark.functions import transliteration as T
+from lekhaspark.operators import answers, suggest, tables
 
 
 def plan(frame) -> str:
@@ -18,3 +20,14 @@ def test_answers_meet_their_pages_once(spark):
 def test_pages_are_read_once(spark):
     pages = spark.createDataFrame([(1, "<table><tr><td>a</td></tr></table>")], "page_id long, html string")
     assert plan(tables.portal_rows(pages)).count("ArrowEvalPython") == 1
+
+
+def test_words_are_respelt_once(spark):
+    words = spark.createDataFrame([("नियम", 2), ("संख्या", 1)], "word string, weight long")
+    known = suggest.lexicon(words)
+    assert plan(known).count("Expand") == 3
+    assert {r["word"]: (r["loose"], r["loose_bare"]) for r in known.collect()} == {"नियम": ("niyam", "niyam"), "संख्या": ("sankhya", "sakhya")}
+    assert [len(g) for g, _ in T._merged([("b", "ब"), ("c", "च"), ("च", "x"), ("[d]", "द")])] == [2, 1, 1]
+    legacy_font._typed_word.cache_clear()
+    legacy_font.encode("नियम नियम")
+    assert legacy_font._typed_word.cache_info().hits == 1
