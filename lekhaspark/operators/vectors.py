@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one block, and digits to which similarities are compared: what decides is the same however rows are dealt.
 BLOCK, DIGITS = 1024, 6
+#: Rows that a block meets at once: similarities of BLOCK x STEP, 4 MB, whatever the size of a batch.
+STEP = 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -39,7 +41,7 @@ def _search(rows: DataFrame, key: str, vector: str, ids: np.ndarray, block: np.n
     def run(batches):
         q, m, low = shared.value
         held_s, held_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
-        for b in batches:
+        for b in (b.slice(k, STEP) for b in batches for k in range(0, b.num_rows, STEP)):
             s = np.round(m @ _matrix(b.column(1)).T, DIGITS) if b.num_rows else np.zeros((len(q), 0))
             i = np.broadcast_to(b.column(0).to_numpy(), s.shape)
             if best is None:

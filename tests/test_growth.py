@@ -1,8 +1,11 @@
 """What a step costs for each row: texts are read once, pages meet their answers in one join, blocks of vectors are small."""
 
+import numpy as np
+import pyarrow as pa
+
 from lekhaspark.functions import legacy_font
 from lekhaspark.functions import transliteration as T
-from lekhaspark.operators import answers, suggest, tables
+from lekhaspark.operators import answers, suggest, tables, vectors
 
 
 def plan(frame) -> str:
@@ -31,3 +34,13 @@ def test_words_are_respelt_once(spark):
     legacy_font._typed_word.cache_clear()
     legacy_font.encode("नियम नियम")
     assert legacy_font._typed_word.cache_info().hits == 1
+
+
+def test_blocks_of_vectors_are_small(spark):
+    rows = [(k, [float(k % 7) + 1, float(k % 5), 1.0]) for k in range(3 * vectors.STEP)]
+    d = spark.createDataFrame(rows, "i long, v array<float>").coalesce(1)
+    got = [(r["i"], r["rank"]) for r in vectors.nearest(d, d.where("i = 3"), "i", "v", 5).orderBy("rank").collect()]
+    m = vectors._matrix(pa.array([v for _, v in rows], pa.list_(pa.float32())))
+    s = np.round(m @ m[3], vectors.DIGITS)
+    assert got == [(int(k), n + 1) for n, k in enumerate(np.lexsort((np.arange(len(s)), -s))[:5])]
+    assert vectors.BLOCK * vectors.STEP * 8 <= 1 << 22
