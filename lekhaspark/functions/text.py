@@ -91,9 +91,13 @@ def order_key(number: Column, date: Column) -> Column:
 
 def go_key(number: Column) -> Column:
     """serial/year: a leading serial before a slash and the first year of 1900-2099 after it."""
-    c = F.regexp_replace(ascii_digits(number), r"\s+", "")
-    serial, year = F.regexp_extract(c, r"^0*(\d+)/", 1), F.regexp_extract(c, r"^\d+/.*?((?:19|20)\d{2})", 1)
-    return F.when((serial != "") & (year != ""), F.concat(serial, F.lit("/"), year))
+    return let(F.regexp_replace(ascii_digits(number), r"\s+", ""), plain_go_key)
+
+
+def plain_go_key(c: Column) -> Column:
+    """The same of a number in ASCII digits without blanks, by one pattern."""
+    serial_year = r"^0*(\d+)/.*?((?:19|20)\d{2})[\s\S]*$"
+    return F.when(c.rlike(serial_year), F.regexp_replace(c, serial_year, "$1/$2"))
 
 
 def source_id_parts(encoded: Column) -> Column:

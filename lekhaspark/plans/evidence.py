@@ -32,7 +32,7 @@ UNION ALL SELECT l_orderkey, l_linenumber, concat(l_suppkey, '/2001'), DATE '200
 
 @query(f"{_REFERENCES} SELECT l_orderkey, l_linenumber, go_key, CAST(go_date AS STRING) AS go_date, CASE max(CASE kind WHEN 'cancels' THEN 3 WHEN 'amends' THEN 2 ELSE 0 END) WHEN 3 THEN 'cancels' WHEN 2 THEN 'amends' ELSE 'refers' END AS kind FROM r GROUP BY ALL")
 def notice_references(t):
-    found = order_references(_notices(t), "line", "text")
+    found = order_references(_notices(t), "line", "text", evidence=False)
     return found.select("line.l_orderkey", "line.l_linenumber", "go_key", F.col("go_date").cast("string").alias("go_date"), "kind")
 
 

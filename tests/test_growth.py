@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lekhaspark.functions import legacy_font
+from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
 from lekhaspark.operators import answers, suggest, tables, vectors
 
@@ -44,3 +45,10 @@ def test_blocks_of_vectors_are_small(spark):
     s = np.round(m @ m[3], vectors.DIGITS)
     assert got == [(int(k), n + 1) for n, k in enumerate(np.lexsort((np.arange(len(s)), -s))[:5])]
     assert vectors.BLOCK * vectors.STEP * 8 <= 1 << 22
+
+
+def test_texts_of_references_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "No. 5/2001 dated 3.2.01 is cancelled."), (2, "No.‌ ५/2001  dated\t3 Feb, 2001 supersed"), (3, "no date"), (4, None)], "id long, t string")
+    found = references.order_references(docs.select("id", F.concat("t", F.lit(" made")).alias("t")), "id", "t", evidence=False)
+    assert sorted((r["id"], r["go_key"], str(r["go_date"]), r["kind"]) for r in found.collect()) == [(1, "5/2001", "2001-02-03", "cancels"), (2, "5/2001", "2001-02-03", "supersedes")]
+    assert "evidence" not in found.columns and plan(found).count(" made") == 1
