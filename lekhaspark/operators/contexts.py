@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pages import authority_label, decode_entities, jurisdiction_label
+from ..functions.pages import authority_label, jurisdiction_label, named_entities, numeric_entities
+from ..functions.text import let
 from .answers import masked_numbers
 
 # Limits of a page's text by its role, of its second text, and what stands between pages, after clipped text and for no evidence.
@@ -75,16 +76,18 @@ def handbook_links(indexes: DataFrame) -> DataFrame:
     page. Links to the index itself, to other folders and hosts, and to parts of a page are navigation and leave."""
     folder, host = F.regexp_extract("url", r"^(.*/)[^/]*$", 1), F.regexp_extract("url", r"^(https?://[^/]+)", 1)
     held = indexes.select("volume", F.col("url").alias("index_url"), folder.alias("folder"), host.alias("host"), F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0)).alias("found"))
-    # addresses and labels are made inside the array, once for each link
-    href = lambda a: F.concat(*[F.regexp_extract(a, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", k) for k in (1, 2, 3)])
-    label = lambda a: F.trim(F.regexp_replace(decode_entities(F.regexp_replace(a, r"<[^>]+>", " ")), r"\s+", " "))
+    # addresses and labels are made inside the array, once for each link; a quoted address ends at its quote, so one with a single quote is not quoted
+    value = lambda a: F.regexp_extract(a, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+    quoted = lambda v, q: v.startswith(q) & v.endswith(q) & (F.length(v) > 1)
+    href = lambda a: let(value(a), lambda v: F.when(quoted(v, '"') | quoted(v, "'"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v))
+    label = lambda a: named_entities(F.regexp_replace(a, r"<[^>]+>", " "))
     raw = F.transform("found", lambda a, i: F.struct(i.alias("place"), F.trim(F.replace(href(a), F.lit("&amp;"), F.lit("&"))).alias("raw"), a.alias("a")))
     raw = F.filter(raw, lambda x: (x["raw"] != "") & ~x["raw"].rlike(r"(?i)^(?:javascript:|mailto:|#)"))
     whole = lambda r: F.when(r.rlike("(?i)^https?://"), r).when(r.startswith("/"), F.concat("host", r)).otherwise(F.concat("folder", F.regexp_replace(r, r"^(?:\./)+", "")))
-    links = F.transform(raw, lambda x: F.struct(x["place"].alias("place"), F.regexp_replace(whole(x["raw"]), "#.*$", "").alias("url"), x["a"].alias("a")))
+    links = F.transform(raw, lambda x: F.struct(x["place"].alias("place"), F.regexp_replace(whole(x["raw"]), "#.*$", "").alias("url"), label(x["a"]).alias("label")))
     links = F.filter(links, lambda x: x["url"].startswith(F.col("folder")) & ~x["url"].contains("/../") & (x["url"] != F.col("index_url")))
-    each = held.select("volume", F.explode(links).alias("l")).select("volume", "l.place", "l.url", "l.a")
-    return each.select("volume", "place", "url", label(F.col("a")).alias("label"), F.col("url").rlike(r"(?i)\.(?:html?|hmt)(?:\?|$)").alias("page"))
+    each = held.select("volume", F.explode(links).alias("l")).select("volume", "l.place", "l.url", "l.label")
+    return each.select("volume", "place", "url", F.trim(F.regexp_replace(numeric_entities(F.col("label")), r"\s+", " ")).alias("label"), F.col("url").rlike(r"(?i)\.(?:html?|hmt)(?:\?|$)").alias("page"))
 
 
 def handbook_index(indexes: DataFrame) -> DataFrame:
@@ -95,7 +98,8 @@ def handbook_index(indexes: DataFrame) -> DataFrame:
     parts = once.groupBy("volume", "url").agg(F.min("place").alias("place"), F.transform(F.array_sort(F.collect_list(F.when((F.col("label") != "") & ~F.col("label").rlike(FILE_NUMBER), F.struct("place", "label")))), lambda x: x["label"]).alias("labels"))
     # the place of a page is that of its first link, whatever its label
     ranges, titles = F.filter("labels", lambda x: x.rlike(PARAGRAPHS)), F.filter("labels", lambda x: ~x.rlike(PARAGRAPHS))
-    title, spans = F.array_join(titles, " — "), F.array_join(ranges, ", ")
+    parts = parts.select("volume", "url", "place", F.array_join(titles, " — ").alias("title"), F.array_join(ranges, ", ").alias("spans"))
+    title, spans = F.col("title"), F.col("spans")
     label = F.when((title != "") & (spans != ""), F.concat(title, F.lit(" (paras "), spans, F.lit(")"))).when(title != "", title).when(spans != "", F.concat(F.lit("Paras "), spans)).otherwise("")
     n = F.row_number().over(Window.partitionBy("volume").orderBy("place", "url"))
     return parts.select("volume", n.alias("n"), "url", label.alias("label"))

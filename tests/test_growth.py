@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
-from lekhaspark.operators import answers, suggest, tables, vectors
+from lekhaspark.operators import answers, contexts, suggest, tables, vectors
 
 
 def plan(frame) -> str:
@@ -52,3 +52,10 @@ def test_texts_of_references_are_made_once(spark):
     found = references.order_references(docs.select("id", F.concat("t", F.lit(" made")).alias("t")), "id", "t", evidence=False)
     assert sorted((r["id"], r["go_key"], str(r["go_date"]), r["kind"]) for r in found.collect()) == [(1, "5/2001", "2001-02-03", "cancels"), (2, "5/2001", "2001-02-03", "supersedes")]
     assert "evidence" not in found.columns and plan(found).count(" made") == 1
+
+
+def test_links_of_an_index_are_read_once(spark):
+    page = """<a href="1.html">A &amp; B</a><a href='1.html'>2-3</a><a href=2.html#x>Caf&#233; &lt;</a><a href="">x</a><a href="'3.html">q</a>"""
+    found = contexts.handbook_links(spark.createDataFrame([(1, "https://x.in/b/i.html", page)], "volume int, url string, html string"))
+    assert [(r["place"], r["url"], r["label"]) for r in found.orderBy("place").collect()] == [(0, "https://x.in/b/1.html", "A & B"), (1, "https://x.in/b/1.html", "2-3"), (2, "https://x.in/b/2.html", "Café <"), (4, "https://x.in/b/'3.html", "q")]
+    assert plan(found).count("&amp;,") <= 2
