@@ -43,21 +43,32 @@ def find_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return exact.union(order)
 
 
+#: Words of the left texts that are sent to the tasks; with more, words meet in a shuffled join.
+MOST_WORDS = 100_000
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left (a, words), right (b, words: arrays of distinct words) -> (a, b, overlap): pairs that share `least` or more of the smaller
-    set. Of the smaller set only its rarest words, as many as cannot all be missing, look for partners, so common words
-    make no pairs; sets are compared for what is left."""
-    counts = left.select(F.explode("words").alias("w")).union(right.select(F.explode("words"))).groupBy("w").agg(F.count("*").alias("df"))
-
-    def words(d: DataFrame, key: str) -> DataFrame:
-        each = d.select(key, F.size("words").alias("n"), F.explode("words").alias("w")).join(counts, "w")
-        return each.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("df", "w")))
-
-    a, b = words(left, "a").withColumnsRenamed({"n": "n_a", "r": "r_a"}).drop("df"), words(right, "b").withColumnsRenamed({"n": "n_b", "r": "r_b"}).drop("df")
-    rare = lambda n, r: r <= n - F.ceil(F.lit(least) * n) + 1
-    first = a.where(rare(F.col("n_a"), F.col("r_a"))).join(b, "w").where("n_a <= n_b").select("a", "b")
-    second = b.where(rare(F.col("n_b"), F.col("r_b"))).join(a, "w").where("n_b < n_a").select("a", "b")
-    met = first.union(second).distinct().join(left.select("a", F.col("words").alias("_a")), "a").join(right.select("b", F.col("words").alias("_b")), "b")
+    set. Of the smaller set only the words that come first, as many as cannot all be missing, look for partners: on the right the words that no
+    left text has, which find none, then the rarest. So common words make no pairs, and words that only the right has leave at once; sets are compared for what is left."""
+    # the outer form, since Spark would else infer a filter that makes the words a second time
+    each = lambda d, *cols: d.select(*cols, F.explode_outer("words").alias("w")).where("w is not null")
+    known = each(left).distinct()
+    counts = known.join(each(right).groupBy("w").agg(F.count("*").alias("df")), "w", "left").select("w", F.coalesce("df", F.lit(0)).alias("df"))
+    if known.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+        counts = F.broadcast(counts)
+
+    def words(d: DataFrame, key: str, n: str) -> DataFrame:
+        met = each(d, key, F.size("words").alias(n)).join(counts, "w")
+        own = Window.partitionBy(key)
+        place = F.col(n) - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "w"))
+        return met.withColumn("first", place <= F.col(n) - F.ceil(F.lit(least) * F.col(n)) + 1)
+
+    # seek 0: first words of the left among all of the right; 1: first words of the right among all of the left
+    sides = lambda k: F.explode(F.when(F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(k)))).alias("seek")
+    a, b = words(left, "a", "n_a").select("a", "n_a", "w", sides(1)), words(right, "b", "n_b").select("b", "n_b", "w", sides(0))
+    smaller = F.when(F.col("seek") == 0, F.col("n_a") <= F.col("n_b")).otherwise(F.col("n_b") < F.col("n_a"))
+    met = a.join(b, ["w", "seek"]).where(smaller).select("a", "b").distinct().join(left.select("a", F.col("words").alias("_a")), "a").join(right.select("b", F.col("words").alias("_b")), "b")
     share = F.size(F.array_intersect("_a", "_b")) / F.least(F.size("_a"), F.size("_b"))
     return met.select("a", "b", share.alias("overlap")).where(F.col("overlap") >= least)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
-from lekhaspark.operators import answers, contexts, suggest, tables, vectors
+from lekhaspark.operators import answers, contexts, duplicates, suggest, tables, vectors
 
 
 def plan(frame) -> str:
@@ -59,3 +59,12 @@ def test_links_of_an_index_are_read_once(spark):
     found = contexts.handbook_links(spark.createDataFrame([(1, "https://x.in/b/i.html", page)], "volume int, url string, html string"))
     assert [(r["place"], r["url"], r["label"]) for r in found.orderBy("place").collect()] == [(0, "https://x.in/b/1.html", "A & B"), (1, "https://x.in/b/1.html", "2-3"), (2, "https://x.in/b/2.html", "Café <"), (4, "https://x.in/b/'3.html", "q")]
     assert plan(found).count("&amp;,") <= 2
+
+
+def test_texts_of_overlaps_are_read_a_few_times(spark):
+    words = lambda k: F.array_distinct(F.split(k, " ")).alias("words")
+    left = spark.createDataFrame([(1, "x y z u v"), (2, "p"), (3, None)], "a int, t string").select("a", words("t"))
+    right = spark.createDataFrame([(1, "x y z u w"), (2, "x y"), (3, "q p x y r s"), (4, "k l"), (5, None)], "b int, t string").select("b", words("t"))
+    found = duplicates.overlap_pairs(left, right, 0.8)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0.8), (1, 2, 1.0), (2, 3, 1.0)]
+    assert plan(found).count("split(") <= 10
