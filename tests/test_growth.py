@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
-from lekhaspark.operators import answers, contexts, duplicates, suggest, tables, vectors
+from lekhaspark.operators import answers, contexts, duplicates, mining, suggest, tables, vectors
 
 
 def plan(frame) -> str:
@@ -68,3 +68,11 @@ def test_texts_of_overlaps_are_read_a_few_times(spark):
     found = duplicates.overlap_pairs(left, right, 0.8)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 0.8), (1, 2, 1.0), (2, 3, 1.0)]
     assert plan(found).count("split(") <= 10
+
+
+def test_texts_are_dealt_by_page_before_they_are_words(spark):
+    pages = spark.createDataFrame([(1, "red fox red"), (2, "red hen"), (3, "cat"), (4, "dog"), (5, "owl"), (6, "elk"), (7, "ant"), (None, "fox")], "page int, text string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "hen")], "query int, question string")
+    found = mining.keyword_candidates(asked, pages, 5)
+    assert [(r["query"], r["page"], r["place"]) for r in found.orderBy("query", "place").collect()] == [(1, 1, 1), (1, 2, 2)]
+    assert "RepartitionByExpression [page" in plan(found)
