@@ -106,10 +106,17 @@ def handbook_index(indexes: DataFrame) -> DataFrame:
 
 
 def compressed_ranges(numbers: DataFrame, key: str) -> DataFrame:
-    """numbers (key, first, last) -> (key, ranges): numbers as the fewest ranges, such as "1-4, 7": ranges that meet or overlap are one island."""
+    """numbers (key, first, last) -> (key, ranges): numbers as the fewest ranges, such as "1-4, 7": ranges that meet or overlap are one island. The rows of a
+    key are sorted once: where an island begins, the one before it ends at the greatest number so far."""
     order = Window.partitionBy(key).orderBy("first", "last")
     upto = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = numbers.where("first <= last").withColumn("_new", F.when(upto.isNull() | (F.col("first") > upto + 1), 1).otherwise(0))
-    islands = apart.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_island").agg(F.min("first").alias("a"), F.max("last").alias("b"))
-    text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
-    return islands.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ", ").alias("ranges"))
+    # a stated number of tasks, which Spark does not merge: the sorted rows are more than the bytes tell
+    dealt = numbers.where("first <= last").repartition(int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    begins = dealt.withColumn("_upto", upto).select(key, "last", F.when(F.col("_upto").isNull() | (F.col("first") > F.col("_upto") + 1), F.struct("first", "_upto")).alias("_begin"))
+    islands = begins.groupBy(key).agg(F.array_sort(F.collect_list("_begin")).alias("b"), F.max("last").alias("_last"))
+
+    def text(begin: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("b", k + 1)["_upto"], F.col("_last"))
+        return F.when(begin["first"] == end, end.cast("string")).otherwise(F.concat_ws("-", begin["first"].cast("string"), end.cast("string")))
+
+    return islands.select(key, F.array_join(F.transform("b", text), ", ").alias("ranges"))

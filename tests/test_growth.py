@@ -76,3 +76,10 @@ def test_texts_are_dealt_by_page_before_they_are_words(spark):
     found = mining.keyword_candidates(asked, pages, 5)
     assert [(r["query"], r["page"], r["place"]) for r in found.orderBy("query", "place").collect()] == [(1, 1, 1), (1, 2, 2)]
     assert "RepartitionByExpression [page" in plan(found)
+
+
+def test_sorted_rows_are_dealt_to_a_stated_number_of_tasks(spark):
+    numbers = spark.createDataFrame([("a", 5, 7), ("a", 1, 3), ("a", 2, 2), ("a", 8, 8), ("a", 10, 10), ("a", 9, 4), ("b", 1, 9), ("b", 2, 3), ("b", 10, 12)], "k string, first int, last int")
+    found = contexts.compressed_ranges(numbers, "k")
+    assert {r["k"]: r["ranges"] for r in found.collect()} == {"a": "1-3, 5-8, 10", "b": "1-12"}
+    assert "RepartitionByExpression [k" in plan(found) and plan(found).count("Aggregate") == 1
