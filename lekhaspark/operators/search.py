@@ -25,8 +25,13 @@ def keyword_hits(docs: DataFrame, key: str, text: str, questions: DataFrame, que
     if len(few) <= MOST_TERMS:
         # terms of a bounded number leave each text's own array, before rows are made of words
         held = held.withColumn("words", F.filter("words", lambda w: w.isin(few)))
-    rows = held.select(key, "n", F.explode("words").alias("term"))
-    counts = rows.join(asked_for, "term", "left_semi").groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
+    # a stated number of tasks, which Spark does not merge: a text's words, counts and scores stay in one task and are more than the bytes tell
+    held = held.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # the outer form, since Spark would else infer a filter that makes the words a second time
+    rows = held.select(key, "n", F.explode_outer("words").alias("term")).where("term is not null")
+    if len(few) > MOST_TERMS:
+        rows = rows.join(asked_for, "term", "left_semi")
+    counts = rows.groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
     score = F.round(F.sum(F.log1p("tf")) / (1 + F.log(F.col("n"))), 6)
     hits = counts.join(terms, "term").groupBy(question, key, "n").agg(score.alias("score"))
     order = Window.partitionBy(question).orderBy(F.desc("score"), key)

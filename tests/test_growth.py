@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
-from lekhaspark.operators import answers, contexts, duplicates, mining, suggest, tables, vectors
+from lekhaspark.operators import answers, contexts, duplicates, mining, search, suggest, tables, vectors
 
 
 def plan(frame) -> str:
@@ -83,3 +83,11 @@ def test_sorted_rows_are_dealt_to_a_stated_number_of_tasks(spark):
     found = contexts.compressed_ranges(numbers, "k")
     assert {r["k"]: r["ranges"] for r in found.collect()} == {"a": "1-3, 5-8, 10", "b": "1-12"}
     assert "RepartitionByExpression [k" in plan(found) and plan(found).count("Aggregate") == 1
+
+
+def test_words_of_a_text_stay_in_its_task(spark):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "fox"), (2, "fox"), (3, None), (4, "cat")], "d int, t string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "owl")], "q int, a string")
+    found = search.keyword_hits(docs, "d", "t", asked, "q", "a", [])
+    assert [(r["q"], r["d"], r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 2, 1), (1, 1, 2)]
+    assert "RepartitionByExpression [d" in plan(found) and "LeftSemi" not in plan(found)
