@@ -55,7 +55,9 @@ def attachments(posts: DataFrame, hosts: list[str]) -> DataFrame:
     suffix = F.when(several, F.concat(F.lit("-"), F.when(F.col("f.language").isin("hi", "en"), F.col("f.language")).otherwise(F.col("f.key")))).otherwise("")
     named = each.withColumn("source_id", F.concat_ws("-", "site", F.concat(F.col("post_id").cast("string"), suffix)))
     first = F.row_number().over(Window.partitionBy("source_id").orderBy("place", "at"))
-    kept = named.withColumn("_n", first).where("_n = 1")
+    # a stated number of tasks, which Spark does not merge: the sorted rows are more than the bytes tell
+    dealt = named.repartition(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
+    kept = dealt.withColumn("_n", first).where("_n = 1")
     return kept.select("source_id", "title", F.col("f.url").alias("url"), F.coalesce("f.date", "date").alias("go_date"), F.col("f.language").alias("language"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The parts of an answer that are read; fields of attachments have names of their own, so they stay JSON until they are looked at.
@@ -38,13 +38,15 @@ def attachments_of(files: DataFrame) -> DataFrame:
 
 def cms_posts(answers: DataFrame, files: DataFrame) -> DataFrame:
     """answers (place, site, body: a page of a listing), files (site, file_id, body) -> (place, site, post_id, title, date, files), as `listings.attachments` takes them: one row for each post that a listing
-    shows, with the attachments of all its files in their order. place numbers the posts by answer and place in it. Answers that are no JSON have no posts."""
+    shows, with the attachments of all its files in their order. place is that of the answer and that of the post in it, so that no task sorts all posts of a site.
+    Answers that are no JSON have no posts."""
+    # a stated number of tasks, which Spark does not merge: lists are more than the bytes tell
+    n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posts = answers.select("site", "place", F.posexplode(F.from_json("body", LISTING)["posts"]).alias("at", "p"))
-    order = Window.partitionBy("site").orderBy("place", "at")
     ids = F.flatten(F.transform("p.acf_data.file", lambda f: F.coalesce(f["file"], F.array().cast("array<bigint>"))))
-    posts = posts.select(F.row_number().over(order).alias("place"), "site", F.col("p.ID").alias("post_id"), F.col("p.post_title").alias("title"), slashed_date(F.col("p.acf_data.date")).alias("date"), ids.alias("ids"))
-    each = posts.select("place", "site", F.posexplode("ids").alias("n", "file_id")).join(attachments_of(files), ["site", "file_id"])
-    held = each.groupBy("place", "site").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "files"))), lambda x: x["files"])).alias("files"))
+    posts = posts.select(F.struct("place", "at").alias("place"), "site", F.col("p.ID").alias("post_id"), F.col("p.post_title").alias("title"), slashed_date(F.col("p.acf_data.date")).alias("date"), ids.alias("ids"))
+    each = posts.select("place", "site", F.posexplode_outer("ids").alias("n", "file_id")).where("file_id is not null").join(attachments_of(files), ["site", "file_id"])
+    held = each.repartition(n, "place", "site").groupBy("place", "site").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "files"))), lambda x: x["files"])).alias("files"))
     met = posts.drop("ids").join(held, ["place", "site"], "left")
     none = F.array().cast("array<struct<key: string, language: string, date: string, url: string>>")
     return met.select("place", "site", "post_id", "title", "date", F.coalesce("files", none).alias("files"))

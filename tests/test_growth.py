@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
 from lekhaspark.operators import answers, contexts, duplicates, mining, search, suggest, tables, vectors
+from lekhaspark.sources import cms
 
 
 def plan(frame) -> str:
@@ -78,6 +79,15 @@ def test_texts_are_dealt_by_page_before_they_are_words(spark):
     assert "RepartitionByExpression [page" in plan(found)
 
 
+def test_posts_of_a_site_need_no_order(spark):
+    listing = '{"posts": [{"ID": 7, "post_title": "A", "acf_data": {"file": [{"file": [1, 2]}]}}, {"ID": 8, "post_title": "B", "acf_data": {"file": []}}]}'
+    answers = spark.createDataFrame([(1, "s", listing), (2, "s", listing.replace("7", "9")), (3, "s", "no")], "place int, site string, body string")
+    files = spark.createDataFrame([("s", k, f'{{"posts": {{"acf_data": {{"pdf": {{"url": "u{k}"}}}}}}}}') for k in (1, 2)], "site string, file_id long, body string")
+    found = cms.cms_posts(answers, files)
+    assert [(r["post_id"], [f["url"] for f in r["files"]]) for r in found.orderBy("place").collect()] == [(7, ["u1", "u2"]), (8, []), (9, ["u1", "u2"]), (8, [])]
+    assert "Window" not in plan(found)
+
+
 def test_sorted_rows_are_dealt_to_a_stated_number_of_tasks(spark):
     numbers = spark.createDataFrame([("a", 5, 7), ("a", 1, 3), ("a", 2, 2), ("a", 8, 8), ("a", 10, 10), ("a", 9, 4), ("b", 1, 9), ("b", 2, 3), ("b", 10, 12)], "k string, first int, last int")
     found = contexts.compressed_ranges(numbers, "k")
