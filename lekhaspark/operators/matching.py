@@ -37,9 +37,11 @@ def padded(c: Column) -> Column:
 def phrase_hits(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """questions (query, question), phrases (entry, phrase) -> (query, entry, phrase, n_words, n_chars, rest, before): phrases that stand in a
     question as whole words. Both sides meet on the first word, not in a cross join; rest is what follows the phrase, before what precedes it."""
+    # texts leave their row inside the exploded values, in the outer form: a filter on a column would be moved before it and start Python a second time for it
     q = questions.select("query", padded(F.col("question")).alias("_q"))
-    q = q.withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_q"), " ")))).where("_w <> ''")
-    p = phrases.select("entry", "phrase", padded(F.col("phrase")).alias("_p")).where(F.length("_p") > 2)
+    each = F.transform(F.array_distinct(F.split(F.trim("_q"), " ")), lambda w: F.struct(w.alias("_w"), F.col("_q").alias("_q")))
+    q = q.select("query", F.explode_outer(each).alias("h")).select("query", "h._q", "h._w").where("_w <> ''")
+    p = phrases.select("entry", "phrase", F.explode_outer(F.filter(F.array(padded(F.col("phrase"))), lambda x: F.length(x) > 2)).alias("_p")).where("_p is not null")
     p = p.withColumn("_w", F.split(F.trim("_p"), " ")[0])
     met = q.join(p, "_w").where(F.contains("_q", "_p"))
     return met.select("query", "entry", "phrase", F.size(F.split(F.trim("_p"), " ")).alias("n_words"), F.length(F.trim("_p")).alias("n_chars"), F.expr("substring(_q, instr(_q, _p) + length(_p), 40)").alias("rest"), F.expr("right(substring(_q, 1, instr(_q, _p)), 20)").alias("before"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhaspark.functions import legacy_font, references
 from lekhaspark.functions import transliteration as T
-from lekhaspark.operators import answers, contexts, duplicates, mining, search, suggest, tables, vectors
+from lekhaspark.operators import answers, contexts, duplicates, matching, mining, search, suggest, tables, vectors
 from lekhaspark.sources import cms
 
 
@@ -101,3 +101,11 @@ def test_words_of_a_text_stay_in_its_task(spark):
     found = search.keyword_hits(docs, "d", "t", asked, "q", "a", [])
     assert [(r["q"], r["d"], r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 2, 1), (1, 1, 2)]
     assert "RepartitionByExpression [d" in plan(found) and "LeftSemi" not in plan(found)
+
+
+def test_phrases_start_python_once_a_table(spark):
+    asked = spark.createDataFrame([(1, "Rate of Subsidy, rate"), (2, ""), (3, None)], "query int, question string")
+    phrases = spark.createDataFrame([(1, "subsidy"), (2, "rate of subsidy"), (3, "-"), (4, None)], "entry int, phrase string")
+    found = matching.phrase_hits(asked, phrases)
+    assert sorted((r["query"], r["entry"], r["n_words"]) for r in found.collect()) == [(1, 1, 1), (1, 2, 3)]
+    assert plan(found).count("ArrowEvalPython") == 2
