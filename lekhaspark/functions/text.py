@@ -12,8 +12,8 @@ LATIN = r"[A-Za-z]"
 
 
 def let(c: Column, f) -> Column:
-    """f(c) with c computed once, however often f names it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    """f(c) with c computed once, however often f names it. A fold, since an element of a transformed array finds out its type anew for each row."""
+    return F.aggregate(F.array(F.lit(0)), c, lambda x, _: x, f)
 
 
 def ascii_digits(c: Column) -> Column:

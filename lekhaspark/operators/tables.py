@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,11 @@ def _one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _in_line(text: Column) -> Column:
+    """The text of a cell in one line: grids leave no blanks but single spaces and line ends."""
+    return F.replace(text, F.lit("\n"), F.lit(" "))
+
+
 def portal_link(href: Column) -> Column:
     """struct(url, source_id) of a link to an order on the portal: its host and page, and an id that decodes to four numbers; else null."""
     url = F.when(href.rlike("(?i)^https?://"), href).otherwise(F.concat(F.lit(PORTAL + "/"), F.regexp_replace(href, r"^(?:\.\./|\./|/)+", "")))
@@ -94,47 +102,89 @@ def order_kind(title: Column) -> Column:
     return F.when(title.rlike(REVISION), "revision-order").otherwise("government-order")
 
 
-def _clean(c: Column) -> Column:
-    return _one_line(F.regexp_replace(F.translate(c, "​‌‍﻿", ""), SIZE_OR_LANGUAGE, " "))
+def _has(c: Column, *parts: str) -> Column:
+    return reduce(or_, [c.contains(x) for x in parts])
+
+
+def _visible(c: Column) -> Column:
+    """Without zero-width characters, of which ASCII has none."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(_one_line(F.translate(c, "​‌‍﻿", "")))
+
+
+def _clean(lines: Column) -> Column:
+    """Lines without zero-width characters, sizes and languages; most have none."""
+    kept = F.regexp_replace(F.translate(lines, "​‌‍﻿", ""), SIZE_OR_LANGUAGE.replace(r"\s", " "), " ")
+    mended = F.regexp_replace(kept, "(?m)^ +| +$|( ) +", "$1")
+    return F.when((F.octet_length(lines) == F.length(lines)) & ~_has(F.lower(lines), "kb", "mb", "size", "language"), lines).otherwise(mended)
+
+
+def _lines(text: Column, pattern: str) -> Column:
+    """The lines that hold the pattern, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?m)^.*{pattern}.*$"), F.lit(0))
+
+
+def _number(lines: Column) -> Column:
+    """An order's number by the first of the clean lines that looks like one. Only lines with a slash or a dash can; mostly the first of them does."""
+    number = lambda t: P.order_number(F.trim(F.regexp_replace(t, TRAILING_DATE, "")))
+    any_of = F.get(F.filter(F.transform(_lines(lines, "[/-]"), number), lambda v: v.isNotNull()), F.lit(0))
+    return F.when(_has(lines, "/", "-"), F.coalesce(number(F.regexp_extract(lines, "(?m)^.*[/-].*$", 0)), any_of))
+
+
+def _date(lines: Column) -> Column:
+    """The day of the first line that is nothing but a date, else of the first with one; each form of a date ends with four digits after a sign or a blank."""
+    days = F.filter(F.transform(_lines(lines, r"[./, -]\d{4}(?!\d)"), lambda t: F.struct(P.any_date(t).alias("day"), t.alias("t"))), lambda x: x["day"].isNotNull())
+    return let(days, lambda d: F.coalesce(F.get(F.filter(d, lambda x: P.is_date_only(x["t"])), F.lit(0)), F.get(d, F.lit(0)))["day"])
 
 
-def _number(cells: Column, label: Column, title: Column) -> Column:
-    each = F.transform(F.concat(F.array(label), cells), lambda c: F.trim(F.regexp_replace(_clean(c), TRAILING_DATE, "")))
-    cell = F.get(F.filter(each, P.looks_like_number), F.lit(0))
-    return F.coalesce(F.trim(F.regexp_replace(cell, P.NUMBER_LABEL, "")), F.nullif(F.trim(F.regexp_extract(title, NUMBER_IN_TITLE, 1)), F.lit("")))
+def _longest(lines: Column) -> Column:
+    return F.reduce(lines, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
 
 
-def _title(cells: Column, label: Column) -> Column:
-    """The longest cell that says something, of short ones where there are any."""
+def _title(lines: Column, longest: Column) -> Column:
+    """The longest of the clean lines that says something, of short ones where there are any. Mostly that is the longest of all."""
     serial = r"^\s*\d{1,5}\s*\.?\s*$"
-    options = F.filter(F.transform(F.concat(cells, F.array(label)), _clean), lambda t: (F.length(t) >= 6) & ~t.rlike(GENERIC_LABEL) & ~P.is_date_only(t) & ~t.rlike(serial) & ~P.looks_like_number(t))
+    says = lambda t: (F.length(t) >= 6) & ~t.rlike(GENERIC_LABEL) & ~t.rlike(serial) & ~P.is_date_only(t) & ~(_has(t, "/", "-") & P.looks_like_number(t))
+    shortened = lambda best: F.when(F.length(best) > LONG_TITLE, F.concat(F.rtrim(F.substring(best, 1, LONG_TITLE - 3)), F.lit("…"))).otherwise(F.nullif(best, F.lit("")))
 
-    def longest(o: Column) -> Column:
-        short = F.filter(o, lambda t: F.length(t) <= SHORT_TITLE)
-        pool = F.when(F.exists(short, lambda t: F.length(t) >= 20), short).otherwise(o)
-        best = F.reduce(pool, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
-        return F.when(F.length(best) > LONG_TITLE, F.concat(F.rtrim(F.substring(best, 1, LONG_TITLE - 3)), F.lit("…"))).otherwise(F.nullif(best, F.lit("")))
+    def choose(options: Column) -> Column:
+        pool = let(F.filter(options, lambda t: F.length(t) <= SHORT_TITLE), lambda short: F.when(F.exists(short, lambda t: F.length(t) >= 20), short).otherwise(options))
+        return let(_longest(pool), shortened)
 
-    return let(options, longest)
+    return F.when((F.length(longest) >= 20) & (F.length(longest) <= SHORT_TITLE) & says(longest), longest).otherwise(let(F.filter(F.split(lines, "\n"), says), choose))
 
 
 def row_items(pages: DataFrame, html: str = "html", site_language: str = "both", documents: str = r"(?i)\.pdf(?:[?#]|$)") -> DataFrame:
-    """pages (page_id, html) -> page_id, url, title, label, go_number, go_date, language, n_cells: each document that a table row links to, with what the cells beside the link
-    say. A row of more than MOST_LINKS links says nothing about each; a document that is linked twice has its fuller row, then the first."""
-    r = rows(pages, html)
-    links = F.flatten(F.transform("cells", lambda c: c["links"]))
-    r = r.select("page_id", "table", "row", F.filter(F.transform("cells", lambda c: _one_line(c["text"])), lambda t: t != "").alias("texts"), links.alias("links"))
-    each = r.select("page_id", "table", "row", F.when(F.size("links") > MOST_LINKS, F.slice("texts", 1, 0)).otherwise(F.col("texts")).alias("texts"), F.posexplode_outer(F.filter("links", lambda a: a["href"].rlike(documents))).alias("at", "a")).where("at is not null")
-    label = _one_line(F.translate(F.col("a.label"), "​‌‍﻿", ""))
-    each = each.withColumn("label", label).withColumn("usable", F.when(F.size("texts") > 0, F.col("texts")).otherwise(F.array("label")))
-    file = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a.href", r"([^/]*?)(?:\.pdf)?(?:[?#].*)?$", 1), "%20", " "), "[_-]+", " "))
-    plain = let(_clean(F.col("label")), lambda x: F.when((x != "") & ~x.rlike(GENERIC_LABEL), x))
-    each = each.withColumn("title", F.coalesce(_title(F.col("usable"), F.col("label")), plain, F.nullif(file, F.lit("")), F.lit("Document")))
-    first_date = lambda x: F.get(F.filter(F.transform(x, P.any_date), lambda d: d.isNotNull()), F.lit(0))
-    dated = F.coalesce(first_date(F.filter("usable", P.is_date_only)), first_date(F.col("usable")))
-    stated = F.lower(F.regexp_extract(F.array_join("texts", " | "), STATED_LANGUAGE, 1))
-    guessed = language(F.col("title"))
-    spoken = F.when(stated != "", F.when(stated.rlike("hindi|हिंदी|हिन्दी"), "hi").otherwise("en")).otherwise(F.when((guessed == "unknown") & F.lit(site_language in ("hi", "en")), site_language).otherwise(guessed))
-    out = each.select("page_id", F.col("a.href").alias("url"), "title", "label", _number(F.col("texts"), F.col("label"), F.col("title")).alias("go_number"), dated.alias("go_date"), spoken.alias("language"), F.size("texts").alias("n_cells"), "table", "row", "at")
-    first = Window.partitionBy("page_id", "url").orderBy(F.desc("n_cells"), "table", "row", "at")
-    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "table", "row", "at")
+    """pages (page_id, html), a page in one row -> page_id, url, title, label, go_number, go_date, language, n_cells: each document that a table row links to, with what the cells
+    beside the link say. A row of more than MOST_LINKS links says nothing about each; a document that is linked twice has its fuller row, then the first."""
+
+    def linked(r: Column) -> Column:
+        texts = F.filter(F.transform(r["cells"], lambda c: _in_line(c["text"])), lambda t: t != "")
+
+        def found(links: Column) -> Column:
+            told = F.when(F.size(links) > MOST_LINKS, F.array().cast("array<string>")).otherwise(texts)
+            item = lambda x: lambda a, i: F.struct(a["href"].alias("url"), (-F.size(x)).alias("n"), r["table"].alias("table"), r["row"].alias("row"), i.alias("at"), a["label"].alias("label"), x.alias("texts"))
+            return let(F.filter(links, lambda a: a["href"].rlike(documents)), lambda held: F.when(F.size(held) > 0, let(told, lambda x: F.transform(held, item(x)))).otherwise(F.transform(held, item(F.array().cast("array<string>")))))
+
+        return let(F.flatten(F.transform(r["cells"], lambda c: c["links"])), found)
+
+    # a page's links meet in its row: only the fullest row of each document is looked at, and no rows of pages are sorted
+    ordered = lambda rows: F.sort_array(F.flatten(F.transform(rows, linked)))
+    firsts = lambda x: F.filter(x, lambda a, i: (i == 0) | (F.get(x, i - 1)["url"] != a["url"]))
+    # the outer form, since Spark would else infer a filter that finds all items a second time
+    each = pages.select("page_id", grids(F.col(html)).alias("_rows")).select("page_id", F.inline_outer(let(ordered(F.col("_rows")), firsts))).where("url is not null")
+    each = each.select("page_id", "url", "texts", _visible(F.col("label")).alias("label"))
+    # texts are lines of one text, so that patterns choose the few that have to be looked at; without a cell the label stands for one
+    each = each.select("page_id", "url", "label", F.size("texts").alias("n_cells"), F.array_join("texts", "\n").alias("cells"))
+    told = F.when(F.col("n_cells") > 0, F.col("cells")).otherwise(F.col("label"))
+    stated = F.when(_has(F.lower("cells"), "language", "भाषा"), F.lower(F.regexp_extract(F.replace("cells", F.lit("\n"), F.lit(" | ")), STATED_LANGUAGE, 1))).otherwise("")
+    each = each.select("page_id", "url", "label", "n_cells", stated.alias("stated"), _date(told).alias("go_date"), _clean(F.col("cells")).alias("cells"), _clean(F.col("label")).alias("clean"))
+    lines = F.concat_ws("\n", "cells", "clean")
+    each = each.select("*", lines.alias("lines"), _longest(F.split(lines, "\n")).alias("longest"), _number(F.concat_ws("\n", "clean", "cells")).alias("number"))
+    file = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"([^/]*?)(?:\.pdf)?(?:[?#].*)?$", 1), "%20", " "), "[_-]+", " "))
+    plain = F.when((F.col("clean") != "") & ~F.col("clean").rlike(GENERIC_LABEL), F.col("clean"))
+    title = F.coalesce(_title(F.col("lines"), F.col("longest")), plain, F.nullif(file, F.lit("")), F.lit("Document"))
+    each = each.select("page_id", "url", title.alias("title"), "label", "n_cells", "number", "go_date", "stated")
+    guessed = let(language(F.col("title")), lambda x: F.when((x == "unknown") & F.lit(site_language in ("hi", "en")), site_language).otherwise(x))
+    spoken = F.when(F.col("stated") == "", guessed).otherwise(F.when(F.col("stated").rlike("hindi|हिंदी|हिन्दी"), "hi").otherwise("en"))
+    go_number = F.coalesce("number", F.nullif(F.trim(F.regexp_extract("title", NUMBER_IN_TITLE, 1)), F.lit("")))
+    return each.select("page_id", "url", "title", "label", go_number.alias("go_number"), "go_date", spoken.alias("language"), "n_cells")
