@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
@@ -50,46 +50,47 @@ def portal_link(href: Column) -> Column:
     url = F.when(href.rlike("(?i)^https?://"), href).otherwise(F.concat(F.lit(PORTAL + "/"), F.regexp_replace(href, r"^(?:\.\./|\./|/)+", "")))
 
     def read(u: Column) -> Column:
-        coded = F.regexp_extract(u, r"[?&]id1=([^&#]+)", 1)
-        plain = F.try_url_decode(coded)
-        padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
-        decoded = F.try_to_binary(padded, F.lit("base64")).cast("string")
-        good = plain.rlike("^[A-Za-z0-9+/]+=*$") & u.startswith(PORTAL + PDF_PAGE) & decoded.rlike(r"^\d+#\d+#\d+#\d{4}$")
-        return F.when(good, F.struct(u.alias("url"), decoded.alias("source_id")))
+        padded = lambda plain: F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
+        decoded = lambda plain: F.try_to_binary(padded(plain), F.lit("base64")).cast("string")
+        source = lambda plain: F.when(plain.rlike("^[A-Za-z0-9+/]+=*$"), let(decoded(plain), lambda d: F.when(d.rlike(r"^\d+#\d+#\d+#\d{4}$"), F.struct(u.alias("url"), d.alias("source_id")))))
+        return F.when(u.startswith(PORTAL + PDF_PAGE), let(F.try_url_decode(F.regexp_extract(u, r"[?&]id1=([^&#]+)", 1)), source))
 
     return let(url, read)
 
 
 def portal_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Records of saved result pages: page_id, portal_row, source_id, source_url, the FIELDS, link_text. The header of a table is its first row of at least
-    LEAST_FIELDS named fields without links; later rows with a valid link are records. A column that is both department and section holds
+    """Records of saved result pages, a page in one row: page_id, portal_row, source_id, source_url, the FIELDS, link_text. The header of a table is its first row of at
+    least LEAST_FIELDS named fields without links; later rows with a valid link are records. A column that is both department and section holds
     the department on its first line and the section on the rest."""
     linked = lambda r: F.exists(r["cells"], lambda c: F.size(c["links"]) > 0)
 
     def fields(r: Column) -> Column:
-        labels = F.transform(r["cells"], lambda c: _one_line(c["text"]))
-        place = lambda x, p: F.get(F.filter(F.transform(x, lambda c, i: F.when(c.rlike(p), i)), lambda i: i.isNotNull()), F.lit(0))
-        return let(labels, lambda x: F.struct(*[place(x, p).alias(f) for f, p in FIELDS.items()]))
+        labels = F.transform(r["cells"], lambda c: _in_line(c["text"]))
+        place = lambda x, p: F.nullif(F.array_position(F.transform(x, lambda c: c.rlike(p)), True), F.lit(0)) - 1
+        return let(labels, lambda x: F.struct(*[place(x, p).cast("int").alias(f) for f, p in FIELDS.items()]))
 
-    # headers are found inside the row of their page, so a page is read once and its rows meet no others; rows stand in order, so the first header of a table is the highest
+    # a page's headers and records meet in its row: it is read once, and no rows of pages are sorted; rows stand in order, so the first header of a table is the highest
     named = lambda at: sum((F.when(at[f].isNotNull(), 1).otherwise(0) for f in FIELDS), F.lit(0))
     heads = F.filter(F.transform(F.filter("_rows", lambda r: ~linked(r)), lambda r: F.struct(r["table"].alias("table"), r["row"].alias("row"), fields(r).alias("at"))), lambda h: named(h["at"]) >= LEAST_FIELDS)
-    r = pages.select("page_id", grids(F.col(html)).alias("_rows")).select("page_id", heads.alias("_heads"), F.filter("_rows", linked).alias("_rows"))
-    r = r.select("page_id", "_heads", F.inline_outer("_rows")).where("row is not null")
-    links = F.filter(F.transform(F.flatten(F.transform("cells", lambda c: c["links"])), lambda a: F.struct(portal_link(a["href"]).alias("to"), a["label"].alias("label"))), lambda a: a["to"].isNotNull())
-    head = F.get(F.filter("_heads", lambda h: h["table"] == F.col("table")), F.lit(0))
+    first_link = lambda links: F.get(F.filter(F.transform(links, lambda a: F.struct(portal_link(a["href"]).alias("to"), a["label"].alias("label"))), lambda a: a["to"].isNotNull()), F.lit(0))
+
+    def record(r: Column) -> Column:
+        head = F.get(F.filter("_heads", lambda h: (h["table"] == r["table"])), F.lit(0))
+        return F.struct(F.transform(r["cells"], lambda c: c["text"]).alias("cells"), r["row"].alias("row"), head.alias("head"), first_link(F.flatten(F.transform(r["cells"], lambda c: c["links"]))).alias("link"))
+
+    records = F.filter(F.transform(F.filter("_rows", linked), record), lambda x: x["link"].isNotNull() & (x["row"] > x["head"]["row"]))
+    r = pages.select("page_id", grids(F.col(html)).alias("_rows")).select("page_id", heads.alias("_heads"), "_rows")
     # the outer form, since Spark would else infer a filter that reads all links a second time
-    met = r.select("page_id", "table", "row", "cells", head.alias("head"), F.explode_outer(F.slice(links, 1, 1)).alias("link"))
-    met = met.where("link is not null and row > head.row").withColumn("at", F.col("head.at"))
-    text = lambda f: F.get("cells", F.col(f"at.{f}"))["text"]
-    value = lambda c: F.nullif(_one_line(c), F.lit(""))
-    both = F.col("at.department") == F.col("at.section")
-    lines = F.filter(F.split(text("department"), "\n"), lambda x: x != "")
-    out = {f: value(text(f)) for f in FIELDS}
-    out["department"] = F.when(both, F.get(lines, F.lit(0))).otherwise(out["department"])
-    out["section"] = F.when(both, F.nullif(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " "), F.lit(""))).otherwise(out["section"])
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("table", "row"))
-    return met.select("page_id", place.alias("portal_row"), F.col("link.to.source_id").alias("source_id"), F.col("link.to.url").alias("source_url"), *[c.alias(f) for f, c in out.items()], F.nullif("link.label", F.lit("")).alias("link_text"))
+    met = r.select("page_id", F.posexplode_outer(records).alias("at", "r")).where("r is not null")
+    text = lambda f: F.get("r.cells", F.col(f"r.head.at.{f}"))
+    met = met.select("page_id", (F.col("at") + 1).alias("portal_row"), F.col("r.link").alias("link"), (F.col("r.head.at.department") == F.col("r.head.at.section")).alias("both"), *[text(f).alias(f) for f in FIELDS])
+    value = lambda c: F.nullif(_in_line(c), F.lit(""))
+    out = {f: value(F.col(f)) for f in FIELDS}
+    # lines of a cell are never empty
+    out["department"] = F.when(F.col("both"), F.nullif(F.substring_index("department", "\n", 1), F.lit(""))).otherwise(out["department"])
+    rest = F.substr(F.col("section"), F.locate("\n", F.col("section")) + 1)
+    out["section"] = F.when(F.col("both"), F.when(F.col("section").contains("\n"), _in_line(rest))).otherwise(out["section"])
+    return met.select("page_id", "portal_row", F.col("link.to.source_id").alias("source_id"), F.col("link.to.url").alias("source_url"), *[c.alias(f) for f, c in out.items()], F.nullif("link.label", F.lit("")).alias("link_text"))
 
 
 def portal_total(html: Column) -> Column:

@@ -78,3 +78,15 @@ EXPECTED = [
     ("d", None, None, "unknown", 1),
     ("e f g h", None, None, "unknown", 1),
 ]
+
+
+def test_records_of_a_page_need_no_order(spark):
+    link = f"<a href='{tables.PDF_PAGE}?id1=MSMyIzMjMjAyMA%3D%3D'>L</a>"
+    head = "<tr><th>विभाग / अनुभाग</th><th>संख्या</th><th>दिनांक</th><th>विषय</th></tr>"
+    one = f"<table>{head}<tr><td rowspan=2>a<br>b<br>c</td><td>1/2</td><td></td><td>s <br> t {link}</td></tr><tr><td>3</td><td>d</td><td>{link}</td></tr></table><table><tr><td>{link}</td></tr>{head}<tr><td>e</td><td>{link}</td></tr></table>"
+    pages = spark.createDataFrame([(1, one), (2, None), (3, head)], "page_id long, html string")
+    found = tables.portal_rows(pages)
+    got = [(r["portal_row"], r["source_id"], r["department"], r["section"], r["go_number"], r["go_date"], r["subject"], r["link_text"]) for r in found.orderBy("portal_row").collect()]
+    assert got == [(1, "1#2#3#2020", "a", "b c", "1/2", None, "s t L", "L"), (2, "1#2#3#2020", "a", "b c", "3", "d", "L", "L"), (3, "1#2#3#2020", "e", None, "L", None, None, "L")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("ArrowEvalPython") == 1
