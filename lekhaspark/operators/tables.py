@@ -28,6 +28,8 @@ SIZE_OR_LANGUAGE = r"(?i)\(?\s*[\d.]+\s*[KM]B\s*\)?|(?:language|भाषा)\s*
 TRAILING_DATE = r"(?i)\s+(?:/|dated|dt\.?|दिनांक)\s*(?:(?:0?[1-9]|[12]\d|3[01])[./-](?:0?[1-9]|1[0-2])[./-]\d{2,4}|\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?,?\s+\d{4})\s*$"
 STATED_LANGUAGE = r"(?i)(?:language|भाषा)\s*:\s*(hindi|english|हिंदी|हिन्दी|अंग्रेजी)"
 NUMBER_IN_TITLE = r"(?:संख्या|सं0|No\.)\s*[:\-–]?\s*([\dA-Za-zऀ-ॿ.]+(?:\s*[/\-–]\s*[\dA-Za-zऀ-ॿ.()]+){2,})"
+DATE_END = r"[./, -]\d{4}(?!\d)"
+DATE_LINE = "(?m)" + P.DATE_ONLY.replace(r"\s", " ")
 REVISION = r"(?i)revision|appellate|petition|appeal|hearing|withdrawal|dismissal"
 
 
@@ -114,9 +116,9 @@ def _visible(c: Column) -> Column:
 
 def _clean(lines: Column) -> Column:
     """Lines without zero-width characters, sizes and languages; most have none."""
-    kept = F.regexp_replace(F.translate(lines, "​‌‍﻿", ""), SIZE_OR_LANGUAGE.replace(r"\s", " "), " ")
-    mended = F.regexp_replace(kept, "(?m)^ +| +$|( ) +", "$1")
-    return F.when((F.octet_length(lines) == F.length(lines)) & ~_has(F.lower(lines), "kb", "mb", "size", "language"), lines).otherwise(mended)
+    mended = lambda c: F.regexp_replace(F.regexp_replace(c, SIZE_OR_LANGUAGE.replace(r"\s", " "), " "), "(?m)^ +| +$|( ) +", "$1")
+    ascii = F.octet_length(lines) == F.length(lines)
+    return F.when(ascii & ~_has(F.lower(lines), "kb", "mb", "size", "language"), lines).when(ascii, mended(lines)).otherwise(mended(F.translate(lines, "​‌‍﻿", "")))
 
 
 def _lines(text: Column, pattern: str) -> Column:
@@ -124,16 +126,18 @@ def _lines(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?m)^.*{pattern}.*$"), F.lit(0))
 
 
+def _undated(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, TRAILING_DATE, ""))
+
+
 def _number(lines: Column) -> Column:
-    """An order's number by the first of the clean lines that looks like one. Only lines with a slash or a dash can; mostly the first of them does."""
-    number = lambda t: P.order_number(F.trim(F.regexp_replace(t, TRAILING_DATE, "")))
-    any_of = F.get(F.filter(F.transform(_lines(lines, "[/-]"), number), lambda v: v.isNotNull()), F.lit(0))
-    return F.when(_has(lines, "/", "-"), F.coalesce(number(F.regexp_extract(lines, "(?m)^.*[/-].*$", 0)), any_of))
+    """An order's number by the first of the clean lines that looks like one. Only lines with a slash or a dash can."""
+    return F.get(F.filter(F.transform(_lines(lines, "[/-]"), lambda t: P.order_number(_undated(t))), lambda v: v.isNotNull()), F.lit(0))
 
 
 def _date(lines: Column) -> Column:
-    """The day of the first line that is nothing but a date, else of the first with one; each form of a date ends with four digits after a sign or a blank."""
-    days = F.filter(F.transform(_lines(lines, r"[./, -]\d{4}(?!\d)"), lambda t: F.struct(P.any_date(t).alias("day"), t.alias("t"))), lambda x: x["day"].isNotNull())
+    """The day of the first line that is nothing but a date, else of the first with one."""
+    days = F.filter(F.transform(lines, lambda t: F.struct(P.any_date(t).alias("day"), t.alias("t"))), lambda x: x["day"].isNotNull())
     return let(days, lambda d: F.coalesce(F.get(F.filter(d, lambda x: P.is_date_only(x["t"])), F.lit(0)), F.get(d, F.lit(0)))["day"])
 
 
@@ -178,14 +182,22 @@ def row_items(pages: DataFrame, html: str = "html", site_language: str = "both",
     each = each.select("page_id", "url", "label", F.size("texts").alias("n_cells"), F.array_join("texts", "\n").alias("cells"))
     told = F.when(F.col("n_cells") > 0, F.col("cells")).otherwise(F.col("label"))
     stated = F.when(_has(F.lower("cells"), "language", "भाषा"), F.lower(F.regexp_extract(F.replace("cells", F.lit("\n"), F.lit(" | ")), STATED_LANGUAGE, 1))).otherwise("")
-    each = each.select("page_id", "url", "label", "n_cells", stated.alias("stated"), _date(told).alias("go_date"), _clean(F.col("cells")).alias("cells"), _clean(F.col("label")).alias("clean"))
-    lines = F.concat_ws("\n", "cells", "clean")
-    each = each.select("*", lines.alias("lines"), _longest(F.split(lines, "\n")).alias("longest"), _number(F.concat_ws("\n", "clean", "cells")).alias("number"))
+    # each form of a date ends with four digits after a sign or a blank; what the one line with a date says, or the first that is nothing else, mostly is the day
+    dates, alone = _lines(told, DATE_END), F.regexp_extract(told, DATE_LINE, 0)
+    each = each.select("page_id", "url", "label", "n_cells", stated.alias("stated"), dates.alias("dates"), alone.alias("alone"), _clean(F.col("cells")).alias("cells"), _clean(F.col("label")).alias("clean"))
+    lines, sole = F.concat_ws("\n", "cells", "clean"), F.when(F.col("alone") != "", F.col("alone")).when(F.size("dates") == 1, F.get("dates", F.lit(0)))
+    # the first line with a slash or a dash mostly is the number
+    numbers = F.concat_ws("\n", "clean", "cells")
+    undated = F.when(_has(numbers, "/", "-"), _undated(F.regexp_extract(numbers, "(?m)^.*[/-].*$", 0)))
+    each = each.select("*", lines.alias("lines"), _longest(F.split(lines, "\n")).alias("longest"), P.unlabelled(undated).alias("number"), P.any_date(sole).alias("day"))
+    number = F.when(P.is_number(F.col("number")), F.col("number")).when(F.col("number").isNotNull(), _number(numbers))
+    day = F.coalesce("day", F.when((F.size("dates") > 1) | (F.col("alone") != ""), _date(F.col("dates"))))
     file = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"([^/]*?)(?:\.pdf)?(?:[?#].*)?$", 1), "%20", " "), "[_-]+", " "))
     plain = F.when((F.col("clean") != "") & ~F.col("clean").rlike(GENERIC_LABEL), F.col("clean"))
     title = F.coalesce(_title(F.col("lines"), F.col("longest")), plain, F.nullif(file, F.lit("")), F.lit("Document"))
-    each = each.select("page_id", "url", title.alias("title"), "label", "n_cells", "number", "go_date", "stated")
-    guessed = let(language(F.col("title")), lambda x: F.when((x == "unknown") & F.lit(site_language in ("hi", "en")), site_language).otherwise(x))
+    each = each.select("page_id", "url", title.alias("title"), "label", "n_cells", number.alias("number"), day.alias("go_date"), "stated")
+    guessed = language(F.col("title"))
+    guessed = F.when(guessed == "unknown", site_language).otherwise(guessed) if site_language in ("hi", "en") else guessed
     spoken = F.when(F.col("stated") == "", guessed).otherwise(F.when(F.col("stated").rlike("hindi|हिंदी|हिन्दी"), "hi").otherwise("en"))
     go_number = F.coalesce("number", F.nullif(F.trim(F.regexp_extract("title", NUMBER_IN_TITLE, 1)), F.lit("")))
     return each.select("page_id", "url", "title", "label", go_number.alias("go_number"), "go_date", spoken.alias("language"), "n_cells")
